@@ -11,15 +11,16 @@ candidates survive:
   windows pick equal ones, so nothing is lost, and about one base window in
   thirteen is shuffled instead of every one.
 * target level: only target windows whose base window survived are hashed again
-  (128 bits) and compared across documents. The smallest doc_id of each repeated
-  window decides: in every other document its words are covered.
+  (128 bits) and compared across documents. The smallest doc_id of each window owns
+  it; in every other document that holds it its words are covered.
 * beyond (``repeat_lengths``): the windows of the target level that repeat are
   doubled on, 100, 200, ... words, until none survives, which tells how long the
   repeats of a document are.
 
-Only hashes, ids and the texts once (by doc_id) are shuffled; common windows are
-combined before the shuffle, and joins on window hashes are plain sort-merge
-joins that adaptive execution may split.
+Only hashes, ids and the texts once (by doc_id) are shuffled. Windows are combined
+before the shuffle and only their owners come back, so a passage of many documents
+is no hot key; the join on base windows is a plain equi-join that adaptive execution
+may split.
 """
 
 from __future__ import annotations
@@ -114,28 +115,31 @@ def _target_windows(docs: DataFrame, marked: DataFrame, length: int, base: int)
     return joined.select("key", "text", "marks").mapInArrow(run, "hi long, lo long, key long")
 
 
-def covered_windows(docs: DataFrame, length: int = TARGET) -> DataFrame:
-    """(key, marks): for each document the hashes of its windows that also start
-    in a document with a smaller key. ``docs`` is (doc_id, key, text)."""
+def candidates_and_owners(docs: DataFrame, length: int = TARGET) -> tuple[DataFrame, DataFrame]:
+    """(key, marks) with the surviving base windows of each document, and (key, own)
+    with the candidate target windows whose smallest document it is. A candidate
+    window that a document holds but doesn't own also starts in a smaller one.
+    ``docs`` is (doc_id, key, text)."""
     base = max(1, (length + 1) // 2)
     records = _base_windows(docs, length, base)
     survivors = records.join(_repeated(records, ["window"]).select("window"), "window")
     marked = staged(survivors.groupBy("key").agg(F.collect_set("window").alias("marks")), "base")
-    candidates = _target_windows(docs, marked, length, base)
-    repeats = candidates.join(_repeated(candidates, ["hi", "lo"]), ["hi", "lo"]).where("key > first")
-    return repeats.groupBy("key").agg(F.collect_set("hi").alias("marks"))
+    # one row a window comes back, to its owner: a window of many documents is no hot key
+    firsts = _target_windows(docs, marked, length, base).groupBy("hi", "lo").agg(F.min("key").alias("key"))
+    return marked, firsts.groupBy("key").agg(F.collect_set("hi").alias("own"))
 
 
-def covered_words(hashes: np.ndarray, marks: np.ndarray, length: int) -> np.ndarray:
-    """Flags the words of one document that a marked window covers."""
+def covered_words(hashes: np.ndarray, marks: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
+    """Flags the words of one document that a repeated window covers: a window whose
+    base window is marked and which the document doesn't own."""
     n = len(hashes)
     if n < length or not len(marks):
         return np.zeros(n, np.bool_)
-    at = np.arange(n - length + 1)
-    hit = np.isin(rolling(hashes, at, at + length, 0), marks)
+    at = np.flatnonzero(np.isin(_anchors(hashes, length, max(1, (length + 1) // 2)), marks))
+    at = at[~np.isin(rolling(hashes, at, at + length, 0), own)]
     steps = np.zeros(n + 1, np.int64)
-    steps[: n - length + 1] += hit
-    steps[length:] -= hit
+    steps[at] += 1
+    steps[at + length] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -151,19 +155,19 @@ def dedup_substrings(docs: DataFrame, length: int = TARGET) -> DataFrame:
     are ignored.
     """
     rows = with_key(docs)
-    marked = covered_windows(rows, length)
+    marked, owned = candidates_and_owners(rows, length)
+    values = lambda column, i: column[i].values.to_numpy(zero_copy_only=False).view(np.uint64) if column[i].is_valid else np.zeros(0, np.uint64)
 
     def run(batches):
         for batch in batches:
-            texts, marks = texts_of(batch["text"]), batch["marks"]
+            texts, marks, own = texts_of(batch["text"]), batch["marks"], batch["own"]
             counts, removed, kept = [], [], []
             for lo, hi in chunked(texts):
                 hashes, cut = chunk_words(texts[lo:hi])
                 for i in range(hi - lo):
                     words = texts[lo + i].split()
                     if marks[lo + i].is_valid:
-                        wanted = marks[lo + i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                        gone = covered_words(hashes[cut[i] : cut[i + 1]], wanted, length)
+                        gone = covered_words(hashes[cut[i] : cut[i + 1]], values(marks, lo + i), values(own, lo + i), length)
                         left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     else:
                         left = words
@@ -172,7 +176,7 @@ def dedup_substrings(docs: DataFrame, length: int = TARGET) -> DataFrame:
                     kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(marked, "key", "left").select("doc_id", "text", "marks")
+    joined = rows.join(marked, "key", "left").join(owned, "key", "left").select("doc_id", "text", "marks", "own")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
