@@ -53,19 +53,14 @@ class NnPu:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         for i, own in enumerate(_present(texts)):
-            at = np.searchsorted(self.slots, own)
-            at[at == len(self.slots)] = 0
-            if len(self.slots):
-                out[i] += self.weights[at[self.slots[at] == own]].sum()
+            out[i] += self.weights[np.isin(self.slots, own, assume_unique=True)].sum()
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
 def _matrix(rows: list[np.ndarray], slots: np.ndarray) -> np.ndarray:
     x = np.zeros((len(rows), len(slots)), np.float32)
     for i, own in enumerate(rows):
-        at = np.searchsorted(slots, own)
-        at[at == len(slots)] = 0
-        x[i, at[slots[at] == own]] = 1
+        x[i, np.isin(slots, own, assume_unique=True)] = 1
     return x
 
 
