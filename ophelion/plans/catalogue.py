@@ -1,6 +1,883 @@
-"""All queries of the engine with their DuckDB SQL."""
+"""All queries of the engine over the driver's tables, with their DuckDB SQL.
+
+The driver's tables stand in for the domain's: events are waveform samples (user_id
+and event_type are the series), orders are submissions, lineitems are answers
+(l_linenumber the item, l_quantity modulo 4 the option), customers are patients,
+suppliers are a second base, documents are translations, labels are classes and
+embeddings are feature vectors. Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fuzzy, ids, similarity, text, values
+from ..operators import classify, clean, cluster, dedupe, joins, linkage, ranking, reports, scores, signal
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """Attribute access to the tables of a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(*names: str):
+    return [F.round(F.col(n), 6).alias(n) for n in names]
+
+
+# ----------------------------------------------------------------- stand-ins
+
+
+def answers(t: Tables) -> DataFrame:
+    """One answer per (submission, item); of repeated ones the greatest option."""
+    li = t.lineitem.groupBy(F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").cast("long").alias("question_id")).agg(
+        F.max(F.pmod(F.col("l_quantity").cast("long"), F.lit(4))).alias("option"), F.max("l_returnflag").alias("text_response")
+    )
+    option = F.col("question_id") * 10 + F.col("option")
+    return li.select("submission_id", "question_id", F.concat(F.lit("Q"), F.col("question_id").cast("string")).alias("caption"), F.array(option).alias("selected_options"), "text_response", F.col("option").cast("double").alias("score"))
+
+
+ANSWERS = """answers AS (SELECT l_orderkey AS submission_id, CAST(l_linenumber AS BIGINT) AS question_id, 'Q' || l_linenumber AS caption,
+  max(CAST(l_quantity AS BIGINT) % 4) AS option, max(l_returnflag) AS text_response, CAST(max(CAST(l_quantity AS BIGINT) % 4) AS DOUBLE) AS score
+  FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+def options(t: Tables) -> DataFrame:
+    """Four options for each of seven questions; weights only where the id is odd."""
+    grid = t._spark.range(28).select((F.floor(F.col("id") / 4) + 1).alias("question_id"), F.pmod("id", F.lit(4)).alias("o"))
+    oid = F.col("question_id") * 10 + F.col("o")
+    return grid.select("question_id", oid.alias("option_id"), F.col("o").cast("int").alias("sort_order"), F.when(F.col("question_id") % 2 == 1, F.col("o") * 1.5).otherwise(F.lit(0.0)).alias("weight"), F.concat(F.lit("option "), F.col("o").cast("string")).alias("text"), (F.col("o") == 3).alias("is_correct"))
+
+
+OPTIONS = """options AS (SELECT q AS question_id, q * 10 + o AS option_id, o AS sort_order, CASE WHEN q % 2 = 1 THEN o * 1.5 ELSE 0.0 END AS weight, 'option ' || o AS text, o = 3 AS is_correct
+  FROM range(1, 8) a(q), range(0, 4) b(o))"""
+POINTS = """points AS (SELECT submission_id, caption, CAST(CASE WHEN question_id % 2 = 1 AND option > 0 THEN option * 1.5 ELSE option END AS DOUBLE) AS points FROM answers)"""
+
+
+def questions(t: Tables) -> DataFrame:
+    kind = F.when(F.col("id") == 7, "free_text").when(F.col("id") % 2 == 1, "single").otherwise("multiple")
+    return t._spark.range(1, 8).select(F.col("id").alias("question_id"), kind.alias("question_type"), (F.col("id") != 7).alias("is_required"), F.concat(F.lit("Q"), F.col("id").cast("string")).alias("caption"))
+
+
+def submissions(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("submission_id"), F.col("o_orderdate").alias("submitted_at"), F.col("o_totalprice").alias("total_score"), F.col("o_orderpriority").alias("diagnosis"))
+
+
+ITEMS = [f"Q{i}" for i in range(1, 8)]
+SUBSCALES = {"odd": ("Q1", "Q3", "Q5", "Q7"), "even": ("Q2", "Q4", "Q6")}
+
+
+def wide_scores(t: Tables) -> DataFrame:
+    points = scores.score_by_sum(answers(t), options(t)).join(answers(t).select("submission_id", "question_id", "caption"), ["submission_id", "question_id"])
+    return scores.scale_scores(points, ITEMS, SUBSCALES)
+
+
+WIDE = f"""{ANSWERS}, {POINTS}, wide AS (SELECT submission_id, {", ".join(f"coalesce(max(points) FILTER (WHERE caption = '{i}'), 0.0) AS {i}" for i in ITEMS)} FROM points GROUP BY submission_id),
+total AS (SELECT *, Q1 + Q3 + Q5 + Q7 AS odd, Q2 + Q4 + Q6 AS even, Q1 + Q2 + Q3 + Q4 + Q5 + Q6 + Q7 AS global_score FROM wide)"""
+
+
+def series(t: Tables) -> DataFrame:
+    """events as samples: milliseconds since the start of 2024."""
+    ms = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / 1000.0
+    return t.events.select("user_id", "event_type", "event_id", ms.alias("time_ms"), "value")
+
+
+SERIES = "series AS (SELECT user_id, event_type, event_id, (epoch_us(ts) - 1704067200000000) / 1000.0 AS time_ms, value FROM events)"
+
+
+def predictions(t: Tables) -> DataFrame:
+    """labels.quality as truth; a score made of the document's length."""
+    s = F.round(F.pmod(F.col("n_chars") * 7919, F.lit(1000)) / 1000.0, 3)
+    return t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("quality").alias("truth"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
+
+
+PREDICTIONS = "pred AS (SELECT l.doc_id, l.quality AS truth, round((d.n_chars * 7919 % 1000) / 1000.0, 3) AS score, CAST(round((d.n_chars * 7919 % 1000) / 1000.0, 3) >= 0.5 AS INTEGER) AS predicted FROM labels l JOIN documents d USING (doc_id))"
+
+# --------------------------------------------------------------- readability
+
+WORDS = r"[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+COUNTS = rf"""counts AS (SELECT doc_id, lang, source, text, len(regexp_extract_all(text, '{WORDS}')) AS words, len(regexp_extract_all(text, '[.!?]+')) AS sentences,
+  len(regexp_extract_all(lower(text), '[aeiou]+')) AS syllables, length(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '', 'g')) AS letters FROM documents)"""
+INDICES = """idx AS (SELECT *, CASE WHEN words > 0 AND sentences > 0 THEN 226 - 1.04 * words / sentences - CAST(72 AS DOUBLE) * syllables / words ELSE 0.0 END AS flesch_reading_ease,
+  CASE WHEN words > 0 THEN 89 + CAST(300 * sentences - 10 * letters AS DOUBLE) / words ELSE 0.0 END AS gulpease_index,
+  CASE WHEN words > 0 AND sentences > 0 THEN CAST(0.36 AS DOUBLE) * words / sentences + CAST(10.4 AS DOUBLE) * syllables / words - 18 ELSE 0.0 END AS flesch_kincaid_grade_level,
+  CASE WHEN words > 0 AND sentences > 0 THEN CAST(0.49 AS DOUBLE) * words / sentences ELSE 0.0 END AS gunning_fog_index,
+  CASE WHEN words > 0 AND sentences > 0 THEN CAST(4.6 AS DOUBLE) * letters / words + CAST(0.44 AS DOUBLE) * words / sentences - 20 ELSE 0.0 END AS automated_readability_index,
+  CASE WHEN words > 0 THEN CAST(5.4 AS DOUBLE) * letters / words - CAST(21 AS DOUBLE) * sentences / words - 14 ELSE 0.0 END AS coleman_liau_index FROM counts),
+idx2 AS (SELECT *, (flesch_kincaid_grade_level + gunning_fog_index + automated_readability_index + coleman_liau_index) / 4 AS final_readability_score FROM idx)"""
+
+
+def readable(t: Tables) -> DataFrame:
+    counted = t.documents.select("doc_id", "lang", "source", "text").withColumns(text.text_counts(F.col("text")))
+    return counted.withColumns(text.readability(*[F.col(c) for c in ("words", "sentences", "syllables", "letters")]))
+
+
+def by_source(t: Tables) -> DataFrame:
+    return readable(t).groupBy(F.col("source").alias("model_id")).agg(*[F.round(F.avg(c), 6).alias(c) for c in text.INDICES])
+
+
+BY_SOURCE = f"WITH {COUNTS}, {INDICES}, m AS (SELECT source AS model_id, {', '.join(f'round(avg({c}), 6) AS {c}' for c in text.INDICES)} FROM idx2 GROUP BY source)"
+
+
+@query(f"WITH {COUNTS}, {INDICES} SELECT lang, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in text.INDICES)} FROM idx2 GROUP BY lang")
+def readability_by_lang(t):
+    return readable(t).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in text.INDICES])
+
+
+@query(f"WITH {COUNTS}, {INDICES} SELECT doc_id, words, sentences, syllables, letters, {', '.join(f'round({c}, 6) AS {c}' for c in text.INDICES)} FROM idx2")
+def readability_by_document(t):
+    return readable(t).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("words", "sentences", "syllables", "letters")], *r6(*text.INDICES))
+
+
+def _norms(columns, directions):
+    out = []
+    for c in columns:
+        share = f"({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0)"
+        out.append(f"coalesce({share if directions(c) == 'higher' else f'1 - {share}'}, 0.5) AS {c}_norm")
+    return ", ".join(out)
+
+
+@query(f"{BY_SOURCE}, n AS (SELECT model_id, {_norms(text.INDICES, ranking.direction)} FROM m) SELECT model_id, round(({' + '.join(f'{c}_norm' for c in text.INDICES)}) / 7, 6) AS final_score FROM n")
+def rank_minmax_average(t):
+    return ranking.rank_by_average(by_source(t)).select("model_id", *r6("final_score"))
+
+
+@query(
+    f"{BY_SOURCE}, l AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS metric, model_id, {c} AS value, row_number() OVER (ORDER BY {c} {'DESC' if ranking.direction(c) == 'higher' else 'ASC'}, model_id) AS rank FROM m" for c in text.INDICES)
+    + ") SELECT metric, rank, model_id, value FROM l WHERE rank <= 5"
+)
+def rank_individual_topn(t):
+    return ranking.rank_each(by_source(t), text.INDICES).select("metric", F.col("rank").cast("long").alias("rank"), "model_id", "value")
+
+
+@query(f"{BY_SOURCE} SELECT model_id, round((gulpease_index + coleman_liau_index) / 2, 6) AS final_score FROM m")
+def rank_selected_average(t):
+    return ranking.rank_by_selected(by_source(t), ["gulpease_index", "coleman_liau_index"]).select("model_id", *r6("final_score"))
+
+
+@query(f"{BY_SOURCE} SELECT model_id, round((gulpease_index + coleman_liau_index) / 2, 6) AS final_score FROM m WHERE gunning_fog_index < 8")
+def rank_with_prefilter(t):
+    return ranking.rank_by_selected(clean.compare_filter(by_source(t), "gunning_fog_index", "menor", "8"), ["gulpease_index", "coleman_liau_index"]).select("model_id", *r6("final_score"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview, trim(regexp_replace(lower(trim(source)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def text_previews(t):
+    return t.documents.select("doc_id", text.preview(F.col("text"), 100).alias("preview"), text.slugify(F.col("source")).alias("slug"))
+
+
+@query("SELECT page_id, regexp_matches(html, '<[a-zA-Z/][^>]*>') AS rich, length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS escaped_chars FROM pages")
+def rich_text(t):
+    return t.pages.select("page_id", text.has_markup(F.col("html")).alias("rich"), F.length(text.escape_html(F.col("html"))).cast("long").alias("escaped_chars"))
+
+
+# ------------------------------------------------------- ids, names and dates
+
+NAME = "c_name || ' da Silva Araújo ' || c_mktsegment"
+BIRTH, TEST = "strftime(o_orderdate, '%y%m%d')", "strftime(o_orderdate, '%y%m%d%H%M%S')"
+
+
+def named(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", F.concat("c_name", F.lit(" da Silva Araújo "), "c_mktsegment").alias("name"), "c_nationkey")
+
+
+@query(f"SELECT c_custkey, regexp_replace(lower(strip_accents({NAME})), '[^a-z0-9]', '', 'g') AS norm_name FROM customer")
+def name_normalise(t):
+    return named(t).select("c_custkey", ids.normalize_name(F.col("name")).alias("norm_name"))
+
+
+@query(f"SELECT c_custkey, regexp_replace(lower(strip_accents({NAME})), '[^a-z0-9]', '', 'g') AS norm_name FROM customer")
+def name_normalise_native(t):
+    return named(t).select("c_custkey", ids.normalize_name(F.col("name"), unicode=False).alias("norm_name"))
+
+
+@query(f"SELECT c_custkey, array_to_string(list_filter(list_transform(regexp_split_to_array({NAME}, '\\s+'), lambda x: regexp_replace(lower(strip_accents(x)), '[^a-z0-9]', '', 'g')), lambda x: length(x) >= 2), ' ') AS tokens FROM customer")
+def name_tokens(t):
+    return named(t).select("c_custkey", F.array_join(ids.name_tokens(F.col("name")), " ").alias("tokens"))
+
+
+@query()
+def name_variations(t):
+    return named(t).select("c_custkey", F.explode(ids.name_variations(F.col("name"))).alias("form"))
+
+
+@query()
+def name_signatures(t):
+    return named(t).select("c_custkey", F.explode(ids.name_signatures(F.col("name"))).alias("form"))
+
+
+@query(f"SELECT o_orderkey, o_custkey || '-' || regexp_replace(lower(o_orderpriority), '[^a-z0-9]', '', 'g') || '_' || {BIRTH} || '_' || {TEST} AS patient_id FROM orders")
+def id_build(t):
+    when = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return t.orders.select("o_orderkey", ids.build_id(F.col("o_custkey"), F.col("o_orderpriority"), values.birth_text(when), values.test_text(when), unicode=False).alias("patient_id"))
+
+
+def built(t: Tables) -> DataFrame:
+    return QUERIES["id_build"](t._spark, t._folder)
+
+
+@query(f"SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS record, regexp_replace(lower(o_orderpriority), '[^a-z0-9]', '', 'g') AS name, {BIRTH} AS birth, {TEST} AS test FROM orders")
+def id_parse(t):
+    return built(t).select("o_orderkey", ids.parse_id(F.col("patient_id"), unicode=False).alias("p")).select("o_orderkey", "p.*")
+
+
+@query(f"SELECT o_orderkey, o_custkey || '_' || regexp_replace(lower(o_orderpriority), '[^a-z0-9]', '', 'g') || '_' || {BIRTH} || '_' || {TEST} AS canonical FROM orders")
+def id_normalise(t):
+    return built(t).select("o_orderkey", ids.canonical_id(F.col("patient_id"), unicode=False).alias("canonical"))
+
+
+@query("SELECT c_custkey, replace(replace(rtrim(base64(encode(CAST(c_custkey AS VARCHAR))), '='), '+', '-'), '/', '_') AS code, c_custkey AS decoded FROM customer")
+def id_codes(t):
+    code = ids.encode_id(F.col("c_custkey"))
+    return t.customer.select("c_custkey", code.alias("code"), ids.decode_id(code).alias("decoded"))
+
+
+DOB = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%d.%m.%y') ELSE 'none' END"
+
+
+def dob(t: Tables) -> DataFrame:
+    k = F.pmod("o_orderkey", F.lit(4))
+    raw = F.when(k == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 2, F.date_format("o_orderdate", "dd.MM.yy")).otherwise("none")
+    return t.orders.select("o_orderkey", "o_orderdate", raw.alias("raw"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(day(o_orderdate) AS INTEGER) END AS day, CASE WHEN o_orderkey % 4 < 3 THEN CAST(month(o_orderdate) AS INTEGER) END AS month, CASE WHEN o_orderkey % 4 < 3 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders")
+def dob_parts(t):
+    return dob(t).select("o_orderkey", values.dob_parts(F.col("raw")).alias("p")).select("o_orderkey", "p.*")
+
+
+@query("SELECT year(o_orderdate) AS birth_year, count(*) AS n FROM orders WHERE o_orderkey % 4 < 3 GROUP BY 1")
+def birth_year(t):
+    return dob(t).select(values.birth_year(F.col("raw")).cast("long").alias("birth_year")).where("birth_year is not null").groupBy("birth_year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size * 4 BETWEEN 1 AND 120 THEN CAST(2020 - p_size * 4 - 1 AS INTEGER) END AS birth_year_min, CASE WHEN p_size * 4 BETWEEN 1 AND 120 THEN CAST(2020 - p_size * 4 AS INTEGER) END AS birth_year_max FROM part")
+def birth_year_range(t):
+    low, high = values.birth_year_range(F.col("p_size") * 4, F.lit("2020-06-01").cast("date"))
+    return t.part.select("p_partkey", low.cast("int").alias("birth_year_min"), high.cast("int").alias("birth_year_max"))
+
+
+@query("SELECT s_suppkey, count(*) AS people FROM (SELECT s_suppkey, unnest(range(2018 - s_suppkey % 60, 2020 - s_suppkey % 60)) AS y FROM supplier) s JOIN customer ON 1950 + c_custkey % 80 = y GROUP BY s_suppkey")
+def range_join_birth_year(t):
+    people = t.customer.select("c_custkey", (1950 + F.pmod("c_custkey", F.lit(80))).alias("dob_year"))
+    low = 2018 - F.pmod("s_suppkey", F.lit(60))
+    tests = t.supplier.select("s_suppkey", low.alias("low"), (low + 1).alias("high"))
+    return joins.year_range_join(people, tests, "dob_year", "low", "high").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("people"))
+
+
+MAYBE = "CASE l_linenumber WHEN 1 THEN 'Sim' WHEN 2 THEN ' não ' WHEN 3 THEN 'Não tem' WHEN 4 THEN 'TDAH' WHEN 5 THEN '' WHEN 6 THEN 'yes' END"
+
+
+def maybe():
+    n = F.col("l_linenumber")
+    return F.when(n == 1, "Sim").when(n == 2, " não ").when(n == 3, "Não tem").when(n == 4, "TDAH").when(n == 5, "").when(n == 6, "yes")
+
+
+@query(f"SELECT CASE WHEN lower(trim(v)) IN ('sim', 'yes') THEN true WHEN lower(trim(v)) IN ('não', 'não tem') THEN false END AS flag, count(*) AS n FROM (SELECT {MAYBE} AS v FROM lineitem) GROUP BY 1")
+def bool_parse(t):
+    return t.lineitem.select(values.parse_bool(maybe()).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT CASE WHEN coalesce(trim(v), '') = '' THEN NULL WHEN lower(trim(v)) IN ('não tem', 'não') THEN false ELSE true END AS label, count(*) AS n FROM (SELECT {MAYBE} AS v FROM lineitem) GROUP BY 1")
+def label_parse(t):
+    return t.lineitem.select(values.label_from_values(maybe(), ["Não tem", "Não"]).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_brand, count(*) FILTER (WHERE p_name LIKE 'small %' OR p_type = 'SMALL') AS small, count(*) FILTER (WHERE p_type = 'ECONOMY') AS economy FROM part GROUP BY p_brand")
+def multilabel_expand(t):
+    joined = t.part.withColumn("tags", F.concat_ws(";", F.split("p_name", " ")[0], "p_type"))
+    out = clean.multilabel(joined, "tags", ["SMALL", "ECONOMY"], "is_")
+    return out.groupBy("p_brand").agg(F.count_if("is_SMALL").alias("small"), F.count_if("is_ECONOMY").alias("economy"))
+
+
+# --------------------------------------------------- dedupe, audits and purges
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1")
+def dedupe_first(t):
+    return dedupe.first_rows(t.orders, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def dedupe_latest(t):
+    return dedupe.last_rows(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_custkey, count(*) AS removed FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n > 1 GROUP BY o_custkey")
+def dedupe_log(t):
+    return dedupe.removed_rows(t.orders, ["o_custkey"], ["o_orderkey"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("removed"))
+
+
+@query("SELECT event_id, k, value FROM (SELECT event_id, k, value, row_number() OVER (PARTITION BY CASE WHEN k = '' THEN 'x' || event_id ELSE k END ORDER BY value DESC, event_id) AS n FROM (SELECT event_id, CASE WHEN user_id % 10 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS k, value FROM events)) WHERE n = 1")
+def dedupe_best(t):
+    df = t.events.select("event_id", F.when(F.col("user_id") % 10 == 0, "").otherwise(F.col("user_id").cast("string")).alias("k"), "value")
+    return dedupe.best_rows(df, "k", [F.desc("value"), F.asc("event_id")], "event_id")
+
+
+@query("SELECT user_id, min_by(event_type, event_id) FILTER (WHERE event_type <> 'click') AS first_type FROM events GROUP BY user_id")
+def first_non_blank(t):
+    df = t.events.select("user_id", "event_id", F.when(F.col("event_type") == "click", " ").otherwise(F.col("event_type")).alias("first_type"))
+    return dedupe.first_non_blank(df, ["user_id"], ["first_type"], "event_id")
+
+
+SETS = "a AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey % 5 > 0)"
+
+
+def bases(t: Tables) -> tuple[DataFrame, DataFrame]:
+    a = t.customer.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("id"))
+    return a, t.orders.where("o_custkey % 5 > 0").select(F.col("o_custkey").alias("id"))
+
+
+@query(f"WITH {SETS} SELECT coalesce(a.id, b.id) AS id, a.id IS NOT NULL AS in_patients, b.id IS NOT NULL AS in_metadata, CASE WHEN b.id IS NULL THEN 'only_patients' WHEN a.id IS NULL THEN 'only_metadata' ELSE 'both' END AS presence FROM a FULL JOIN b ON a.id = b.id")
+def audit_cross(t):
+    return dedupe.presence(*bases(t), "id", ("patients", "metadata"))
+
+
+@query(f"WITH {SETS} SELECT CASE WHEN b.id IS NULL THEN 'only_patients' WHEN a.id IS NULL THEN 'only_metadata' ELSE 'both' END AS presence, count(*) AS ids FROM a FULL JOIN b ON a.id = b.id GROUP BY 1")
+def audit_only_one_base(t):
+    return dedupe.presence_summary(dedupe.presence(*bases(t), "id", ("patients", "metadata")))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS rows_before, (SELECT count(DISTINCT o_custkey) FROM orders) AS ids_before, (SELECT count(*) FROM orders WHERE o_custkey % 7 > 0) AS rows_after, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 7 > 0) AS ids_after, false AS ids_preserved")
+def audit_before_after(t):
+    return dedupe.before_after(t.orders, t.orders.where("o_custkey % 7 > 0"), "o_custkey")
+
+
+@query("SELECT DISTINCT o_custkey, 'removed' AS change FROM orders WHERE o_custkey % 7 = 0")
+def audit_changes(t):
+    return dedupe.changed_ids(t.orders, t.orders.where("o_custkey % 7 > 0"), "o_custkey")
+
+
+@query(f"WITH {SETS}, c AS (SELECT DISTINCT user_id AS id FROM events) SELECT id, bool_or(k = 'patients') AS in_patients, bool_or(k = 'orders') AS in_orders, bool_or(k = 'events') AS in_events, count(*) AS bases FROM (SELECT id, 'patients' AS k FROM a UNION ALL SELECT id, 'orders' FROM b UNION ALL SELECT id, 'events' FROM c) GROUP BY id")
+def coverage_reports(t):
+    a, b = bases(t)
+    return dedupe.coverage({"patients": a, "orders": b, "events": t.events.select(F.col("user_id").alias("id"))}, "id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def purge_orphans(t):
+    allowed = t.customer.where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
+    return dedupe.purge_orphans(t.orders, allowed, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_custkey, count(*) AS rows_removed, min_by(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY o_custkey")
+def purge_log(t):
+    allowed = t.customer.where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
+    return dedupe.purge_log(t.orders, allowed, "o_custkey", ["o_orderpriority"], "o_orderkey")
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def occurrence_counts(t):
+    return dedupe.with_occurrences(t.customer.select("c_custkey"), t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "orders")
+
+
+@query(f"WITH {SETS} SELECT id FROM a INTERSECT SELECT id FROM b")
+def common_ids(t):
+    return dedupe.common_ids(*bases(t), "id")
+
+
+@query("SELECT user_id FROM (SELECT user_id, count(DISTINCT event_type) AS k FROM events GROUP BY user_id) WHERE k > 1")
+def ambiguous_dims(t):
+    return dedupe.ambiguous_dims(t.events, ["user_id"], ["event_type"]).select("user_id")
+
+
+# ------------------------------------------------------ joins and pseudonyms
+
+SALT = "study"
+
+
+@query(f"SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS id, sha256('{SALT}' || o_custkey) AS id_hashed FROM orders")
+def hash_mapping(t):
+    return joins.hash_mapping(t.orders.select(F.col("o_custkey").cast("string").alias("id")), "id", SALT)
+
+
+def mapping(t: Tables) -> DataFrame:
+    return joins.hash_mapping(t.customer.where("c_custkey % 4 > 0").select(F.col("c_custkey").cast("string").alias("id")), "id", SALT)
+
+
+def with_id(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("id"), "o_orderpriority")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN sha256('{SALT}' || o_custkey) END AS id FROM orders")
+def hash_apply(t):
+    return joins.map_ids(with_id(t), mapping(t), "id", "id_hashed").select("o_orderkey", "id")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN sha256('{SALT}' || o_custkey) ELSE CAST(o_custkey AS VARCHAR) END AS id FROM orders")
+def hash_apply_keep_raw(t):
+    return joins.map_ids(with_id(t), mapping(t), "id", "id_hashed", keep_raw=True).select("o_orderkey", "id")
+
+
+@query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS id FROM orders WHERE o_custkey % 4 = 0")
+def missing_ids(t):
+    return joins.missing_ids(with_id(t), mapping(t), "id")
+
+
+@query("SELECT count(*) AS rows_in, count(*) FILTER (WHERE o_custkey % 4 > 0) AS rows_out, count(DISTINCT o_custkey) FILTER (WHERE o_custkey % 4 > 0) AS ids_out, count(*) FILTER (WHERE o_custkey % 4 = 0) AS rows_dropped FROM orders")
+def anonymise_audit(t):
+    return joins.anonymise(with_id(t), mapping(t), "id", ["o_orderpriority"])[1]
+
+
+@query("SELECT count(DISTINCT o_custkey) AS ids, count(DISTINCT sha256('study' || o_custkey)) AS hashed FROM orders")
+def id_preservation(t):
+    every = joins.hash_mapping(with_id(t), "id", SALT)
+    both = with_id(t).join(every, "id")
+    return both.agg(F.countDistinct("id").alias("ids"), F.countDistinct("id_hashed").alias("hashed"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey < 100 THEN CAST(c_custkey AS VARCHAR) WHEN c_name LIKE '%5' THEN c_name END AS matched, CASE WHEN c_custkey < 100 THEN 'id' WHEN c_name LIKE '%5' THEN 'name' ELSE 'not_found' END AS match_method FROM customer")
+def cascade_match(t):
+    table = t.customer.select("c_custkey", "c_name")
+    steps = [("id", table.where("c_custkey < 100").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("v")), F.col("c_custkey"), "k", "v"), ("name", table.where("c_name like '%5'").select(F.col("c_name").alias("n"), F.col("c_name").alias("v")), F.col("c_name"), "n", "v")]
+    return joins.cascade_match(table, steps, "c_custkey").select("c_custkey", "matched", "match_method")
+
+
+@query("SELECT p_brand, min_by(p_name, (CASE WHEN p_name = q THEN 0 ELSE 1 END, p_partkey)) AS matched, CASE WHEN min(CASE WHEN p_name = q THEN 0 WHEN p_name IS NOT NULL THEN 1 END) = 0 THEN 'name_exact' WHEN max(p_name) IS NULL THEN 'not_found' ELSE 'name_prefix' END AS method FROM (SELECT p_brand, substr(min(p_name), 1, 4) AS q FROM part GROUP BY p_brand) LEFT JOIN (SELECT p_name, p_partkey FROM part) ON starts_with(p_name, q) OR starts_with(q, p_name) GROUP BY p_brand")
+def prefix_match(t):
+    queries = t.part.groupBy("p_brand").agg(F.substring(F.min("p_name"), 1, 4).alias("q"))
+    found = joins.prefix_join(queries.select("q").distinct(), t.part, "q", "p_name", "p_partkey")
+    return queries.join(found, "q").select("p_brand", "matched", "method")
+
+
+@query("SELECT s_suppkey, n_name, s_acctbal > 5000 AS rich FROM (SELECT *, max(CAST(s_acctbal > 5000 AS INTEGER)) OVER (PARTITION BY s_nationkey) AS any_rich FROM supplier) JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000 OR any_rich = 0")
+def soft_filter(t):
+    kept = joins.soft_filter(t.supplier, ["s_nationkey"], F.col("s_acctbal") > 5000)
+    return kept.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", (F.col("s_acctbal") > 5000).alias("rich"))
+
+
+@query("SELECT doc_id, coalesce(CAST(quality AS VARCHAR), 'Unknown') AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def join_label(t):
+    labels = t.labels.select("doc_id", F.col("quality").cast("string").alias("quality"))
+    return joins.left_fill(t.documents.select("doc_id"), labels, "doc_id", "quality")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS user_id, min_by(event_type, event_id) AS event_type, min_by(props, event_id) AS props FROM events GROUP BY user_id")
+def metadata_dims(t):
+    return joins.dims_once(t.events, ["user_id"], ["event_type", "props"], "event_id")
+
+
+# ------------------------------------------------------- scores and reports
+
+
+@query(f"WITH {ANSWERS}, {POINTS} SELECT submission_id, caption, round(points, 6) AS points FROM points")
+def likert_scores(t):
+    return scores.score_by_sum(answers(t), options(t)).select("submission_id", F.concat(F.lit("Q"), F.col("question_id").cast("string")).alias("caption"), *r6("points"))
+
+
+@query(f"WITH {ANSWERS} SELECT submission_id, question_id, CAST(CASE WHEN question_id = 7 THEN 0 WHEN question_id % 2 = 1 AND option > 0 THEN option * 1.5 ELSE option END AS DOUBLE) AS score FROM answers")
+def answer_scores(t):
+    return scores.score_by_type(answers(t), options(t), questions(t))
+
+
+@query(f"WITH {WIDE} SELECT submission_id, round(odd, 6) AS odd, round(even, 6) AS even, round(global_score, 6) AS global_score FROM total")
+def subscale_scores(t):
+    return wide_scores(t).select("submission_id", *r6("odd", "even", "global_score"))
+
+
+@query(f"WITH {WIDE} SELECT round(avg(global_score), 2) AS mean, round(stddev_samp(global_score), 2) AS sd, (SELECT global_score FROM total GROUP BY 1 ORDER BY count(*) DESC, global_score LIMIT 1) AS mode, round(median(global_score), 2) AS median, round(quantile_cont(global_score, 0.75) - quantile_cont(global_score, 0.25), 2) AS iqr, min(global_score) AS min, max(global_score) AS max, count(*) AS n FROM total")
+def global_stats(t):
+    return scores.descriptive_stats(wide_scores(t), "global_score")
+
+
+@query(f"WITH {WIDE} SELECT round(7.0 / 6 * (1 - ({' + '.join(f'var_samp({i})' for i in ITEMS)}) / var_samp(global_score)), 4) AS alpha, count(*) AS n FROM total")
+def cronbach_alpha(t):
+    return scores.cronbach_alpha(wide_scores(t), ITEMS)
+
+
+@query(
+    f"WITH {WIDE}, ranks AS (SELECT {', '.join(f'rank() OVER (ORDER BY {i}) + (count(*) OVER (PARTITION BY {i}) - 1) / 2.0 AS {i}' for i in ITEMS)} FROM wide) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS item_a, '{b}' AS item_b, round(corr({a}, {b}), 4) AS rho, count(*) AS n FROM ranks" for i, a in enumerate(ITEMS) for b in ITEMS[i + 1 :])
+)
+def spearman_matrix(t):
+    return scores.spearman(wide_scores(t), ITEMS, p_values=False).select("item_a", "item_b", "rho", "n")
+
+
+@query()
+def spearman_p_values(t):
+    return scores.spearman(wide_scores(t), ITEMS)
+
+
+CROSS = "n AS (SELECT o_orderpriority AS r, o_orderstatus AS c, count(*) AS n FROM orders GROUP BY 1, 2)"
+
+
+@query(f"WITH {CROSS} SELECT r AS \"row\", c AS \"column\", n, round(100.0 * n / sum(n) OVER (PARTITION BY r), 1) AS row_pct FROM n")
+def crosstab(t):
+    return scores.crosstab(t.orders, "o_orderpriority", "o_orderstatus")
+
+
+@query(f"WITH {CROSS}, e AS (SELECT n, CAST(sum(n) OVER (PARTITION BY r) AS DOUBLE) * sum(n) OVER (PARTITION BY c) / sum(n) OVER () AS e FROM n) SELECT round(sum((n - e) * (n - e) / e), 4) AS chi_square, (SELECT (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) FROM n) AS degrees_of_freedom FROM e")
+def chi_square(t):
+    return scores.chi_square(scores.crosstab(t.orders, "o_orderpriority", "o_orderstatus"), p_value=False)
+
+
+@query()
+def chi_square_p_value(t):
+    return scores.chi_square(scores.crosstab(t.lineitem, "l_returnflag", "l_linestatus"))
+
+
+@query("SELECT o_orderkey AS submission_id FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND year(o_orderdate) BETWEEN 1996 AND 1998")
+def filter_submissions(t):
+    o = t.orders
+    diagnosis = o.select(F.col("o_orderkey").alias("submission_id"), F.lit(1).alias("position"), F.lit("DIAGNOSIS").alias("caption"), F.lit(None).cast("string").alias("text_response"), F.array("o_orderpriority").alias("option_texts"))
+    born = o.select(F.col("o_orderkey").alias("submission_id"), F.lit(2).alias("position"), F.lit("BIRTH").alias("caption"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("text_response"), F.array().cast("array<string>").alias("option_texts"))
+    return clean.filter_submissions(diagnosis.unionByName(born), {"BIRTH": (1996, 1998)}, {"DIAGNOSIS": ["1-URGENT", "2-HIGH"]})
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'")
+def date_range_filter(t):
+    return clean.within_days(t.orders, "o_orderdate", "1997-01-01", "1997-03-31").select("o_orderkey")
+
+
+@query("SELECT DISTINCT trim(text) AS value FROM conversations WHERE role = 'user' AND length(trim(text)) < 40 AND trim(text) <> ''")
+def filter_options(t):
+    df = t.conversations.where("length(trim(text)) < 40").select(F.col("role").alias("question_text"), F.col("text").alias("text_response"))
+    return reports.filter_options(df, "USER")
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS preview, total FROM (SELECT *, count(*) OVER () AS total FROM conversations WHERE contains(lower(text), 'the')) ORDER BY conv_id, turn LIMIT 20 OFFSET 20")
+def text_search_page(t):
+    return reports.search_page(t.conversations, "text", "THE", ["conv_id", "turn"], 2, 20).select("conv_id", "turn", "preview", "total")
+
+
+@query(f"WITH {ANSWERS} SELECT question_id, CASE WHEN question_id = 7 THEN 'free_text' WHEN question_id % 2 = 1 THEN 'single' ELSE 'multiple' END AS question_type, count(*) AS total_answers, CASE WHEN question_id = 7 THEN 0 ELSE count(*) FILTER (WHERE option = 3) END AS correct_answers, CASE WHEN question_id = 7 THEN 0.0 ELSE round(100.0 * count(*) FILTER (WHERE option = 3) / count(*), 2) END AS accuracy_percentage, CASE WHEN question_id = 7 THEN 0.0 ELSE round(100.0 * count(*) FILTER (WHERE option <> 3) / count(*), 2) END AS error_rate, round(avg(score), 2) AS avg_score, round(min(score), 2) AS min_score, round(max(score), 2) AS max_score FROM answers GROUP BY question_id")
+def question_stats(t):
+    return reports.question_stats(questions(t), answers(t), reports.answer_keys(options(t)))
+
+
+@query(f"WITH {ANSWERS} SELECT question_id, question_id * 10 + option AS option_id, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY question_id), 1) AS percentage, CASE WHEN count(*) OVER (PARTITION BY question_id) = 2 THEN 'pie' ELSE 'bar' END AS chart_type FROM answers GROUP BY question_id, option")
+def option_distribution(t):
+    return reports.option_distribution(answers(t))
+
+
+@query(f"WITH {ANSWERS} SELECT question_id, question_id * 10 + option AS option_id, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY question_id), 1) AS percentage, CASE WHEN count(*) OVER (PARTITION BY question_id) = 2 THEN 'pie' ELSE 'bar' END AS chart_type FROM answers GROUP BY question_id, option")
+def option_distribution_of_selections(t):
+    return reports.option_distribution(answers(t), "selections")
+
+
+@query("SELECT min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 2) AS std_deviation, (SELECT o_totalprice FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET (SELECT count(*) // 2 FROM orders)) AS median, count(*) FILTER (WHERE v >= m * 0.8) AS excellent, count(*) FILTER (WHERE v >= m * 0.6 AND v < m * 0.8) AS good, count(*) FILTER (WHERE v >= m * 0.4 AND v < m * 0.6) AS average, count(*) FILTER (WHERE v < m * 0.4) AS poor FROM (SELECT o_totalprice AS v, max(o_totalprice) OVER () AS m FROM orders)")
+def score_analytics(t):
+    out = reports.score_analytics(submissions(t))
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT count(*) AS total, round(avg(o_totalprice), 6) AS average, min(o_totalprice) AS min, max(o_totalprice) AS max, max(o_orderdate) AS latest, (SELECT o_totalprice FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET (SELECT count(*) // 2 FROM orders)) AS median FROM orders")
+def submission_stats(t):
+    return reports.submission_stats(submissions(t)).withColumn("average", F.round("average", 6))
+
+
+@query("SELECT role, count(*) AS responses, round(avg(length(trim(text, ' '))), 6) AS avg_length, min(length(trim(text, ' '))) AS min_length, max(length(trim(text, ' '))) AS max_length FROM conversations WHERE length(trim(text, ' ')) > 0 GROUP BY role")
+def text_answer_stats(t):
+    out = reports.text_answer_stats(t.conversations, ["role"], "text")
+    return out.select("role", "responses", *r6("avg_length"), F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"))
+
+
+@query(f"WITH {ANSWERS} SELECT (SELECT count(*) FROM orders) AS submissions, (SELECT round(avg(o_totalprice), 2) FROM orders) AS avg_score, (SELECT min(o_orderdate) FROM orders) AS first, (SELECT max(o_orderdate) FROM orders) AS last, count(*) AS answers, count(DISTINCT question_id) AS questions_answered FROM answers")
+def summary_report(t):
+    return reports.summary_report(submissions(t), answers(t))
+
+
+def long(t: Tables) -> DataFrame:
+    return reports.long_export(submissions(t), answers(t), questions(t), options(t))
+
+
+@query(f"WITH {ANSWERS} SELECT submission_id, o_orderdate AS submitted_at, o_totalprice AS total_score, question_id, caption, 'option ' || option AS options, text_response, score FROM answers JOIN orders ON submission_id = o_orderkey")
+def long_export(t):
+    return long(t)
+
+
+@query(f"WITH {ANSWERS} SELECT submission_id, {', '.join(f'''max('option ' || option) FILTER (WHERE caption = '{i}') AS {i}''' for i in ITEMS)} FROM answers JOIN orders ON submission_id = o_orderkey GROUP BY submission_id")
+def wide_export(t):
+    return reports.wide_export(long(t), ITEMS, ["submission_id"], F.col("options"))
+
+
+@query()
+def nested_export(t):
+    return reports.nested_export(long(t), "submission_id", ["submitted_at", "total_score"])
+
+
+@query("SELECT bin, round(a + bin * (b - a) / 20, 6) AS low, round(a + (bin + 1) * (b - a) / 20, 6) AS high, count(*) AS n FROM (SELECT a, b, CAST(least(floor((v - a) / ((b - a) / 20)), 19) AS INTEGER) AS bin FROM (SELECT l_extendedprice AS v, min(l_extendedprice) OVER () AS a, max(l_extendedprice) OVER () AS b FROM lineitem)) GROUP BY bin, a, b")
+def histogram(t):
+    return reports.histogram(t.lineitem, "l_extendedprice", 20).select("bin", *r6("low", "high"), "n")
+
+
+@query("SELECT CASE WHEN v >= 0.9 THEN 'excellent' WHEN v >= 0.8 THEN 'good' WHEN v >= 0.7 THEN 'acceptable' WHEN v >= 0.6 THEN 'questionable' ELSE 'poor' END AS band, count(*) AS n FROM (SELECT 1 - l_discount * 5 AS v FROM lineitem) GROUP BY 1")
+def alpha_bands(t):
+    return t.lineitem.select(scores.interpret_alpha(1 - F.col("l_discount") * 5).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ANSWERS}, s AS (SELECT submission_id, question_id, CASE WHEN question_id = 7 THEN trim(text_response) ELSE text_response END AS text_response FROM answers UNION ALL SELECT DISTINCT submission_id, 7, 'N/A' FROM answers a WHERE NOT EXISTS (SELECT 1 FROM answers b WHERE b.submission_id = a.submission_id AND b.question_id = 7)) SELECT question_id, text_response, count(*) AS n FROM s GROUP BY 1, 2")
+def submitted_answers(t):
+    out = reports.submitted_answers(answers(t), questions(t), scores.score_by_type(answers(t), options(t), questions(t)))
+    return out.groupBy("question_id", "text_response").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_linenumber AS sort_order, count(*) AS n, 1 + CAST(l_linenumber >= 3 AS INTEGER) + CAST(l_linenumber >= 6 AS INTEGER) AS step FROM lineitem GROUP BY l_linenumber")
+def item_steps(t):
+    return reports.assign_steps(t.lineitem.groupBy(F.col("l_linenumber").alias("sort_order")).agg(F.count(F.lit(1)).alias("n")), [3, 6])
+
+
+RANKED = "blocks AS (SELECT c_nationkey AS block, c_mktsegment AS treatment, round(avg(c_acctbal), 0) AS value FROM customer GROUP BY 1, 2)"
+
+
+def blocks(t: Tables) -> DataFrame:
+    return t.customer.groupBy(F.col("c_nationkey").alias("block"), F.col("c_mktsegment").alias("treatment")).agg(F.round(F.avg("c_acctbal"), 0).alias("value"))
+
+
+@query(f"WITH {RANKED}, k AS (SELECT count(DISTINCT treatment) AS k FROM blocks), f AS (SELECT * FROM blocks WHERE block IN (SELECT block FROM blocks GROUP BY block HAVING count(*) = (SELECT k FROM k))), r AS (SELECT *, rank() OVER (PARTITION BY block ORDER BY value) + (count(*) OVER (PARTITION BY block, value) - 1) / 2.0 AS r FROM f), s AS (SELECT treatment, sum(r) AS r, count(*) AS n FROM r GROUP BY 1), t AS (SELECT sum(c * (c * c - 1)) AS ties FROM (SELECT count(*) AS c FROM f GROUP BY block, value)) SELECT round((12.0 * sum(r * r) / (max(n) * count(*) * (count(*) + 1)) - 3 * max(n) * (count(*) + 1)) / (1 - (SELECT ties FROM t) / CAST(max(n) * count(*) * (count(*) * count(*) - 1) AS DOUBLE)), 6) AS statistic, max(n) AS blocks, count(*) AS treatments FROM s")
+def friedman(t):
+    return scores.friedman(blocks(t), "block", "treatment", "value", p_value=False).select(*r6("statistic"), "blocks", "treatments")
+
+
+@query()
+def nemenyi(t):
+    return scores.nemenyi(blocks(t), "block", "treatment", "value")
+
+
+@query()
+def bootstrap_ci(t):
+    return scores.bootstrap_mean(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", ["c_mktsegment"], 200)
+
+
+# ------------------------------------------------------------------- signals
+
+KEYS = ["user_id", "event_type"]
+
+
+@query(f"WITH {SERIES}, d AS (SELECT *, time_ms - lag(time_ms) OVER (PARTITION BY user_id, event_type ORDER BY time_ms, event_id) AS step FROM series) SELECT user_id, event_type, count(*) AS samples, round(1000.0 / median(step) FILTER (WHERE step > 0), 9) AS sampling_rate_hz FROM d GROUP BY 1, 2")
+def signal_rate(t):
+    return signal.sampling_rate(series(t), KEYS, "time_ms").select(*KEYS, "samples", F.round("sampling_rate_hz", 9).alias("sampling_rate_hz"))
+
+
+@query(f"WITH {SERIES}, d AS (SELECT *, time_ms - lag(time_ms) OVER (PARTITION BY user_id, event_type ORDER BY time_ms) AS step FROM series) SELECT user_id, event_type, round(median(step), 3) AS median_step, round(max(step), 3) AS max_step, max(step) > 3 * median(step) AS has_gap FROM d WHERE step IS NOT NULL GROUP BY 1, 2")
+def signal_gaps(t):
+    return signal.time_gaps(series(t), KEYS, "time_ms").select(*KEYS, F.round("median_step", 3).alias("median_step"), F.round("max_step", 3).alias("max_step"), "has_gap")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE value < p) AS breaks, count(*) FILTER (WHERE value < p) = 0 AS in_order FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) GROUP BY user_id")
+def signal_order(t):
+    return signal.order_breaks(series(t), ["user_id"], "value", "event_id")
+
+
+@query("""WITH s AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER b AS pn, last_value(v IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER f AS qn, first_value(v IGNORE NULLS) OVER f AS qv FROM s
+  WINDOW b AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(coalesce(v, pv + (qv - pv) * (n - pn) / nullif(qn - pn, 0), pv, qv), 6) AS filled FROM w""")
+def signal_interpolate(t):
+    df = t.events.select("event_id", "user_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
+    return signal.interpolate(df, ["user_id"], "event_id", "v").select("event_id", *r6("filled"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE (n - 1) % 5 = 0")
+def downsample(t):
+    return ranking.every_kth(t.events, ["user_id"], ["event_id"], 5).select("event_id")
+
+
+@query("SELECT event_id, CAST(n AS INTEGER) AS rank FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= 5")
+def top_per_key(t):
+    return ranking.top_per_key(t.events, ["user_id"], [F.desc("value"), F.asc("event_id")], 5).select("event_id", "rank")
+
+
+@query("SELECT count(*) AS signals, min(n) AS least, median(n) AS median, max(n) AS most, count(*) FILTER (WHERE n < 50) AS small FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
+def signal_sizes(t):
+    return signal.signal_sizes(t.events, ["user_id"])
+
+
+@query()
+def spectral_features(t):
+    return signal.spectral_features(series(t), ["user_id"])
+
+
+# ------------------------------------------------------------------- linkage
+
+
+def respondents(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Customers asked for among all customers under slightly different names."""
+    year = 1950 + F.pmod("c_custkey", F.lit(50))
+    who = t.customer.select("c_custkey", F.concat_ws(" ", F.lit("Ana"), F.translate(F.substring("c_name", -4, 4), "0123456789", "abcdefghij"), "c_mktsegment").alias("name"), year.alias("year"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M").alias("sex"))
+    asked = who.select("c_custkey", "name", F.concat(F.lit("01/02/"), F.col("year").cast("string")).alias("dob"), "sex")
+    people = who.select(F.col("c_custkey").cast("string").alias("person_id"), F.lit("mapping").alias("source"), F.col("c_custkey").cast("string").alias("record"), ids.normalize_name(F.when(F.col("c_custkey") % 5 == 0, F.concat("name", F.lit("s"))).otherwise(F.col("name")), unicode=False).alias("norm_name"), F.col("year").cast("int").alias("dob_year"), F.lit(None).cast("int").alias("birth_year_min"), F.lit(None).cast("int").alias("birth_year_max"), "sex")
+    return linkage.query_fields(asked, "c_custkey", "name", "dob", "sex"), people
+
+
+@query("SELECT q.c_custkey AS query_id, count(*) AS candidates FROM customer q JOIN customer p ON q.c_custkey % 50 = p.c_custkey % 50 AND q.c_custkey % 2 = p.c_custkey % 2 GROUP BY 1")
+def linkage_candidates(t):
+    return linkage.candidates(*respondents(t)).groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query()
+def linkage_scores(t):
+    return linkage.scored_candidates(*respondents(t))
+
+
+@query()
+def linkage_decisions(t):
+    queries, people = respondents(t)
+    return linkage.decide(queries, linkage.scored_candidates(queries, people)).drop("candidates")
+
+
+@query()
+def linkage_counts(t):
+    queries, people = respondents(t)
+    return linkage.decision_counts(linkage.decide(queries, linkage.scored_candidates(queries, people)))
+
+
+@query()
+def fuzzy_ratios(t):
+    pairs = t.part.select("p_partkey", "p_name", F.concat_ws(" ", "p_type", "p_name").alias("other"))
+    return pairs.select("p_partkey", fuzzy.fuzzy_scores("p_name", F.lower("other")).alias("f")).select("p_partkey", "f.*")
+
+
+# ------------------------------------------------- classification, clustering
+
+
+@query("SELECT lang, round(avg(n_chars), 6) AS n_chars, min_by(source, doc_id) AS source FROM documents GROUP BY lang")
+def patient_aggregate(t):
+    return classify.patient_aggregate(t.documents.select("lang", "n_chars", "source", "doc_id"), "lang", ["n_chars"], ["source"], "doc_id").select("lang", *r6("n_chars"), "source")
+
+
+@query("SELECT label, positive, negative, missing, round(100.0 * positive / (positive + negative), 2) AS positive_pct FROM (SELECT 'quality' AS label, count(*) FILTER (WHERE quality = 1) AS positive, count(*) FILTER (WHERE quality = 0) AS negative, count(*) FILTER (WHERE quality IS NULL) AS missing FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'toxic', count(*) FILTER (WHERE toxic = 1), count(*) FILTER (WHERE toxic = 0), count(*) FILTER (WHERE toxic IS NULL) FROM documents LEFT JOIN labels USING (doc_id))")
+def class_balance(t):
+    df = t.documents.select("doc_id").join(t.labels, "doc_id", "left").select((F.col("quality") == 1).alias("quality"), (F.col("toxic") == 1).alias("toxic"))
+    return classify.class_balance(df, ["quality", "toxic"])
+
+
+@query("SELECT quality, count(*) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS n_test FROM labels GROUP BY quality")
+def stratified_split(t):
+    out = classify.stratified_split(t.labels, "quality", "doc_id")
+    return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"))
+
+
+@query(f"""WITH {PREDICTIONS}, c AS (SELECT count(*) FILTER (WHERE truth = 0 AND predicted = 0) AS tn, count(*) FILTER (WHERE truth = 0 AND predicted = 1) AS fp, count(*) FILTER (WHERE truth = 1 AND predicted = 0) AS fn, count(*) FILTER (WHERE truth = 1 AND predicted = 1) AS tp FROM pred)
+SELECT tn, fp, fn, tp, round((tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE), 6) AS accuracy, round((tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2, 6) AS balanced_accuracy, round(tp / CAST(tp + fn AS DOUBLE), 6) AS sensitivity, round(tn / CAST(tn + fp AS DOUBLE), 6) AS specificity, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1, round((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c""")
+def binary_metrics(t):
+    return classify.binary_metrics(predictions(t), "truth", "predicted").select("tn", "fp", "fn", "tp", *r6("accuracy", "balanced_accuracy", "sensitivity", "specificity", "precision", "f1", "mcc"))
+
+
+@query(f"WITH {PREDICTIONS}, r AS (SELECT truth, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM pred) SELECT round((sum(r) FILTER (WHERE truth = 1) - p * (p + 1) / 2.0) / (p * n), 6) AS roc_auc, p AS positives, n AS negatives FROM r, (SELECT count(*) FILTER (WHERE truth = 1) AS p, count(*) FILTER (WHERE truth = 0) AS n FROM pred) GROUP BY p, n")
+def roc_auc(t):
+    return classify.roc_auc(predictions(t), "truth", "score").select(*r6("roc_auc"), "positives", "negatives")
+
+
+@query(f"WITH {PREDICTIONS}, g AS (SELECT score, sum(truth) AS p, count(*) AS c FROM pred GROUP BY score), u AS (SELECT p, sum(p) OVER w AS cp, sum(c) OVER w AS cc, sum(p) OVER () AS tp FROM g WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT round(sum(p * CAST(cp AS DOUBLE) / cc) / max(tp), 6) AS average_precision FROM u")
+def average_precision(t):
+    return classify.average_precision(predictions(t), "truth", "score").select(*r6("average_precision"))
+
+
+@query("SELECT 'value' AS metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median FROM events")
+def metric_summary(t):
+    return classify.metric_summary(t.events.select("value"), ["value"]).select("metric", *r6("mean", "std", "median"))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) / len(a.embedding)), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def nan_euclidean(t):
+    a = t.embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("u"))
+    b = t.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v"))
+    pairs = a.join(b, F.col("b") == F.col("a") + 1)
+    return pairs.select("a", "b", F.round(cluster.nan_euclidean(F.col("u"), F.col("v")), 6).alias("distance"))
+
+
+@query("WITH d AS (SELECT a.label, a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) / len(a.embedding)) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS n FROM d) SELECT label, vec_id, round(avg(d), 6) AS mean_distance FROM n WHERE n <= 5 GROUP BY 1, 2")
+def knn_mean_distance(t):
+    return cluster.knn_mean_distance(t.embeddings, ["label"], "vec_id", "embedding", 5).select("label", "vec_id", *r6("mean_distance"))
+
+
+@query()
+def dbscan_clusters(t):
+    return cluster.cluster(t.embeddings, ["label"], "vec_id", "embedding", 0.12, 5)
+
+
+@query()
+def dbscan_sweep(t):
+    return cluster.sweep_totals(cluster.sweep(t.embeddings, ["label"], "vec_id", "embedding", [(e, m) for e in (0.1, 0.12, 0.14) for m in (4, 8)]))
+
+
+CLUSTERED = "k AS (SELECT event_type, CAST(user_id % 5 AS INTEGER) - 1 AS cluster, value FROM events)"
+
+
+def clustered(t: Tables) -> DataFrame:
+    return t.events.select("event_type", (F.pmod("user_id", F.lit(5)) - 1).cast("int").alias("cluster"), "value")
+
+
+@query(f"WITH {CLUSTERED} SELECT event_type, cluster, count(*) AS count, round(avg(value), 6) AS value FROM k GROUP BY 1, 2")
+def cluster_summary(t):
+    return cluster.cluster_counts(clustered(t), ["event_type"]).join(cluster.cluster_means(clustered(t), ["event_type"], ["value"]), ["event_type", "cluster"]).select("event_type", "cluster", "count", *r6("value"))
+
+
+@query(f"WITH {CLUSTERED} SELECT event_type, count(*) AS total, count(*) FILTER (WHERE cluster = -1) AS noise_count, round(100.0 * count(*) FILTER (WHERE cluster = -1) / count(*), 6) AS noise_pct FROM k GROUP BY 1")
+def cluster_noise(t):
+    return cluster.cluster_noise(clustered(t), ["event_type"]).select("event_type", "total", "noise_count", *r6("noise_pct"))
+
+
+@query("SELECT c_mktsegment, count(*) AS count, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std, min(c_acctbal) AS min, round(quantile_cont(c_acctbal, 0.25), 6) AS p25, round(quantile_cont(c_acctbal, 0.5), 6) AS p50, round(quantile_cont(c_acctbal, 0.75), 6) AS p75, round(quantile_cont(c_acctbal, 0.9), 6) AS p90, round(quantile_cont(c_acctbal, 0.95), 6) AS p95, max(c_acctbal) AS max FROM customer GROUP BY 1")
+def describe(t):
+    return cluster.describe(t.customer, "c_acctbal", ["c_mktsegment"]).select("c_mktsegment", "count", *r6("mean", "std"), "min", *r6("p25", "p50", "p75", "p90", "p95"), "max")
+
+
+@query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS TINYINT) AS \"o_orderstatus_F\", CAST(o_orderstatus = 'O' AS TINYINT) AS \"o_orderstatus_O\", CAST(o_orderstatus = 'P' AS TINYINT) AS \"o_orderstatus_P\" FROM orders")
+def one_hot(t):
+    return cluster.one_hot(t.orders.select("o_orderkey", "o_orderstatus"), ["o_orderstatus"])
+
+
+@query()
+def pca2(t):
+    return cluster.pca(t.embeddings, "embedding").select("vec_id", F.abs(F.round("pc1", 4)).alias("pc1"), F.abs(F.round("pc2", 4)).alias("pc2"))
+
+
+def features(t: Tables) -> DataFrame:
+    return readable(t).select("doc_id", "lang", *[F.col(c).cast("double").alias(c) for c in ("words", "sentences", "syllables", "letters")]).join(t.labels.select("doc_id", "quality"), "doc_id")
+
+
+@query()
+def nested_cv(t):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    models = {"tree2": DecisionTreeClassifier(maxDepth=2, seed=1), "tree4": DecisionTreeClassifier(maxDepth=4, seed=1)}
+    return classify.nested_cv(features(t).cache(), models, "quality", "doc_id", ["words", "sentences", "syllables", "letters"], ["lang"], outer=2, inner=2)
+
+
+@query()
+def feature_importance(t):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    df = features(t).cache()
+    columns = ["words", "sentences", "syllables", "letters"]
+    from pyspark.ml import Pipeline
+
+    ready = classify.preprocessing(columns, [])
+    model = Pipeline(stages=[*ready.getStages(), DecisionTreeClassifier(labelCol="quality", featuresCol="features", maxDepth=4, seed=1)]).fit(df)
+    return classify.permutation_importance(model, df, columns, "quality", "doc_id")
+
+
+@query()
+def smote(t):
+    df = t.labels.join(t.embeddings.withColumnRenamed("vec_id", "doc_id"), "doc_id").select("doc_id", "toxic", "embedding")
+    return classify.smote(df, "toxic", "doc_id", "embedding").groupBy("toxic", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def token_similarity(t):
+    halves = t.embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    tokens = halves.where("vec_id < 200").groupBy("label").agg(F.array_sort(F.collect_list(F.when(F.col("vec_id") % 2 == 0, F.struct("vec_id", "e")))).alias("x"), F.array_sort(F.collect_list(F.when(F.col("vec_id") % 2 == 1, F.struct("vec_id", "e")))).alias("y"))
+    vectors = lambda c: F.transform(c, lambda s: s["e"])
+    return tokens.select("label", similarity.bert_score(vectors("x"), vectors("y")).alias("s")).select("label", "s.*")
