@@ -15,14 +15,19 @@ def _masks(text: str) -> dict[str, int]:
     return out
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
-    masks, full = _masks(a), (1 << len(a)) - 1
-    row = full
+def _lcs(masks: dict[str, int], n: int, b: str) -> int:
+    """Longest common subsequence of b and the text of n characters with these masks,
+    by bit-parallel rows."""
+    row = full = (1 << n) - 1
+    get = masks.get
     for c in b:
-        hit = row & masks.get(c, 0)
+        hit = row & get(c, 0)
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    return _lcs(_masks(a), len(a), b)
 
 
 def ratio(a: str, b: str) -> float:
@@ -31,12 +36,18 @@ def ratio(a: str, b: str) -> float:
 
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter text with a stretch of the longer that is as long,
-    or that one of its ends cuts off."""
+    or that one of its ends cuts off. A stretch whose last character the shorter text
+    lacks is no better than the one before it."""
     if not a or not b:
         return 100.0 if not a and not b else 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    n = len(short)
-    return max(ratio(short, long[max(0, s) : s + n]) for s in range(1 - n, len(long)))
+    n, masks, best = len(short), _masks(short), 0.0
+    for s in range(1 - n, len(long)):
+        part = long[max(0, s) : s + n]
+        if part[-1] in masks or s + n > len(long):
+            if 200.0 * min(n, len(part)) / (n + len(part)) > best:
+                best = max(best, 200.0 * _lcs(masks, n, part) / (n + len(part)))
+    return best
 
 
 def _sorted(text: str) -> str:

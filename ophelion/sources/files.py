@@ -203,7 +203,7 @@ def id_mapping(found: DataFrame) -> DataFrame:
 def text_corpus(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """model, date, content, filename of texts named <prefix>-<model>-<yy-mm-dd>.txt;
     Unknown where a name has another form."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(path)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     pattern = rf"{prefix}-(.*?)-(\d{{2}}-\d{{2}}-\d{{2}})\.txt"
     part = lambda k: F.when(name.rlike(pattern), F.regexp_extract(name, pattern, k)).otherwise("Unknown")
