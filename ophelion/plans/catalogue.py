@@ -881,3 +881,145 @@ def token_similarity(t):
     tokens = halves.where("vec_id < 200").groupBy("label").agg(F.array_sort(F.collect_list(F.when(F.col("vec_id") % 2 == 0, F.struct("vec_id", "e")))).alias("x"), F.array_sort(F.collect_list(F.when(F.col("vec_id") % 2 == 1, F.struct("vec_id", "e")))).alias("y"))
     vectors = lambda c: F.transform(c, lambda s: s["e"])
     return tokens.select("label", similarity.bert_score(vectors("x"), vectors("y")).alias("s")).select("label", "s.*")
+
+
+# --------------------------------------------- guards, filters and small joins
+
+CODES = {"economy": 1, "small": 2, "medium": 3, "large": 4, "standard": 5, "promo": 6}
+
+
+@query("SELECT p_partkey, CASE lower(trim(p_type)) WHEN 'economy' THEN 1 WHEN 'small' THEN 2 WHEN 'medium' THEN 3 WHEN 'large' THEN 4 WHEN 'standard' THEN 5 WHEN 'promo' THEN 6 END AS p_type_id FROM part WHERE lower(trim(p_type)) IN ('economy', 'small', 'medium', 'large', 'standard', 'promo')")
+def type_codes(t):
+    known = t.part.where(F.lower(F.trim("p_type")).isin(*CODES))
+    return clean.encode_codes(known, "p_type", CODES, "p_type_id").select("p_partkey", "p_type_id")
+
+
+def messy(t: Tables) -> DataFrame:
+    """c_name's last digits as text, some of them no number."""
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("x"), F.col("c_custkey").cast("string"))).when(F.col("c_custkey") % 7 == 0, " ").otherwise(F.col("c_custkey").cast("string"))
+    return t.customer.select("c_custkey", "c_mktsegment", raw.alias("raw"))
+
+
+MESSY = "m AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'x' || c_custkey WHEN c_custkey % 7 = 0 THEN ' ' ELSE CAST(c_custkey AS VARCHAR) END AS raw FROM customer)"
+
+
+@query(f"WITH {MESSY} SELECT c_custkey, TRY_CAST(raw AS INTEGER) AS raw FROM m WHERE TRY_CAST(raw AS INTEGER) IS NOT NULL")
+def cast_or_drop(t):
+    return clean.cast_or_drop(messy(t), "raw").select("c_custkey", "raw")
+
+
+@query(f"WITH {MESSY} SELECT count(*) FILTER (WHERE trim(raw) <> '' AND TRY_CAST(raw AS DOUBLE) IS NULL) AS raw FROM m")
+def invalid_numbers(t):
+    return clean.coerce_numeric(messy(t), ["raw"])[1]
+
+
+@query(f"WITH {MESSY} SELECT c_custkey FROM m WHERE trim(raw) <> ''")
+def annotated_rows(t):
+    return clean.keep_annotated(messy(t), "raw").select("c_custkey")
+
+
+@query("SELECT CASE WHEN c LIKE 'QS%' THEN 'sociodemographic' WHEN c LIKE 'TR%' THEN 'attention' WHEN c LIKE 'Q%' THEN 'scale' WHEN c LIKE 'F%' THEN 'feedback' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT CASE l_linenumber WHEN 1 THEN 'QS1' WHEN 2 THEN 'TR1' WHEN 3 THEN 'F1' WHEN 4 THEN 'Z' ELSE 'Q' || l_linenumber END AS c FROM lineitem) GROUP BY 1")
+def caption_groups(t):
+    n = F.col("l_linenumber")
+    caption = F.when(n == 1, "qs1").when(n == 2, "TR1").when(n == 3, "F1").when(n == 4, "Z").otherwise(F.concat(F.lit("Q"), n.cast("string")))
+    return t.lineitem.select(clean.caption_group(caption).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1997")
+def plausible_years(t):
+    return t.orders.where(clean.plausible_year(F.year("o_orderdate"), 1996, 1997)).select("o_orderkey")
+
+
+DEPENDENT = "SELECT submission_id, question_id FROM (SELECT DISTINCT submission_id FROM answers), range(1, 7) q(question_id) UNION ALL SELECT DISTINCT submission_id, 7 FROM answers WHERE question_id = 1 AND option = 3"
+
+
+def dependent_questions(t: Tables) -> DataFrame:
+    """Question 7 is shown where option 13 of question 1 was selected."""
+    last = F.col("question_id") == 7
+    return questions(t).withColumns({"depends_on_question_id": F.when(last, F.lit(1).cast("long")), "depends_on_option_id": F.when(last, F.lit(13).cast("long"))})
+
+
+@query(f"WITH {ANSWERS} SELECT question_id, count(*) AS shown FROM ({DEPENDENT}) GROUP BY question_id")
+def shown_questions(t):
+    return clean.shown_questions(dependent_questions(t), answers(t)).groupBy("question_id").agg(F.count(F.lit(1)).alias("shown"))
+
+
+@query(f"WITH {ANSWERS}, shown AS ({DEPENDENT}) SELECT error, count(*) AS n FROM (SELECT 'options on a free text' AS error FROM answers WHERE question_id = 7 UNION ALL SELECT 'missing answer' FROM shown s WHERE question_id < 7 AND NOT EXISTS (SELECT 1 FROM answers a WHERE a.submission_id = s.submission_id AND a.question_id = s.question_id)) GROUP BY error")
+def submission_errors(t):
+    return clean.submission_errors(dependent_questions(t), answers(t)).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE n_name END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def left_prefer(t):
+    people = t.customer.select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(" ").alias("label"))
+    nations = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("label"))
+    return joins.left_prefer(people, nations, "c_nationkey", ["label"]).select("c_custkey", "label")
+
+
+@query("SELECT c_custkey, coalesce(o_orderpriority, '') AS note, n FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS o_orderpriority, count(*) AS n FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) ON c_custkey = o_custkey")
+def enriched_mapping(t):
+    notes = t.orders.where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderpriority").alias("note"), F.count(F.lit(1)).alias("n"))
+    return joins.enrich(t.customer.select("c_custkey"), notes, "c_custkey", ["note"], ["n"])
+
+
+@query("SELECT c_custkey, 'X' AS sex FROM customer WHERE c_custkey % 3 = 0")
+def unknown_sex(t):
+    k = F.col("c_custkey") % 3
+    people = t.customer.select("c_custkey", F.when(k == 0, "X").when(k == 1, "Feminino").otherwise("m").alias("sex"))
+    return dedupe.unknown_sex_audit(people, "c_custkey", "sex")[1]
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def union_relaxed(t):
+    a = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    b = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return dedupe.union_relaxed([a, b])
+
+
+@query("SELECT DISTINCT p_brand FROM part")
+def sorted_distinct(t):
+    return dedupe.sorted_distinct(t.part, "p_brand")
+
+
+@query("SELECT user_id FROM (SELECT user_id, min(event_id) AS k FROM events GROUP BY user_id ORDER BY k LIMIT 10)")
+def first_patients(t):
+    return ranking.first_ids(t.events, "user_id", "event_id", 10)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
+def submission_page(t):
+    return ranking.page(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 3, 25)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def delete_cascade(t):
+    gone = t.customer.where("c_nationkey = 3").select(F.col("c_custkey").alias("id"))
+    people, orders = t.customer.withColumnRenamed("c_custkey", "id"), t.orders.withColumnRenamed("o_custkey", "id")
+    return reports.delete_cascade(people, {"orders": orders}, "id", gone)["orders"].select("o_orderkey")
+
+
+@query("SELECT round(quantile_cont(c_acctbal, 0.01), 6) AS c_acctbal_low, round(quantile_cont(c_acctbal, 0.99), 6) AS c_acctbal_high FROM customer")
+def robust_axes(t):
+    return cluster.robust_axes(t.customer, ["c_acctbal"]).select(*r6("c_acctbal_low", "c_acctbal_high"))
+
+
+@query(f"WITH {CLUSTERED} SELECT event_type, cluster, count(*) AS count, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY cluster) AS DOUBLE), 6) AS share FROM k GROUP BY 1, 2")
+def cluster_distribution(t):
+    return cluster.cluster_distribution(clustered(t), [], "event_type").select("event_type", "cluster", "count", *r6("share"))
+
+
+@query("SELECT fold, count(*) AS n FROM (SELECT (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS fold FROM labels) GROUP BY fold")
+def stratified_folds(t):
+    return classify.stratified_folds(t.labels, "quality", "doc_id", 5, 1).groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def fuzzy_find(t):
+    return linkage.fuzzy_find(t.part.select("p_partkey", "p_name"), "p_name", "smal ring")
+
+
+@query()
+def confirmed_answers(t):
+    queries, people = respondents(t)
+    decided = linkage.decide(queries, linkage.scored_candidates(queries, people))
+    return linkage.confirmed(t.customer.select("c_custkey", "c_acctbal"), decided, "c_custkey")
