@@ -111,8 +111,9 @@ def _target_windows(docs: DataFrame, marked: DataFrame, length: int, base: int)
                 hi, lo, key = map(np.concatenate, out)
                 yield pa.RecordBatch.from_arrays([signed(hi), signed(lo), pa.array(key)], ["hi", "lo", "key"])
 
-    joined = docs.select("key", "text").join(marked, "key", "left").where("marks is not null")
-    return joined.select("key", "text", "marks").mapInArrow(run, "hi long, lo long, key long")
+    # the same columns as in dedup_substrings, so that one shuffle of the texts serves both
+    joined = docs.join(marked, "key", "left").where("marks is not null")
+    return joined.select("doc_id", "key", "text", "marks").mapInArrow(run, "hi long, lo long, key long")
 
 
 def candidates_and_owners(docs: DataFrame, length: int = TARGET) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +123,9 @@ def candidates_and_owners(docs: DataFrame, length: int = TARGET) -> tuple[DataFr
     ``docs`` is (doc_id, key, text)."""
     base = max(1, (length + 1) // 2)
     records = _base_windows(docs, length, base)
-    survivors = records.join(_repeated(records, ["window"]).select("window"), "window")
+    # written first: a join of two plain shuffles is one that can be split where a window is hot
+    repeated = staged(_repeated(records, ["window"]).select("window"), "repeated")
+    survivors = records.join(repeated, "window")
     marked = staged(survivors.groupBy("key").agg(F.collect_set("window").alias("marks")), "base")
     # one row a window comes back, to its owner: a window of many documents is no hot key
     firsts = _target_windows(docs, marked, length, base).groupBy("hi", "lo").agg(F.min("key").alias("key"))
