@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """
     base = with_key(docs)
     found = staged(signatures(base, words, bands_for(threshold, recall, rows), rows), "signatures")
-    classes = found.groupBy("set_hi", "set_lo").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # written first: a join of two plain shuffles is one that can be split where a set is hot
+    classes = staged(found.groupBy("set_hi", "set_lo").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     members = staged(found.select("doc_id", "key", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"]).select("doc_id", "key", "rep", "copies", "set_hi", "set_lo"), "members")
     reps = members.where("key = rep").select("key", "set_hi", "set_lo", "copies").dropDuplicates(["key"])
     # a key with several rows keeps the bands of its representative's set
