@@ -111,7 +111,7 @@ def test_tails():
     assert special.studentised_range_tail(3.314, 3) == pytest.approx(0.05, abs=2e-4)
 
 
-#: Five rows of a published results table and their published ranks.
+#: Four rows of a published results table; the order and values below are published too.
 MODELS = [("a", 66.5, 88.6, 8, 0.7120550274848938, 0.7523332834243774), ("b", 69.0, 80.5, 7, 0.7131612300872803, 0.7636045813560486), ("c", 72.0, 79.8, 7, 0.7184709310531616, 0.7331866025924683), ("d", 64.7, 74.3, 8, 0.714280903339386, 0.7760249972343445)]
 
 
