@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id inside an operator: a null id counts as the largest.
 NULL_ID = 2**63 - 1
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_ROWS = 1000
 CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 22
 
@@ -60,10 +61,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself, in a session whose Arrow batches have ARROW_ROWS rows at most.
+
+    Texts are long: the default of 10,000 rows a batch holds tens of MB in the JVM and
+    again in each Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def with_key(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, ``key`` (never null) and text, without any other column."""
     doc_id = docs["doc_id"].cast("long")
-    return docs.select(
+    return small_batches(docs).select(
         doc_id.alias("doc_id"),
         F.coalesce(doc_id, F.lit(NULL_ID)).alias("key"),
         docs["text"].cast("string").alias("text"),

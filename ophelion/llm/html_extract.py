@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import staged
+from ._base import small_batches, staged
 
 #: Composite importance under which a branch is removed, pages that a host must have
 #: for its entropies to count, and the share of content in the composite.
@@ -166,7 +166,7 @@ def _hash(text: str) -> int:
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, host, blocks): blocks hold path, text and the two flags, blocks
     that HTML marks as no content dropped where the page keeps any other."""
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), host_of(pages["url"].cast("string")).alias("host"), pages["html"].cast("string").alias("html"))
+    rows = small_batches(pages).select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), host_of(pages["url"].cast("string")).alias("host"), pages["html"].cast("string").alias("html"))
     kind = pa.list_(pa.struct([("path", pa.string()), ("content", pa.int64()), ("style", pa.int64()), ("text", pa.string())]))
 
     def run(batches):

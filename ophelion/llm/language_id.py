@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import id_fold
+from ._base import id_fold, small_batches
 
 DIMS, MAX_N, MAX_ROWS = 4096, 3, 3200
 #: Loss margin to the second codeword below which a text is ambiguous.
@@ -126,7 +126,7 @@ class Ecoc:
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS, dims: int = DIMS) -> Ecoc | None:
     """Fits on (doc_id, text, lang). Languages are few, so their counts come to the
     driver; each gives its rows of smallest hash, about max_rows / languages."""
-    usable = labelled.where("lang is not null and text is not null")
+    usable = small_batches(labelled).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
@@ -153,7 +153,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, dims: int = DIMS) -> Ec
 
 def predict(docs: DataFrame, model: Ecoc | None, *keep: str | Column, dims: int = DIMS) -> DataFrame:
     """Adds lang_pred, score, ambiguous to the ``keep`` columns of every document."""
-    columns = docs.select(*keep, docs["text"].cast("string").alias("__text"))
+    columns = small_batches(docs).select(*keep, docs["text"].cast("string").alias("__text"))
     names = [c for c in columns.columns if c != "__text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields if f.name != "__text")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import staged, texts_of
+from ._base import small_batches, staged, texts_of
 
 WIDTH = 192
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -165,7 +165,7 @@ def media_store(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["digest", "n_bytes", "media"])
 
-    return staged(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "digest string, n_bytes long, media binary"), "media")
+    return staged(small_batches(docs).select(docs["text"].cast("string").alias("text")).mapInArrow(run, "digest string, n_bytes long, media binary"), "media")
 
 
 def media_features(store: DataFrame) -> DataFrame:

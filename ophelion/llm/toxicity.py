@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import chunk_words, chunked, id_fold
+from ._base import chunk_words, chunked, id_fold, small_batches
 
 DIMS, FEATURES, MAX_POSITIVE, MAX_UNLABELLED = 1 << 18, 2048, 2500, 7500
 _LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -95,7 +95,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> NnPu | None:
     """Learns from rows whose fold (crc32 of the id modulo 5) is not 0."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where(id_fold(F.col("doc_id"), 5) != 0)
+    texts = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where(id_fold(F.col("doc_id"), 5) != 0)
     told = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(id_fold(F.col("doc_id"), 5) != 0)
     counted = told.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
     n_docs = texts.count()
@@ -130,7 +130,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFra
     are ignored.
     """
     model = train(docs, labels, **bounds)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (id_fold(docs["doc_id"].cast("long"), 5) == 0).alias("held_out"), docs["text"].cast("string").alias("text"))
+    rows = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), (id_fold(docs["doc_id"].cast("long"), 5) == 0).alias("held_out"), docs["text"].cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
