@@ -35,21 +35,24 @@ def by_year(queries: DataFrame, people: DataFrame) -> DataFrame:
     return queries.where("birth_year is not null").select("query_id", "birth_year").join(years, "birth_year").select("query_id", "person_id", "source")
 
 
-def by_name(queries: DataFrame, people: DataFrame) -> DataFrame:
-    """(query_id, person_id) where the person's name is a signature or starts with one
-    of two letters or more; blocked on the first two letters."""
-    forms = queries.select("query_id", F.explode("signatures").alias("form")).withColumn("block", F.substring("form", 1, 2))
+def by_name(wanted: DataFrame, people: DataFrame) -> DataFrame:
+    """(query_id, person_id, source) where the person's name is a signature of the query
+    or starts with one of two letters or more, for the wanted (query_id, source,
+    signatures); blocked on source and the first two letters."""
+    forms = wanted.select("query_id", "source", F.explode("signatures").alias("form")).withColumn("block", F.substring("form", 1, 2))
     named = people.where("norm_name <> ''").select("person_id", "source", "norm_name", F.substring("norm_name", 1, 2).alias("block"))
     hit = (F.col("norm_name") == F.col("form")) | ((F.length("form") >= 2) & F.startswith(F.col("norm_name"), F.col("form")))
-    return forms.join(named, "block").where(hit).select("query_id", "person_id", "source").distinct()
+    return forms.join(named, ["source", "block"]).where(hit).select("query_id", "person_id", "source").distinct()
 
 
 def candidates(queries: DataFrame, people: DataFrame) -> DataFrame:
     """Candidates by birth year; for a query and source without any, by name; of those
     only the ones with the query's sex where there are some."""
     first = by_year(queries, people)
-    later = by_name(queries, people).join(first.select("query_id", "source").distinct(), ["query_id", "source"], "left_anti")
-    pairs = first.unionByName(later).join(people.drop("source"), "person_id").join(queries.select("query_id", "query_sex"), "query_id")
+    # a row per query and source (two or three sources) that the year found nothing in
+    sources = people.select("source").distinct()
+    wanted = queries.select("query_id", "signatures").join(F.broadcast(sources)).join(first.select("query_id", "source").distinct(), ["query_id", "source"], "left_anti")
+    pairs = first.unionByName(by_name(wanted, people)).join(people.drop("source"), "person_id").join(queries.select("query_id", "query_sex"), "query_id")
     fits = (F.col("query_sex") != "") & F.startswith(F.lower("sex"), F.col("query_sex"))
     return soft_filter(pairs, ["query_id", "source"], fits | (F.col("query_sex") == "")).drop("query_sex")
 
