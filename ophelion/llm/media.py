@@ -183,8 +183,9 @@ def media_features(store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["digest"], *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     found = store.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    # equal digests have equal rows; copies combine before the shuffle
-    return found.dropDuplicates(["digest"])
+    # equal digests have equal rows; copies combine before the shuffle. Written, so that
+    # the join with the references is of two plain shuffles, which can be split
+    return staged(found.dropDuplicates(["digest"]), "features")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
