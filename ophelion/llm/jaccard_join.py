@@ -98,7 +98,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("near"))
         lower = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         # a root that has moved pulls the nodes behind it along
-        moved = lower.where("root < old").groupBy(F.col("old").alias("was")).agg(F.min("root").alias("now"))
+        # (written, so that the join on a root of many nodes can be split)
+        moved = staged(lower.where("root < old").groupBy(F.col("old").alias("was")).agg(F.min("root").alias("now")), "moved")
         hopped = lower.join(moved, F.col("root") == F.col("was"), "left").select("node", "old", F.least("root", F.coalesce("now", "root")).alias("root"))
         jump = staged(hopped, "roots")
         above = jump.select(F.col("node").alias("up"), F.col("root").alias("top"))
