@@ -15,7 +15,10 @@ A page whose remaining branches are all of low importance keeps them: there is
 nothing more important to keep in their place.
 
 The tree is a table of a few rows per page and path, summed before the shuffle; a
-hot host is a few keys with many counts, not a large group.
+hot host is a few keys with many counts, not a large group. Its low branches are few
+and are broadcast where they are (their number is checked), so the pages themselves
+aren't shuffled; beyond that number they are joined by host. Pages are parsed twice,
+which costs less than keeping the parsed ones.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from ._base import small_batches, staged
 #: Composite importance under which a branch is removed, pages that a host must have
 #: for its entropies to count, and the share of content in the composite.
 LOW, MIN_PAGES, CONTENT_SHARE = 0.15, 8, 0.9
+#: Low branches that are broadcast at most (a few MB of paths).
+BROADCAST_ROWS = 20_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=>/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -163,9 +168,10 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks): blocks hold path, text and the two flags, blocks
-    that HTML marks as no content dropped where the page keeps any other."""
+def parsed_pages(pages: DataFrame, texts: bool = True) -> DataFrame:
+    """(page_id, url, host, blocks): the path, hashes and (where asked for) text of each
+    block that HTML doesn't mark as no content, only those inside an article or main
+    element where the page has one."""
     rows = small_batches(pages).select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), host_of(pages["url"].cast("string")).alias("host"), pages["html"].cast("string").alias("html"))
     kind = pa.list_(pa.struct([("path", pa.string()), ("content", pa.int64()), ("style", pa.int64()), ("text", pa.string())]))
 
@@ -176,7 +182,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 blocks = [b for b in parse_blocks(html) if not b[3]]
                 if any(b[4] for b in blocks):
                     blocks = [b for b in blocks if b[4]]
-                out.append([{"path": p, "content": _hash(t), "style": _hash(s), "text": t} for p, s, t, _, _ in blocks])
+                out.append([{"path": p, "content": _hash(t), "style": _hash(s), "text": t if texts else None} for p, s, t, _, _ in blocks])
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(out, kind)], ["page_id", "url", "host", "blocks"])
 
     return rows.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<path:string,content:long,style:long,text:string>>")
@@ -194,6 +200,8 @@ def style_tree(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         F.xxhash64(F.transform(F.filter("blocks", lambda b: b["path"] == F.col("path")), lambda b: b["style"])).alias("style"),
     )
 
+    per_page = staged(per_page, "shown")  # read for both entropies
+
     def entropy(column: str) -> DataFrame:
         n = per_page.groupBy("host", "path", column).agg(F.count(F.lit(1)).alias("n"))
         per_path = n.groupBy("host", "path").agg(F.sum("n").alias("pages"), (F.sum(F.col("n") * F.log("n"))).alias("s"))
@@ -211,10 +219,10 @@ def extract_main_text(pages: DataFrame, low: float = LOW, min_pages: int = MIN_P
     page order. Null or empty html gives an empty text; a null or odd url belongs to
     the host ''. Repeated rows count as pages of their own. Extra columns are ignored.
     """
-    parsed = staged(parsed_pages(pages), "parsed")
-    weak = style_tree(parsed, min_pages).where(F.col("importance") < low)
+    weak = staged(style_tree(parsed_pages(pages, texts=False), min_pages).where(F.col("importance") < low).select("host", "path"), "weak")
     per_host = weak.groupBy("host").agg(F.collect_set("path").alias("weak"))
-    joined = parsed.join(per_host, "host", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<string>")))
+    per_host = F.broadcast(per_host) if weak.count() <= BROADCAST_ROWS else staged(per_host, "per_host")
+    joined = parsed_pages(pages).join(per_host, "host", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<string>")))
     strong = F.filter("blocks", lambda b: ~F.array_contains(F.col("weak"), b["path"]))
     kept = F.when(F.size(strong) > 0, strong).otherwise(F.col("blocks"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")

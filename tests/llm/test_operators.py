@@ -437,3 +437,12 @@ def test_one_page_host_keeps_everything(spark):
     df = spark.createDataFrame([(1, "http://a/", "<p>x</p><p>y</p>")] * 20, "page_id long, url string, html string")
     assert {r["text"] for r in html_extract.extract_main_text(df).collect()} == {"x\ny"}
     assert html_extract.importance([20]) == 0 and html_extract.importance([1] * 20) == pytest.approx(1)
+
+
+def test_html_extract_by_join(spark, monkeypatch):
+    """The same where the low branches are too many to broadcast."""
+    pages = [(k, f"https://h{k % 2}.example/{k}", PAGE.format(k=k)) for k in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = sorted(map(tuple, html_extract.extract_main_text(df).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, html_extract.extract_main_text(df).collect())) == want
