@@ -669,9 +669,9 @@ def signal_rate(t):
     return signal.sampling_rate(series(t), KEYS, "time_ms").select(*KEYS, "samples", F.round("sampling_rate_hz", 9).alias("sampling_rate_hz"))
 
 
-@query(f"WITH {SERIES}, d AS (SELECT *, time_ms - lag(time_ms) OVER (PARTITION BY user_id, event_type ORDER BY time_ms) AS step FROM series) SELECT user_id, event_type, round(median(step), 3) AS median_step, round(max(step), 3) AS max_step, max(step) > 3 * median(step) AS has_gap FROM d WHERE step IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {SERIES}, d AS (SELECT *, time_ms - lag(time_ms) OVER (PARTITION BY user_id, event_type ORDER BY time_ms) AS step FROM series) SELECT user_id, event_type, round(median(step), 4) AS median_step, round(max(step), 3) AS max_step, max(step) > 3 * median(step) AS has_gap FROM d WHERE step IS NOT NULL GROUP BY 1, 2")
 def signal_gaps(t):
-    return signal.time_gaps(series(t), KEYS, "time_ms").select(*KEYS, F.round("median_step", 3).alias("median_step"), F.round("max_step", 3).alias("max_step"), "has_gap")
+    return signal.time_gaps(series(t), KEYS, "time_ms").select(*KEYS, F.round("median_step", 4).alias("median_step"), F.round("max_step", 3).alias("max_step"), "has_gap")
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE value < p) AS breaks, count(*) FILTER (WHERE value < p) = 0 AS in_order FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) GROUP BY user_id")
