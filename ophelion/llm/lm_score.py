@@ -6,10 +6,11 @@ numbers 1 to q. A worker that holds the filter finds a count by probing with 1,
 ... until a probe fails. Pair probabilities are smoothed towards word probabilities
 (Dirichlet prior), word probabilities as in the base score.
 
-The filter is broadcast, so its size has a fixed bound (``filter_mb``). While the
-quantised counts fit at ``BITS`` bits an entry, everything is in it; beyond, level 1
-starts at a count twice as large, and again, until they fit: rare pairs then count
-as unseen, the rest stays exact to its level. All counting is over all rows.
+The filter grows with the distinct words and pairs, those seen once included: it is
+made in parts by the first bits of the fingerprint, each with ``BITS`` bits an entry
+or more, and no part is ever on the driver. Documents are tokenised once into chunks;
+the distinct words and pairs of a chunk are sent to the segments of the filter (a
+few parts each), and their levels come back to the chunk, which is then scored.
 
 Exact counts for the base score don't use the filter: a bounded head of the most
 frequent words goes to the workers as a table, rarer words are joined by a shuffle.
@@ -20,6 +21,7 @@ their first bits into parts, differences and counts compressed by byte planes.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections import Counter
@@ -36,9 +38,12 @@ from ._base import chunk_words, chunked, id_fold, mix, small_batches, staged, te
 COUNTED_WORDS, COUNTED_TOKENS = 400_000, 1 << 22
 #: Bytes of text scored at once: more tokens share the probes of their words.
 SCORED_BYTES = 1 << 22
-HEAD, FILTER_MB, BITS, PROBES, BASE, PRIOR = 1 << 16, 32, 8, 4, 1.5, 1000.0
-SEGMENT_BITS = 8
+HEAD, BITS, PROBES, BASE, PRIOR = 1 << 16, 8, 4, 1.5, 1000.0
+#: Segments are 2**SEGMENT_BITS until one would stand for more than SEGMENT_TOKENS.
+SEGMENT_BITS, SEGMENT_TOKENS = 8, 1 << 26
 PART_TOKENS = 1 << 21
+#: Fingerprints probed at once in a segment.
+PROBED = 1 << 21
 _FINGERPRINT = 48
 _UPPER = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -54,18 +59,28 @@ def lowered(texts: list[bytes]) -> list[bytes]:
 def _words_and_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word fingerprints, pair fingerprints, first token of each text) of the tokens,
     one end token after each text. The last bit tells pairs from words."""
+    tokens, first = _tokens(texts)
+    return *_prints(tokens, first), first
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the tokens, first token of each text and the end of the last)."""
     hashes, cut = chunk_words(texts)
     n = np.diff(cut)
     first = np.concatenate([[0], np.cumsum(n + 1)])
     tokens = np.full(first[-1], _END, np.uint64)
     at = np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)
     tokens[at] = hashes
+    return tokens, first
+
+
+def _prints(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[_START], tokens[:-1]])
     before[first[:-1]] = _START
     shift = np.uint64(64 - _FINGERPRINT)
     words = (mix(tokens) >> shift) & ~np.uint64(1)
     pairs = (mix(tokens ^ mix(before * np.uint64(0x9E3779B97F4A7C15))) >> shift) | np.uint64(1)
-    return words, pairs, first
+    return words, pairs
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -87,9 +102,9 @@ def unpack_counts(prints: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]
     return np.cumsum(_unpack(prints, np.uint64), dtype=np.uint64), _unpack(counts, np.uint32)
 
 
-def _ngram_counts(training: DataFrame, part_bits: int) -> DataFrame:
-    """(part, prints, counts) with counts over the whole corpus; pairs seen once only
-    are left out, as the filter starts at two for pairs."""
+def filter_parts(training: DataFrame, part_bits: int) -> DataFrame:
+    """(part, bits): the filter of the counts over the whole corpus, all words and
+    pairs included. A part has as many bits as its own entries need."""
 
     def parts(gathered: list[np.ndarray]) -> pa.RecordBatch:
         prints, counts = np.unique(np.concatenate(gathered), return_counts=True)
@@ -119,13 +134,20 @@ def _ngram_counts(training: DataFrame, part_bits: int) -> DataFrame:
         order = np.argsort(prints, kind="stable")
         prints, counts = prints[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-        prints, counts = prints[first], np.minimum(np.add.reduceat(counts, first), 2**32 - 1)
-        keep = (prints & np.uint64(1) == 0) | (counts >= 2)
-        p, c = pack_counts(prints[keep], counts[keep])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "prints": [p], "counts": [c]})
+        levels = levels_of(np.add.reduceat(counts, first), 1)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [part_of(prints[first], levels).tobytes()]})
+
+    counted = training.select("text").mapInArrow(run, "part int, prints binary, counts binary")
+    return counted.groupBy("part").applyInPandas(merge, "part int, bits binary")
+
 
-    schema = "part int, prints binary, counts binary"
-    return training.select("text").mapInArrow(run, schema).groupBy("part").applyInPandas(merge, schema)
+def part_of(prints: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A part of the filter as bytes, for distinct fingerprints and their levels."""
+    size = 1 << math.ceil(math.log2(max(64, int(levels.sum()) * BITS)))
+    bits = np.zeros(size, np.bool_)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        bits[CountFilter.places(prints[levels >= level], level, size).ravel()] = True
+    return np.packbits(bits, bitorder="little")
 
 
 # ------------------------------------------------------------------ the filter
@@ -146,10 +168,13 @@ def count_of(levels: np.ndarray, first: int) -> np.ndarray:
 
 
 class CountFilter:
-    """A Bloom filter in segments chosen by the first bits of the fingerprint."""
+    """A Bloom filter in parts chosen by the first ``part_bits`` of the fingerprint: all
+    of them, or an aligned run of a power of two. Each has its own size, a power of two."""
 
-    def __init__(self, segments: np.ndarray, first_word: int, first_pair: int):
-        self.bits, self.first_word, self.first_pair = segments, first_word, first_pair
+    def __init__(self, parts, first_word: int = 1, first_pair: int = 1, part_bits: int = SEGMENT_BITS):
+        widths = np.array([len(x) for x in parts], np.int64)
+        self.bits, self.starts, self.masks = np.concatenate(list(parts)), np.cumsum(widths) - widths, (widths * 8 - 1).astype(np.uint64)
+        self.first_word, self.first_pair, self.part_bits = first_word, first_pair, part_bits
 
     @staticmethod
     def _halves(prints: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,16 +191,15 @@ class CountFilter:
     def levels(self, prints: np.ndarray) -> np.ndarray:
         """The greatest q such that the probes for 1..q all succeed; a probe ends at its
         first bit that isn't set."""
-        width = self.bits.shape[1]
-        mask, flat = np.uint64(width * 8 - 1), self.bits.ravel()
-        segment = (prints >> np.uint64(_FINGERPRINT - SEGMENT_BITS)).astype(np.int64) * width
+        part = (prints >> np.uint64(_FINGERPRINT - self.part_bits)).astype(np.int64) & (len(self.starts) - 1)
+        start, mask = self.starts[part], self.masks[part]
         out = np.zeros(len(prints), np.int64)
         alive, level = np.arange(len(prints)), 1
         while len(alive):
             a, b = self._halves(prints[alive], level)
             for _ in range(PROBES):
-                at = a & mask
-                hit = np.flatnonzero(flat[segment[alive] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                at = a & mask[alive]
+                hit = np.flatnonzero(self.bits[start[alive] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 if len(hit) < len(alive):
                     alive, a, b = alive[hit], a[hit], b[hit]
                 a = a + b
@@ -183,63 +207,6 @@ class CountFilter:
             level += 1
         return out
 
-    def counts(self, prints: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(prints, return_inverse=True)
-        levels = self.levels(distinct)
-        pairs = distinct & np.uint64(1) == 1
-        return np.where(pairs, count_of(levels, self.first_pair), count_of(levels, self.first_word))[back]
-
-
-def _entries(ngrams: DataFrame, firsts: list[tuple[int, int]]) -> list[int]:
-    """Entries that the filter would hold for each choice of first counts."""
-
-    def run(batches):
-        for batch in batches:
-            total = np.zeros(len(firsts), np.int64)
-            for p, c in zip(batch["prints"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                prints, counts = unpack_counts(p, c)
-                pairs = prints & np.uint64(1) == 1
-                total += [int(levels_of(counts[~pairs], w).sum() + levels_of(counts[pairs], q).sum()) for w, q in firsts]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(firsts)), pa.int32()), pa.array(total)], ["choice", "n"])
-
-    rows = ngrams.select("prints", "counts").mapInArrow(run, "choice int, n long").groupBy("choice").agg(F.sum("n").alias("n")).collect()
-    found = {r["choice"]: r["n"] for r in rows}
-    return [found.get(k, 0) for k in range(len(firsts))]
-
-
-def build_filter(ngrams: DataFrame, part_bits: int, filter_mb: float = FILTER_MB) -> CountFilter:
-    """Segments are made in the executors and come to the driver: filter_mb at most."""
-    most = int(filter_mb * 2**23)
-    firsts = [(1 << max(0, k - 1), 2 << k) for k in range(40)]
-    entries = _entries(ngrams, firsts)
-    pick = next((k for k, n in enumerate(entries) if n * BITS <= most), len(firsts) - 1)
-    first_word, first_pair = firsts[pick]
-    n_segments = 1 << SEGMENT_BITS
-    bits_wanted = min(entries[pick] * BITS, most) / n_segments
-    size = (1 << min(math.ceil(math.log2(max(64, bits_wanted))), math.floor(math.log2(max(64, most / n_segments))))) // 8  # bytes of a segment
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(size * 8, np.bool_)
-        for p, c in zip(pdf["prints"], pdf["counts"], strict=True):
-            prints, counts = unpack_counts(p, c)
-            pairs = prints & np.uint64(1) == 1
-            levels = np.where(pairs, levels_of(counts, first_pair), levels_of(counts, first_word))
-            for level in range(1, int(levels.max(initial=0)) + 1):
-                bits[CountFilter.places(prints[levels >= level], level, size * 8).ravel()] = True
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bucket": [pdf["bucket"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bits": [bits.tobytes()]})
-
-    schema = "segment int, bucket int, bits binary"
-    placed = ngrams.select(F.shiftright("part", part_bits - SEGMENT_BITS).alias("segment"), F.pmod("part", F.lit(64)).alias("bucket"), "prints", "counts")
-    rows = placed.groupBy("segment", "bucket").applyInPandas(run, schema).groupBy("segment").applyInPandas(union, "segment int, bits binary").collect()
-    out = np.zeros((n_segments, size), np.uint8)
-    for r in rows:
-        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return CountFilter(out, first_word, first_pair)
-
 
 # --------------------------------------------------------------------- scoring
 
@@ -327,32 +294,131 @@ def base_scores(docs: DataFrame, counts: DataFrame, total: int, distinct: int, h
     return both.select("row", n_tokens.alias("n_tokens"), n_known.alias("n_known"), (per("total") + (n_tokens - n_known) * F.lit(math.log10(0.5)) - n_tokens * F.lit(mass)).alias("base_score"))
 
 
-def model_scores(docs: DataFrame, counts: CountFilter, total: int, distinct: int, n_docs: int, prior: float = PRIOR) -> DataFrame:
-    """(doc_id, held_out, row, score): log10 probability of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast((counts.bits, counts.first_word, counts.first_pair))
-    mass = total + 0.5 * (distinct + 1)
+def chunks_of(rows: DataFrame) -> DataFrame:
+    """Documents as chunks of tokens: the ids (8 bytes each), a flag byte each (1: has an
+    id, 2: held out), row keys and numbers of tokens; the distinct token hashes, and
+    which of them each token is. ``chunk`` names a chunk within one run: to be staged."""
+    from pyspark import TaskContext
+
+    names = ("ids", "flags", "row_keys", "sizes", "hashes", "tokens")
 
     def run(batches):
-        model = CountFilter(*shared.value)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = lowered(texts_of(batch["text"]))
-            scores = np.zeros(len(texts))
+            ids, held = batch["doc_id"].to_pylist(), batch["held_out"].to_pylist()
             for lo, hi in chunked(texts, SCORED_BYTES):
-                words, pairs, first = _words_and_pairs(texts[lo:hi])
-                word = model.counts(words)
-                pair = model.counts(pairs)
-                context = np.concatenate([[n_docs], word[:-1]])
-                context[first[:-1]] = n_docs
-                pair = np.minimum(pair, context)
-                p = (pair + prior * (word + 0.5) / mass) / (context + prior)
-                scores[lo:hi] = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first[:-1])
-            ids = batch["doc_id"].to_pylist()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array([_row_key(i, t) for i, t in zip(ids, texts, strict=True)], pa.int64()), pa.array(scores)], ["doc_id", "held_out", "row", "score"])
+                tokens, first = _tokens(texts[lo:hi])
+                hashes, which = np.unique(tokens, return_inverse=True)
+                own = ids[lo:hi]
+                blobs = (
+                    np.array([i or 0 for i in own], np.int64).tobytes(),
+                    np.array([(i is not None) + 2 * bool(h) for i, h in zip(own, held[lo:hi], strict=True)], np.uint8).tobytes(),
+                    np.array([_row_key(i, t) for i, t in zip(own, texts[lo:hi], strict=True)], np.int64).tobytes(),
+                    np.diff(first).astype(np.int64).tobytes(),
+                    _pack(np.diff(hashes, prepend=np.uint64(0))),
+                    _pack(which.astype(np.uint32)),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", *names])
+                number += 1
+
+    return rows.mapInArrow(run, "chunk long, " + ", ".join(f"{n} binary" for n in names))
+
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, row long, score double")
+def _chunk_prints(sizes: bytes, hashes: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word fingerprints, pair fingerprints, first token of each document)."""
+    first = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
+    known = np.cumsum(_unpack(hashes, np.uint64), dtype=np.uint64)
+    return *_prints(known[_unpack(tokens, np.uint32)], first), first
 
 
-def score_corpus(docs: DataFrame, filter_mb: float = FILTER_MB, prior: float = PRIOR, head_size: int = HEAD) -> DataFrame:
+def _probes(chunks: DataFrame, segment_bits: int) -> DataFrame:
+    """(chunk, segment, prints): the distinct fingerprints of each chunk, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, *blobs in zip(*(batch[c].to_pylist() for c in ("chunk", "sizes", "hashes", "tokens")), strict=True):
+                words, pairs, _ = _chunk_prints(*blobs)
+                prints = np.unique(np.concatenate([np.unique(words), pairs]))
+                segment = (prints >> np.uint64(_FINGERPRINT - segment_bits)).astype(np.int64)
+                bounds = np.searchsorted(segment, np.arange((1 << segment_bits) + 1))
+                rows = [(k, _pack(np.diff(prints[a:b], prepend=np.uint64(0)))) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "segment", "prints"])
+
+    return chunks.select("chunk", "sizes", "hashes", "tokens").mapInArrow(run, "chunk long, segment int, prints binary")
+
+
+def _answers(probes: DataFrame, parts: DataFrame, part_bits: int, segment_bits: int) -> DataFrame:
+    """(chunk, segment, levels) of the probes, in their order, a byte each."""
+    run_of = 1 << (part_bits - segment_bits)
+
+    def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        bits = [np.zeros(8, np.uint8)] * run_of
+        for part, x in zip(own["part"], own["bits"], strict=True):
+            bits[part % run_of] = np.frombuffer(x, np.uint8)
+        model = CountFilter(bits, part_bits=part_bits)
+        found, waiting, size = [], [], 0
+
+        def probe():
+            levels = model.levels(np.concatenate(waiting)).astype(np.uint8)
+            found.extend(zlib.compress(x.tobytes(), 1) for x in np.split(levels, np.cumsum([len(w) for w in waiting])[:-1]))
+            waiting.clear()
+
+        for x in asked["prints"]:
+            waiting.append(np.cumsum(_unpack(x, np.uint64), dtype=np.uint64))
+            size += len(waiting[-1])
+            if size > PROBED:
+                probe()
+                size = 0
+        if waiting:
+            probe()
+        return pd.DataFrame({"chunk": asked["chunk"], "segment": asked["segment"], "levels": found})
+
+    placed = parts.select(F.shiftright("part", part_bits - segment_bits).alias("segment"), "part", "bits")
+    return placed.groupBy("segment").cogroup(probes.groupBy("segment")).applyInPandas(run, "chunk long, segment int, levels binary")
+
+
+def model_scores(chunks: DataFrame, parts: DataFrame, part_bits: int, segment_bits: int, total: int, distinct: int, n_docs: int, prior: float = PRIOR) -> DataFrame:
+    """(doc_id, held_out, row, score): log10 probability of each text."""
+    mass = total + 0.5 * (distinct + 1)
+
+    def run(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        c = own.iloc[0]
+        words, pairs, first = _chunk_prints(c["sizes"], c["hashes"], c["tokens"])
+        levels = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in answers.sort_values("segment")["levels"]])
+        counts = count_of(levels.astype(np.int64), 1)
+        known, back = np.unique(words, return_inverse=True)
+        prints, at = np.unique(np.concatenate([known, pairs]), return_inverse=True)
+        if len(prints) != len(counts):
+            raise RuntimeError(f"{len(prints)} fingerprints asked, {len(counts)} levels found")
+        word, pair = counts[at[: len(known)]][back], counts[at[len(known) :]]
+        context = np.concatenate([[n_docs], word[:-1]])
+        context[first[:-1]] = n_docs
+        pair = np.minimum(pair, context)
+        p = (pair + prior * (word + 0.5) / mass) / (context + prior)
+        flags = np.frombuffer(c["flags"], np.uint8)
+        ids = [int(i) if f & 1 else None for i, f in zip(np.frombuffer(c["ids"], np.int64), flags, strict=True)]
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array(ids, "Int64"),
+                "held_out": flags & 2 > 0,
+                "row": np.frombuffer(c["row_keys"], np.int64),
+                "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), first[:-1]),
+            }
+        )
+
+    answers = _answers(_probes(chunks, segment_bits), parts, part_bits, segment_bits)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "doc_id long, held_out boolean, row long, score double")
+
+
+def _release(spark) -> None:
+    """Shuffle files of steps that have ended stay on disk until the driver's JVM
+    collects its garbage; here that is the shuffles of the counts and base scores."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def score_corpus(docs: DataFrame, prior: float = PRIOR, head_size: int = HEAD) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
@@ -366,11 +432,14 @@ def score_corpus(docs: DataFrame, filter_mb: float = FILTER_MB, prior: float = P
     counts = staged(word_counts(training), "words")
     seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0)).alias("docs")).first()
     total, distinct, n_docs = int(seen["n"]), int(seen["v"]), int(seen["docs"])
-    part_bits = min(24, max(SEGMENT_BITS, math.ceil(math.log2(max(1, total) / PART_TOKENS))))
-    ngrams = staged(_ngram_counts(training, part_bits), "ngrams")
-    model = build_filter(ngrams, part_bits, filter_mb)
-    base = base_scores(rows, counts, total, distinct, head_size)
-    scored = model_scores(rows, model, total, distinct, n_docs, prior)
+    bits_for = lambda tokens: math.ceil(math.log2(max(1, total) / tokens))
+    segment_bits = min(16, max(SEGMENT_BITS, bits_for(SEGMENT_TOKENS)))
+    part_bits = min(24, max(segment_bits, bits_for(PART_TOKENS)))
+    parts = staged(filter_parts(training, part_bits), "filter")
+    base = staged(base_scores(rows, counts, total, distinct, head_size), "base")
+    _release(docs.sparkSession)
+    chunks = staged(chunks_of(rows), "chunks")
+    scored = model_scores(chunks, parts, part_bits, segment_bits, total, distinct, n_docs, prior)
     return scored.join(base, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

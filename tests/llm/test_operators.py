@@ -390,6 +390,39 @@ def test_lm_score(docs, rows, null_id, empty, spark):
     assert lm_score.score_corpus(null_id).count() == len(rows) + 3
 
 
+def brute_score(rows, prior=1000.0):
+    """Scores from the exact levels of all words and pairs, those seen once included."""
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    tokens = lambda t: [*(t or "").encode().translate(lm_score._UPPER).split(), b""]
+    one, two, docs = Counter(), Counter(), 0
+    for i, t, *_ in rows:
+        if not held(i):
+            own = tokens(t)
+            docs += 1
+            one.update(own)
+            two.update(zip([None, *own], own))
+    mass = one.total() + 0.5 * (len(one) + 1)
+    middle = lambda n: float(lm_score.count_of(lm_score.levels_of(np.array([n]), 1), 1)[0])
+    for i, t, *_ in rows:
+        score, before = 0.0, None
+        for w in tokens(t):
+            context = docs if before is None else middle(one[before])
+            p = (min(middle(two[before, w]), context) + prior * (middle(one[w]) + 0.5) / mass) / (context + prior)
+            score, before = score + math.log10(min(p, 1.0)), w
+        yield i, score
+
+
+@pytest.mark.parametrize("tokens", [1 << 21, 16])  # 16: more parts and segments than the least
+def test_lm_score_counts_every_pair(docs, rows, monkeypatch, tokens):
+    monkeypatch.setattr(lm_score, "PART_TOKENS", tokens)
+    monkeypatch.setattr(lm_score, "SEGMENT_TOKENS", tokens * 4)
+    found = sorted((r["doc_id"], r["score"]) for r in lm_score.score_corpus(docs).collect())
+    want = sorted(brute_score(rows))
+    assert [f[0] for f in found] == [w[0] for w in want]
+    # the filter errs upwards for some of the n-grams; without pairs seen once the sums are off by more
+    assert [f[1] for f in found] == pytest.approx([w[1] for w in want], rel=0.01)
+
+
 def test_count_filter_keeps_levels():
     rng = np.random.default_rng(0)
     prints = np.unique(rng.integers(0, 1 << 48, 4000).astype(np.uint64))
