@@ -877,10 +877,7 @@ def smote(t):
 
 @query()
 def token_similarity(t):
-    halves = t.embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    tokens = halves.where("vec_id < 200").groupBy("label").agg(F.array_sort(F.collect_list(F.when(F.col("vec_id") % 2 == 0, F.struct("vec_id", "e")))).alias("x"), F.array_sort(F.collect_list(F.when(F.col("vec_id") % 2 == 1, F.struct("vec_id", "e")))).alias("y"))
-    vectors = lambda c: F.transform(c, lambda s: s["e"])
-    return tokens.select("label", similarity.bert_score(vectors("x"), vectors("y")).alias("s")).select("label", "s.*")
+    return similarity.token_scores(t.embeddings.withColumn("odd", F.col("vec_id") % 2 == 1), "label", "vec_id", "embedding", "odd")
 
 
 # --------------------------------------------- guards, filters and small joins
