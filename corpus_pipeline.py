@@ -34,9 +34,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five-word shingles, 0.8) the smallest doc_id stays."""
-    found = jaccard_join.near_duplicates(docs)
-    return _kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id"))
+    """Of near duplicates (five-word shingles, 0.8) the smallest doc_id stays; of one
+    doc_id with several texts, or none, each text is decided on its own."""
+    first = jaccard_join.first_rows(docs).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"))
+    rows = docs.select(*COLUMNS, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("__key"), jaccard_join.digest_of(docs["text"]).alias("__digest"))
+    return rows.join(first, ["__key", "__digest"], "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 1. Each document becomes its set of five-word shingles (a shorter text: all its
    words, one shingle). Documents with equal sets are one class from the start and
    stand behind one representative; a hot group of copies costs one row from here.
+   A set is named by its own hash through all steps, never by a doc_id: rows without
+   an id, or with the same one, are documents of their own.
 2. Each representative gets ``bands`` band hashes of ``rows`` MinHash values; both
    numbers follow from the target recall at the threshold. Bands are shuffled on
    their hash; each bucket links its members to its smallest one, so a bucket of m
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import chunk_words, chunked, mix, rolling, signed, staged, texts_of, windows, with_key
+from ._base import NULL_ID, chunk_words, chunked, mix, rolling, signed, staged, texts_of, windows, with_key
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Documents of a block, and shingles verified at once within one pair of blocks.
@@ -56,8 +58,8 @@ def _sets(batch: pa.RecordBatch, words: int):
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, set_hi, set_lo, bands): 128 bits that name the shingle set, and
-    its band hashes (none for a document without words)."""
+    """(doc_id, key, digest, set_hi, set_lo, bands): 128 bits that name the shingle set,
+    and its band hashes (none for a document without words)."""
     seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     a, b = seeds[: bands * rows] | np.uint64(1), seeds[bands * rows :]
 
@@ -82,9 +84,9 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 sizes[i + 1] = bands
             values = signed(np.concatenate(found)) if found else pa.array([], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), values)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], signed(names[0]), signed(names[1]), lists], ["doc_id", "key", "set_hi", "set_lo", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], batch["digest"], signed(names[0]), signed(names[1]), lists], ["doc_id", "key", "digest", "set_hi", "set_lo", "bands"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, set_hi long, set_lo long, bands array<long>")
+    return docs.select("doc_id", "key", "digest", "text").mapInArrow(run, "doc_id long, key long, digest long, set_hi long, set_lo long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,18 +204,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
     Classes are the connected components of the links. Documents without words
     (null or white text) have the empty set and are copies of each other. A null
-    doc_id counts as the largest id and shows as null class_id where it is alone;
-    rows that share a doc_id are documents of their own in counts, and in the class
-    of that id's first set. Extra columns are ignored; empty tables give no rows.
+    doc_id counts as the largest id; class_id is null where no document of the class
+    has an id. Rows that share a doc_id, or have none, are documents of their own, each
+    in the class of its own text. Extra columns are ignored; empty tables give no rows.
     """
-    base = with_key(docs)
+    return _classified(docs, words, threshold, recall, rows).select("doc_id", F.when(F.col("first.key") != NULL_ID, F.col("first.key")).alias("class_id"), "n_links", "n_texts", "copies")
+
+
+def first_rows(docs: DataFrame) -> DataFrame:
+    """(key, digest) of the document that stands for each class: the smallest doc_id (null
+    the largest) and, where that has several texts, the smallest digest of the text."""
+    found = _classified(docs, WORDS, THRESHOLD, RECALL, ROWS)
+    return found.where((F.col("key") == F.col("first.key")) & (F.col("digest") == F.col("first.digest"))).select("key", "digest").distinct()
+
+
+def digest_of(text):
+    return F.xxhash64(text.cast("string"))
+
+
+def _classified(docs: DataFrame, words: int, threshold: float, recall: float, rows: int) -> DataFrame:
+    """(doc_id, key, digest, first, n_links, n_texts, copies); first is the struct (key,
+    digest) of the document that stands for the class."""
+    base = with_key(docs).withColumn("digest", digest_of(F.col("text")))
     found = staged(signatures(base, words, bands_for(threshold, recall, rows), rows), "signatures")
     # written first: a join of two plain shuffles is one that can be split where a set is hot
-    classes = staged(found.groupBy("set_hi", "set_lo").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    members = staged(found.select("doc_id", "key", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"]).select("doc_id", "key", "rep", "copies", "set_hi", "set_lo"), "members")
-    reps = members.where("key = rep").select("key", "set_hi", "set_lo", "copies").dropDuplicates(["key"])
-    # a key with several rows keeps the bands of its representative's set
-    banded = found.join(reps.select("key", "set_hi", "set_lo"), ["key", "set_hi", "set_lo"], "left_semi").select("key", F.explode("bands").alias("band"))
+    one = F.min(F.struct("key", "digest", "bands"))
+    classes = staged(found.groupBy("set_hi", "set_lo").agg(one.alias("one"), F.count(F.lit(1)).alias("copies")).select("set_hi", "set_lo", F.struct("one.key", "one.digest").alias("rep"), "copies", "one.bands"), "classes")
+    members = staged(found.select("doc_id", "key", "digest", "set_hi", "set_lo").join(classes.drop("bands"), ["set_hi", "set_lo"]).select("doc_id", "key", "digest", F.col("set_hi").alias("set"), "rep", "copies"), "members")
+    reps = classes.select(F.col("set_hi").alias("key"), "rep", "copies")
+    banded = classes.select(F.col("set_hi").alias("key"), F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("band", "first")
     edges = banded.join(buckets, "band").where("key > first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
     pools = components(edges)
@@ -221,11 +240,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     counts = staged(_pairs_of_blocks(blocks, threshold).groupBy("pool", "low", "high").applyInPandas(_verify(threshold), "key long, other long, texts long, documents long"), "links")
     links = counts.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     roots = components(counts.where("key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    linked = links.join(roots.withColumnRenamed("node", "key"), "key").withColumnRenamed("key", "rep")
-    key = F.coalesce("root", "rep")
-    return members.join(linked, "rep", "left").select(
+    roots = staged(roots.withColumnRenamed("node", "key"), "roots")
+    names = staged(roots.join(reps, "key").groupBy("root").agg(F.min("rep").alias("first")), "names")
+    linked = staged(links.join(roots, "key").join(names, "root").select(F.col("key").alias("set"), "first", "documents", "texts"), "linked")
+    return members.join(linked, "set", "left").select(
         "doc_id",
-        F.when(key != 2**63 - 1, key).alias("class_id"),
+        "key",
+        "digest",
+        F.coalesce("first", "rep").alias("first"),
         (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_texts"),
         "copies",
@@ -244,9 +266,9 @@ def _blocks(pools: DataFrame, base: DataFrame, reps: DataFrame, words: int) -> D
                 own[i], size[i] = x.tobytes(), len(x)
             yield pa.RecordBatch.from_arrays([batch["key"], batch["pool"], batch["copies"], pa.array(size, pa.int64()), pa.array(own, pa.binary())], ["key", "pool", "copies", "size", "shingles"])
 
-    wanted = pools.select(F.col("node").alias("key"), F.col("root").alias("pool")).join(reps.select("key", "copies"), "key")
-    # rows that share a doc_id: the one set that stands for it is taken
-    texts = base.join(wanted, "key").select("key", "pool", "copies", "text")
+    wanted = pools.select(F.col("node").alias("key"), F.col("root").alias("pool")).join(reps, "key").select("pool", "copies", F.col("key").alias("set"), F.col("rep.key").alias("key"), F.col("rep.digest").alias("digest"))
+    # id and text: rows of the same id and another text aren't taken; equal rows are one
+    texts = base.join(wanted, ["key", "digest"]).select(F.col("set").alias("key"), "pool", "copies", "text")
     with_sets = staged(texts.mapInArrow(sets, "key long, pool long, copies long, size long, shingles binary").dropDuplicates(["key"]), "sets")
     sizes = with_sets.groupBy("pool", "size").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window

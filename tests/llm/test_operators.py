@@ -265,6 +265,29 @@ def test_jaccard_join(docs, rows, null_id, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_join_without_ids(spark):
+    """Texts without an id, or with the same one, keep their own links and classes."""
+    rng = random.Random(11)
+    text = lambda: [f"w{rng.randint(0, 9999)}" for _ in range(100)]
+    near = lambda x, k: " ".join([*x[:40], f"near{k}", *x[41:]])
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(7, " ".join(a)), (None, near(a, 0)), (None, " ".join(b)), (None, near(b, 1)), (None, " ".join(c))]
+    rows += [(9, " ".join(d)), (9, " ".join(e)), (4, near(e, 2)), (None, " ".join(c))]
+    links, classes = [1, 1, 1, 1, 1, 0, 1, 1, 1], [7, 7, None, None, None, 9, 4, 4, None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    big = 2**63 - 1
+    order = lambda found: sorted(found, key=lambda r: [big if x is None else x for x in r])
+    out = [(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()]
+    assert order(out) == order((i, k, n) for (i, _), k, n in zip(rows, classes, links, strict=True))
+
+    import corpus_pipeline
+
+    full = docs.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, full, "").collect()]
+    assert {rows[0], rows[4], rows[5], rows[7]} < set(kept) and len({rows[2], rows[3]} & set(kept)) == 1
+    assert not {rows[1], rows[6]} & set(kept)
+
+
 def test_jaccard_join_in_blocks(spark, monkeypatch):
     """Pools of many blocks lose no link, within a size and across sizes."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
