@@ -656,7 +656,7 @@ def nemenyi(t):
 
 @query()
 def bootstrap_ci(t):
-    return scores.bootstrap_mean(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", ["c_mktsegment"], 200)
+    return scores.bootstrap_mean(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", ["c_mktsegment"], 1000)
 
 
 # ------------------------------------------------------------------- signals
