@@ -8,6 +8,7 @@ Words are ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text, which is exactly how
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,17 +23,23 @@ NULL_ID = 2**63 - 1
 WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
 CHUNK_BYTES = 1 << 20
-BLOCK_BYTES = 1 << 22
+#: Bytes hashed at once: the arrays of one block stay in the processor's cache.
+BLOCK_BYTES = 1 << 18
+#: Bytes that the Parquet writer of a staged table gathers before it writes them out.
+ROW_GROUP_BYTES = 1 << 25
 
 _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the
-    session, or a temporary one where that is unset (local tests)."""
+    session, or a temporary one where that is unset in local mode (tests). On a
+    cluster it must be set: executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="ophelion-")
@@ -56,7 +63,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     atexit.register(_drop_path, spark, path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 
@@ -114,11 +121,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         have = np.full(size, np.uint64(base), np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= BLOCK_BYTES * 2:
+        if size <= 2 * BLOCK_BYTES:  # what longer ranges need isn't kept
             _powers[base] = have
     return have[:n]
 
@@ -133,8 +140,30 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers live on
+    between tasks, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(batches: Iterator) -> Iterator:
+    """The items of an iterator, with ``release`` at its end."""
+    yield from batches
+    release()
+
+
+def word_hashes(data: bytes, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(start of each word, its 64-bit hash). Works in blocks cut at white space."""
+    starts, hashes = word_hashes_by(data, (which,))
+    return starts, hashes[0]
+
+
+def word_hashes_by(data: bytes, which: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(start of each word, for each of ``which`` a 64-bit hash)."""
     whole = np.frombuffer(data, np.uint8)
     starts, hashes, at = [], [], 0
     while at < len(whole):
@@ -151,11 +180,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         edges = np.flatnonzero(np.diff(flags))
         s, e = edges[0::2], edges[1::2]
         starts.append(s + at)
-        hashes.append(rolling(_BYTE[block], s, e))
+        values = _BYTE[block]
+        hashes.append([rolling(values, s, e, k) for k in which])
         at = end
     if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(hashes)
+        return np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in which]
+    return np.concatenate(starts), [np.concatenate(x) for x in zip(*hashes, strict=True)]
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -177,7 +207,13 @@ def chunked(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def chunk_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and where each text's words begin (one more entry ends the last)."""
-    starts, hashes = word_hashes(b"\n".join(texts))
+    hashes, cut = chunk_words_by(texts, (0,))
+    return hashes[0], cut
+
+
+def chunk_words_by(texts: list[bytes], which: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The same for each hash of ``which``."""
+    starts, hashes = word_hashes_by(b"\n".join(texts), which)
     sizes = np.array([len(x) + 1 for x in texts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     cut = np.searchsorted(starts, bounds)

@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import NULL_ID, chunk_words, chunked, mix, rolling, signed, staged, texts_of, windows, with_key
+from ._base import NULL_ID, chunk_words, chunked, mix, release, rolling, signed, staged, texts_of, windows, with_key
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
-#: Documents of a block, and shingles verified at once within one pair of blocks.
-BLOCK, COLUMNS = 256, 1 << 14
+#: Documents and shingles of a block at most (a longer document is a block of its own),
+#: and shingles verified at once within one pair of blocks.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 1 << 14
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -85,6 +86,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             values = signed(np.concatenate(found)) if found else pa.array([], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), values)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], batch["digest"], signed(names[0]), signed(names[1]), lists], ["doc_id", "key", "digest", "set_hi", "set_lo", "bands"])
+        release()
 
     return docs.select("doc_id", "key", "digest", "text").mapInArrow(run, "doc_id long, key long, digest long, set_hi long, set_lo long, bands array<long>")
 
@@ -184,6 +186,9 @@ def _verify(threshold: float):
         i, j = np.nonzero(np.triu(linked) if same else linked)
         edges = _forest(n, np.stack([i + a.start, j + b.start], axis=1))
         hit = np.flatnonzero(texts)
+        if sizes.sum() > BLOCK_SHINGLES:
+            del common, total, linked
+            release()
         return pd.DataFrame(
             {
                 "key": np.concatenate([keys[hit], keys[[e[0] for e in edges]]]).astype("int64"),
@@ -256,7 +261,8 @@ def _classified(docs: DataFrame, words: int, threshold: float, recall: float, ro
 
 def _blocks(pools: DataFrame, base: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """(pool, block, smallest, largest, key, copies, shingles) of all representatives
-    that have candidates. Blocks follow set size, about BLOCK documents each."""
+    that have candidates. Blocks follow set size, about BLOCK documents
+    or BLOCK_SHINGLES shingles each."""
 
     def sets(batches):
         for batch in batches:
@@ -265,6 +271,7 @@ def _blocks(pools: DataFrame, base: DataFrame, reps: DataFrame, words: int) -> D
             for i, x in _sets(batch, words):
                 own[i], size[i] = x.tobytes(), len(x)
             yield pa.RecordBatch.from_arrays([batch["key"], batch["pool"], batch["copies"], pa.array(size, pa.int64()), pa.array(own, pa.binary())], ["key", "pool", "copies", "size", "shingles"])
+        release()
 
     wanted = pools.select(F.col("node").alias("key"), F.col("root").alias("pool")).join(reps, "key").select("pool", "copies", F.col("key").alias("set"), F.col("rep.key").alias("key"), F.col("rep.digest").alias("digest"))
     # id and text: rows of the same id and another text aren't taken; equal rows are one
@@ -273,21 +280,20 @@ def _blocks(pools: DataFrame, base: DataFrame, reps: DataFrame, words: int) -> D
     sizes = with_sets.groupBy("pool", "size").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
-    order = Window.partitionBy("pool").orderBy("size")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("pool").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    # blocks that all documents of one size need, by documents and by shingles
+    need = F.col("n") * F.greatest(F.lit(1.0 / BLOCK), F.col("size") / F.lit(float(BLOCK_SHINGLES)))
     # per pool a row for each set size; a size with many documents is cut by hash
-    starts = sizes.select(
+    starts = sizes.withColumn("need", need).select(
         "pool",
         "size",
-        F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts"),
-        F.coalesce(F.sum(F.ceil(F.col("n") / BLOCK)).over(before), F.lit(0)).alias("cuts_before"),
-        F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK).alias("small_block"),
-        "n",
+        "need",
+        F.ceil("need").cast("int").alias("cuts"),
+        F.floor(F.coalesce(F.sum("need").over(before), F.lit(0.0))).alias("small_block"),
     )
-    big = F.col("n") > BLOCK
     placed = with_sets.join(starts, ["pool", "size"])
-    # small sizes share block numbers by running count, large ones have their own
-    number = F.when(big, F.concat_ws("-", F.lit("b"), F.col("size"), F.pmod(F.xxhash64("key"), F.col("cuts")))).otherwise(F.concat_ws("-", F.lit("s"), F.col("small_block")))
+    # small sizes share block numbers by running need, large ones have their own
+    number = F.when(F.col("need") > 1, F.concat_ws("-", F.lit("b"), F.col("size"), F.pmod(F.xxhash64("key"), F.col("cuts")))).otherwise(F.concat_ws("-", F.lit("s"), F.col("small_block")))
     return placed.select("pool", number.alias("block"), "size", "key", "copies", "shingles")
 
 

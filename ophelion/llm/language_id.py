@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import id_fold, small_batches
+from ._base import id_fold, release, small_batches
 
 DIMS, MAX_N, MAX_ROWS = 4096, 3, 3200
 #: Loss margin to the second codeword below which a text is ambiguous.
@@ -152,14 +152,17 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, dims: int = DIMS) -> Ec
 
 
 def predict(docs: DataFrame, model: Ecoc | None, *keep: str | Column, dims: int = DIMS) -> DataFrame:
-    """Adds lang_pred, score, ambiguous to the ``keep`` columns of every document."""
-    columns = small_batches(docs).select(*keep, docs["text"].cast("string").alias("__text"))
-    names = [c for c in columns.columns if c != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields if f.name != "__text")
+    """Adds lang_pred, score, ambiguous to the ``keep`` columns of every document. The
+    text goes to Python once, kept or not."""
+    kept = small_batches(docs).select(*keep)
+    names = kept.columns
+    read = "text" if "text" in names and dict(kept.dtypes)["text"] == "string" else "__text"
+    columns = kept if read == "text" else docs.select(*keep, docs["text"].cast("string").alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches):
         for batch in batches:
-            texts = batch["__text"].to_pylist()
+            texts = batch[read].to_pylist()
             langs, scores, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
             known = [i for i, x in enumerate(texts) if has_letter(x)] if model else []
             for at in range(0, len(known), 256):
@@ -168,6 +171,7 @@ def predict(docs: DataFrame, model: Ecoc | None, *keep: str | Column, dims: int
                 for i, k, s, m in zip(part, best, score, margin, strict=True):
                     langs[i], scores[i], unsure[i] = model.langs[k], float(s), bool(m < AMBIGUOUS)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
+        release()
 
     return columns.mapInArrow(run, f"{schema + ', ' if schema else ''}lang_pred string, score double, ambiguous boolean")
 

@@ -57,43 +57,57 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     )
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken.
+def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, taken, and a
+    struct ``kept`` with the ``keep`` columns of the same row where any are asked for.
 
     size counts words of the text (null: 0). Documents are taken whole in the order
     of their keys up to the source's budget, the last one in part, so that the taken
-    words of a source are floor(target). Reruns agree: keys depend on doc_id and
-    ``seed`` alone; rows with equal doc_id follow each other by size, and equal rows
-    are interchangeable. Null sources are one source, null doc_ids count as ''.
-    A source without words gets target 0. Extra columns are ignored.
+    words of a source are floor(target). Reruns agree: keys depend on doc_id, text and
+    ``seed`` alone, so rows without an id or with the same one are spread over the
+    ranges by their texts, each with its own size and taken words; equal rows are
+    interchangeable. Null sources are one source, null doc_ids and texts count as ''.
+    A source without words gets target 0, an empty table no rows. Extra columns are
+    ignored.
     """
+    text = docs["text"].cast("string")
+    name = F.concat_ws("/", F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.lit(seed))
     sized = staged(
-        docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"].cast("string")).alias("size")),
+        docs.select(
+            docs["doc_id"].cast("long").alias("doc_id"),
+            docs["source"].cast("string").alias("source"),
+            # never null: one expression partitions the windows and the join below
+            F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit("")).alias("src"),
+            word_count(text).alias("size"),
+            F.md5(name.cast("binary")).alias("key"),
+            *([F.struct(*(docs[c] for c in keep)).alias("kept")] if keep else []),
+        ),
         "sized",
     )
-    keyed = sized.withColumn("key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}")).cast("binary"))).withColumn("range", F.substring("key", 1, 3))
-    ranges = staged(keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
+    kept = ["d.kept"] if keep else []
+    keyed = sized.withColumn("range", F.substring("key", 1, 3))
+    ranges = staged(keyed.groupBy("source", "src", "range").agg(F.sum("size").alias("range_size")), "ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # 4096 rows a source at most
     starts = (
-        ranges.select("source", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("start"))
+        ranges.select("source", "src", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("start"))
         .alias("r")
         .join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-        .select("r.source", "r.range", "r.start", "t.source_size", "t.target")
+        .select("r.src", "r.range", "r.start", "t.source_size", "t.target")
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("src", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         keyed.withColumn("upto", F.sum("size").over(inside))
         .alias("d")
-        .join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range")))
-        .select("d.doc_id", "d.size", "d.source", "s.source_size", "s.target", (F.col("s.start") + F.col("d.upto") - F.col("d.size")).alias("at"))
+        .join(starts.alias("s"), (F.col("d.src") == F.col("s.src")) & (F.col("d.range") == F.col("s.range")))
+        .select("d.doc_id", "d.size", "d.source", "s.source_size", "s.target", (F.col("s.start") + F.col("d.upto") - F.col("d.size")).alias("at"), *kept)
     )
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target) AS BIGINT) DIV source_size")).otherwise(F.lit(0).cast("long"))
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("at")))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *(["kept"] if keep else []))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -105,7 +119,7 @@ def mix_sql(documents: str = "documents") -> str:
     return f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/mix') AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, '')) || '/mix') AS key
   FROM {documents}),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -122,7 +136,7 @@ targets AS (
   FROM levels LEFT JOIN lowest ON true),
 placed AS (
   SELECT s.doc_id, s.size, s.source, t.source_size, t.target,
-         CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS BIGINT) AS before_it,
+         CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS BIGINT) AS before_it,
          CASE WHEN t.source_size > 0 THEN CAST(floor(t.target) AS BIGINT) // t.source_size ELSE 0 END AS epochs
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source, source_size, target,

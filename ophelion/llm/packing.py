@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import small_batches, staged, texts_of
+from ._base import release, small_batches, staged, texts_of
 
 CAPACITY = 4096
 END_ID = 1
-RANK_RANGES = 64
+#: Pieces of one length that a range of ranks should hold.
+RANGE_PIECES = 1 << 14
 #: Bounds of the caches of one Python worker.
-WORDS_KEPT, PIECES_KEPT = 400_000, 1_000_000
+WORDS_KEPT, PIECES_KEPT = 100_000, 100_000
 
 
 def default_tokenizer() -> str:
@@ -82,6 +83,11 @@ class WordTokenizer:
         self.words[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empties the caches: a worker lives on after its task."""
+        self.words.clear()
+        self.pieces.clear()
+
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
         get, new = self.words.get, self._word
@@ -94,12 +100,16 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the pieces of each document's ids,
-    its end id included, cut only where longer than ``capacity``."""
+    """(doc_id, piece, start, length, ids_crc32, place): the pieces of each document's
+    ids, its end id included, cut only where longer than ``capacity``. ``place`` tells
+    equal rows apart within one run; to be staged."""
+    from pyspark import TaskContext
+
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
         encode = _tokenizer(path).ids
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             out: list[list] = [[], [], [], [], []]
@@ -111,10 +121,14 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     for column, value in zip(out, (doc_id, k, at, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            places = pa.array(np.arange(place, place + len(out[0])))
+            place += len(out[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), places], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
+        _tokenizer(path).forget()
+        release()
 
     rows = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, place long")
 
 
 def fullest(counts: dict[int, int], order: list[int], room: int) -> list[tuple[int, int]]:
@@ -181,18 +195,23 @@ def _places(bins: list[tuple[list[tuple[int, int]], int]]) -> pd.DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32,
+    place, which differs between rows).
 
-    Equal rows get different places. A table without rows gives none."""
+    A table without rows gives none. A length has as many ranges of ranks as its number
+    of pieces needs, and pieces are dealt among them by their place, so neither a common
+    length nor copies of one row make a hot range."""
     spark = pieces.sparkSession
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranges = spark.createDataFrame([(k, -(-n // RANGE_PIECES)) for k, n in histogram.items()], "of long, ranges int")
     names = "length long, rank_from long, rank_to long, each long, first_sequence long, first_offset long"
     places = spark.createDataFrame(_places(plan_bins(histogram, capacity)), names)
-    ranged = pieces.withColumn("range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_RANGES)).cast("int"))
+    # a row for each length, ``capacity`` at most: small enough to broadcast whatever the corpus
+    ranged = pieces.join(F.broadcast(ranges), pieces["length"] == F.col("of")).withColumn("range", F.pmod(F.xxhash64("place"), F.col("ranges")).cast("int")).drop("of", "ranges")
     sizes = ranged.groupBy("length", "range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "range").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "range").orderBy("place")
     ranked = ranged.withColumn("nth", F.row_number().over(inside) - 1).join(starts, ["length", "range"]).withColumn("rank", F.col("before") + F.col("nth"))
     p, r = places.alias("p"), ranked.alias("r")
     step = F.col("r.rank") - F.col("p.rank_from")

@@ -400,9 +400,10 @@ def brute_base(rows):
     return sorted(out)
 
 
-def test_lm_score(docs, rows, null_id, empty, spark):
-    for head in (8, 1 << 16):  # with and without words beyond the head
-        out = lm_score.score_corpus(docs, head_size=head).collect()
+def test_lm_score(docs, rows, null_id, empty, spark, monkeypatch):
+    for size in (1 << 23, 3000):  # one chunk a task, and many
+        monkeypatch.setattr(lm_score, "CHUNK", size)
+        out = lm_score.score_corpus(docs).collect()
         found = sorted(tuple(r)[:6] for r in out)
         want = brute_base(rows)
         assert [f[:5] for f in found] == [w[:5] for w in want]
@@ -413,6 +414,15 @@ def test_lm_score(docs, rows, null_id, empty, spark):
     assert lm_score.score_corpus(null_id).count() == len(rows) + 3
 
 
+def test_lm_score_without_ids(spark):
+    """Rows without an id, or with the same one, are scored by their own text."""
+    rows = [(None, "a b a"), (None, "zz"), (7, "a b"), (7, "a b a b zz"), (None, None), (8, "")]
+    out = lm_score.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in out) == sorted((i or -1, len((t or "").split()) + 1) for i, t in rows)
+    want = sorted((i or -1, s) for i, s in brute_score(rows))
+    assert sorted((r["doc_id"] or -1, r["score"]) for r in out) == [(i, pytest.approx(s, rel=1e-6)) for i, s in want]
+
+
 def brute_score(rows, prior=1000.0):
     """Scores from the exact levels of all words and pairs, those seen once included."""
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
@@ -439,6 +449,8 @@ def brute_score(rows, prior=1000.0):
 def test_lm_score_counts_every_pair(docs, rows, monkeypatch, tokens):
     monkeypatch.setattr(lm_score, "PART_TOKENS", tokens)
     monkeypatch.setattr(lm_score, "SEGMENT_TOKENS", tokens * 4)
+    monkeypatch.setattr(lm_score, "COARSE_BITS", 8)
+    monkeypatch.setattr(lm_score, "PIECE_TOKENS", tokens)
     found = sorted((r["doc_id"], r["score"]) for r in lm_score.score_corpus(docs).collect())
     want = sorted(brute_score(rows))
     assert [f[0] for f in found] == [w[0] for w in want]
@@ -450,9 +462,9 @@ def test_count_filter_keeps_levels():
     rng = np.random.default_rng(0)
     prints = np.unique(rng.integers(0, 1 << 48, 4000).astype(np.uint64))
     counts = rng.zipf(1.6, len(prints)).clip(1, 10**6).astype(np.uint32)
-    p, c = lm_score.pack_counts(prints, counts)
-    back = lm_score.unpack_counts(p, c)
-    assert (back[0] == prints).all() and (back[1] == counts).all()
+    assert (lm_score._unpack_sorted(lm_score._pack_sorted(prints)) == prints).all()
+    assert (lm_score._unpack(lm_score._pack(counts)) == counts).all()
+    assert not len(lm_score._unpack(lm_score._pack(prints[:0])))
     size = 4096
     bits = np.zeros((256, size * 8), np.bool_)
     levels = np.where(prints & np.uint64(1) == 1, lm_score.levels_of(counts, 2), lm_score.levels_of(counts, 1))
