@@ -15,7 +15,7 @@ each), and their levels come back to it. A segment that is asked for much is dea
 pieces, each with the segment's parts, so that no task holds all that a segment is
 asked for.
 
-Beside its bits a part holds the exact counts of its words, named by 128-bit hashes;
+Beside its bits a part holds the exact counts of its words, named by 96-bit hashes;
 they answer the base score along the same way.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -48,8 +49,8 @@ PROBED = 1 << 20
 _FINGERPRINT = 48
 _UPPER = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
 _START = np.uint64(0x5354415254)
-#: The 128 bits that name the end token.
-_END = (np.uint64(0x454E44), np.uint64(0x444E45))
+#: The 96 bits that name the end token.
+_END = (np.uint64(0x454E44), np.uint32(0x444E45))
 
 
 def lowered(texts: list[bytes]) -> list[bytes]:
@@ -116,8 +117,8 @@ _CHUNK = "chunk long, n_tokens long, ids binary, flags binary, sizes binary, hi
 
 def chunks_of(rows: DataFrame) -> DataFrame:
     """Documents (doc_id, held_out, text) as chunks: the ids (8 bytes each), a flag byte
-    each (1: has an id, 2: held out) and numbers of tokens; the distinct words as two
-    64-bit hashes, sorted by the first, and which of them each token is. ``chunk`` names
+    each (1: has an id, 2: held out) and numbers of tokens; the distinct words as hashes
+    of 64 and 32 bits, sorted by the first, and which of them each token is. ``chunk`` names
     a chunk within one run: to be staged."""
     from pyspark import TaskContext
 
@@ -129,15 +130,15 @@ def chunks_of(rows: DataFrame) -> DataFrame:
         tokens = np.full(first[-1], _END[0], np.uint64)
         tokens[at] = high
         words, where, which = np.unique(tokens, return_index=True, return_inverse=True)
-        second = np.full(first[-1], _END[1], np.uint64)
-        second[at] = low
+        second = np.full(first[-1], _END[1], np.uint32)
+        second[at] = low >> np.uint64(32)
         if (second[where][which] != second).any():
             raise RuntimeError("two words of one chunk share the first 64 bits of their hash")
         blobs = (
             np.array([i or 0 for i in ids], np.int64).tobytes(),
             np.array([(i is not None) + 2 * bool(h) for i, h in zip(ids, held, strict=True)], np.uint8).tobytes(),
             _pack(np.diff(first)),
-            words.tobytes(),
+            _pack_sorted(words),
             second[where].tobytes(),
             _pack(which),
         )
@@ -168,7 +169,7 @@ class Chunk:
 
     def __init__(self, sizes: bytes, hi: bytes, lo: bytes, tokens: bytes):
         self.first = np.concatenate([[0], np.cumsum(_unpack(sizes).astype(np.int64))])
-        self.hi, self.lo = np.frombuffer(hi, np.uint64), np.frombuffer(lo, np.uint64)
+        self.hi, self.lo = _unpack_sorted(hi), np.frombuffer(lo, np.uint32)
         self.tokens = _unpack(tokens).astype(np.int64)
         self.pairs = _pair_prints(self.hi, self.tokens, self.first)
 
@@ -209,7 +210,7 @@ def filter_parts(chunks: DataFrame, part_bits: int) -> DataFrame:
         for k in range(1 << bits):
             a, b, c, d = *of_words[k : k + 2], *of_pairs[k : k + 2]
             if b > a or d > c:
-                rows.append((k, hi[a:b].tobytes(), lo[a:b].tobytes(), _pack(n[a:b]), _pack_sorted(prints[c:d]), _pack(times[c:d])))
+                rows.append((k, _pack_sorted(hi[a:b]), lo[a:b].tobytes(), _pack(n[a:b]), _pack_sorted(prints[c:d]), _pack(times[c:d])))
         return _rows(schema, rows)
 
     def run(batches):
@@ -236,7 +237,7 @@ def filter_parts(chunks: DataFrame, part_bits: int) -> DataFrame:
         size = 0
         for batch in batches:
             for hi, lo, n, prints, times in zip(*(batch[c].to_pylist() for c in list(schema)[1:]), strict=True):
-                gathered.append((np.frombuffer(hi, np.uint64), np.frombuffer(lo, np.uint64), _unpack(n), _unpack_sorted(prints), _unpack(times)))
+                gathered.append((_unpack_sorted(hi), np.frombuffer(lo, np.uint32), _unpack(n), _unpack_sorted(prints), _unpack(times)))
                 size += len(gathered[-1][0]) + len(gathered[-1][3])
                 if size > COUNTED:
                     yield parts(gathered, part_bits)
@@ -247,13 +248,12 @@ def filter_parts(chunks: DataFrame, part_bits: int) -> DataFrame:
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         join = lambda c, f: np.concatenate([f(x) for x in pdf[c]])
-        raw = lambda x: np.frombuffer(x, np.uint64)
-        (hi, lo), n = summed([join("hi", raw), join("lo", raw)], join("n", _unpack))
+        (hi, lo), n = summed([join("hi", _unpack_sorted), join("lo", lambda x: np.frombuffer(x, np.uint32))], join("n", _unpack))
         (pairs,), times = summed([join("prints", _unpack_sorted)], join("times", _unpack))
-        # words that share a fingerprint (48 of their 128 bits) count together in the filter
+        # words that share a fingerprint (47 of their 96 bits) count together in the filter
         (words,), together = summed([_word_prints(hi)], n) if len(hi) else ([hi], n)
         bits = part_of(np.concatenate([words, pairs]), levels_of(np.concatenate([together, times]), 1))
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n_words": [len(hi)], "n": [int(n.sum())], "bits": [bits.tobytes()], "hi": [hi.tobytes()], "lo": [lo.tobytes()], "counts": [_pack(n)]})
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n_words": [len(hi)], "n": [int(n.sum())], "bits": [bits.tobytes()], "hi": [_pack_sorted(hi)], "lo": [lo.tobytes()], "counts": [_pack(n)]})
 
     kinds = ", ".join(f"{c} {'int' if c == 'part' else 'binary'}" for c in schema)
     coarse = min(part_bits, COARSE_BITS)
@@ -359,7 +359,7 @@ def _probes(chunks: DataFrame, segment_bits: int) -> DataFrame:
                 for k in range(1 << segment_bits):
                     a, b, e, f = *of_words[k : k + 2], *of_pairs[k : k + 2]
                     if b > a or f > e:
-                        rows.append((chunk, k, c.hi[a:b].tobytes(), c.lo[a:b].tobytes(), _pack_sorted(prints[e:f])))
+                        rows.append((chunk, k, _pack_sorted(c.hi[a:b]), c.lo[a:b].tobytes(), _pack_sorted(prints[e:f])))
                 yield _rows(schema, rows)
         release()
 
@@ -377,7 +377,7 @@ def _answers(probes: DataFrame, parts: DataFrame, part_bits: int, segment_bits:
         for part, x in zip(own["part"], own["bits"], strict=True):
             bits[part % run_of] = np.frombuffer(x, np.uint8)
         model = CountFilter(bits, part_bits=part_bits)
-        table = [np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in own[c])]) for c in ("hi", "lo")]
+        table = np.concatenate([np.zeros(0, np.uint64), *map(_unpack_sorted, own["hi"])]), np.frombuffer(b"".join(own["lo"]), np.uint32)
         counts = np.concatenate([np.zeros(0, np.uint64), *(_unpack(x) for x in own["counts"])]).astype(np.int64)
         out: list[tuple] = []
         waiting: list[tuple] = []
@@ -392,7 +392,7 @@ def _answers(probes: DataFrame, parts: DataFrame, part_bits: int, segment_bits:
 
         size = 0
         for hi, lo, prints in zip(asked["hi"], asked["lo"], asked["prints"], strict=True):
-            waiting.append((np.frombuffer(hi, np.uint64), np.frombuffer(lo, np.uint64), _unpack_sorted(prints)))
+            waiting.append((_unpack_sorted(hi), np.frombuffer(lo, np.uint32), _unpack_sorted(prints)))
             size += len(waiting[-1][0]) + len(waiting[-1][2])
             if size > PROBED:
                 probe()
@@ -451,8 +451,10 @@ def model_scores(chunks: DataFrame, answers: DataFrame, total: int, distinct: in
 def _release(spark) -> None:
     """Shuffle files of steps that have ended stay on disk until the driver's JVM
     collects its garbage; here that is the shuffles of the counts and of the probes."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second round finds what the first one's clean-up let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def score_corpus(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
@@ -489,7 +491,7 @@ def _end_count(part: DataFrame) -> int:
     def run(batches):
         for batch in batches:
             for hi, lo, counts in zip(*(batch[c].to_pylist() for c in ("hi", "lo", "counts")), strict=True):
-                n = exact_counts(np.array([_END[0]]), np.array([_END[1]]), np.frombuffer(hi, np.uint64), np.frombuffer(lo, np.uint64), _unpack(counts).astype(np.int64))
+                n = exact_counts(np.array([_END[0]]), np.array([_END[1]]), _unpack_sorted(hi), np.frombuffer(lo, np.uint32), _unpack(counts).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(n)], ["n"])
 
     return sum(r["n"] for r in part.select("hi", "lo", "counts").mapInArrow(run, "n long").collect())
