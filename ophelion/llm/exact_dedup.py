@@ -8,6 +8,10 @@ of slots. A lookup computes the slot of a digest, compares all 32 bytes, and eit
 returns the slot's winner or says that the digest is no member. Nonmembers are
 grouped separately, among themselves.
 
+A table without a history of its own is cut in two by a hash of the id: one half is
+indexed as what is stored already, the other is looked up in it, and winners and counts
+of both are merged by digest.
+
 Hot shards (a third of all rows may be copies of one text) are looked up in as many
 pieces as their rows need: the shard's row is sent to each piece, rows are dealt
 among them by a hash of their id.
@@ -22,9 +26,9 @@ from pyspark.sql import functions as F
 
 from ._base import NULL_ID, mix, staged
 
-#: Digests a shard should hold, the greatest number of shards (they are counted in a
-#: table that may be broadcast), and rows that one lookup task group should get.
-SHARD_DIGESTS, MAX_SHARDS, LOOKUP_ROWS = 1 << 13, 1 << 16, 1 << 14
+#: Digests a shard should hold, the greatest number of shard bits, those up to which the
+#: table of shards is broadcast, and rows that one lookup task group should get.
+SHARD_DIGESTS, MAX_BITS, BROADCAST_BITS, LOOKUP_ROWS = 1 << 13, 24, 16, 1 << 14
 _BUCKET = 4
 
 
@@ -77,8 +81,8 @@ def _as_digests(values) -> np.ndarray:
 
 
 def _shard(digest, bits: int):
-    """Number of a digest's shard: its first ``bits`` bits (16 at most)."""
-    return F.conv(F.hex(F.substring(digest, 1, 2)), 16, 10).cast("int").bitwiseAND((1 << 16) - 1) if bits == 16 else F.shiftright(F.conv(F.hex(F.substring(digest, 1, 2)), 16, 10).cast("int"), 16 - bits)
+    """Number of a digest's shard: its first ``bits`` bits (MAX_BITS at most)."""
+    return F.shiftright(F.conv(F.hex(F.substring(digest, 1, MAX_BITS // 8)), 16, 10).cast("int"), MAX_BITS - bits)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -95,9 +99,13 @@ def _groups(rows: DataFrame) -> DataFrame:
 def build_index(rows: DataFrame) -> tuple[DataFrame, int]:
     """The index over the distinct digests of ``rows`` (doc_id, digest): one row a
     shard with its seeds and slots, and the number of shard bits."""
-    groups = staged(_groups(rows), "groups")
+    return index_of(staged(_groups(rows), "groups"))
+
+
+def index_of(groups: DataFrame) -> tuple[DataFrame, int]:
+    """The same from the groups (digest, winner, n)."""
     n = groups.count()
-    bits = min(16, max(0, int(np.ceil(np.log2(max(1, n) / SHARD_DIGESTS)))))
+    bits = min(MAX_BITS, max(0, int(np.ceil(np.log2(max(1, n) / SHARD_DIGESTS)))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         digests = _as_digests(pdf["digest"])
@@ -117,12 +125,13 @@ def lookup(rows: DataFrame, index: DataFrame, bits: int) -> DataFrame:
     """(doc_id, digest, winner, n, member) for every row of (doc_id, digest)."""
     index = staged(index, "index")
     rows = rows.withColumn("shard", _shard(F.col("digest"), bits))
-    # a row for each shard, 2**16 at most: small enough to broadcast whatever the data
+    # a row for each shard: up to BROADCAST_BITS small enough to broadcast whatever the data
+    small = F.broadcast if bits <= BROADCAST_BITS else (lambda df: df)
     asked = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("asked"))
     pieces = staged(asked.select("shard", F.ceil(F.col("asked") / LOOKUP_ROWS).cast("int").alias("pieces")), "pieces")
     counted = pieces.select(F.col("shard").alias("of"), F.col("pieces").alias("cuts"))
-    dealt = rows.join(F.broadcast(counted), F.col("shard") == F.col("of")).withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("cuts")).cast("int"))
-    copies = index.join(F.broadcast(pieces), "shard", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).select("shard", "piece", "seeds", "slots")
+    dealt = rows.join(small(counted), F.col("shard") == F.col("of")).withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("cuts")).cast("int"))
+    copies = index.join(small(pieces), "shard", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).select("shard", "piece", "seeds", "slots")
 
     def probe(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         digests = _as_digests(asked["digest"])
@@ -146,24 +155,31 @@ def lookup(rows: DataFrame, index: DataFrame, bits: int) -> DataFrame:
 def dedup_exact(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``history`` (doc_id, text) is what is already stored, by default the documents
-    themselves, whose digests are then indexed first. Rows whose digest the index
+    ``history`` (doc_id, text) is what is already stored. Rows whose digest the index
     holds take its winner; the others are grouped separately. Without ``history``
-    the largest doc_id of equal texts stays and group_size counts the rows; with
-    it, members are repeats of stored documents (kept only if they are the winner's
-    own row) and group_size counts the stored ones.
+    half of the documents is indexed as such and the other half looked up, and the
+    winners of both are merged: the largest doc_id of equal texts stays and group_size
+    counts the rows; with it, members are repeats of stored documents (kept only if they
+    are the winner's own row) and group_size counts the stored ones.
 
     Null text equals empty text. A null doc_id never wins against an id; where all
     ids of a group are null, keep_id is null and its rows are kept. Rows that share
     the winning doc_id are all kept. Other columns are ignored.
     """
-    rows = keyed(docs)
-    index, bits = build_index(rows if history is None else keyed(history))
-    found = staged(lookup(rows, index, bits), "found")
-    members = found.where("member").drop("member")
-    others = found.where("not member").select("doc_id", "digest")
-    regrouped = others.join(_groups(others), "digest").select("doc_id", "digest", "winner", "n")
-    out = members.unionByName(regrouped)
+    if history is not None:
+        index, bits = build_index(keyed(history))
+        found = staged(lookup(keyed(docs), index, bits), "found")
+        others = found.where("not member").select("doc_id", "digest")
+        out = found.where("member").drop("member").unionByName(others.join(_groups(others), "digest").select("doc_id", "digest", "winner", "n"))
+    else:
+        rows = staged(keyed(docs).withColumn("old", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), "digests")
+        stored = staged(_groups(rows.where("old")), "groups")
+        index, bits = index_of(stored)
+        found = staged(lookup(rows.where("not old").drop("old"), index, bits), "found")
+        # members by the slot's winner, nonmembers among themselves: either way a row a digest
+        news = found.groupBy("digest", "member").agg(F.greatest(F.max("doc_id"), F.max("winner")).alias("winner"), F.count(F.lit(1)).alias("n"))
+        totals = staged(stored.unionByName(news.select("digest", "winner", "n")).groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("n").alias("n")), "totals")
+        out = rows.join(totals, "digest")
     return out.select(
         "doc_id",
         F.col("winner").alias("keep_id"),

@@ -1,22 +1,29 @@
 """Main-text extraction with a site style tree.
 
-Every page is parsed into blocks of text, each with its style path (the tags and
-class names from the root). The style tree of a host merges the paths of all its
-pages: for each (host, path) the entropy of the contents that its pages show there
-(content importance) and of the child sequences of the path's parent (presentation
-importance), both as a share of the greatest possible entropy. A path that shows
-much the same on all pages of a host is a low-importance branch and is removed from
-each page. Branches that HTML itself marks as no content (navigation, footers,
-asides, forms, adverts, notices, comments by readers, scripts, styles) have
-importance 0 whatever their entropy.
-
-Where a page has an article or main element, its blocks outside it are removed.
-A page whose remaining branches are all of low importance keeps them: there is
-nothing more important to keep in their place.
+The DOMs of a host's pages are merged by style path (the tags and class names from the
+root, numbers of three digits or more in names left out): a presentation node is a path, a content node the
+text that a page shows directly at it. All blocks take part, whatever their tags.
+
+* Presentation importance of a path: 1 - exp(-H), H the entropy of the child sequences
+  that the pages show there. A path of one layout has 0; the share of log(pages) isn't
+  used because the layouts of an article level off while a host grows.
+* Content importance: the entropy of the contents shown there as a share of the
+  greatest possible, log(pages); 0 for what every page repeats.
+* Composite importance, bottom up: (1 - G) * presentation + G * the mean of the
+  children's composites and the path's own content, weighted by their text. It is
+  linear in the nodes below, so one sum over (node, ancestor) pairs gives it.
+
+Equal pages of a host count once. Paths on fewer than ``min_pages`` pages aren't judged.
+A page loses its branches of low importance and, where branches of high importance hold
+most of its text, what stands outside them. What the marks of HTML say (navigation,
+footers, asides, forms, class names, article elements, ...) is a prior: inside an
+article only text that nearly every page repeats goes; where the tree has no verdict
+the marks decide; class names and forms give way where they would leave nothing, or
+wrap the only article. ``marks=False`` turns them all off.
 
 The tree is a table of a few rows per page and path, summed before the shuffle; a
-hot host is a few keys with many counts, not a large group. Its low branches are few
-and are broadcast where they are (their number is checked), so the pages themselves
+hot host is a few keys with many counts, not a large group. Its verdicts are few and
+are broadcast where they are (their number is checked), so the pages themselves
 aren't shuffled; beyond that number they are joined by host. Pages are parsed twice,
 which costs less than keeping the parsed ones.
 """
@@ -26,19 +33,24 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import small_batches, staged
+from ._base import release, small_batches, staged
 
-#: Composite importance under which a branch is removed, pages that a host must have
-#: for its entropies to count, and the share of content in the composite.
-LOW, MIN_PAGES, CONTENT_SHARE = 0.15, 8, 0.9
-#: Low branches that are broadcast at most (a few MB of paths).
+#: Share of what lies below in the composite; a composite from HIGH up is content, under
+#: LOW none; content importance under REPEATED is text that nearly every page shows.
+#: A path needs MIN_PAGES different pages to be judged.
+G, HIGH, LOW, REPEATED, MIN_PAGES = 0.4, 0.75, 0.2, 0.05, 8
+#: Ancestors that a node counts for: G**40 is below what a double can add.
+NEAR = 40
+#: Verdicts that are broadcast at most (a few MB).
 BROADCAST_ROWS = 20_000
+IS_HIGH, IS_LOW, IS_REPEATED = 1, 2, 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=>/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -48,41 +60,91 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button".split()
 )
 _CLOSES_P = _BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption", "button"}
-_NOISE_TAGS = frozenset("nav footer aside form head button menu dialog fieldset label input select option".split())
-_NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Tags that say what they hold is no main text, and roles that do; forms may wrap a page.
+_STRONG_TAGS = frozenset("nav footer aside head button menu dialog label input select option".split())
+_WEAK_TAGS = frozenset("form fieldset".split())
+_STRONG_ROLES = frozenset("navigation banner contentinfo complementary dialog alert alertdialog menu menubar toolbar".split())
+_WEAK_ROLES = frozenset("search form".split())
 _NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side-?bar|widget\w*|footer|foot|masthead|site-?header|page-?header|topbar|cookies?\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|comments?\w*|disqus|replies|pagination|pager|toolbar|skip-?link|hidden|sr-only|legal|copyright|disclaimer)(?=$|[\s_-])",
     re.I,
 )
 
 
-def _style_of(name: str, attributes: str) -> tuple[str, bool]:
-    """(style of the node, whether HTML marks it as no content)."""
-    noise = name in _NOISE_TAGS
+_DIGITS = re.compile(r"\d{3,}")
+NO_MARK, WEAK, STRONG = 0, 1, 2
+
+
+def _style_of(name: str, attributes: str) -> tuple[str, int]:
+    """(style of the node, how HTML marks it as no content)."""
+    mark = STRONG if name in _STRONG_TAGS else WEAK if name in _WEAK_TAGS else NO_MARK
     style = name
     if attributes:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), unescape(a or b or c)
             if key in ("class", "id"):
-                noise = noise or bool(_NOISE_NAMES.search(value))
+                if _NOISE_NAMES.search(value):
+                    mark = max(mark, WEAK)
                 if key == "class":
-                    style += "." + ".".join(sorted(value.split()))
+                    style += "." + ".".join(sorted(_DIGITS.sub("", value).split()))
             elif key == "role":
-                noise = noise or value.lower() in _NOISE_ROLES
+                mark = max(mark, STRONG if value.lower() in _STRONG_ROLES else WEAK if value.lower() in _WEAK_ROLES else NO_MARK)
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                noise = True
+                mark = STRONG
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                noise = True
-    return style, noise
+                mark = STRONG
+    return style, mark
+
+
+class Mark:
+    """A weak mark of one element; ``article`` tells whether an article or main element
+    stands inside it."""
+
+    __slots__ = ("article",)
+
+    def __init__(self):
+        self.article = False
+
+
+@dataclass
+class Block:
+    """Text of a page: its path, and the marks of the elements around it."""
+
+    path: int
+    text: str
+    strong: bool
+    weak: tuple[Mark, ...]
+    article: bool
+
+
+@dataclass
+class Page:
+    """Blocks in page order, and the paths: name, parent (-1 for the root), the child
+    styles of all its elements, the texts directly at it."""
+
+    blocks: list[Block] = field(default_factory=list)
+    names: list[str] = field(default_factory=lambda: [""])
+    parents: list[int] = field(default_factory=lambda: [-1])
+    children: list[list[str]] = field(default_factory=lambda: [[]])
+
+    def above(self, path: int) -> list[int]:
+        """The path and its ancestors, nearest first, without the root."""
+        out = []
+        while path > 0:
+            out.append(path)
+            path = self.parents[path]
+        return out
+
+    def hashes(self) -> list[int]:
+        return [_hash(x) for x in self.names]
 
 
-def parse_blocks(html: str | None) -> list[tuple[str, str, str, bool, bool]]:
-    """(path, child sequence of the parent so far, text, marked as no content, inside
-    an article or main element) of each block in page order."""
+def parse_page(html: str | None) -> Page:
     html = html or ""
-    blocks: list[tuple[str, str, str, bool, bool]] = []
-    # open nodes: tag, path, noise, inside an article, tags of children
-    stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
+    page = Page()
+    known: dict[str, int] = {"": 0}
+    # open nodes: tag, path, strongly marked, weak marks, inside an article
+    stack: list[tuple[str, int, bool, tuple[Mark, ...], bool]] = [("", 0, False, (), False)]
     text: list[str] = []
 
     def flush():
@@ -93,8 +155,7 @@ def parse_blocks(html: str | None) -> list[tuple[str, str, str, bool, bool]]:
                 k = len(stack) - 1
                 while k and stack[k][0] not in _BLOCK:
                     k -= 1
-                node = stack[k]
-                blocks.append((node[1], " ".join(stack[k - 1][4]) if k else "", joined, stack[-1][2], stack[-1][3]))
+                page.blocks.append(Block(stack[k][1], joined, *stack[-1][2:]))
 
     def close(name: str, stop: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -149,84 +210,212 @@ def parse_blocks(html: str | None) -> list[tuple[str, str, str, bool, bool]]:
             close("th", frozenset(("tr", "table")))
         elif name == "tr":
             close("tr", frozenset(("table",)))
-        style, noise = _style_of(name, m[3])
+        style, mark = _style_of(name, m[3])
         up = stack[-1]
-        if name == "header" and not up[3]:  # the page's header, not an article's
-            noise = True
-        up[4].append(name)
-        del up[4][:-8]
-        stack.append((name, f"{up[1]}>{style}" if block else up[1], up[2] or noise, up[3] or name in ("article", "main"), []))
+        article = name in ("article", "main")
+        if name == "header" and not up[4]:  # the page's header, not an article's
+            mark = STRONG
+        if article or name in ("body", "html"):
+            mark = NO_MARK if mark == WEAK else mark
+        if article:
+            for x in up[3]:
+                x.article = True
+        path = up[1]
+        if block:
+            page.children[path].append(style)
+            path_name = f"{page.names[path]}>{style}"
+            path = known.setdefault(path_name, len(page.names))
+            if path == len(page.names):
+                page.names.append(path_name)
+                page.parents.append(up[1])
+                page.children.append([])
+            page.children[path].append("|")  # where an element of the path begins
+        stack.append((name, path, up[2] or mark == STRONG, (*up[3], Mark()) if mark == WEAK else up[3], up[4] or article))
     flush()
-    return blocks
+    return page
+
+
+def decide(page: Page, verdicts: dict[int, int], hashes: list[int], marks: bool = True) -> tuple[list[bool], int, int]:
+    """(whether each block is kept, blocks that the tree alone removed, blocks on which
+    the tree had a verdict). ``verdicts``: of path hashes, bits IS_*."""
+    blocks = page.blocks
+    own = [verdicts.get(h, 0) for h in hashes]
+    around = [0] * len(own)  # verdicts on the path or one above it; parents come first
+    for k in range(1, len(own)):
+        around[k] = around[page.parents[k]] | own[k]
+    repeated = [bool(own[b.path] & IS_REPEATED) for b in blocks]
+    low, high = ([bool(around[b.path] & bit) for b in blocks] for bit in (IS_LOW, IS_HIGH))
+    judged = sum(r or x or y for r, x, y in zip(repeated, low, high, strict=True))
+    every = range(len(blocks))
+    if marks:
+        usable = [i for i in every if not blocks[i].strong]
+        clean = [i for i in usable if not blocks[i].weak]
+        if not any(blocks[i].article for i in clean):  # weak marks that wrap the only article give way
+            clean = [i for i in usable if all(x.article for x in blocks[i].weak)]
+        if not clean and usable:  # or that would leave nothing
+            least = min(len(blocks[i].weak) for i in usable)
+            clean = [i for i in usable if len(blocks[i].weak) == least]
+        inside = {i for i in clean if blocks[i].article}
+    else:
+        clean, inside = list(every), set()
+    strong = [i for i in clean if not repeated[i] and (i in inside or high[i] or not low[i])]
+    if inside:
+        wanted = [i for i in clean if i in inside or high[i]]
+        kept = [i for i in strong if i in inside or high[i]]
+    else:
+        wanted = clean
+        chars = lambda rows: sum(len(blocks[i].text) for i in rows)
+        top = [i for i in strong if high[i]]
+        kept = top if 2 * chars(top) > chars(clean) else strong
+    kept = kept or wanted  # nothing more important to keep in their place
+    chosen = set(kept)
+    return [i in chosen for i in every], len(wanted) - len(kept), judged
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def site_of(url):
+    return F.xxhash64(host_of(url))
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def parsed_pages(pages: DataFrame, texts: bool = True) -> DataFrame:
-    """(page_id, url, host, blocks): the path, hashes and (where asked for) text of each
-    block that HTML doesn't mark as no content, only those inside an article or main
-    element where the page has one."""
-    rows = small_batches(pages).select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), host_of(pages["url"].cast("string")).alias("host"), pages["html"].cast("string").alias("html"))
-    kind = pa.list_(pa.struct([("path", pa.string()), ("content", pa.int64()), ("style", pa.int64()), ("text", pa.string())]))
+_NODES = "array<struct<path:long,up:array<long>,style:long,content:long,own:long,below:long,wide:boolean>>"
+
+
+def _nodes(page: Page) -> list[dict]:
+    """What a page shows at each of its paths, without the root: hashes of the whole
+    child sequence and of the texts, characters at the path and in all below it."""
+    hashes = page.hashes()
+    texts: list[list[str]] = [[] for _ in hashes]
+    for b in page.blocks:
+        texts[b.path].append(b.text)
+    own = [sum(map(len, x)) for x in texts]
+    below = list(own)
+    for k in range(len(own) - 1, 0, -1):
+        below[page.parents[k]] += below[k]
+    return [
+        {
+            "path": hashes[k],
+            "up": [hashes[j] for j in page.above(page.parents[k])[: NEAR - 1]],
+            "style": _hash(" ".join(page.children[k])),
+            "content": _hash("\n".join(texts[k])),
+            "own": own[k],
+            "below": below[k],
+            "wide": page.names[k].rpartition(">")[2].partition(".")[0] in ("html", "body"),
+        }
+        for k in range(1, len(hashes))
+        if below[k]
+    ]
+
+
+def shown_nodes(pages: DataFrame) -> DataFrame:
+    """(site, path, up, style, content, own, below, wide) of every path with text on the
+    different pages of a host; equal pages of a host are one."""
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("up", pa.list_(pa.int64())), ("style", pa.int64()), ("content", pa.int64()), ("own", pa.int64()), ("below", pa.int64()), ("wide", pa.bool_())]))
 
     def run(batches):
         for batch in batches:
-            out = []
+            found, same = [], []
             for html in batch["html"].to_pylist():
-                blocks = [b for b in parse_blocks(html) if not b[3]]
-                if any(b[4] for b in blocks):
-                    blocks = [b for b in blocks if b[4]]
-                out.append([{"path": p, "content": _hash(t), "style": _hash(s), "text": t if texts else None} for p, s, t, _, _ in blocks])
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(out, kind)], ["page_id", "url", "host", "blocks"])
-
-    return rows.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<path:string,content:long,style:long,text:string>>")
-
-
-def style_tree(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, path, importance) of hosts with ``min_pages`` pages or more.
-
-    What a page shows at a path is one content (its blocks' hashes in order) and one
-    style; importance is their entropy over the pages divided by log(pages)."""
-    per_page = parsed.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["path"]))).alias("path"), "blocks").select(
-        "host",
-        "path",
-        F.xxhash64(F.transform(F.filter("blocks", lambda b: b["path"] == F.col("path")), lambda b: b["content"])).alias("content"),
-        F.xxhash64(F.transform(F.filter("blocks", lambda b: b["path"] == F.col("path")), lambda b: b["style"])).alias("style"),
+                nodes = _nodes(parse_page(html))
+                found.append(nodes)
+                same.append(_hash(repr([(n["path"], n["style"], n["content"]) for n in nodes])))
+            yield pa.RecordBatch.from_arrays([batch["site"], pa.array(same, pa.int64()), pa.array(found, kind)], ["site", "page", "nodes"])
+        release()
+
+    rows = small_batches(pages).select(site_of(pages["url"].cast("string")).alias("site"), pages["html"].cast("string").alias("html"))
+    parsed = rows.mapInArrow(run, f"site long, page long, nodes {_NODES}")
+    different = parsed.groupBy("site", "page").agg(F.first("nodes").alias("nodes"))
+    return different.select("site", F.explode("nodes").alias("n")).select("site", "n.*")
+
+
+def style_tree(shown: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(site, path, pages, presentation, content, composite, own, wide): the importance
+    of each path that ``min_pages`` pages or more show."""
+    each = shown.select("site", "path", "up", "own", "below", "wide", F.explode(F.array(F.struct(F.lit(True).alias("styled"), F.col("style").alias("value")), F.struct(F.lit(False).alias("styled"), F.col("content").alias("value")))).alias("v"))
+    n = each.groupBy("site", "path", "v").agg(F.count(F.lit(1)).alias("n"), F.first("up").alias("up"), F.sum("own").alias("own"), F.sum("below").alias("below"), F.first("wide").alias("wide"))
+    of = lambda styled, x: F.sum(F.when(F.col("v.styled") == F.lit(styled), x))
+    spread = F.col("n") * F.log("n")
+    paths = n.groupBy("site", "path").agg(F.first("up").alias("up"), F.first("wide").alias("wide"), of(True, F.col("n")).alias("pages"), of(True, F.col("own")).alias("own"), of(True, F.col("below")).alias("below"), of(True, spread).alias("s"), of(False, spread).alias("c"))
+    entropy = lambda x: F.log("pages") - F.col(x) / F.col("pages")
+    few = F.col("pages") < max(2, min_pages)  # a path of few pages says nothing: no layout, all its content its own
+    known = staged(
+        paths.select(
+            "site",
+            "path",
+            "up",
+            "wide",
+            "pages",
+            "own",
+            "below",
+            F.when(few, 0.0).otherwise(1 - F.exp(-entropy("s"))).alias("presentation"),
+            F.when(few, 1.0).otherwise(entropy("c") / F.log("pages")).alias("content"),
+        ),
+        "paths",
     )
-
-    per_page = staged(per_page, "shown")  # read for both entropies
-
-    def entropy(column: str) -> DataFrame:
-        n = per_page.groupBy("host", "path", column).agg(F.count(F.lit(1)).alias("n"))
-        per_path = n.groupBy("host", "path").agg(F.sum("n").alias("pages"), (F.sum(F.col("n") * F.log("n"))).alias("s"))
-        return per_path.where(F.col("pages") >= max(2, min_pages)).select("host", "path", F.try_divide(F.log("pages") - F.col("s") / F.col("pages"), F.log("pages")).alias(column))
-
-    both = entropy("content").join(entropy("style"), ["host", "path"])
-    return both.select("host", "path", (CONTENT_SHARE * F.col("content") + (1 - CONTENT_SHARE) * F.col("style")).alias("importance"))
+    weight = (1 - G) * F.col("presentation") * F.col("below") + G * F.col("content") * F.col("own")
+    gives = known.select("site", F.posexplode(F.concat(F.array("path"), "up")).alias("far", "at"), weight.alias("w"))
+    composite = gives.groupBy("site", F.col("at").alias("path")).agg(F.sum(F.col("w") * F.pow(F.lit(G), F.col("far"))).alias("w"))
+    return known.where(~few).join(composite, ["site", "path"]).select("site", "path", "pages", "presentation", "content", (F.col("w") / F.col("below")).alias("composite"), "own", "wide")
+
+
+def verdicts(tree: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(site, path, verdict) of the paths that are of high or low importance or repeat
+    one content; html and body are no branches."""
+    bit = lambda condition, value: F.when(condition, F.lit(value)).otherwise(F.lit(0))
+    branch = ~F.col("wide")
+    found = (
+        bit(branch & (F.col("composite") >= high), IS_HIGH)
+        .bitwiseOR(bit(branch & (F.col("composite") < low), IS_LOW))
+        .bitwiseOR(bit((F.col("own") > 0) & (F.col("content") < REPEATED), IS_REPEATED))
+    )
+    return tree.select("site", "path", found.alias("verdict")).where("verdict <> 0")
 
 
-def extract_main_text(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, n_removed (blocks that the style
-    tree removed).
+def extract_main_text(pages: DataFrame, low: float = LOW, high: float = HIGH, min_pages: int = MIN_PAGES, marks: bool = True) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars, n_removed (blocks that the marks
+    would have kept and the tree removed), n_judged (blocks on which the tree had a
+    verdict), n_blocks.
 
     White space inside a block becomes one space; blocks are joined by one newline in
     page order. Null or empty html gives an empty text; a null or odd url belongs to
-    the host ''. Repeated rows count as pages of their own. Extra columns are ignored.
+    the host ''. Repeated rows each give a row and count once in the tree; ties have no
+    order to break. Pages are parsed whole, however long. Extra columns are ignored; an
+    empty table gives no rows.
     """
-    weak = staged(style_tree(parsed_pages(pages, texts=False), min_pages).where(F.col("importance") < low).select("host", "path"), "weak")
-    per_host = weak.groupBy("host").agg(F.collect_set("path").alias("weak"))
-    per_host = F.broadcast(per_host) if weak.count() <= BROADCAST_ROWS else staged(per_host, "per_host")
-    joined = parsed_pages(pages).join(per_host, "host", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<string>")))
-    strong = F.filter("blocks", lambda b: ~F.array_contains(F.col("weak"), b["path"]))
-    kept = F.when(F.size(strong) > 0, strong).otherwise(F.col("blocks"))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), (F.size("blocks") - F.size(kept)).alias("n_removed"))
+    found = staged(verdicts(style_tree(staged(shown_nodes(pages), "shown"), min_pages), low, high), "verdicts")
+    rows = small_batches(pages).select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), site_of(pages["url"].cast("string")).alias("site"), pages["html"].cast("string").alias("html"))
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        table: dict[int, dict[int, int]] = {}
+        for r in found.collect():
+            table.setdefault(r["site"], {})[r["path"]] = r["verdict"]
+        sent = pages.sparkSession.sparkContext.broadcast(table)
+        rows = rows.withColumn("verdicts", F.lit(None).cast("map<long,int>"))
+    else:  # a row for each host: a hot host's pages can be split
+        per_site = staged(found.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("path", "verdict"))).alias("verdicts")), "per_site")
+        rows, sent = rows.join(per_site, "site", "left").select(*rows.columns, "verdicts"), None
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            columns = (batch[c].to_pylist() for c in ("site", "html", "verdicts"))
+            for site, html, own in zip(*columns, strict=True):
+                page = parse_page(html)
+                kept, removed, judged = decide(page, sent.value.get(site, {}) if sent else dict(own or ()), page.hashes(), marks)
+                text = "\n".join(b.text for b, k in zip(page.blocks, kept, strict=True) if k)
+                for column, value in zip(out, (text, len(text), removed, judged, len(kept)), strict=True):
+                    column.append(value)
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["page_id", "url", "text", "n_chars", "n_removed", "n_judged", "n_blocks"])
+        release()
+
+    return rows.select("page_id", "url", "site", "html", "verdicts").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_removed int, n_judged int, n_blocks int")
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import small_batches, staged, texts_of
+from ._base import release, small_batches, staged, texts_of
 
 WIDTH = 192
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -133,8 +133,17 @@ def parse_sequence(html: str | None) -> list[dict]:
 def interleave(pages: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns and ``items``, the ordered sequence of each page's html.
     Null html gives an empty sequence."""
-    parse = F.udf(parse_sequence, SEQUENCE)
-    return pages.select(*keep, parse("html").alias("items"))
+    rows = small_batches(pages).select(*keep, pages["html"].cast("string").alias("__html"))
+    kept = rows.columns[:-1]
+    kind = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "digest", "caption"))]))
+
+    def run(batches):
+        for batch in batches:
+            items = pa.array([parse_sequence(x) for x in batch["__html"].to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), items], [*kept, "items"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{schema}items {SEQUENCE}")
 
 
 def resolve(sequences: DataFrame, store: DataFrame, *keep: str) -> DataFrame:
@@ -164,6 +173,7 @@ def media_store(docs: DataFrame) -> DataFrame:
                     pa.array([encode_png(x) for x in payloads], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["digest", "n_bytes", "media"])
+        release()
 
     return staged(small_batches(docs).select(docs["text"].cast("string").alias("text")).mapInArrow(run, "digest string, n_bytes long, media binary"), "media")
 
@@ -181,6 +191,7 @@ def media_features(store: DataFrame) -> DataFrame:
                     column.append(value)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch["digest"], *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        release()
 
     found = store.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     # equal digests have equal rows; copies combine before the shuffle. Written, so that
@@ -194,7 +205,8 @@ def document_media(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature, position, caption. Null text counts as empty (a payload of
     192 spaces). Null and repeated doc_ids each give their row; extra columns are
-    ignored; equal texts give equal values.
+    ignored; equal texts give equal values, so ties have no order to break. A payload is
+    stored whole in one row, however long the text; an empty table gives no rows.
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")
     n = F.octet_length(text)

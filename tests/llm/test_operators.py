@@ -115,6 +115,10 @@ def test_exact_dedup(docs, rows, null_id, empty, spark):
     assert sorted(map(tuple, exact_dedup.dedup_exact(docs).collect())) == want
     assert exact_dedup.dedup_exact(empty).count() == 0
     assert exact_dedup.dedup_exact(null_id).count() == len(rows) + 3
+    odd = [(7, "a"), (7, "b"), (None, "a"), (None, "c"), (None, "c"), (8, "b"), (9, None), (None, "")]
+    found = sorted(map(repr, (tuple(r)[:4] for r in exact_dedup.dedup_exact(spark.createDataFrame(odd, "doc_id long, text string")).collect())))
+    want = [(7, 7, 2, True), (7, 8, 2, False), (None, 7, 2, False), (None, None, 2, True), (None, None, 2, True), (8, 8, 2, True), (9, 9, 2, True), (None, 9, 2, False)]
+    assert found == sorted(map(repr, want))
     # against history: members take its winner, the rest group among themselves
     history = spark.createDataFrame([(900, "stored"), (901, "stored")], "doc_id long, text string")
     new = spark.createDataFrame([(1, "stored"), (2, "fresh"), (3, "fresh"), (4, None)], "doc_id long, text string")
@@ -137,7 +141,7 @@ def test_minimal_perfect_hash():
     assert sorted(exact_dedup.mph_slots(digests, seeds, 3000)) == list(range(3000))
 
 
-def test_mixing(docs, rows, null_id, empty):
+def test_mixing(docs, rows, null_id, empty, spark):
     connection = duckdb.connect()
     import pandas as pd
 
@@ -153,6 +157,10 @@ def test_mixing(docs, rows, null_id, empty):
     assert abs(sum({r["source"]: r["target"] for r in out}.values()) - total) < 1e-6 * total
     assert mixing.mix_sources(empty).count() == 0
     assert mixing.mix_sources(null_id).count() == len(rows) + 3
+    odd = [(7, "one " * 10, "a"), (7, "x y z w", "b"), (None, "q " * 30, "b"), (None, "r " * 7, "b"), (None, None, None), (7, "x y z w", "b")]
+    documents = pd.DataFrame(odd, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841
+    out = mixing.mix_sources(spark.createDataFrame(odd, "doc_id long, text string, source string")).collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, connection.sql(mixing.mix_sql()).fetchall()))
 
 
 def test_targets_reshare_the_excess(spark):
