@@ -28,7 +28,7 @@ from ._base import NULL_ID, mix, staged
 
 #: Digests a shard should hold, the greatest number of shard bits, those up to which the
 #: table of shards is broadcast, and rows that one lookup task group should get.
-SHARD_DIGESTS, MAX_BITS, BROADCAST_BITS, LOOKUP_ROWS = 1 << 13, 24, 16, 1 << 14
+SHARD_DIGESTS, MAX_BITS, BROADCAST_BITS, LOOKUP_ROWS = 1 << 11, 24, 16, 1 << 14
 _BUCKET = 4
 
 

@@ -94,9 +94,17 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of edges (a, b), root the smallest node.
 
-    Each round, every node takes the smallest root among itself and its neighbours,
-    and then its root's root; rounds end when nothing changes."""
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    First every node keeps one edge, to its smallest neighbour below it; its other
+    neighbours below are tied to that one instead, an edge that it shares with all nodes
+    that have the same two: stars with several centres, or the same links found in many
+    places, shrink to about an edge a node. Then, each round, every node takes the
+    smallest root among itself and its neighbours, and then its root's root; rounds end
+    when nothing changes."""
+    lower = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    kept = lower.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("below"))
+    own, tied = F.struct("a", F.col("least").alias("b")), F.transform(F.array_except("below", F.array("least")), lambda x: F.struct(x.alias("a"), F.col("least").alias("b")))
+    few = staged(kept.select(F.explode(F.concat(F.array(own), tied)).alias("e")).select("e.*").distinct(), "few")
+    both = staged(few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     roots = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
     while True:
         near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("near"))

@@ -27,8 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that a range of ranks should hold.
 RANGE_PIECES = 1 << 14
-#: Bounds of the caches of one Python worker.
-WORDS_KEPT, PIECES_KEPT = 100_000, 100_000
+#: Bounds of the caches of one Python worker (about 80 MB each), emptied after its task.
+WORDS_KEPT, PIECES_KEPT = 400_000, 400_000
 
 
 def default_tokenizer() -> str:
