@@ -211,3 +211,13 @@ def submission_errors(questions: DataFrame, answers: DataFrame) -> DataFrame:
     required = shown_questions(questions, answers).join(questions.where("is_required").select("question_id"), "question_id", "left_semi")
     missing = required.join(answers.select("submission_id", "question_id"), ["submission_id", "question_id"], "left_anti")
     return broken.unionByName(missing.select("submission_id", "question_id", F.lit("missing answer").alias("error")))
+
+
+def positive_ids(column: Column) -> Column:
+    """The distinct ids above 0 of a list, in rising order; null for null."""
+    return F.array_sort(F.array_distinct(F.filter(column, lambda x: x > 0)))
+
+
+def created_by(df: DataFrame, creator: str, who, order: str) -> DataFrame:
+    """Rows of one creator, in the order they were made."""
+    return df.where(F.col(creator) == F.lit(who)).orderBy(order)

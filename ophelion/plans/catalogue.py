@@ -340,12 +340,13 @@ def first_non_blank(t):
     return dedupe.first_non_blank(df, ["user_id"], ["first_type"], "event_id")
 
 
-SETS = "a AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey % 5 > 0)"
+#: Whole tables that differ by themselves: not every customer has orders, and part keys
+#: of line items go beyond the customers'.
+SETS = "a AS (SELECT DISTINCT o_custkey AS id FROM orders), b AS (SELECT DISTINCT l_partkey AS id FROM lineitem)"
 
 
 def bases(t: Tables) -> tuple[DataFrame, DataFrame]:
-    a = t.customer.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("id"))
-    return a, t.orders.where("o_custkey % 5 > 0").select(F.col("o_custkey").alias("id"))
+    return t.orders.select(F.col("o_custkey").alias("id")), t.lineitem.select(F.col("l_partkey").alias("id"))
 
 
 @query(f"WITH {SETS} SELECT coalesce(a.id, b.id) AS id, a.id IS NOT NULL AS in_patients, b.id IS NOT NULL AS in_metadata, CASE WHEN b.id IS NULL THEN 'only_patients' WHEN a.id IS NULL THEN 'only_metadata' ELSE 'both' END AS presence FROM a FULL JOIN b ON a.id = b.id")
@@ -549,9 +550,9 @@ def date_range_filter(t):
     return clean.within_days(t.orders, "o_orderdate", "1997-01-01", "1997-03-31").select("o_orderkey")
 
 
-@query("SELECT DISTINCT trim(text) AS value FROM conversations WHERE role = 'user' AND length(trim(text)) < 40 AND trim(text) <> ''")
+@query("SELECT DISTINCT trim(text) AS value FROM conversations WHERE role = 'user' AND trim(text) <> ''")
 def filter_options(t):
-    df = t.conversations.where("length(trim(text)) < 40").select(F.col("role").alias("question_text"), F.col("text").alias("text_response"))
+    df = t.conversations.select(F.col("role").alias("question_text"), F.col("text").alias("text_response"))
     return reports.filter_options(df, "USER")
 
 
@@ -953,9 +954,9 @@ def left_prefer(t):
     return joins.left_prefer(people, nations, "c_nationkey", ["label"]).select("c_custkey", "label")
 
 
-@query("SELECT c_custkey, coalesce(o_orderpriority, '') AS note, n FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS o_orderpriority, count(*) AS n FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) ON c_custkey = o_custkey")
+@query("SELECT c_custkey, coalesce(o_orderpriority, '') AS note, n FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON c_custkey = o_custkey")
 def enriched_mapping(t):
-    notes = t.orders.where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderpriority").alias("note"), F.count(F.lit(1)).alias("n"))
+    notes = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderpriority").alias("note"), F.count(F.lit(1)).alias("n"))
     return joins.enrich(t.customer.select("c_custkey"), notes, "c_custkey", ["note"], ["n"])
 
 

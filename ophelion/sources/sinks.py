@@ -36,9 +36,17 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(aside)
     at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(aside), at(path))
+    if fs.exists(at(old)):
+        if not fs.exists(at(path)):  # an earlier swap ended half-way: its table is the old one
+            raise RuntimeError(f"{old} holds the table of a swap that didn't end")
+        fs.delete(at(old), True)
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)):
+        raise RuntimeError(f"can't move {path}")
+    if not fs.rename(at(aside), at(path)):
+        if had:
+            fs.rename(at(old), at(path))
+        raise RuntimeError(f"can't move {aside}")
     fs.delete(at(old), True)
     spark.catalog.refreshByPath(path)
 

@@ -23,7 +23,7 @@ def test_names(spark):
     cases = {"João da Silva": "joaodasilva", "Cópia de  Çelia-Øst": "celiaost", "GON�ALVES": "goncalves", "Straße Łódź Ætna": "strasselodzaetna", "": "", None: ""}
     for name, want in cases.items():
         assert one(spark, ids.normalize_name(F.col("n")), n=name) == want
-    assert ids.tokens_of("Izabela Cecilia e Silva") == ["izabela", "cecilia", "silva"]
+    assert ids.tokens_of("Marina Teresa e Lopes") == ["marina", "teresa", "lopes"]
     assert ids.variations_of("Ana Bela Costa") == {"ana", "anabelacosta", "anabela", "anacosta", "anab", "anac", "anabc", "abc", "anabcosta"}
     assert ids.variations_of("Ana Bela Costa", True) - ids.variations_of("Ana Bela Costa") == {"ana bela costa", "ana bela", "ana costa"}
     assert ids.variations_of(" ") == set()
@@ -203,10 +203,10 @@ def test_pseudonyms_hide_unmapped_ids(spark):
 
 
 def test_prefix_join(spark):
-    queries = spark.createDataFrame([("izabelacsb",), ("ana",), ("zed",), ("b",)], "q string")
-    names = spark.createDataFrame([(1, "izabela"), (2, "anabela"), (3, "ana"), (4, "bo"), (5, "i")], "k int, n string")
+    queries = spark.createDataFrame([("marinatlb",), ("ana",), ("zed",), ("b",)], "q string")
+    names = spark.createDataFrame([(1, "marina"), (2, "anabela"), (3, "ana"), (4, "bo"), (5, "i")], "k int, n string")
     found = {r["q"]: (r["matched"], r["method"]) for r in joins.prefix_join(queries, names, "q", "n", "k").collect()}
-    assert found == {"izabelacsb": ("izabela", "name_prefix"), "ana": ("ana", "name_exact"), "zed": (None, "not_found"), "b": ("bo", "name_prefix")}
+    assert found == {"marinatlb": ("marina", "name_prefix"), "ana": ("ana", "name_exact"), "zed": (None, "not_found"), "b": ("bo", "name_prefix")}
 
 
 def test_linkage_decisions(spark):

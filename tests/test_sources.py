@@ -106,8 +106,8 @@ def test_purge_and_anonymise_jobs(spark):
 
 
 def test_annotation_job(spark):
-    people = spark.createDataFrame([(1, "10", "Ana", ""), (2, "", "Rui Silva", "M"), (3, "", "Izabela C", "F"), (4, "", "None Such", "")], "k long, record string, name string, sex string")
-    records = spark.createDataFrame([(100, "10", "Someone", "F", "sim"), (101, "", "Rui Silva", "F", "não"), (102, None, "Izabela Cecilia", "F", "")], "record_id long, record string, name string, sex string, has_erg string")
+    people = spark.createDataFrame([(1, "10", "Ana", ""), (2, "", "Rui Silva", "M"), (3, "", "Marina T", "F"), (4, "", "None Such", "")], "k long, record string, name string, sex string")
+    records = spark.createDataFrame([(100, "10", "Someone", "F", "sim"), (101, "", "Rui Silva", "F", "não"), (102, None, "Marina Teresa", "F", "")], "record_id long, record string, name string, sex string, has_erg string")
     out, open_ = jobs.annotate(people, records, "k")
     got = {r["k"]: (r["match_method"], r["sex"], r["has_erg"], r["sex_differs"]) for r in out.collect()}
     assert got == {1: ("record", "F", True, False), 2: ("name_exact", "F", False, True), 3: ("name_prefix", "F", None, False), 4: ("not_found", None, None, False)}
