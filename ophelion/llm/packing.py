@@ -26,7 +26,7 @@ from ._base import release, small_batches, staged, texts_of
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that a range of ranks should hold.
-RANGE_PIECES = 1 << 14
+RANGE_PIECES = 1 << 10
 #: Bounds of the caches of one Python worker (about 80 MB each), emptied after its task.
 WORDS_KEPT, PIECES_KEPT = 400_000, 400_000
 
