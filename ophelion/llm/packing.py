@@ -28,6 +28,7 @@ END_ID = 1
 #: Pieces of one length that a range of ranks should hold.
 RANGE_PIECES = 1 << 10
 #: Bounds of the caches of one Python worker (about 80 MB each), emptied after its task.
+#: A full half becomes the older one and what was older goes, so frequent words stay.
 WORDS_KEPT, PIECES_KEPT = 400_000, 400_000
 
 
@@ -61,32 +62,41 @@ class WordTokenizer:
         self.shown = shown.pre_tokenize_str
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_words: dict[bytes, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) >= PIECES_KEPT:
-                self.pieces.clear()
-            alphabet = piece if piece.isascii() else self.shown(piece)[0][0]
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(alphabet)], "<u4").tobytes()
+            got = self.older_pieces.get(piece)
+            if got is None:
+                alphabet = piece if piece.isascii() else self.shown(piece)[0][0]
+                got = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(alphabet)])
+            if len(self.pieces) >= PIECES_KEPT // 2:
+                self.older_pieces, self.pieces = self.pieces, {}
             self.pieces[piece] = got
         return got
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if (text.isascii() and text.isprintable() or max(text) < "ɐ" and unicodedata.is_normalized("NFC", text) and text.isprintable()) and "<|" not in text:
-            ids = b"".join([self._piece(x) for x in self.cut(text.lower())])
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
+        ids = self.older_words.get(word)
+        if ids is None:
+            ids = self._cut_word(word)
+        if len(self.words) >= WORDS_KEPT // 2:
+            self.older_words = dict(self.words)
+            self.words.clear()  # the dictionary that ``ids`` looks words up in stays the same one
         self.words[word] = ids
         return ids
 
+    def _cut_word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if (text.isascii() and text.isprintable() or max(text) < "ɐ" and unicodedata.is_normalized("NFC", text) and text.isprintable()) and "<|" not in text:
+            return b"".join([self._piece(x) for x in self.cut(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def forget(self) -> None:
         """Empties the caches: a worker lives on after its task."""
-        self.words.clear()
-        self.pieces.clear()
+        for cache in (self.words, self.pieces, self.older_words, self.older_pieces):
+            cache.clear()
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
