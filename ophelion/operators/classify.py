@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import join_groups, quantiles
+
 
 def patient_aggregate(df: DataFrame, key: str, numeric: Sequence[str], other: Sequence[str], order: str) -> DataFrame:
     """Per patient the mean of numeric columns (text is cast) and the first non-null
@@ -105,14 +107,34 @@ def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
     return row.select(F.try_divide(F.col("s"), F.col("p")).alias("average_precision"))
 
 
+def class_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(label, support, precision, recall, f1) of each class that occurs as truth or as
+    prediction; 0 where a denominator is 0. Rows without a truth don't count."""
+    known = df.where(F.col(truth).isNotNull())
+    n = known.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    sides = n.select(F.explode(F.array(F.struct(F.col("t").alias("label"), F.lit(True).alias("real")), F.struct(F.col("p").alias("label"), F.lit(False).alias("real")))).alias("x"), "n", (F.col("t") == F.col("p")).alias("hit"))
+    sums = sides.where("x.label is not null").groupBy("x.label").agg(F.sum(F.when(F.col("x.real"), F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(~F.col("x.real"), F.col("n")).otherwise(0)).alias("given"), F.sum(F.when(F.col("x.real") & F.col("hit"), F.col("n")).otherwise(0)).alias("hits"))
+    div = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    s, g, h = F.col("support"), F.col("given"), F.col("hits")
+    return sums.select("label", "support", div(h, g).alias("precision"), div(h, s).alias("recall"), div(2 * h, s + g).alias("f1"))
+
+
+def multiclass_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: rows judged, accuracy, balanced accuracy (mean recall of the classes that
+    occur) and macro F1 (over all classes seen)."""
+    per = class_metrics(df, truth, predicted)
+    n = F.sum("support")
+    return per.agg(n.alias("n"), F.try_divide(F.sum(F.col("recall") * F.col("support")), n).alias("accuracy"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("f1").alias("f1_macro"))
+
+
 def metric_summary(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(metric, mean, std, median, q025, q975); quantiles are the nearest value."""
+    """(metric, mean, std, median, q025, q975); the two outer quantiles are the nearest
+    value, a half rounding up."""
     long = df.unpivot(list(by), list(metrics), "metric", "value").where("value is not null")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by, "metric"))
-    place = F.row_number().over(Window.partitionBy(*by, "metric").orderBy("value")) - 1
-    ranked = long.withColumns({"_n": n, "_i": place})
-    at = lambda q: F.max(F.when(F.col("_i") == F.round(q * (F.col("_n") - 1)), F.col("value")))
-    return ranked.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.median("value").alias("median"), at(0.025).alias("q025"), at(0.975).alias("q975"))
+    keys = [*by, "metric"]
+    row = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    row = join_groups(row, quantiles(long, "value", {"median": 0.5}, keys), keys)
+    return join_groups(row, quantiles(long, "value", {"q025": 0.025, "q975": 0.975}, keys, nearest=True), keys)
 
 
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str]):
@@ -131,15 +153,18 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str]):
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features")])
 
 
-def nested_cv(df: DataFrame, estimators: dict, label: str, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), outer: int = 5, repeats: int = 1, inner: int = 3, seed: int = 42) -> DataFrame:
+def nested_cv(df: DataFrame, estimators: dict, label: str, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), outer: int = 5, repeats: int = 1, inner: int = 3, seed: int = 42, multiclass: bool = False) -> DataFrame:
     """(repeat, fold, winner, metrics): in each outer fold the estimator with the best
     balanced accuracy over inner folds is fitted on the rest and judged on the fold.
-    ``estimators`` maps a name to an unfitted estimator; ties go to the first name."""
+    ``estimators`` maps a name to an unfitted estimator; ties go to the first name.
+    With ``multiclass`` the label has any number of classes and the metrics are those of
+    ``multiclass_metrics``."""
+    judge = multiclass_metrics if multiclass else binary_metrics
 
     def judged(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
         ready = preprocessing(numeric, categorical).fit(train)
         model = estimator.copy({estimator.getParam("labelCol"): label, estimator.getParam("featuresCol"): "features"}).fit(ready.transform(train))
-        return binary_metrics(model.transform(ready.transform(test)), label, "prediction")
+        return judge(model.transform(ready.transform(test)), label, "prediction")
 
     rows = []
     for r in range(repeats):
@@ -158,56 +183,149 @@ def nested_cv(df: DataFrame, estimators: dict, label: str, key: str, numeric: Se
     return df.sparkSession.createDataFrame(rows)
 
 
+def nested_cv_multilabel(df: DataFrame, estimators: dict, labels: Sequence[str], key: str, numeric: Sequence[str], categorical: Sequence[str] = (), **how) -> DataFrame:
+    """(label, repeat, fold, winner, metrics): one binary run for each label, over the
+    rows where it is known."""
+    runs = [nested_cv(df.where(F.col(x).isNotNull()).withColumn(x, F.col(x).cast("double")), estimators, x, key, numeric, categorical, **how).select(F.lit(x).alias("label"), "*") for x in labels]
+    return reduce(DataFrame.unionByName, runs)
+
+
 def most_frequent_winner(results: DataFrame) -> DataFrame:
     n = results.groupBy("winner").agg(F.count(F.lit(1)).alias("wins"))
     return n.orderBy(F.desc("wins"), "winner").limit(1)
 
 
-def permutation_importance(model, df: DataFrame, columns: Sequence[str], label: str, key: str, seed: int = 42) -> DataFrame:
-    """(feature, importance): the fall in balanced accuracy when a column's values are
-    dealt to other rows. The deal pairs rows by two hashed orders within 4096 ranges."""
-    base = binary_metrics(model.transform(df), label, "prediction").first()["balanced_accuracy"]
+def dealt(df: DataFrame, column: str, key: str, seed: int, group_rows: int = 100_000) -> DataFrame:
+    """The rows with the column's values dealt to other rows: two hashed orders are
+    paired within hashed groups of about ``group_rows`` rows."""
+    groups = df.count() // group_rows + 1
+    grouped = df.withColumn("_g", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(groups)))
+    n = lambda s: F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64(F.col(key), F.lit(s)), key))
+    left = grouped.withColumn("_n", n(seed + 1)).drop(column)
+    right = grouped.withColumn("_n", n(seed + 2)).select("_g", "_n", column)
+    return left.join(right, ["_g", "_n"]).drop("_g", "_n")
+
+
+def permutation_importance(model, df: DataFrame, columns: Sequence[str], label: str, key: str, seed: int = 42, repeats: int = 1) -> DataFrame:
+    """(feature, importance): the mean fall in balanced accuracy when a column's values
+    are dealt to other rows, over ``repeats`` deals."""
+    score = lambda rows: binary_metrics(model.transform(rows), label, "prediction").first()["balanced_accuracy"]
+    base = score(df)
     rows = []
     for i, c in enumerate(columns):
-        n = lambda s, c=c: F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64(F.col(key), F.lit(s)), key))
-        grouped = df.withColumn("_g", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 if df.rdd.getNumPartitions() < 2 else 16)))
-        left = grouped.withColumn("_n", n(seed + 2 * i + 1)).drop(c)
-        right = grouped.withColumn("_n", n(seed + 2 * i + 2)).select("_g", "_n", c)
-        dealt = left.join(right, ["_g", "_n"])
-        rows.append((c, float(base - binary_metrics(model.transform(dealt), label, "prediction").first()["balanced_accuracy"])))
+        falls = [base - score(dealt(df, c, key, seed + 2 * (i * repeats + r))) for r in range(repeats)]
+        rows.append((c, float(sum(falls) / repeats)))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def smote(df: DataFrame, label: str, key: str, features: str, k: int = 5, threshold: float = 0.3, seed: int = 42) -> DataFrame:
-    """Adds synthetic rows of the minority class up to the majority's size where its
-    share is under the threshold. A synthetic row lies between a minority row and one
-    of its k nearest within its block; blocks are hashed groups of about 1,000."""
+def mdi_importance(spark, model, names: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(feature, importance): a tree model's decrease in impurity by input, summed over
+    the inputs made from a column. ``names`` are the inputs in the vector's order; an
+    input belongs to the longest column name that it starts with, else to itself."""
+    weights = model.featureImportances.toArray().tolist()
+    if len(weights) != len(names):
+        raise ValueError(f"{len(names)} names for {len(weights)} inputs")
+    sums = dict.fromkeys(columns, 0.0)
+    for name, w in zip(names, weights, strict=True):
+        owner = max((c for c in columns if name.startswith(c)), key=len, default=name)
+        sums[owner] = sums.get(owner, 0.0) + w
+    return spark.createDataFrame(list(sums.items()), "feature string, importance double")
+
+
+def permutation_test(df: DataFrame, score, label: str, key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(observed, replicates, at_least, p_value): how often ``score(rows)``, which fits and
+    judges a model, is at least as high with labels dealt to other rows. The p-value
+    counts the observed order as one of the deals."""
+    observed = float(score(df))
+    hits = sum(float(score(dealt(df, label, key, seed + 2 * r))) >= observed for r in range(replicates))
+    return df.sparkSession.createDataFrame([(observed, replicates, hits, (hits + 1) / (replicates + 1))], "observed double, replicates int, at_least int, p_value double")
+
+
+def bootstrap_balanced_accuracy(df: DataFrame, truth: str, predicted: str, replicates: int = 5000, seed: int = 42) -> DataFrame:
+    """(balanced_accuracy, low, high, n): the 95 % interval of rows drawn with
+    replacement. A replicate depends on its four confusion counts alone, which are
+    multinomial in the counts of all rows, so rows are read once. Nulls without rows."""
+    import numpy as np
+
+    counts = confusion(df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()), truth, predicted).first()
+    cells = np.array([counts[c] for c in ("tn", "fp", "fn", "tp")], np.float64)
+    n = int(cells.sum())
+    kind = "balanced_accuracy double, low double, high double, n long"
+    if n == 0:
+        return df.sparkSession.createDataFrame([(None, None, None, 0)], kind)
+
+    def balanced(x: np.ndarray) -> np.ndarray:
+        tn, fp, fn, tp = x.T.astype(np.float64)
+        pos, neg = tp + fn, tn + fp
+        sums = np.divide(tp, pos, out=np.zeros_like(tp), where=pos > 0) + np.divide(tn, neg, out=np.zeros_like(tn), where=neg > 0)
+        return sums / ((pos > 0).astype(int) + (neg > 0).astype(int))
+
+    draws = balanced(np.random.default_rng(seed).multinomial(n, cells / n, replicates))
+    low, high = np.quantile(draws, [0.025, 0.975])
+    return df.sparkSession.createDataFrame([(float(balanced(cells[None, :])[0]), float(low), float(high), n)], kind)
+
+
+def nearest_rows(df: DataFrame, key: str, features: str, k: int, block_rows: int = 1000) -> DataFrame:
+    """(key, near): the keys of the k nearest other rows by Euclidean distance, ties by
+    key. Rows are cut into hashed blocks and every pair of blocks is compared by a task of
+    its own, which returns the k best of each row; those are merged. Keys are unique."""
     import numpy as np
     import pandas as pd
 
+    blocks = df.count() // block_rows + 1
+    rows = df.select(F.col(key).cast("long").alias("_k"), F.col(features).cast("array<double>").alias("_x"), F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).alias("_b"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    sent = rows.select("_k", "_x", F.col("_b").alias("_i"), every.alias("_j"), F.lit(True).alias("_asks")).unionByName(rows.select("_k", "_x", every.alias("_i"), F.col("_b").alias("_j"), F.lit(False).alias("_asks")))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, held = pdf[pdf["_asks"]].sort_values("_k"), pdf[~pdf["_asks"]].sort_values("_k")
+        if asks.empty or held.empty:
+            return pd.DataFrame({"_k": [], "_d": [], "_o": []}).astype({"_k": "int64", "_o": "int64"})
+        x, y = (np.stack(s["_x"].to_numpy()).astype(np.float64) for s in (asks, held))
+        kx, ky = asks["_k"].to_numpy(), held["_k"].to_numpy()
+        out = []
+        for a, row in zip(kx, x, strict=True):
+            d = ((y - row) ** 2).sum(axis=1)
+            d[ky == a] = np.inf
+            for o in np.argsort(d, kind="stable")[:k]:
+                if np.isfinite(d[o]):
+                    out.append((a, d[o], ky[o]))
+        return pd.DataFrame(out, columns=["_k", "_d", "_o"]).astype({"_k": "int64", "_d": "float64", "_o": "int64"})
+
+    found = sent.groupBy("_i", "_j").applyInPandas(best, "_k long, _d double, _o long")
+    merged = found.groupBy("_k").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_o"))), 1, k).alias("l"))  # k for each block
+    return merged.select(F.col("_k").alias(key), F.transform("l", lambda x: x["_o"]).alias("near"))
+
+
+def smote(df: DataFrame, label: str, key: str, features: str, k: int = 5, threshold: float = 0.3, seed: int = 42) -> DataFrame:
+    """Adds synthetic rows of the smallest class up to the largest one's size where its
+    share is under the threshold: each lies between a row of it and one of the row's k
+    nearest in the whole class. Rows take turns in a hashed order. The key is a unique
+    integer; a class of one row is left as it is."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    vector = F.col(features).cast("array<double>")
+    given = df.select(label, vector.alias(features), F.lit(False).alias("synthetic"))
+    if len(counts) < 2:
+        return given
     small, large = min(counts, key=counts.get), max(counts.values())
-    if len(counts) < 2 or counts[small] / sum(counts.values()) >= threshold or counts[small] < 2:
-        return df.select(label, features, F.lit(False).alias("synthetic"))
-    per_row = (large - counts[small]) / counts[small]
-    minority = df.where(F.col(label) == small).withColumn("_b", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(1, counts[small] // 1000))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.stack(pdf[features].to_numpy()).astype(np.float64)
-        rng = np.random.default_rng([seed, int(pdf["_b"].iloc[0])])
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, : max(1, min(k, len(x) - 1))]
-        total = int(round(per_row * len(x)))
-        i = np.arange(total) % len(x)
-        j = near[i, rng.integers(0, near.shape[1], total)] if len(x) > 1 else i
-        made = x[i] + rng.random((total, 1)) * (x[j] - x[i])
-        return pd.DataFrame({label: [small] * total, features: list(made), "synthetic": [True] * total})
-
-    kind = f"`{label}` {df.schema[label].dataType.simpleString()}, `{features}` array<double>, synthetic boolean"
-    made = minority.select(label, key, F.col(features).cast("array<double>"), "_b").groupBy("_b").applyInPandas(run, kind)
-    return df.select(label, F.col(features).cast("array<double>").alias(features), F.lit(False).alias("synthetic")).unionByName(made)
+    if counts[small] / sum(counts.values()) >= threshold or counts[small] < 2:
+        return given
+    n, total = counts[small], large - counts[small]
+    minority = df.where(F.col(label) == small).select(F.col(key).cast("long").alias("_k"), vector.alias("_x"))
+    # a row's turn: its place in its hashed group after the rows of the groups before
+    groups = n // 10_000 + 1
+    turns = minority.withColumn("_g", F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(groups)))
+    sizes = turns.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.select("_g", (F.sum("_c").over(Window.orderBy("_g")) - F.col("_c")).alias("_before"))  # groups, not rows
+    turns = turns.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64("_k", F.lit(seed + 1)), "_k")) - 1).join(before, "_g")
+    copies = F.lit(total // n) + (F.col("_before") + F.col("_n") < total % n).cast("int")
+    made = turns.select("_k", "_x", copies.alias("_copies")).where("_copies > 0").select("_k", "_x", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    near = nearest_rows(minority, "_k", "_x", k)
+    draw = lambda s: F.xxhash64("_k", "_copy", F.lit(seed + s))
+    picked = made.join(near, "_k").select("_x", F.get("near", F.pmod(draw(2), F.size("near")).cast("int")).alias("_o"), (F.pmod(draw(3), F.lit(1 << 30)) / float(1 << 30)).alias("_u"))
+    paired = picked.join(minority.select(F.col("_k").alias("_o"), F.col("_x").alias("_y")), "_o")
+    between = F.transform(F.arrays_zip("_x", "_y"), lambda p: p["_x"] + F.col("_u") * (p["_y"] - p["_x"]))
+    return given.unionByName(paired.select(F.lit(small).cast(df.schema[label].dataType).alias(label), between.alias(features), F.lit(True).alias("synthetic")))
 
 
 def any_of(columns: Sequence[str]) -> Column:

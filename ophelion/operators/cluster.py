@@ -8,12 +8,15 @@ the meaning of clustering by waveform and step type.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import join_groups, quantiles
+
 MIN_VALID = 5
 
 
@@ -119,8 +122,10 @@ def knn_mean_distance(df: DataFrame, partition: Sequence[str], row_id: str, vect
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles, 90 and 95 percent points, max."""
     v = F.col(value)
-    points = [F.percentile(v, p).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75, 0.9, 0.95)]
-    return df.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *points, F.max(v).alias("max"))
+    shares = {f"p{round(100 * p)}": p for p in (0.25, 0.5, 0.75, 0.9, 0.95)}
+    row = df.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = join_groups(row, quantiles(df, value, shares, by), by, "left")
+    return out.select(*by, "count", "mean", "std", "min", *shares, "max")
 
 
 def cluster_counts(df: DataFrame, partition: Sequence[str]) -> DataFrame:
@@ -165,4 +170,5 @@ def pca(df: DataFrame, vector: str, k: int = 2) -> DataFrame:
 
 
 def robust_axes(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    return df.agg(*[F.percentile(c, p).alias(f"{c}_{n}") for c in columns for n, p in (("low", low), ("high", high))])
+    rows = [quantiles(df, c, {f"{c}_low": low, f"{c}_high": high}) for c in columns]
+    return reduce(lambda a, b: a.crossJoin(b), rows)  # one row each

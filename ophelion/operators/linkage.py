@@ -17,6 +17,8 @@ from .joins import soft_filter
 #: Points of each kind of evidence and the two thresholds.
 POINTS = {"record": 100, "exact": 50, "fuzzy95": 45, "fuzzy90": 35, "fuzzy85": 25, "year": 20, "sex": 10, "first": 15, "last": 15, "shared": 5}
 ACCEPT, REVIEW, SHOWN = 70, 35, 5
+#: Sources of people (a mapping, a table of tests) that one linkage may have.
+MAX_SOURCES = 16
 
 
 def query_fields(df: DataFrame, key: str, name: str, dob: str, sex: str, unicode: bool = True) -> DataFrame:
@@ -49,9 +51,13 @@ def candidates(queries: DataFrame, people: DataFrame) -> DataFrame:
     """Candidates by birth year; for a query and source without any, by name; of those
     only the ones with the query's sex where there are some."""
     first = by_year(queries, people)
-    # a row per query and source (two or three sources) that the year found nothing in
-    sources = people.select("source").distinct()
-    wanted = queries.select("query_id", "signatures").join(F.broadcast(sources)).join(first.select("query_id", "source").distinct(), ["query_id", "source"], "left_anti")
+    # a row per query and source that the year found nothing in; sources become a literal
+    # array, so their number is checked
+    sources = [r["source"] for r in people.select("source").distinct().orderBy("source").limit(MAX_SOURCES + 1).collect()]
+    if len(sources) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources of people")
+    every = F.array(*(F.lit(s) for s in sources)).cast("array<string>")
+    wanted = queries.select("query_id", "signatures", F.explode(every).alias("source")).join(first.select("query_id", "source").distinct(), ["query_id", "source"], "left_anti")
     pairs = first.unionByName(by_name(wanted, people)).join(people.drop("source"), "person_id").join(queries.select("query_id", "query_sex"), "query_id")
     fits = (F.col("query_sex") != "") & F.startswith(F.lower("sex"), F.col("query_sex"))
     return soft_filter(pairs, ["query_id", "source"], fits | (F.col("query_sex") == "")).drop("query_sex")

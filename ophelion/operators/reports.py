@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ignoring_case, preview
+from .quantiles import values_at
 
 
 def is_correct(kind: Column, chosen: Column, key: Column) -> Column:
@@ -60,20 +61,9 @@ def option_distribution(answers: DataFrame, of: str = "answers") -> DataFrame:
     return n.select("question_id", "option_id", "count", pct.alias("percentage"), F.when(kinds == 2, "pie").otherwise("bar").alias("chart_type"))
 
 
-def upper_median_of(df: DataFrame, value: str, buckets: int = 1024) -> DataFrame:
-    """One row with sorted[n // 2] of a numeric column. Values are counted in buckets of
-    equal width; only the bucket that holds the middle is sorted."""
-    v = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    ends = v.agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    place = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("a"), F.col("b") - F.col("a")) * buckets), F.lit(0)).cast("int")
-    placed = v.join(F.broadcast(ends)).select("v", place.alias("k"))
-    counts = placed.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # buckets, not rows
-    sums = counts.select("k", "c", upto.alias("u"), F.sum("c").over(Window.partitionBy()).alias("t"))
-    middle = sums.where("u > floor(t / 2)").groupBy().agg(F.min_by(F.struct("k", (F.floor(F.col("t") / 2) - F.col("u") + F.col("c")).alias("skip")), "k").alias("m")).select("m.*")
-    inside = placed.join(F.broadcast(middle), "k").groupBy("v", "skip").agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return inside.select("v", "skip", before.alias("u")).where("u > skip").agg(F.min("v").alias("median"))
+def upper_median_of(df: DataFrame, value: str) -> DataFrame:
+    """One row with sorted[n // 2] of a numeric column; null without a value."""
+    return values_at(df, value, {"median": (0.5, F.floor(F.col("_n") / 2))})
 
 
 def score_analytics(submissions: DataFrame, score: str = "total_score") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from .quantiles import join_groups, quantiles
 
 #: The scale's items by subscale, and the texts of its four answers.
 SUBSCALES = {
@@ -73,13 +74,16 @@ def descriptive_stats(df: DataFrame, value: str, by: Sequence[str] = (), digits:
     stats = {
         "mean": F.avg(v),
         "sd": F.stddev_samp(v),
-        "mode": F.mode(v, True),
-        "median": F.median(v),
-        "iqr": F.percentile(v, 0.75) - F.percentile(v, 0.25),
         "min": F.min(v),
         "max": F.max(v),
     }
-    return df.groupBy(*by).agg(*[F.round(F.coalesce(s, F.lit(0.0)), digits).alias(n) for n, s in stats.items()], F.count(v).alias("n"))
+    row = df.groupBy(*by).agg(*[s.alias(n) for n, s in stats.items()], F.count(v).alias("n"))
+    # the mode from counts of distinct values: the most frequent, of those the smallest
+    counts = df.select(*by, v.alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    row = join_groups(row, counts.groupBy(*by).agg(F.max_by("_v", F.struct("_c", -F.col("_v"))).alias("mode")), by, "left")
+    row = join_groups(row, quantiles(df, value, {"_q1": 0.25, "median": 0.5, "_q3": 0.75}, by), by, "left")
+    row = row.withColumn("iqr", F.col("_q3") - F.col("_q1"))
+    return row.select(*by, *[F.round(F.coalesce(F.col(c), F.lit(0.0)), digits).alias(c) for c in ("mean", "sd", "mode", "median", "iqr", "min", "max")], "n")
 
 
 def cronbach_alpha(wide: DataFrame, items: Sequence[str], digits: int = 4) -> DataFrame:
@@ -144,12 +148,18 @@ def chi_square(table: DataFrame, p_value: bool = True) -> DataFrame:
     return out.drop("_x")
 
 
+def complete_blocks(df: DataFrame, block: str, treatment: str) -> DataFrame:
+    """The rows of blocks that hold every treatment once."""
+    k_row = df.agg(F.countDistinct(treatment).alias("k"))
+    per = df.groupBy(block).agg(F.count(F.lit(1)).alias("_c"), F.countDistinct(treatment).alias("_d"))
+    whole = per.join(F.broadcast(k_row)).where("_c = k and _d = k").select(block)
+    return df.join(whole, block, "left_semi")
+
+
 def friedman(df: DataFrame, block: str, treatment: str, value: str, p_value: bool = True) -> DataFrame:
     """Friedman's statistic over blocks that hold every treatment once, with the
     correction for ties; null where it is not defined."""
-    k_row = df.agg(F.countDistinct(treatment).alias("k"))
-    whole = df.groupBy(block).agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(k_row)).where("_c = k").select(block)
-    full = df.join(whole, block, "left_semi")
+    full = complete_blocks(df, block, treatment)
     ranks = average_ranks(full, value, [block])
     ranked = full.join(ranks, [block, value])
     ties = ranks.agg(F.sum(F.col("tied") * (F.col("tied") * F.col("tied") - 1)).alias("ties"))
@@ -165,8 +175,10 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str, p_value: boo
 
 
 def nemenyi(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
-    """(treatment_a, treatment_b, mean_rank_gap, p_value) for each pair."""
-    ranked = df.join(average_ranks(df, value, [block]), [block, value])
+    """(treatment_a, treatment_b, mean_rank_gap, p_value) for each pair, over blocks that
+    hold every treatment once."""
+    full = complete_blocks(df, block, treatment)
+    ranked = full.join(average_ranks(full, value, [block]), [block, value])
     means = ranked.groupBy(treatment).agg(F.avg("rank").alias("m"), F.count(F.lit(1)).alias("n"))
     a = means.select(F.col(treatment).alias("treatment_a"), F.col("m").alias("ma"), "n")
     b = means.select(F.col(treatment).alias("treatment_b"), F.col("m").alias("mb"))
@@ -177,15 +189,16 @@ def nemenyi(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
     return pairs.select("treatment_a", "treatment_b", gap.alias("mean_rank_gap"), special.range_p(q, F.col("k").cast("double")).alias("p_value"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, by: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: str, by: Sequence[str], replicates: int = 1000, seed: int = 42, key: Sequence[str] = ()) -> DataFrame:
     """mean, low and high (2.5 % and 97.5 %) of bootstrapped means. Each row enters each
     replicate a Poisson(1) number of times, so nothing is collected; draws depend on
-    the seed, the replicate and the row alone."""
-    draws = df.select(*by, F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns, F.lit(seed)).alias("h"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    the seed, the replicate and the row's ``key`` alone. Without a key all columns are
+    it, and equal rows then get equal draws: give one where rows repeat."""
+    draws = df.select(*by, F.col(value).cast("double").alias("v"), F.xxhash64(*(key or df.columns), F.lit(seed)).alias("h"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     u = (F.pmod(F.xxhash64("h", "rep"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    # inverse of the Poisson(1) distribution function up to 6
+    # inverse of the Poisson(1) distribution function, to the last step that a double shows
     steps, total, term = [], 0.0, 0.36787944117144233
-    for j in range(7):
+    for j in range(17):
         total += term
         steps.append(total)
         term /= j + 1
@@ -193,3 +206,26 @@ def bootstrap_mean(df: DataFrame, value: str, by: Sequence[str], replicates: int
     means = draws.withColumn("w", times).groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
     out = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return out.join(df.groupBy(*by).agg(F.avg(F.col(value).cast("double")).alias("mean")), list(by))
+
+
+def statistics_report(df: DataFrame, block: str, treatment: str, metrics: Sequence[str], replicates: int = 1000) -> DataFrame:
+    """(metric, test, treatment_a, treatment_b, statistic, p_value, low, high): for each
+    metric Friedman's test, Nemenyi's test of each pair (the statistic is the gap of mean
+    ranks) and the mean of each treatment with its bootstrap interval. Metrics that the
+    table lacks are left out."""
+    names = ("metric", "test", "treatment_a", "treatment_b", "statistic", "p_value", "low", "high")
+    kinds = ("string", "string", "string", "string", "double", "double", "double", "double")
+
+    def shaped(rows: DataFrame, metric: str, test: str, **values: str) -> DataFrame:
+        given = {"metric": F.lit(metric), "test": F.lit(test)} | {k: F.col(v) for k, v in values.items()}
+        return rows.select(*(given.get(n, F.lit(None)).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)))
+
+    parts = []
+    for m in (m for m in metrics if m in df.columns):
+        rows = df.select(block, treatment, F.col(m).cast("double").alias("value")).where("value is not null")
+        parts.append(shaped(friedman(rows, block, treatment, "value"), m, "friedman", statistic="statistic", p_value="p_value"))
+        parts.append(shaped(nemenyi(rows, block, treatment, "value"), m, "nemenyi", treatment_a="treatment_a", treatment_b="treatment_b", statistic="mean_rank_gap", p_value="p_value"))
+        parts.append(shaped(bootstrap_mean(rows, "value", [treatment], replicates, key=[block, treatment]), m, "bootstrap_mean", treatment_a=treatment, statistic="mean", low="low", high="high"))
+    if not parts:
+        raise ValueError("none of the metrics is a column")
+    return reduce(DataFrame.unionByName, parts)

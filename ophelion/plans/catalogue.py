@@ -655,6 +655,16 @@ def nemenyi(t):
     return scores.nemenyi(blocks(t), "block", "treatment", "value")
 
 
+@query(f"WITH {RANKED}, f AS (SELECT * FROM blocks WHERE block IN (SELECT block FROM blocks GROUP BY block HAVING count(*) = (SELECT count(DISTINCT treatment) FROM blocks))), r AS (SELECT *, rank() OVER (PARTITION BY block ORDER BY value) + (count(*) OVER (PARTITION BY block, value) - 1) / 2.0 AS r FROM f), m AS (SELECT treatment, avg(r) AS m FROM r GROUP BY 1) SELECT a.treatment AS treatment_a, b.treatment AS treatment_b, round(abs(a.m - b.m), 6) AS mean_rank_gap FROM m a JOIN m b ON a.treatment < b.treatment")
+def nemenyi_gaps(t):
+    return scores.nemenyi(blocks(t), "block", "treatment", "value").select("treatment_a", "treatment_b", *r6("mean_rank_gap"))
+
+
+@query()
+def statistics_report(t):
+    return scores.statistics_report(blocks(t).withColumnRenamed("value", "balance"), "block", "treatment", ["balance", "absent"])
+
+
 @query()
 def bootstrap_ci(t):
     return scores.bootstrap_mean(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", ["c_mktsegment"], 1000)
@@ -785,9 +795,9 @@ def average_precision(t):
     return classify.average_precision(predictions(t), "truth", "score").select(*r6("average_precision"))
 
 
-@query("SELECT 'value' AS metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median FROM events")
+@query("SELECT 'value' AS metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median, max(value) FILTER (WHERE i = round(0.025 * (n - 1))) AS q025, max(value) FILTER (WHERE i = round(0.975 * (n - 1))) AS q975 FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events)")
 def metric_summary(t):
-    return classify.metric_summary(t.events.select("value"), ["value"]).select("metric", *r6("mean", "std", "median"))
+    return classify.metric_summary(t.events.select("value"), ["value"]).select("metric", *r6("mean", "std", "median"), "q025", "q975")
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) / len(a.embedding)), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -854,14 +864,14 @@ def nested_cv(t):
     from pyspark.ml.classification import DecisionTreeClassifier
 
     models = {"tree2": DecisionTreeClassifier(maxDepth=2, seed=1), "tree4": DecisionTreeClassifier(maxDepth=4, seed=1)}
-    return classify.nested_cv(features(t).cache(), models, "quality", "doc_id", ["words", "sentences", "syllables", "letters"], ["lang"], outer=2, inner=2)
+    return classify.nested_cv(features(t), models, "quality", "doc_id", ["words", "sentences", "syllables", "letters"], ["lang"], outer=2, inner=2)
 
 
 @query()
 def feature_importance(t):
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    df = features(t).cache()
+    df = features(t)
     columns = ["words", "sentences", "syllables", "letters"]
     from pyspark.ml import Pipeline
 
@@ -870,12 +880,36 @@ def feature_importance(t):
     return classify.permutation_importance(model, df, columns, "quality", "doc_id")
 
 
-@query()
+@query("WITH l AS (SELECT toxic FROM labels JOIN embeddings ON doc_id = vec_id), c AS (SELECT toxic, count(*) AS n FROM l GROUP BY 1) SELECT toxic, false AS synthetic, n FROM c UNION ALL SELECT toxic, true, (SELECT max(n) FROM c) - n FROM c WHERE n = (SELECT min(n) FROM c) AND n < 0.3 * (SELECT sum(n) FROM c) AND n > 1")
 def smote(t):
     df = t.labels.join(t.embeddings.withColumnRenamed("vec_id", "doc_id"), "doc_id").select("doc_id", "toxic", "embedding")
     return classify.smote(df, "toxic", "doc_id", "embedding").groupBy("toxic", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lengthwise(t: Tables) -> DataFrame:
+    """Three bands of order prices, and a rule that guesses them from the priority."""
+    band = F.when(F.col("o_totalprice") < 60000, 0).when(F.col("o_totalprice") < 180000, 1).otherwise(2)
+    return t.orders.select(band.alias("band"), F.pmod(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(4)).alias("guess"))
+
+
+LENGTHWISE = "b AS (SELECT CASE WHEN o_totalprice < 60000 THEN 0 WHEN o_totalprice < 180000 THEN 1 ELSE 2 END AS t, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 4 AS p FROM orders), k AS (SELECT label, count(*) FILTER (WHERE t = label) AS support, count(*) FILTER (WHERE p = label) AS given, count(*) FILTER (WHERE t = label AND p = label) AS hits FROM b, (SELECT t AS label FROM b UNION SELECT p FROM b) GROUP BY label), m AS (SELECT label, support, coalesce(hits / nullif(CAST(given AS DOUBLE), 0), 0) AS precision, coalesce(hits / nullif(CAST(support AS DOUBLE), 0), 0) AS recall, 2.0 * hits / (support + given) AS f1 FROM k)"
+
+
+@query(f"WITH {LENGTHWISE} SELECT label, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m")
+def class_metrics(t):
+    return classify.class_metrics(lengthwise(t), "band", "guess").select("label", "support", *r6("precision", "recall", "f1"))
+
+
+@query(f"WITH {LENGTHWISE} SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(recall * support) / sum(support), 6) AS accuracy, round(avg(recall) FILTER (WHERE support > 0), 6) AS balanced_accuracy, round(avg(f1), 6) AS f1_macro FROM m")
+def multiclass_metrics(t):
+    return classify.multiclass_metrics(lengthwise(t), "band", "guess").select("n", *r6("accuracy", "balanced_accuracy", "f1_macro"))
+
+
+@query()
+def bootstrap_accuracy(t):
+    return classify.bootstrap_balanced_accuracy(t.orders.select((F.col("o_totalprice") > 150000).cast("int").alias("t"), (F.col("o_orderpriority") < "3").cast("int").alias("p")), "t", "p")
+
+
 @query()
 def token_similarity(t):
     return similarity.token_scores(t.embeddings.withColumn("odd", F.col("vec_id") % 2 == 1), "label", "vec_id", "embedding", "odd")
