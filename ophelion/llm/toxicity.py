@@ -97,13 +97,15 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     """Learns from rows whose fold (crc32 of the id modulo 5) is not 0."""
     texts = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where(id_fold(F.col("doc_id"), 5) != 0)
     told = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(id_fold(F.col("doc_id"), 5) != 0)
+    told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # repeated labels of one id count once
     counted = told.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
     n_docs = texts.count()
     if not counted["n"] or not counted["toxic"] or not n_docs:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    ids = told.where("toxic = 1").where(draw < max_positive / counted["toxic"]).select("doc_id").distinct()
-    positive = texts.join(ids, "doc_id").select("text", F.lit(1).alias("kind"))
+    ids = told.where("toxic = 1").where(draw < max_positive / counted["toxic"]).select("doc_id")
+    # about max_positive ids, so that texts stay where they are; the limit proves the bound
+    positive = texts.join(F.broadcast(ids.limit(2 * max_positive)), "doc_id").select("text", F.lit(1).alias("kind"))
     other = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) / float(1 << 30)
     unlabelled = texts.where(other < max_unlabelled / n_docs).select("text", F.lit(0).alias("kind"))
 

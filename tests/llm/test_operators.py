@@ -390,6 +390,8 @@ def test_toxicity(spark, docs, rows, null_id, empty):
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for i, r in out.items())
     assert out[9000]["score"] == out[9001]["score"] and out[9000]["predicted"] == 0
+    again = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, told.unionByName(told.where("toxic = 1"))).collect()}
+    assert again == {i: r["score"] for i, r in out.items()}
     none = told.where("false")
     assert {r["score"] for r in toxicity.score_toxicity(docs, none).collect()} == {0.0}
     assert toxicity.score_toxicity(null_id, told).count() == len(rows) + 3
