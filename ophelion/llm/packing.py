@@ -88,9 +88,15 @@ class WordTokenizer:
         return ids
 
     def _cut_word(self, word: bytes) -> bytes:
+        if word.isalpha():  # letters of ASCII only: one piece, as are other words of letters
+            return self._piece(word.lower().decode())
         text = word.decode("utf-8", "replace")
-        if (text.isascii() and text.isprintable() or max(text) < "ɐ" and unicodedata.is_normalized("NFC", text) and text.isprintable()) and "<|" not in text:
-            return b"".join([self._piece(x) for x in self.cut(text.lower())])
+        if text.isascii() and text.isprintable() or max(text) < "ɐ" and unicodedata.is_normalized("NFC", text) and text.isprintable():
+            low = text.lower()
+            if low.isalpha():
+                return self._piece(low)
+            if "<|" not in text:
+                return b"".join([self._piece(x) for x in self.cut(low)])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def forget(self) -> None:

@@ -223,6 +223,16 @@ def test_word_tokenizer_equals_the_whole_tokenizer():
         assert np.frombuffer(t.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_tokenizer_on_every_common_character():
+    from tokenizers import Tokenizer
+
+    t = packing.WordTokenizer(packing.default_tokenizer())
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    for c in map(chr, range(33, 0x250)):
+        text = f"{c} {c}bC A{c} x{c}y {c}{c}"
+        assert np.frombuffer(t.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
 def test_fullest_combination_is_optimal():
     rng = random.Random(1)
     for _ in range(200):
