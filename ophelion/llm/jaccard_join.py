@@ -316,5 +316,19 @@ def _pairs_of_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.join(sides, ["pool", "block"]).select("pool", "low", "high", "block", "key", "copies", "shingles")
 
 
+#: Every pair of shingle sets that share a shingle, without bands; the empty set is the
+#: set of one empty shingle.
+OP7_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+own AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM d),
+named AS (SELECT doc_id, s, md5(array_to_string(s, chr(10))) AS k FROM own),
+class AS (SELECT k, any_value(s) AS s, min(doc_id) AS first, count(*) AS copies FROM named GROUP BY k),
+sh AS (SELECT k, len(s) AS n, unnest(s) AS g FROM class),
+link AS (SELECT a.k AS a, b.k AS b FROM sh a JOIN sh b ON a.g = b.g AND a.k <> b.k AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.k, b.k, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT k, k FROM class UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+root AS (SELECT reach.a AS k, min(first) AS class_id FROM reach JOIN class ON reach.b = class.k GROUP BY reach.a),
+counted AS (SELECT a AS k, sum(copies) AS documents, count(*) AS texts FROM link JOIN class ON b = k GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(documents, 0) + copies - 1 AS BIGINT) AS n_links, coalesce(texts, 0) AS n_texts, copies FROM named JOIN class USING (k) JOIN root USING (k) LEFT JOIN counted USING (k)"""
+
+
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

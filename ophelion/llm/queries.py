@@ -6,13 +6,13 @@ import importlib
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .html_extract import op2_html_extract
-from .jaccard_join import op7_jaccard_join
+from .jaccard_join import OP7_SQL, op7_jaccard_join
 from .language_id import op3_language_id
 from .lm_score import op10_lm_score
 from .media import op8_media
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op6_packing
-from .substring_dedup import op1_substring_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .toxicity import op9_toxicity
 
 QUERIES = {
@@ -31,7 +31,7 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_jaccard_join": OP7_SQL}
 
 
 def pipeline(spark, sf_dir: str):

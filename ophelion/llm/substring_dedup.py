@@ -216,6 +216,16 @@ def digest(kept: bytes) -> str:
     return hashlib.sha256(kept).hexdigest()
 
 
+#: All 50-word windows of all documents, word by word; the smallest doc_id of each.
+OP1_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) u(i)),
+hit AS (SELECT r, i FROM win JOIN (SELECT h, min(doc_id) AS first FROM win GROUP BY h) USING (h) WHERE first < doc_id),
+gone AS (SELECT DISTINCT r, p FROM hit, unnest(range(i, i + 50)) u(p)),
+word AS (SELECT r, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) u(p)),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), TARGET)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
