@@ -169,6 +169,16 @@ def submitted_answers(answers: DataFrame, questions: DataFrame, scored: DataFram
     return stored.unionByName(absent.select("submission_id", "question_id", F.array().cast("array<bigint>").alias("selected_options"), F.lit("N/A").alias("text_response"), F.lit(0.0).alias("score")))
 
 
+def questionnaire_list(questionnaires: DataFrame, creator, fields: Sequence[str], first: str | None = None, last: str | None = None, by: str = "creator_id", at: str = "created_at") -> DataFrame:
+    """The chosen fields of one creator's questionnaires made on days first..last. Days
+    are compared as text, so a missing date is before any day; unknown fields are left out."""
+    day = F.substring(F.coalesce(F.col(at).cast("string"), F.lit("")), 1, 10)
+    out = questionnaires.where(F.col(by).cast("string") == F.lit(str(creator)))
+    out = out if first is None else out.where(day >= F.lit(first))
+    out = out if last is None else out.where(day <= F.lit(last))
+    return out.select(*(f for f in fields if f in questionnaires.columns))
+
+
 def delete_cascade(parent: DataFrame, children: dict[str, DataFrame], key: str, gone: DataFrame) -> dict[str, DataFrame]:
     """Parent and children without the rows of the deleted keys."""
     keys = gone.select(key)

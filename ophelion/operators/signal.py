@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import first_ids
+
 MIN_SAMPLES, LEVELS = 32, 5
 #: The decomposition low-pass filter of the Daubechies wavelet with four
 #: vanishing moments.
@@ -76,6 +78,20 @@ def signal_sizes(df: DataFrame, keys: Sequence[str], small: int = 50) -> DataFra
     return sizes.agg(F.count(F.lit(1)).alias("signals"), F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("most"), F.count_if(F.col("n") < small).alias("small"))
 
 
+def curves(df: DataFrame, patient: str, keys: Sequence[str], order: str, patients: int = 3, rows: int = 20_000, points: int = 2_000) -> DataFrame:
+    """What a plot of the first ``patients`` shows: of each the first ``rows`` rows, and
+    of each curve (a value of ``keys``, its ``label``) every k-th point, k the whole part
+    of its length over ``points``, 1 at least. Null patients have no curve."""
+    some = first_ids(df.where(F.col(patient).isNotNull()), patient, order, patients)
+    own = Window.partitionBy(patient).orderBy(order, *keys)
+    head = df.join(some, patient, "left_semi").withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= rows)
+    curve = Window.partitionBy(patient, *keys)
+    step = F.greatest(F.floor(F.count(F.lit(1)).over(curve) / points), F.lit(1))
+    label = F.concat_ws(" | ", *(F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys))
+    placed = head.withColumns({"_step": step, "_k": F.row_number().over(curve.orderBy("_n")) - 1, "label": label})
+    return placed.where(F.col("_k") % F.col("_step") == 0).drop("_n", "_k", "_step")
+
+
 # --------------------------------------------------------------- one series
 
 

@@ -216,12 +216,22 @@ def name_tokens(t):
     return named(t).select("c_custkey", F.array_join(ids.name_tokens(F.col("name")), " ").alias("tokens"))
 
 
-@query()
+#: Every choice of the words after the first as bits of a number, and the forms it gives.
+FORMS = f"""t AS (SELECT c_custkey, list_filter(list_transform(regexp_split_to_array({NAME}, '\\s+'), lambda x: regexp_replace(lower(strip_accents(x)), '[^a-z0-9]', '', 'g')), lambda x: length(x) >= 2) AS w FROM customer),
+s AS (SELECT c_custkey, w, b, list_filter(w[2:], lambda x, i: (b >> (i - 1)) & 1 = 1) AS picked FROM t, unnest(range(0, CAST(1 << (len(w) - 1) AS BIGINT))) u(b)),
+i AS (SELECT *, array_to_string(list_transform(picked, lambda x: x[1]), '') AS first_letters FROM s)"""
+WHOLE_FORMS = """SELECT c_custkey, w[1] AS form FROM t UNION SELECT c_custkey, array_to_string(w, '') FROM t UNION SELECT c_custkey, array_to_string(list_transform(w, lambda x: x[1]), '') FROM t WHERE len(w) > 1
+UNION SELECT c_custkey, w[1] || array_to_string(picked, '') FROM s WHERE len(picked) BETWEEN 1 AND 2 UNION SELECT c_custkey, w[1] || first_letters FROM i WHERE b > 0
+UNION SELECT c_custkey, w[1] || first_letters || w[-1] FROM i WHERE b > 0 AND b < (1 << (len(w) - 2))"""
+SPACED_FORMS = "SELECT c_custkey, array_to_string(w, ' ') FROM t UNION SELECT c_custkey, w[1] || ' ' || array_to_string(picked, ' ') FROM s WHERE len(picked) BETWEEN 1 AND 2"
+
+
+@query(f"WITH {FORMS} {WHOLE_FORMS}")
 def name_variations(t):
     return named(t).select("c_custkey", F.explode(ids.name_variations(F.col("name"))).alias("form"))
 
 
-@query()
+@query(f"WITH {FORMS} {WHOLE_FORMS} UNION {SPACED_FORMS}")
 def name_signatures(t):
     return named(t).select("c_custkey", F.explode(ids.name_signatures(F.col("name"))).alias("form"))
 
@@ -612,7 +622,9 @@ def wide_export(t):
     return reports.wide_export(long(t), ITEMS, ["submission_id"], F.col("options"))
 
 
-@query()
+@query(f"""WITH {ANSWERS} SELECT submission_id, '{{"submission_id":' || submission_id || ',"submitted_at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') || '","total_score":' || o_totalprice || ',"answers":['
+  || string_agg('{{"question_id":' || question_id || ',"caption":"' || caption || '","options":"option ' || option || '","text_response":"' || text_response || '","score":' || score || '}}', ',' ORDER BY question_id) || ']}}' AS json
+  FROM answers JOIN orders ON submission_id = o_orderkey GROUP BY submission_id, o_orderdate, o_totalprice""")
 def nested_export(t):
     return reports.nested_export(long(t), "submission_id", ["submitted_at", "total_score"])
 
@@ -813,14 +825,29 @@ def knn_mean_distance(t):
     return cluster.knn_mean_distance(t.embeddings, ["label"], "vec_id", "embedding", 5).select("label", "vec_id", *r6("mean_distance"))
 
 
-@query()
+#: Pairs of rows within reach of each other, the row itself included, by greatest distance.
+NEAR = """e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+far AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE list_distance(a.v, b.v) / sqrt(len(a.v)) END AS d FROM e a JOIN e b ON a.label = b.label),
+grid AS (SELECT CAST(eps AS DOUBLE) AS eps, CAST(least AS INTEGER) AS min_samples FROM {grid}),
+near AS (SELECT eps, min_samples, label, a, b FROM far JOIN grid ON d <= eps),
+core AS (SELECT eps, min_samples, label, a FROM near GROUP BY ALL HAVING count(*) >= min_samples),
+linked AS (SELECT near.* FROM near JOIN core USING (eps, min_samples, label, a) JOIN core other ON other.eps = near.eps AND other.min_samples = near.min_samples AND other.a = near.b),
+reach(eps, min_samples, label, a, b) AS (SELECT eps, min_samples, label, a, a FROM core UNION SELECT r.eps, r.min_samples, r.label, r.a, l.b FROM reach r JOIN linked l ON l.eps = r.eps AND l.min_samples = r.min_samples AND l.a = r.b),
+root AS (SELECT eps, min_samples, label, a, min(b) AS root FROM reach GROUP BY ALL),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY eps, min_samples, label ORDER BY root) - 1 AS k FROM root),
+placed AS (SELECT g.eps, g.min_samples, e.label, e.vec_id, CAST(coalesce(min(k), -1) AS INTEGER) AS cluster FROM e CROSS JOIN grid g LEFT JOIN near n ON n.eps = g.eps AND n.min_samples = g.min_samples AND n.a = e.vec_id LEFT JOIN numbered m ON m.eps = n.eps AND m.min_samples = n.min_samples AND m.a = n.b GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {NEAR.format(grid='(VALUES (0.155, 5)) g(eps, least)')} SELECT label, vec_id, cluster FROM placed")
 def dbscan_clusters(t):
-    return cluster.cluster(t.embeddings, ["label"], "vec_id", "embedding", 0.12, 5)
+    return cluster.cluster(t.embeddings, ["label"], "vec_id", "embedding", 0.155, 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEAR.format(grid='(VALUES (0.15), (0.155), (0.16)) g(eps), (VALUES (4), (8)) h(least)')},
+per AS (SELECT eps, min_samples, label, count(*) AS points, max(cluster) + 1 AS clusters, count(*) FILTER (WHERE cluster = -1) AS noise FROM placed GROUP BY ALL)
+SELECT eps, min_samples, CAST(sum(points) AS BIGINT) AS points, CAST(sum(clusters) AS BIGINT) AS clusters, CAST(sum(noise) AS BIGINT) AS noise, 100.0 * CAST(sum(noise) AS DOUBLE) / CAST(sum(points) AS DOUBLE) AS noise_pct FROM per GROUP BY eps, min_samples""")
 def dbscan_sweep(t):
-    return cluster.sweep_totals(cluster.sweep(t.embeddings, ["label"], "vec_id", "embedding", [(e, m) for e in (0.1, 0.12, 0.14) for m in (4, 8)]))
+    return cluster.sweep_totals(cluster.sweep(t.embeddings, ["label"], "vec_id", "embedding", [(e, m) for e in (0.15, 0.155, 0.16) for m in (4, 8)]))
 
 
 CLUSTERED = "k AS (SELECT event_type, CAST(user_id % 5 AS INTEGER) - 1 AS cluster, value FROM events)"
@@ -910,9 +937,12 @@ def bootstrap_accuracy(t):
     return classify.bootstrap_balanced_accuracy(t.orders.select((F.col("o_totalprice") > 150000).cast("int").alias("t"), (F.col("o_orderpriority") < "3").cast("int").alias("p")), "t", "p")
 
 
-@query()
+@query("""WITH c AS (SELECT a.label, a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+s AS (SELECT label, avg(best) AS p FROM (SELECT label, max(cosine) AS best FROM c GROUP BY label, x) GROUP BY label), r AS (SELECT label, avg(best) AS r FROM (SELECT label, max(cosine) AS best FROM c GROUP BY label, y) GROUP BY label)
+SELECT label, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1 FROM s JOIN r USING (label)""")
 def token_similarity(t):
-    return similarity.token_scores(t.embeddings.withColumn("odd", F.col("vec_id") % 2 == 1), "label", "vec_id", "embedding", "odd")
+    found = similarity.token_scores(t.embeddings.withColumn("odd", F.col("vec_id") % 2 == 1), "label", "vec_id", "embedding", "odd")
+    return found.select("label", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
 # --------------------------------------------- guards, filters and small joins
@@ -1055,3 +1085,16 @@ def confirmed_answers(t):
     queries, people = respondents(t)
     decided = linkage.decide(queries, linkage.scored_candidates(queries, people))
     return linkage.confirmed(t.customer.select("c_custkey", "c_acctbal"), decided, "c_custkey")
+
+
+@query("""WITH p AS (SELECT user_id FROM events GROUP BY user_id ORDER BY min(event_id) LIMIT 4), h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type) AS n FROM events JOIN p USING (user_id)),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY user_id, event_type) AS size FROM h WHERE n <= 30)
+SELECT event_id, user_id, 'event_type=' || event_type AS label FROM c WHERE k % greatest(size // 3, 1) = 0""")
+def waveform_curves(t):
+    """The points that a plot of the first patients' curves shows."""
+    return signal.curves(t.events, "user_id", ["event_type"], "event_id", 4, 30, 3).select("event_id", "user_id", "label")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7 AND strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-01-01' AND '1999-12-31'")
+def questionnaire_list(t):
+    return reports.questionnaire_list(t.orders, 7, ["o_orderkey", "o_orderstatus", "absent"], "1995-01-01", "1999-12-31", "o_custkey", "o_orderdate")
