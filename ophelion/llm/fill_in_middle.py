@@ -30,23 +30,28 @@ def draws(doc_id: Column) -> list[Column]:
     return [F.conv(F.substring(hexed, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
 
 
-def form_of(text: Column, third: Column, fourth: Column) -> Column:
+def unit_count(text: Column) -> Column:
+    """As many units as characters once each run of letters is one; builds no array."""
+    return F.length(F.regexp_replace(text, "[A-Za-z]+", "a")).cast("long")
+
+
+def form_of(text: Column, n: Column, third: Column, fourth: Column) -> Column:
     marked = F.contains(text, F.lit(PREFIX)) | F.contains(text, F.lit(SUFFIX)) | F.contains(text, F.lit(MIDDLE))
-    return F.when((text == "") | marked | (third % 100 >= PLAIN_FROM), "plain").when(fourth % 100 < SPM_BELOW, "spm").otherwise("psm")
+    return F.when((n == 0) | marked | (third % 100 >= PLAIN_FROM), "plain").when(fourth % 100 < SPM_BELOW, "spm").otherwise("psm")
 
 
 def requests(rows: DataFrame) -> DataFrame:
     """(row, which, ordinal): the last unit before each of the two cuts; none for a cut
-    at the start."""
+    at the start, and none of a plain text."""
     cuts = F.array(F.struct(F.lit(1).alias("which"), F.col("low").alias("ordinal")), F.struct(F.lit(2).alias("which"), F.col("high").alias("ordinal")))
-    return rows.where("form <> 'plain'").select("row", F.explode(cuts).alias("c")).select("row", "c.*").where("ordinal > 0")
+    return rows.select("row", F.explode(F.when(F.col("form") != "plain", cuts)).alias("c")).select("row", "c.*").where("ordinal > 0")
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
     """(row, piece, units, units_before, chars_before) of texts that are cut."""
-    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{size}}}(?:(?<=[A-Za-z])[A-Za-z]*)?"), F.lit(0))
-    cut = rows.where("form <> 'plain'").select("row", F.posexplode(pieces).alias("block", "piece"))
-    counted = cut.select("*", F.regexp_count("piece", F.lit(UNIT)).cast("long").alias("units"), F.length("piece").cast("long").alias("chars"))
+    cut = F.when(F.col("form") != "plain", F.col("text"))
+    pieces = F.regexp_extract_all(cut, F.lit(rf"(?s).{{1,{size}}}(?:(?<=[A-Za-z])[A-Za-z]*)?"), F.lit(0))
+    counted = rows.select("row", F.posexplode(pieces).alias("block", "piece")).select("*", unit_count(F.col("piece")).alias("units"), F.length("piece").cast("long").alias("chars"))
     before = Window.partitionBy("row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return counted.select("row", "piece", "units", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("units", "chars")))
 
@@ -86,11 +91,13 @@ def fill_in_middle(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     same order again, as those of a table do.
     """
     doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
-    own = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.regexp_count(text, F.lit(UNIT)).cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
+    own = docs.select(doc_id.alias("doc_id"), text.alias("text"), unit_count(text).alias("n"), F.monotonically_increasing_id().alias("row"))
+    # every branch below reads all columns of ``dealt`` and filters nothing before it
+    # explodes, so that they share one exchange
     dealt = own.repartition("row")
     one, two, three, four = draws(F.col("doc_id"))
     first, second = one % (F.col("n") + 1), two % (F.col("n") + 1)
-    rows = dealt.select("*", form_of(F.col("text"), three, four).alias("form"), F.least(first, second).alias("low"), F.greatest(first, second).alias("high"))
+    rows = dealt.select("*", form_of(F.col("text"), F.col("n"), three, four).alias("form"), F.least(first, second).alias("low"), F.greatest(first, second).alias("high"))
     placed = rows.join(offsets(rows, block), "row", "left")
     cut = F.col("form") != "plain"
     at, to = F.coalesce("first", F.lit(0)).cast("int"), F.coalesce("second", F.lit(0)).cast("int")

@@ -76,10 +76,12 @@ def test_fill_in_middle(docs, rows, empty, block):
     assert fill_in_middle.fill_in_middle(empty, block).count() == 0
 
 
-def test_fill_in_middle_moves_texts_once(spark, rows):
-    df = fill_in_middle.fill_in_middle(spark.createDataFrame(rows, DOCS))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("REPARTITION_BY_COL") == 1 + plan.count("ReusedExchange") or "ENSURE_REQUIREMENTS" not in plan
+def test_fill_in_middle_moves_texts_once(spark, docs):
+    df = fill_in_middle.fill_in_middle(docs)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = set(re.findall(r"Exchange hashpartitioning\(row.*REPARTITION_BY_COL, \[plan_id=(\d+)\]", plan))
+    assert len(dealt) == 1 and plan.count("ReusedExchange") == 2
 
 
 def test_cuts_at_every_place(spark):
