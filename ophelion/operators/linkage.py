@@ -1,24 +1,31 @@
 """Record linkage: blocking, fuzzy scores, additive points, labels and decisions.
 
-All queries are linked at once: blocking gives one candidate table, everything after
-is columns of it and windows per query.
+All queries are linked at once. ``scored_candidates`` lists every person of a query's
+birth year. ``link`` reaches the same decisions without comparing them all: a pair with
+nothing in common but year and sex stays under the review threshold, so only pairs whose
+names share evidence are looked at. An index of name parts finds those (``evidence``), on
+distinct forms of names, behind which equal people and equal queries stand.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.fuzzy import fuzzy_scores
 from ..functions.values import birth_year, norm_sex
+from ..sources.staging import staged
 from .joins import soft_filter
 
 #: Points of each kind of evidence and the two thresholds.
 POINTS = {"record": 100, "exact": 50, "fuzzy95": 45, "fuzzy90": 35, "fuzzy85": 25, "year": 20, "sex": 10, "first": 15, "last": 15, "shared": 5}
 ACCEPT, REVIEW, SHOWN = 70, 35, 5
-#: Sources of people (a mapping, a table of tests) that one linkage may have.
-MAX_SOURCES = 16
+#: A fuzzy ratio under this adds no points.
+FUZZY = 85
 
 
 def query_fields(df: DataFrame, key: str, name: str, dob: str, sex: str, unicode: bool = True) -> DataFrame:
@@ -37,30 +44,41 @@ def by_year(queries: DataFrame, people: DataFrame) -> DataFrame:
     return queries.where("birth_year is not null").select("query_id", "birth_year").join(years, "birth_year").select("query_id", "person_id", "source")
 
 
-def by_name(wanted: DataFrame, people: DataFrame) -> DataFrame:
-    """(query_id, person_id, source) where the person's name is a signature of the query
-    or starts with one of two letters or more, for the wanted (query_id, source,
-    signatures); blocked on source and the first two letters."""
-    forms = wanted.select("query_id", "source", F.explode("signatures").alias("form")).withColumn("block", F.substring("form", 1, 2))
-    named = people.where("norm_name <> ''").select("person_id", "source", "norm_name", F.substring("norm_name", 1, 2).alias("block"))
+def _heads(name: Column, longest: int = 3) -> Column:
+    """The first one, two and three characters, as far as there are so many."""
+    return F.array_distinct(F.transform(F.array(*(F.lit(k) for k in range(1, longest + 1))), lambda k: F.substring(name, F.lit(1), k)))
+
+
+def by_name(wanted: DataFrame, people: DataFrame, key: str = "query_id", person: str = "person_id") -> DataFrame:
+    """(query, person, source) where the person's name is a signature of the query or
+    starts with one of two letters or more, for queries (key, signatures). The first
+    three letters of a form find the people whose name starts with them."""
+    forms = wanted.select(key, F.explode("signatures").alias("form")).withColumn("head", F.substring("form", 1, 3))
+    named = people.where("norm_name <> ''").select(person, "source", "norm_name", F.explode(_heads(F.col("norm_name"))).alias("head"))
     hit = (F.col("norm_name") == F.col("form")) | ((F.length("form") >= 2) & F.startswith(F.col("norm_name"), F.col("form")))
-    return forms.join(named, ["source", "block"]).where(hit).select("query_id", "person_id", "source").distinct()
+    return forms.join(named, "head").where(hit).select(key, person, "source").distinct()
+
+
+def _not_pooled(queries: DataFrame, people: DataFrame, pooled: DataFrame, key: str) -> DataFrame:
+    """The queries that lack candidates in some source. ``pooled`` has a row for each
+    query and source with any."""
+    sources = people.select("source").where("source is not null").distinct().count()
+    complete = pooled.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == sources)
+    return queries.join(complete, key, "left_anti")
 
 
 def candidates(queries: DataFrame, people: DataFrame) -> DataFrame:
     """Candidates by birth year; for a query and source without any, by name; of those
     only the ones with the query's sex where there are some."""
     first = by_year(queries, people)
-    # a row per query and source that the year found nothing in; sources become a literal
-    # array, so their number is checked
-    sources = [r["source"] for r in people.select("source").distinct().orderBy("source").limit(MAX_SOURCES + 1).collect()]
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources of people")
-    every = F.array(*(F.lit(s) for s in sources)).cast("array<string>")
-    wanted = queries.select("query_id", "signatures", F.explode(every).alias("source")).join(first.select("query_id", "source").distinct(), ["query_id", "source"], "left_anti")
-    pairs = first.unionByName(by_name(wanted, people)).join(people.drop("source"), "person_id").join(queries.select("query_id", "query_sex"), "query_id")
-    fits = (F.col("query_sex") != "") & F.startswith(F.lower("sex"), F.col("query_sex"))
-    return soft_filter(pairs, ["query_id", "source"], fits | (F.col("query_sex") == "")).drop("query_sex")
+    pooled = first.select("query_id", "source").distinct()
+    named = by_name(_not_pooled(queries, people, pooled, "query_id"), people).join(pooled, ["query_id", "source"], "left_anti")
+    pairs = first.unionByName(named).join(people.drop("source"), "person_id").join(queries.select("query_id", "query_sex"), "query_id")
+    return soft_filter(pairs, ["query_id", "source"], _fits()).drop("query_sex")
+
+
+def _fits() -> Column:
+    return (F.col("query_sex") == "") | F.startswith(F.lower("sex"), F.col("query_sex"))
 
 
 def classify(c: dict[str, Column]) -> Column:
@@ -85,7 +103,18 @@ def classify(c: dict[str, Column]) -> Column:
 def scored_candidates(queries: DataFrame, people: DataFrame) -> DataFrame:
     """Every candidate pair with its ratios, points, label and reasons. ``people`` has
     person_id, source, record, norm_name, dob_year, birth_year_min, birth_year_max, sex."""
-    pairs = candidates(queries, people).join(queries, "query_id").withColumn("norm_name", F.coalesce("norm_name", F.lit("")))
+    pairs = candidates(queries, people).join(queries, "query_id")
+    return score_pairs(pairs, "query_id", "person_id", "source", F.coalesce("record", F.lit("")).alias("record"))
+
+
+def _year_and_sex() -> tuple[Column, Column]:
+    year = F.coalesce((F.col("dob_year") == F.col("birth_year")), F.when(F.col("dob_year").isNull(), F.col("birth_year").between(F.col("birth_year_min"), F.col("birth_year_max"))), F.lit(False))
+    return year, F.coalesce((F.col("query_sex") != "") & (norm_sex(F.col("sex")) == F.col("query_sex")), F.lit(False))
+
+
+def score_pairs(pairs: DataFrame, *keep: str | Column) -> DataFrame:
+    """The ``keep`` columns of each pair with its ratios, points, label and reasons."""
+    pairs = pairs.withColumn("norm_name", F.coalesce("norm_name", F.lit("")))
     rated = pairs.withColumn("f", fuzzy_scores("query_norm", "norm_name")).select("*", "f.*").drop("f")
     named = F.col("norm_name") != ""
     exact = named & (F.col("query_norm") == F.col("norm_name"))
@@ -94,8 +123,7 @@ def scored_candidates(queries: DataFrame, people: DataFrame) -> DataFrame:
     # a collapsed name is one word of its own
     cand_tokens = F.when(F.length("norm_name") >= 2, F.array("norm_name")).otherwise(F.array().cast("array<string>"))
     shared = F.size(F.array_intersect("tokens", cand_tokens))
-    year = F.coalesce((F.col("dob_year") == F.col("birth_year")), F.when(F.col("dob_year").isNull(), F.col("birth_year").between(F.col("birth_year_min"), F.col("birth_year_max"))), F.lit(False))
-    sex = F.coalesce((F.col("query_sex") != "") & (norm_sex(F.col("sex")) == F.col("query_sex")), F.lit(False))
+    year, sex = _year_and_sex()
     best = F.col("fuzzy_best")
     fuzzy = F.when(best >= 95, POINTS["fuzzy95"]).when(best >= 90, POINTS["fuzzy90"]).when(best >= 85, POINTS["fuzzy85"]).otherwise(0)
     other = named & ~exact
@@ -118,7 +146,7 @@ def scored_candidates(queries: DataFrame, people: DataFrame) -> DataFrame:
     )
     c = {k: F.col(k) for k in ("tokens", "norm_name", "query_norm", "ratio", "partial_ratio", "token_set_ratio")}
     c |= {"cand_tokens": cand_tokens, "first": first, "last": last, "year": year, "sex": sex}
-    return rated.select("query_id", "person_id", "source", F.coalesce("record", F.lit("")).alias("record"), "norm_name", "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "fuzzy_best", score.alias("score"), year.alias("birth_year_match"), sex.alias("sex_match"), first.alias("first_name_match"), last.alias("last_name_match"), classify(c).alias("classification"), reasons.alias("reasons"))
+    return rated.select(*keep, "norm_name", "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "fuzzy_best", score.alias("score"), year.alias("birth_year_match"), sex.alias("sex_match"), first.alias("first_name_match"), last.alias("last_name_match"), classify(c).alias("classification"), reasons.alias("reasons"))
 
 
 def phase(reasons: Column) -> Column:
@@ -167,6 +195,168 @@ def decide(queries: DataFrame, scored: DataFrame, record_links: DataFrame | None
     return out.select("query_id", decision.alias("decision"), F.when(digits.isNotNull(), digits).when(unique, F.col("unique.record")).alias("record"), F.when(digits.isNotNull(), POINTS["record"]).when(unique, F.col("unique.score")).otherwise(F.coalesce("best.score", F.lit(0))).alias("score"), how.alias("phase"), F.when(~unique & digits.isNull() & several, shown).alias("candidates"))
 
 
+# ------------------------------------------------- linkage by an index of names
+
+
+def name_pieces(name: Column, threshold: int = FUZZY) -> Column:
+    """A name cut into so many pieces that one of them is whole in every other name that
+    is as long or longer and as similar as the threshold.
+
+    With n characters here, m in the stretch of the other name that is compared and l in
+    common, 2 l / (n + m) >= t leaves n + m - 2 l <= (1 - t)(n + m) insertions and
+    deletions, each of which spoils one piece at most; l <= n bounds m by n (2 / t - 1),
+    and so the edits by 2 n (1 - t) / t."""
+    n = F.length(name)
+    count = F.floor(n * (200.0 / threshold - 2) + 1e-9).cast("int") + 1
+    start = lambda i: F.floor(i * n / count).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(name, start(i) + 1, start(i + 1) - start(i)))
+    return F.array_distinct(F.filter(cut, lambda x: x != ""))
+
+
+def name_grams(name: Column, threshold: int = FUZZY) -> Column:
+    """All stretches of a name that are as long as a piece can be."""
+    longest = math.ceil(threshold / (200.0 - 2 * threshold) - 1e-9)
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - k + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(k)))
+    each = [of(k) for k in range(1, longest + 1)]
+    return F.array_distinct(F.filter(F.concat(*each), lambda x: x != ""))
+
+
+def shares_pairs(short: Column, long: Column, threshold: int = FUZZY) -> Column:
+    """Whether the longer name holds as many pairs of letters of the shorter one as two
+    names have at the threshold at least: by the bounds of ``name_pieces`` a character
+    that is missing spoils two pairs and one that is added one, so that
+    2 (n - l) + (m - l) of n - 1 may be spoilt; the bound is linear in m, which lies
+    between n t / (2 - t) and n (2 / t - 1)."""
+    t = threshold / 100
+    spoilt = max(2 - 1.5 * t + m * (1 - 1.5 * t) for m in (t / (2 - t), 2 / t - 1))
+    n = F.length(short)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(short, i, F.lit(2)))
+    return F.size(F.filter(pairs, lambda x: F.contains(long, x))) >= n * (1 - spoilt) - 1 - 1e-9
+
+
+def _kind(kind: str, parts: Column) -> Column:
+    return F.transform(parts, lambda x: F.concat(F.lit(kind), x))
+
+
+def evidence(queries: DataFrame, people: DataFrame, key: str = "query_id", person: str = "person_id", threshold: int = FUZZY) -> DataFrame:
+    """(query, person): the pairs of one birth year whose names share evidence: a fuzzy
+    ratio at or over the threshold, the query's first word at the start of the person's
+    name, or its last word at the end. None is missed, and each comes once; some pairs a
+    little under the threshold come too.
+
+    Both sides are exploded into parts of their names and meet in (year, part), so that a
+    year with many people is spread over its parts: a piece of the shorter name is a
+    stretch of the longer one (kind a: the query is shorter or as long, b: the person),
+    and words meet by three letters (p: at the start, s: at the end, reversed)."""
+    low, high = F.coalesce("birth_year_min", "dob_year"), F.coalesce("birth_year_max", "dob_year")
+    name, asked = F.col("norm_name"), F.col("query_norm")
+    theirs = F.concat(_kind("a", name_grams(name, threshold)), _kind("b", name_pieces(name, threshold)), _kind("p", _heads(name)), _kind("s", _heads(F.reverse(name))))
+    word = lambda w: F.when(F.col(w) != "", F.array(F.col(w))).otherwise(F.array().cast("array<string>"))
+    ours = F.concat(
+        _kind("a", name_pieces(asked, threshold)),
+        _kind("b", name_grams(asked, threshold)),
+        _kind("p", F.transform(word("first_token"), lambda w: F.substring(w, 1, 3))),
+        _kind("s", F.transform(word("last_token"), lambda w: F.substring(F.reverse(w), 1, 3))),
+    )
+    held = people.where("norm_name <> ''").where(low.isNotNull()).select(person, "norm_name", F.explode(F.sequence(low, high)).alias("birth_year"), theirs.alias("parts"))
+    wanted = queries.where("birth_year is not null and query_norm <> ''").select(key, "query_norm", "first_token", "last_token", "birth_year", F.explode(ours).alias("part"))
+    met = wanted.join(held.select(person, "norm_name", "birth_year", F.explode("parts").alias("part")), ["birth_year", "part"])
+    kind, part = F.substring("part", 1, 1), F.substring(F.col("part"), F.lit(2), F.length("part"))
+    starts = (F.col("first_token") != "") & F.startswith(name, F.col("first_token"))
+    ends = (F.col("last_token") != "") & F.endswith(name, F.col("last_token"))
+    # of all pieces that the longer name holds the first one finds the pair
+    first = lambda short, long: F.get(F.filter(name_pieces(short, threshold), lambda x: F.contains(long, x)), F.lit(0)) == part
+    fits = (
+        F.when(kind == "p", starts)
+        .when(kind == "s", ends & ~starts)
+        .when(starts | ends, False)
+        .when(kind == "a", (F.length(asked) <= F.length(name)) & first(asked, name) & shares_pairs(asked, name, threshold))
+        .otherwise((F.length(name) < F.length(asked)) & first(name, asked) & shares_pairs(name, asked, threshold))
+    )
+    return met.where(fits).select(key, person)
+
+
+PERSON_FORM = ("source", "norm_name", "dob_year", "birth_year_min", "birth_year_max", "sex")
+QUERY_FORM = ("query_norm", "tokens", "signatures", "first_token", "last_token", "birth_year", "query_sex")
+
+
+def _form(columns: Sequence[str]) -> Column:
+    return F.md5(F.to_json(F.struct(*columns)).cast("binary"))
+
+
+def person_forms(people: DataFrame, parts: int = 64) -> DataFrame:
+    """People who are alike in all that is scored, as one row: p_form, their columns, the
+    least and greatest record, the first person with a record, and the first SHOWN
+    persons of different records. A form that many share is summed up in parts."""
+    record = F.nullif("record", F.lit(""))
+    own = F.coalesce(F.concat(F.lit("r"), record), F.concat(F.lit("p"), F.col("person_id").cast("string")))
+    rows = people.select("person_id", record.alias("record"), own.alias("_own"), *PERSON_FORM, _form(PERSON_FORM).alias("p_form"))
+    summed = rows.groupBy("p_form", *PERSON_FORM).agg(F.min("record").alias("low_record"), F.max("record").alias("high_record"), F.min(F.when(F.col("record").isNotNull(), F.col("person_id"))).alias("named"))
+    one = rows.groupBy("p_form", "_own").agg(F.min("person_id").alias("person_id"), F.min("record").alias("record"))
+    dealt = one.withColumn("_part", F.pmod(F.xxhash64("_own"), F.lit(parts)))
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("person_id"))
+    some = dealt.withColumn("_n", order("p_form", "_part")).where(F.col("_n") <= SHOWN)
+    few = some.withColumn("_n", order("p_form")).where(F.col("_n") <= SHOWN)
+    shown = few.groupBy("p_form").agg(F.array_sort(F.collect_list(F.struct("person_id", F.coalesce("record", F.lit("")).alias("record")))).alias("shown"))
+    return summed.join(shown, "p_form")
+
+
+def pools(queries: DataFrame, people: DataFrame, key: str = "q_form") -> DataFrame:
+    """(query, source, any_fit, floor) of queries that have people of their birth year:
+    whether some of them fit the query's sex, and the points of the best by year and sex
+    alone. Only what people have in this (source, year, sex) is joined."""
+    low, high = F.coalesce("birth_year_min", "dob_year"), F.coalesce("birth_year_max", "dob_year")
+    kinds = people.where(low.isNotNull()).select("source", "sex", F.col("dob_year").alias("dob_year"), F.explode(F.sequence(low, high)).alias("birth_year"))
+    kinds = kinds.select("source", "sex", "birth_year", F.coalesce(F.col("dob_year") == F.col("birth_year"), F.lit(True)).alias("exact")).distinct()
+    met = queries.where("birth_year is not null").select(key, "birth_year", "query_sex").join(kinds, "birth_year")
+    fits = F.coalesce(_fits(), F.lit(False))
+    same = (F.col("query_sex") != "") & (F.coalesce(norm_sex(F.col("sex")), F.lit("")) == F.col("query_sex"))
+    points = F.when(F.col("exact"), POINTS["year"]).otherwise(0) + F.when(same, POINTS["sex"]).otherwise(0)
+    per = met.groupBy(key, "source").agg(F.max(fits).alias("any_fit"), F.max(F.when(fits, points)).alias("_fit"), F.max(points).alias("_all"))
+    return per.select(key, "source", "any_fit", F.when(F.col("any_fit"), F.col("_fit")).otherwise(F.col("_all")).alias("floor"))
+
+
+def link(queries: DataFrame, people: DataFrame, record_links: DataFrame | None = None) -> DataFrame:
+    """(query_id, decision, record, score, phase, candidates) for every query: what
+    ``decide`` makes of ``scored_candidates``, from the pairs with evidence alone."""
+    asked = staged(queries.withColumn("q_form", _form(QUERY_FORM)), "asked")
+    forms = asked.select("q_form", *QUERY_FORM).dropDuplicates(["q_form"])
+    held = staged(person_forms(people), "held")
+    pooled = staged(pools(forms, held), "pools")
+    year = evidence(forms, held, "q_form", "p_form")
+    lacking = _not_pooled(forms, held, pooled, "q_form")
+    name = by_name(lacking, held, "q_form", "p_form").join(pooled, ["q_form", "source"], "left_anti").select("q_form", "p_form")
+    by_birth = year.join(held, "p_form").join(forms, "q_form").join(pooled.select("q_form", "source", "any_fit"), ["q_form", "source"])
+    # without a pool by year the people found by name are the pool
+    pairs = by_birth.where(~F.col("any_fit") | F.coalesce(_fits(), F.lit(False))).drop("any_fit").unionByName(soft_filter(name.join(held, "p_form").join(forms, "q_form"), ["q_form", "source"], _fits()))
+    scored = staged(score_pairs(pairs, "q_form", "p_form", "source", "low_record", "high_record", "named", "shown"), "scored")
+    high = F.col("score") >= ACCEPT
+    told = high & F.col("named").isNotNull()
+    best = F.min(F.when(told, F.struct((-F.col("score")).alias("score"), "source", "named", "reasons")))
+    per = scored.groupBy("q_form").agg(F.max("score").alias("top"), F.max(high).alias("any_high"), F.min(F.when(told, F.col("low_record"))).alias("low"), F.max(F.when(told, F.col("high_record"))).alias("high"), best.alias("best"))
+    per = per.join(pooled.groupBy("q_form").agg(F.max("floor").alias("floor")), "q_form", "full")
+    rows = scored.where(F.col("score") >= REVIEW).select("q_form", "source", "score", "classification", F.explode("shown").alias("who")).select("q_form", "source", "score", "classification", "who.*")
+    own = F.coalesce(F.nullif("record", F.lit("")), F.concat(F.lit("\x00"), F.col("source"), F.col("person_id").cast("string")))
+    order = [F.desc("score"), F.asc("source"), F.asc("person_id")]
+    once = rows.withColumn("_own", own).withColumn("_n", F.row_number().over(Window.partitionBy("q_form", "_own").orderBy(*order))).where("_n = 1")
+    first = once.withColumn("_rank", F.row_number().over(Window.partitionBy("q_form").orderBy(*order))).where(F.col("_rank") <= SHOWN)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "person_id", "record", "score", "classification"))), lambda x: x.dropFields("_rank"))
+    lists = first.groupBy("q_form").agg(listed.alias("listed"))
+    out = asked.select("query_id", "raw_name", "q_form").join(per, "q_form", "left").join(lists, "q_form", "left")
+    digits = F.lit(None).cast("string")
+    if record_links is not None:
+        single = record_links.groupBy(F.col("record").alias("_record")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")
+        out = out.join(single, (F.col("raw_name") == F.col("_record")) & F.col("raw_name").rlike(r"^\d+$"), "left")
+        digits = F.col("_record")
+    unique = F.coalesce(F.col("low") == F.col("high"), F.lit(False))
+    shown = F.when(F.coalesce("any_high", F.lit(False)), F.filter("listed", lambda x: x["score"] >= ACCEPT)).otherwise(F.col("listed"))
+    several = F.coalesce(F.size(shown) > 0, F.lit(False))
+    score = F.greatest(F.coalesce("top", F.lit(0)), F.coalesce("floor", F.lit(0)))
+    decision = F.when(digits.isNotNull() | unique, "MATCH_UNIQUE").when(several, "MATCH_MULTIPLE").otherwise("NO_MATCH")
+    how = F.when(digits.isNotNull(), "phase0_record").when(unique, phase(F.col("best.reasons"))).when(several, "review").when(F.coalesce("top", "floor").isNull(), "phase1_blocking").otherwise("phase4_fuzzy")
+    return out.select("query_id", decision.alias("decision"), F.when(digits.isNotNull(), digits).when(unique, F.col("low")).alias("record"), F.when(digits.isNotNull(), POINTS["record"]).when(unique, -F.col("best.score")).otherwise(score).alias("score"), how.alias("phase"), F.when(~unique & digits.isNull() & several, shown).alias("candidates"))
+
+
 def decision_counts(decided: DataFrame) -> DataFrame:
     return decided.groupBy("decision", "phase").agg(F.count(F.lit(1)).alias("n"))
 

@@ -755,14 +755,28 @@ def linkage_scores(t):
 
 @query()
 def linkage_decisions(t):
-    queries, people = respondents(t)
-    return linkage.decide(queries, linkage.scored_candidates(queries, people)).drop("candidates")
+    return linkage.link(*respondents(t)).drop("candidates")
 
 
 @query()
 def linkage_counts(t):
-    queries, people = respondents(t)
-    return linkage.decision_counts(linkage.decide(queries, linkage.scored_candidates(queries, people)))
+    return linkage.decision_counts(linkage.link(*respondents(t)))
+
+
+def clients_sought(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Clients whose id is divisible by 20, sought among all by name, sex and birth year.
+    Birth years and sexes stand in: one of each for a person (master_id)."""
+    year = (1930 + F.pmod("master_id", F.lit(80))).cast("int")
+    sex = F.when(F.pmod("master_id", F.lit(2)) == 0, "F").otherwise("M")
+    asked = t.clients.where(F.pmod("client_id", F.lit(20)) == 0).select("client_id", "name", F.concat(F.lit("01/02/"), year.cast("string")).alias("dob"), sex.alias("sex"))
+    people = t.clients.select(F.col("client_id").alias("person_id"), "source", F.col("master_id").cast("string").alias("record"), ids.normalize_name(F.col("name")).alias("norm_name"), year.alias("dob_year"), F.lit(None).cast("int").alias("birth_year_min"), F.lit(None).cast("int").alias("birth_year_max"), sex.alias("sex"))
+    return linkage.query_fields(asked, "client_id", "name", "dob", "sex"), people.where("source is not null")
+
+
+@query()
+def linkage_search(t):
+    queries, people = clients_sought(t)
+    return linkage.link(queries, people).withColumn("candidates", F.to_json("candidates"))
 
 
 @query()
@@ -1083,7 +1097,7 @@ def fuzzy_find(t):
 @query()
 def confirmed_answers(t):
     queries, people = respondents(t)
-    decided = linkage.decide(queries, linkage.scored_candidates(queries, people))
+    decided = linkage.link(queries, people)
     return linkage.confirmed(t.customer.select("c_custkey", "c_acctbal"), decided, "c_custkey")
 
 

@@ -7,42 +7,17 @@ mode a temporary one) and are removed when the interpreter ends.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, values
 from ..operators import clean, ranking
-from ..sources import files, questionnaire, sinks
+from ..sources import files, questionnaire, sinks, staging
 from .catalogue import Tables, query
 
-_local: list[str] = []
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
 def scratch(t: Tables) -> str:
     """A folder of its own for the files of one query."""
-    spark = t._spark
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="ophelion-"))
-        shared = _local[0]
-    path = f"{shared}/exchange-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
+    return staging.scratch(t._spark, "exchange")
 
 
 def write_texts(df: DataFrame, column: str, path: str) -> str:
