@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.ids import split_list
-from .operators import cluster, joins, ranking, reports, signal
+from .operators import cluster, density, joins, ranking, reports, signal
 from .plans import jobs
 from .sources import files, sinks
 
@@ -106,7 +106,7 @@ def curves(spark, a) -> Results:
 
 def sweep(spark, a) -> Results:
     grid = [(e, m) for e in numbers(a.eps) for m in numbers(a.min_samples, int)]
-    found = cluster.sweep(read(spark, a.input), split_list(a.partition), a.row_id, a.vector, grid)
+    found = density.sweep(read(spark, a.input), split_list(a.partition), a.row_id, a.vector, grid)
     return {"sweep": found, "totals": cluster.sweep_totals(found)}
 
 

@@ -1,9 +1,5 @@
-"""Distances, density clustering and its summaries.
-
-Distances and neighbours are computed in numpy blocks inside one task per partition
-label, as clustering is per such partition. A partition must fit one task, which is
-the meaning of clustering by waveform and step type.
-"""
+"""Distances, summaries of clusters, one-hot columns and principal components.
+``density`` clusters partitions of any size; ``dbscan`` is for rows that fit one task."""
 
 from __future__ import annotations
 
@@ -11,7 +7,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,60 +60,11 @@ def dbscan(x: np.ndarray, eps: float, min_samples: int, block: int = 1024) -> np
     return labels
 
 
-def _stack(values: pd.Series) -> np.ndarray:
-    return np.array([[np.nan if e is None else e for e in v] for v in values], np.float64)
-
-
-def cluster(df: DataFrame, partition: Sequence[str], row_id: str, vector: str, eps: float, min_samples: int) -> DataFrame:
-    """(partition, row_id, cluster), each partition on its own in row order."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*partition, row_id])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id, kind="stable")
-        out = pdf[[*partition, row_id]].copy()
-        out["cluster"] = dbscan(_stack(pdf[vector]), eps, min_samples).astype("int32")
-        return out
-
-    return df.select(*partition, row_id, vector).groupBy(*partition).applyInPandas(run, f"{kinds}, cluster int")
-
-
-def sweep(df: DataFrame, partition: Sequence[str], row_id: str, vector: str, grid: Sequence[tuple[float, int]]) -> DataFrame:
-    """(eps, min_samples, partition, points, clusters, noise) for each pair of a grid."""
-    spark = df.sparkSession
-    pairs = spark.createDataFrame([(float(e), int(m)) for e, m in grid], "eps double, min_samples int")
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in partition)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id, kind="stable")
-        labels = dbscan(_stack(pdf[vector]), key[0], key[1])
-        row = [*key, len(labels), int(labels.max(initial=-1)) + 1, int((labels == -1).sum())]
-        return pd.DataFrame([row], columns=["eps", "min_samples", *partition, "points", "clusters", "noise"])
-
-    # a copy of the points per grid pair: the grid is an argument, a few dozen pairs
-    return df.select(*partition, row_id, vector).crossJoin(F.broadcast(pairs)).groupBy("eps", "min_samples", *partition).applyInPandas(run, f"eps double, min_samples int, {kinds}, points int, clusters int, noise int")
-
-
 def sweep_totals(found: DataFrame) -> DataFrame:
     out = found.groupBy("eps", "min_samples").agg(F.sum("points").alias("points"), F.sum("clusters").alias("clusters"), F.sum("noise").alias("noise"))
     return out.withColumn("noise_pct", F.try_divide(100.0 * F.col("noise"), F.col("points")))
 
 
-def knn_mean_distance(df: DataFrame, partition: Sequence[str], row_id: str, vector: str, k: int) -> DataFrame:
-    """(partition, row_id, mean_distance) over the k nearest rows, itself included."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*partition, row_id])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _stack(pdf[vector])
-        n, means = min(max(2, k), len(x)), []
-        for at in range(0, len(x), 1024):
-            d = distance_block(x[at : at + 1024], x)
-            d[np.arange(len(d)), np.arange(at, at + len(d))] = 0.0
-            means.append(np.partition(d, n - 1, axis=1)[:, :n].mean(axis=1))
-        return pdf[[*partition, row_id]].assign(mean_distance=np.concatenate(means))
-
-    return df.select(*partition, row_id, vector).groupBy(*partition).applyInPandas(run, f"{kinds}, mean_distance double")
-
-
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles, 90 and 95 percent points, max."""
     v = F.col(value)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, ids, similarity, text, values
-from ..operators import classify, clean, cluster, dedupe, joins, linkage, ranking, reports, scores, signal
+from ..operators import classify, clean, cluster, dedupe, density, joins, linkage, ranking, reports, scores, signal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -836,7 +836,7 @@ def nan_euclidean(t):
 
 @query("WITH d AS (SELECT a.label, a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) / len(a.embedding)) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS n FROM d) SELECT label, vec_id, round(avg(d), 6) AS mean_distance FROM n WHERE n <= 5 GROUP BY 1, 2")
 def knn_mean_distance(t):
-    return cluster.knn_mean_distance(t.embeddings, ["label"], "vec_id", "embedding", 5).select("label", "vec_id", *r6("mean_distance"))
+    return density.knn_mean_distance(t.embeddings, ["label"], "vec_id", "embedding", 5).select("label", "vec_id", *r6("mean_distance"))
 
 
 #: Pairs of rows within reach of each other, the row itself included, by greatest distance.
@@ -854,14 +854,14 @@ placed AS (SELECT g.eps, g.min_samples, e.label, e.vec_id, CAST(coalesce(min(k),
 
 @query(f"WITH RECURSIVE {NEAR.format(grid='(VALUES (0.155, 5)) g(eps, least)')} SELECT label, vec_id, cluster FROM placed")
 def dbscan_clusters(t):
-    return cluster.cluster(t.embeddings, ["label"], "vec_id", "embedding", 0.155, 5)
+    return density.cluster(t.embeddings, ["label"], "vec_id", "embedding", 0.155, 5)
 
 
 @query(f"""WITH RECURSIVE {NEAR.format(grid='(VALUES (0.15), (0.155), (0.16)) g(eps), (VALUES (4), (8)) h(least)')},
 per AS (SELECT eps, min_samples, label, count(*) AS points, max(cluster) + 1 AS clusters, count(*) FILTER (WHERE cluster = -1) AS noise FROM placed GROUP BY ALL)
 SELECT eps, min_samples, CAST(sum(points) AS BIGINT) AS points, CAST(sum(clusters) AS BIGINT) AS clusters, CAST(sum(noise) AS BIGINT) AS noise, 100.0 * CAST(sum(noise) AS DOUBLE) / CAST(sum(points) AS DOUBLE) AS noise_pct FROM per GROUP BY eps, min_samples""")
 def dbscan_sweep(t):
-    return cluster.sweep_totals(cluster.sweep(t.embeddings, ["label"], "vec_id", "embedding", [(e, m) for e in (0.15, 0.155, 0.16) for m in (4, 8)]))
+    return cluster.sweep_totals(density.sweep(t.embeddings, ["label"], "vec_id", "embedding", [(e, m) for e in (0.15, 0.155, 0.16) for m in (4, 8)]))
 
 
 CLUSTERED = "k AS (SELECT event_type, CAST(user_id % 5 AS INTEGER) - 1 AS cluster, value FROM events)"
