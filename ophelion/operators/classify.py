@@ -53,14 +53,14 @@ def confusion(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ())
     return df.groupBy(*by).agg(F.count_if(~t & ~p).alias("tn"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(t & p).alias("tp"))
 
 
-def binary_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """All rates from one confusion count; 0 where a denominator is 0."""
+def rates(counts: DataFrame) -> DataFrame:
+    """Adds the rates of confusion counts; 0 where a denominator is 0."""
     tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
     div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     sens, spec, prec = div(tp, tp + fn), div(tn, tn + fp), div(tp, tp + fp)
     # balanced accuracy averages the classes that occur
     classes = (tp + fn > 0).cast("int") + (tn + fp > 0).cast("int")
-    return confusion(df, truth, predicted, by).withColumns(
+    return counts.withColumns(
         {
             "accuracy": div(tp + tn, tp + tn + fp + fn),
             "balanced_accuracy": div(sens + spec, classes.cast("double")),
@@ -73,6 +73,11 @@ def binary_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str]
     )
 
 
+def binary_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """All rates from one confusion count."""
+    return rates(confusion(df, truth, predicted, by))
+
+
 def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(score, p, n): positives and negatives of each distinct score."""
     t = (F.col(truth) == 1).cast("int")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, ids, similarity, text, values
-from ..operators import classify, clean, cluster, dedupe, density, joins, linkage, ranking, reports, scores, signal
+from ..operators import classify, clean, cluster, cube, dedupe, density, joins, linkage, ranking, reports, scores, signal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -900,12 +900,17 @@ def features(t: Tables) -> DataFrame:
     return readable(t).select("doc_id", "lang", *[F.col(c).cast("double").alias(c) for c in ("words", "sentences", "syllables", "letters")]).join(t.labels.select("doc_id", "quality"), "doc_id")
 
 
+TREE = {"numeric": ["words", "sentences", "syllables", "letters"], "categorical": {"lang": ("de", "en", "es", "fr")}}
+
+
 @query()
 def nested_cv(t):
-    from pyspark.ml.classification import DecisionTreeClassifier
+    return cube.nested_cv(features(t), "quality", "doc_id", **TREE)
 
-    models = {"tree2": DecisionTreeClassifier(maxDepth=2, seed=1), "tree4": DecisionTreeClassifier(maxDepth=4, seed=1)}
-    return classify.nested_cv(features(t), models, "quality", "doc_id", ["words", "sentences", "syllables", "letters"], ["lang"], outer=2, inner=2)
+
+@query()
+def permutation_test(t):
+    return cube.permutation_test(features(t), "quality", "doc_id", **TREE)
 
 
 @query()
