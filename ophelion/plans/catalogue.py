@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, ids, similarity, text, values
-from ..operators import classify, clean, cluster, cube, dedupe, density, joins, linkage, ranking, reports, scores, signal
+from ..operators import changes, classify, clean, cluster, cube, dedupe, density, joins, linkage, ranking, reports, scores, signal
+from ..sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -905,12 +906,12 @@ TREE = {"numeric": ["words", "sentences", "syllables", "letters"], "categorical"
 
 @query()
 def nested_cv(t):
-    return cube.nested_cv(features(t), "quality", "doc_id", **TREE)
+    return cube.nested_cv(staged(features(t), "features"), "quality", "doc_id", **TREE)
 
 
 @query()
 def permutation_test(t):
-    return cube.permutation_test(features(t), "quality", "doc_id", **TREE)
+    return cube.permutation_test(staged(features(t), "features"), "quality", "doc_id", **TREE)
 
 
 @query()
@@ -1117,3 +1118,39 @@ def waveform_curves(t):
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7 AND strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-01-01' AND '1999-12-31'")
 def questionnaire_list(t):
     return reports.questionnaire_list(t.orders, 7, ["o_orderkey", "o_orderstatus", "absent"], "1995-01-01", "1999-12-31", "o_custkey", "o_orderdate")
+
+
+# -------------------------------------------------------------------- change sets
+
+FIELDS = ("source", "segment", "city", "balance")
+LOG = """base AS (SELECT client_id, source, segment, city, balance FROM clients WHERE client_id IN (SELECT CAST(client_id AS BIGINT) FROM sales WHERE client_id IS NOT NULL)),
+log AS (SELECT *, dense_rank() OVER (PARTITION BY client_id ORDER BY seq, change_id) AS n FROM (SELECT DISTINCT * FROM client_changes)),
+summed AS (SELECT client_id, arg_max(op, n) AS last_op, max(n) FILTER (WHERE op = 'D') AS deleted, min(n) FILTER (WHERE op = 'I') AS inserted, """ + ", ".join(f"max(n) FILTER (WHERE op <> 'D' AND {c} IS NOT NULL) AS n_{c}, arg_max({c}, n) FILTER (WHERE op <> 'D' AND {c} IS NOT NULL) AS v_{c}" for c in FIELDS) + """ FROM log GROUP BY client_id),
+merged AS (SELECT coalesce(b.client_id, s.client_id) AS client_id, b.client_id IS NOT NULL AS held, last_op, deleted, inserted, """ + ", ".join(f"b.{c} AS o_{c}, n_{c}, v_{c}" for c in FIELDS) + """ FROM base b FULL JOIN summed s ON b.client_id = s.client_id),
+applied AS (SELECT client_id, """ + ", ".join(f"coalesce(CASE WHEN n_{c} > coalesce(deleted, 0) AND (held OR n_{c} >= inserted) THEN v_{c} END, CASE WHEN deleted IS NULL THEN o_{c} END) AS {c}" for c in FIELDS) + """
+  FROM merged WHERE (held OR inserted IS NOT NULL) AND coalesce(last_op, 'U') <> 'D')"""
+
+
+def buyers(t: Tables) -> DataFrame:
+    """The table that changes are applied to: clients that have sales."""
+    return t.clients.join(t.sales.select(F.col("client_id").cast("long").alias("client_id")), "client_id", "left_semi").select("client_id", *FIELDS)
+
+
+ORDER = ("seq", "change_id")
+
+
+@query(f"WITH {LOG} SELECT * FROM applied")
+def change_set_applied(t):
+    return changes.apply_changes(buyers(t), t.client_changes, "client_id", FIELDS, order=ORDER)
+
+
+@query(f"WITH {LOG}, firsts AS (SELECT client_id, min(n) AS first FROM log WHERE op = 'I' GROUP BY client_id) SELECT c.change_id, c.client_id, c.op, 'not_found' AS error FROM client_changes c JOIN log l USING (change_id) LEFT JOIN firsts f ON f.client_id = l.client_id WHERE c.client_id NOT IN (SELECT client_id FROM base) AND (f.first IS NULL OR l.n < f.first)")
+def change_set_rejected(t):
+    return changes.rejected_changes(buyers(t), t.client_changes, "client_id", order=ORDER).select("change_id", "client_id", "op", "error")
+
+
+@query(f"WITH {LOG} SELECT sale_id, client_id FROM sales WHERE client_id IN (SELECT client_id FROM base) AND client_id NOT IN (SELECT client_id FROM applied)")
+def change_set_orphans(t):
+    base = buyers(t)
+    after = changes.apply_changes(base, t.client_changes, "client_id", FIELDS, order=ORDER)
+    return changes.orphans(t.sales.select("sale_id", "client_id"), base, after, "client_id")

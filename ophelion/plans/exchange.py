@@ -260,3 +260,14 @@ def random_order(t):
     mixed = ranking.shuffled(t.documents.select("doc_id"), 7, "doc_id")
     placed = mixed.select("doc_id", F.monotonically_increasing_id().alias("at"))
     return placed.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"), (F.corr("doc_id", "at") < 0.9).alias("moved"))
+
+
+@query("SELECT sale_id, CAST(coalesce(month(sold_at), 0) AS INTEGER) AS sold_month, CASE WHEN month(sold_at) >= 3 THEN 2 * total ELSE total END AS total FROM sales")
+def sink_rerun_partitions(t):
+    """All months are written, then the later ones again, twice, with other totals."""
+    path = f"{scratch(t)}/sales"
+    rows = t.sales.select("sale_id", F.coalesce(F.month("sold_at"), F.lit(0)).alias("sold_month"), "total")
+    sinks.write_partitions(rows, path, ["sold_month"])
+    for _ in range(2):
+        sinks.write_partitions(rows.where("sold_month >= 3").withColumn("total", F.col("total") * 2), path, ["sold_month"])
+    return t._spark.read.parquet(path).select("sale_id", F.col("sold_month").cast("int").alias("sold_month"), "total")

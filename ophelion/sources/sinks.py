@@ -51,6 +51,13 @@ def replace_table(df: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Writes the partitions that ``df`` has rows of and leaves the others: files go to a
+    staging folder and replace whole partitions when the job commits, so a run that is
+    repeated doubles nothing and one that fails changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def append_missing(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", "true").csv(path)
 
