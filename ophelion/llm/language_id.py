@@ -16,12 +16,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._base import id_fold, release, small_batches
 
-DIMS, MAX_N, MAX_ROWS = 4096, 3, 3200
+DIMS, MAX_N, MAX_ROWS, MAX_LANGS = 4096, 3, 3200, 200
 #: Loss margin to the second codeword below which a text is ambiguous.
 AMBIGUOUS = 0.05
 UNKNOWN = "und"
@@ -123,18 +123,21 @@ class Ecoc:
         return best, 1 / odds.sum(axis=1), ranked[:, 1] - ranked[:, 0]
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_ROWS, dims: int = DIMS) -> Ecoc | None:
-    """Fits on (doc_id, text, lang). Languages are few, so their counts come to the
-    driver; each gives its rows of smallest hash, about max_rows / languages."""
-    usable = small_batches(labelled).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+def train(labelled: DataFrame, max_rows: int = MAX_ROWS, dims: int = DIMS, max_langs: int = MAX_LANGS) -> Ecoc | None:
+    """Fits on (doc_id, text, lang). The ``max_langs`` commonest languages are learned,
+    each from its max_rows / languages rows of smallest hash of id and text; repeated
+    rows count once. Which rows these are depends on nothing else, so a rerun takes the
+    same ones, and rows without an id or with a common one are drawn by their texts."""
+    usable = small_batches(labelled).where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not counts:
         return None
-    langs = sorted(counts)
-    share = max(1, max_rows // len(langs))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    limits = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, share / counts[k])))])
-    sample = usable.withColumn("draw", draw).where(F.col("draw") < limits[F.col("lang")])
+    share = max(1, max_rows // len(counts))
+    drawn = usable.where(F.col("lang").isin([r["lang"] for r in counts])).withColumn("draw", F.xxhash64("doc_id", "text", F.lit("language")))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    lasts = drawn.select("lang", "draw").distinct().withColumn("turn", turn).where(F.col("turn") <= share).groupBy("lang").agg(F.max("draw").alias("last")).collect()
+    limits = F.create_map(*[x for r in lasts for x in (F.lit(r["lang"]), F.lit(r["last"]))])
+    sample = drawn.where(F.col("draw") <= limits[F.col("lang")]).dropDuplicates(["lang", "draw"])
 
     def run(batches):
         for batch in batches:
@@ -142,7 +145,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, dims: int = DIMS) -> Ec
             rows = [(k, features(x, dims).astype(np.float16).tobytes()) for k, x in zip(langs_, texts, strict=True) if has_letter(x)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "x"])
 
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, x binary").limit(2 * max_rows).toPandas().sort_values(["lang", "x"])
+    rows = sample.select("lang", "text").mapInArrow(run, "lang string, x binary").toPandas().sort_values(["lang", "x"])
     if not len(rows):
         return None
     langs = sorted(set(rows["lang"]))
@@ -186,8 +189,10 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0, and so is every
     text where no labelled row with a letter exists. With one language learned, all
-    other texts are that one. Null doc_ids count as '' for the fold. Repeated rows
-    each give a row; extra columns are ignored.
+    other texts are that one. Of languages that fit equally well the first by name is
+    taken. Very long texts are counted whole, in pieces. Null doc_ids count as '' for the
+    fold. Repeated rows each give a row; an empty table gives none; extra columns are
+    ignored.
     """
     model = train(training_rows(docs), max_rows)
     fold = id_fold(docs["doc_id"].cast("long"), 4)

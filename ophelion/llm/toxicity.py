@@ -102,19 +102,24 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     n_docs = texts.count()
     if not counted["n"] or not counted["toxic"] or not n_docs:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    ids = told.where("toxic = 1").where(draw < max_positive / counted["toxic"]).select("doc_id")
-    # about max_positive ids, so that texts stay where they are; the limit proves the bound
-    positive = texts.join(F.broadcast(ids.limit(2 * max_positive)), "doc_id").select("text", F.lit(1).alias("kind"))
-    other = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) / float(1 << 30)
-    unlabelled = texts.where(other < max_unlabelled / n_docs).select("text", F.lit(0).alias("kind"))
+    draw = lambda *by: F.xxhash64(*by, F.lit("toxicity"))
+    # about 1.5 times max_positive ids pass the first test, so that few are put in order
+    some = told.where("toxic = 1").withColumn("draw", F.pmod(draw("doc_id"), F.lit(1 << 40))).where(F.col("draw") < F.lit(int(min(1.0, 1.5 * max_positive / counted["toxic"]) * (1 << 40))))
+    ids = some.orderBy("draw", "doc_id").limit(max_positive).select("doc_id")
+    # bounded by the limit, so that texts stay where they are
+    positive = texts.join(F.broadcast(ids), "doc_id").select(draw("doc_id", "text").alias("draw"), "text", F.lit(1).alias("kind"))
+    unlabelled = texts.select(draw("doc_id", "text").alias("draw"), "text", F.lit(0).alias("kind"))
 
     def run(batches):
         for batch in batches:
             sets = [x.tobytes() for x in _present(_bytes(batch["text"]))]
             yield pa.RecordBatch.from_arrays([batch["kind"], pa.array(sets, pa.binary())], ["kind", "slots"])
 
-    sample = lambda df, most: df.mapInArrow(run, "kind int, slots binary").limit(2 * most).toPandas()["slots"]
+    def sample(df: DataFrame, most: int) -> list[bytes]:
+        """The rows of least draw, repeated ones once: the same ones in every run."""
+        last = df.select("draw").distinct().orderBy("draw").limit(most).agg(F.max("draw")).first()[0]
+        return [] if last is None else df.where(F.col("draw") <= last).dropDuplicates(["draw"]).select("kind", "text").mapInArrow(run, "kind int, slots binary").toPandas()["slots"].tolist()
+
     p, u = (sorted(sample(d, n)) for d, n in ((positive, max_positive), (unlabelled, max_unlabelled)))
     if not p or not u:
         return None
@@ -128,8 +133,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFra
     Null and empty texts have no words and get the score of the bias. Where no
     training label is toxic, or no training document exists, every score is 0. A
     null toxic label is no label; repeated labels of one id count once as positive.
-    Repeated rows each give a row; null ids count as '' for the fold; extra columns
-    are ignored.
+    Rows are drawn for training by id and text, repeated ones once, so that null and
+    common ids are drawn by their texts. Whole texts count, however long; equal texts
+    have equal scores. Repeated rows each give a row; null ids count as '' for the fold;
+    an empty table gives no rows; extra columns are ignored.
     """
     model = train(docs, labels, **bounds)
     rows = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), (id_fold(docs["doc_id"].cast("long"), 5) == 0).alias("held_out"), docs["text"].cast("string").alias("text"))
