@@ -1133,7 +1133,7 @@ applied AS (SELECT client_id, """ + ", ".join(f"coalesce(CASE WHEN n_{c} > coale
 
 def buyers(t: Tables) -> DataFrame:
     """The table that changes are applied to: clients that have sales."""
-    return t.clients.join(t.sales.select(F.col("client_id").cast("long").alias("client_id")), "client_id", "left_semi").select("client_id", *FIELDS)
+    return t.clients.join(t.sales.select(F.col("client_id").cast("long").alias("client_id")).distinct(), "client_id", "left_semi").select("client_id", *FIELDS)
 
 
 ORDER = ("seq", "change_id")
