@@ -13,19 +13,30 @@ text that a page shows directly at it. All blocks take part, whatever their tags
   children's composites and the path's own content, weighted by their text. It is
   linear in the nodes below, so one sum over (node, ancestor) pairs gives it.
 
-Equal pages of a host count once. Paths on fewer than ``min_pages`` pages aren't judged.
-A page loses its branches of low importance and, where branches of high importance hold
-most of its text, what stands outside them. What the marks of HTML say (navigation,
-footers, asides, forms, class names, article elements, ...) is a prior: inside an
-article only text that nearly every page repeats goes; where the tree has no verdict
-the marks decide; class names and forms give way where they would leave nothing, or
-wrap the only article. ``marks=False`` turns them all off.
+Equal pages of a host count once. What n different pages of a host say about a path
+weighs n - 1; against it the tree of all hosts, merged as if they were one, weighs PRIOR,
+and against that a neutral value does. So a host of one page is judged by the tree of all
+hosts, a large one by its own, and nothing switches at a size; a path of one page in all
+has no importance.
+
+The importance of a block is that of the outermost branch around it; what holds all text
+of every page (html, body, a wrapper) is no branch. A branch inside counts instead where
+its composite is under RELATIVE * G, half of what one text that no other page has gets:
+so a low branch takes all inside it along, and an important one keeps what isn't as poor
+as a menu. Blocks under RELATIVE times the
+page's most important block go, and so does text that nearly every page repeats. A
+heading stays with the block that follows it. This is decided first, for every block,
+``n_by_tree`` counts what goes by it. Of the rest, what the marks of HTML say is no
+content goes too (navigation, footers, asides, forms, class names, what stands outside an
+article): a tree can't tell reader comments from a text. Marks protect as well: inside an
+article only repeated text goes. Class names and forms give way where they would leave
+nothing, or wrap the only article. ``marks=False`` turns them all off.
 
 The tree is a table of a few rows per page and path, summed before the shuffle; a
-hot host is a few keys with many counts, not a large group. Its verdicts are few and
-are broadcast where they are (their number is checked), so the pages themselves
-aren't shuffled; beyond that number they are joined by host. Pages are parsed twice,
-which costs less than keeping the parsed ones.
+hot host is a few keys with many counts, not a large group. Its importances
+are broadcast where they are few (their number is checked), so the pages themselves
+aren't shuffled; beyond that number each page's paths are joined to them. Pages are
+parsed twice, which costs less than keeping the parsed ones.
 """
 
 from __future__ import annotations
@@ -42,19 +53,22 @@ from pyspark.sql import functions as F
 
 from ._base import release, small_batches, staged
 
-#: Share of what lies below in the composite; a composite from HIGH up is content, under
-#: LOW none; content importance under REPEATED is text that nearly every page shows.
-#: A path needs MIN_PAGES different pages to be judged.
-G, HIGH, LOW, REPEATED, MIN_PAGES = 0.4, 0.75, 0.2, 0.05, 8
+#: Share of what lies below in the composite; blocks under RELATIVE of the page's top go;
+#: content importance under REPEATED is text that nearly every page shows. PRIOR: the
+#: weight, in pages, of all hosts against one and of NEUTRAL against all hosts.
+G, RELATIVE, REPEATED, PRIOR, NEUTRAL = 0.4, 0.5, 0.05, 4, 0.5
 #: Ancestors that a node counts for: G**40 is below what a double can add.
 NEAR = 40
-#: Verdicts that are broadcast at most (a few MB).
+#: Importances that are broadcast at most (a few MB).
 BROADCAST_ROWS = 20_000
-IS_HIGH, IS_LOW, IS_REPEATED = 1, 2, 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=>/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp svg math object title select canvas".split())
+_RAW = frozenset("script style textarea iframe noembed noframes xmp title".split())
+#: Elements whose contents aren't shown as text, but which may lack an end tag: then
+#: only the tag goes. HTML in svg or select ends it, as in browsers.
+_HIDDEN = frozenset("svg select canvas template noscript".split())
+_ENDED_BY_BLOCKS = frozenset(("svg", "select"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button".split()
@@ -72,6 +86,8 @@ _NOISE_NAMES = re.compile(
 
 
 _DIGITS = re.compile(r"\d{3,}")
+_ANY_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCK))})(?=[\s/>])", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NO_MARK, WEAK, STRONG = 0, 1, 2
 
 
@@ -139,6 +155,17 @@ class Page:
         return [_hash(x) for x in self.names]
 
 
+def _hidden_end(html: str, name: str, at: int) -> int:
+    """Where the hidden element that begins at ``at`` ends; ``at`` where it has no end."""
+    closing = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+    if name in _ENDED_BY_BLOCKS:
+        block = _ANY_BLOCK.search(html, at, closing.start() if closing else len(html))
+        return block.start() if block else closing.end() if closing else at
+    if not closing or re.compile(rf"<{name}(?=[\s/>])", re.I).search(html, at, closing.start()):
+        return at
+    return closing.end()
+
+
 def parse_page(html: str | None) -> Page:
     html = html or ""
     page = Page()
@@ -192,6 +219,11 @@ def parse_page(html: str | None) -> Page:
                 at = closing.end() if closing else size
             text.append(" ")
             continue
+        if name in _HIDDEN:
+            if not m[3].rstrip().endswith("/"):
+                at = _hidden_end(html, name, at)
+            text.append(" ")
+            continue
         if name == "br" or name == "wbr":
             text.append(" " if name == "br" else "")
             continue
@@ -235,18 +267,37 @@ def parse_page(html: str | None) -> Page:
     return page
 
 
-def decide(page: Page, verdicts: dict[int, int], hashes: list[int], marks: bool = True) -> tuple[list[bool], int, int]:
-    """(whether each block is kept, blocks that the tree alone removed, blocks on which
-    the tree had a verdict). ``verdicts``: of path hashes, bits IS_*."""
+Importance = tuple[float, bool, bool]
+
+
+def branch_scores(page: Page, importances: dict[int, Importance], hashes: list[int]) -> list[float | None]:
+    """The importance of each block: that of the outermost branch around it, or of one
+    inside that is under RELATIVE * G and lower; of text beside all branches its own.
+    None where nothing is known."""
+    known = [importances.get(h) for h in hashes]
+    branch: list[float | None] = [None] * len(known)  # down to the path
+    for k in range(1, len(known)):  # parents come first
+        up, own = branch[page.parents[k]], known[k]
+        if own is None or own[2]:
+            branch[k] = up
+        elif up is None or own[0] < min(up, RELATIVE * G):
+            branch[k] = own[0]
+        else:
+            branch[k] = up
+    return [known[b.path][0] if branch[b.path] is None and known[b.path] else branch[b.path] for b in page.blocks]
+
+
+def decide(page: Page, importances: dict[int, Importance], hashes: list[int], marks: bool = True) -> tuple[list[bool], int, int, int]:
+    """(whether each block is kept, blocks that the marks would have kept and the tree
+    removed, blocks of which the tree has an importance, blocks that the tree removed
+    whatever their marks). ``importances`` of path hashes: (score, whether its text is
+    repeated, whether it holds all text)."""
     blocks = page.blocks
-    own = [verdicts.get(h, 0) for h in hashes]
-    around = [0] * len(own)  # verdicts on the path or one above it; parents come first
-    for k in range(1, len(own)):
-        around[k] = around[page.parents[k]] | own[k]
-    repeated = [bool(own[b.path] & IS_REPEATED) for b in blocks]
-    low, high = ([bool(around[b.path] & bit) for b in blocks] for bit in (IS_LOW, IS_HIGH))
-    judged = sum(r or x or y for r, x, y in zip(repeated, low, high, strict=True))
     every = range(len(blocks))
+    score = branch_scores(page, importances, hashes)
+    unknown = (NEUTRAL, False, False)
+    repeated = [importances.get(hashes[b.path], unknown)[1] for b in blocks]
+    clean, inside = list(every), set()
     if marks:
         usable = [i for i in every if not blocks[i].strong]
         clean = [i for i in usable if not blocks[i].weak]
@@ -256,20 +307,17 @@ def decide(page: Page, verdicts: dict[int, int], hashes: list[int], marks: bool
             least = min(len(blocks[i].weak) for i in usable)
             clean = [i for i in usable if len(blocks[i].weak) == least]
         inside = {i for i in clean if blocks[i].article}
-    else:
-        clean, inside = list(every), set()
-    strong = [i for i in clean if not repeated[i] and (i in inside or high[i] or not low[i])]
-    if inside:
-        wanted = [i for i in clean if i in inside or high[i]]
-        kept = [i for i in strong if i in inside or high[i]]
-    else:
-        wanted = clean
-        chars = lambda rows: sum(len(blocks[i].text) for i in rows)
-        top = [i for i in strong if high[i]]
-        kept = top if 2 * chars(top) > chars(clean) else strong
-    kept = kept or wanted  # nothing more important to keep in their place
+    top = max((score[i] for i in clean if score[i] is not None), default=0.0)
+    low = [x is not None and x < RELATIVE * top for x in score]
+    for i in reversed(every):  # a heading stays with what it heads
+        tag = page.names[blocks[i].path].rpartition(">")[2].partition(".")[0]
+        if low[i] and tag in _HEADINGS and i + 1 < len(blocks) and not low[i + 1] and page.parents[blocks[i].path] == page.parents[blocks[i + 1].path]:
+            low[i] = False
+    out = [repeated[i] or low[i] and i not in inside for i in every]
+    wanted = [i for i in clean if not inside or i in inside]
+    kept = [i for i in wanted if not out[i]] or wanted  # nothing more important to keep in their place
     chosen = set(kept)
-    return [i in chosen for i in every], len(wanted) - len(kept), judged
+    return [i in chosen for i in every], len(wanted) - len(kept), sum(x is not None for x in score), sum(out[i] and i not in chosen for i in every)
 
 
 def host_of(url):
@@ -306,7 +354,7 @@ def _nodes(page: Page) -> list[dict]:
             "content": _hash("\n".join(texts[k])),
             "own": own[k],
             "below": below[k],
-            "wide": page.names[k].rpartition(">")[2].partition(".")[0] in ("html", "body"),
+            "wide": below[k] == below[0] or page.names[k].rpartition(">")[2].partition(".")[0] in ("html", "body"),
         }
         for k in range(1, len(hashes))
         if below[k]
@@ -334,14 +382,15 @@ def shown_nodes(pages: DataFrame) -> DataFrame:
     return different.select("site", F.explode("nodes").alias("n")).select("site", "n.*")
 
 
-def style_tree(shown: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def style_tree(shown: DataFrame, min_pages: int = 2) -> DataFrame:
     """(site, path, pages, presentation, content, composite, own, wide): the importance
-    of each path that ``min_pages`` pages or more show."""
+    of each path that ``min_pages`` pages or more show; ``wide`` where it holds all text
+    of all its pages."""
     each = shown.select("site", "path", "up", "own", "below", "wide", F.explode(F.array(F.struct(F.lit(True).alias("styled"), F.col("style").alias("value")), F.struct(F.lit(False).alias("styled"), F.col("content").alias("value")))).alias("v"))
-    n = each.groupBy("site", "path", "v").agg(F.count(F.lit(1)).alias("n"), F.first("up").alias("up"), F.sum("own").alias("own"), F.sum("below").alias("below"), F.first("wide").alias("wide"))
+    n = each.groupBy("site", "path", "v").agg(F.count(F.lit(1)).alias("n"), F.first("up").alias("up"), F.sum("own").alias("own"), F.sum("below").alias("below"), F.min("wide").alias("wide"))
     of = lambda styled, x: F.sum(F.when(F.col("v.styled") == F.lit(styled), x))
     spread = F.col("n") * F.log("n")
-    paths = n.groupBy("site", "path").agg(F.first("up").alias("up"), F.first("wide").alias("wide"), of(True, F.col("n")).alias("pages"), of(True, F.col("own")).alias("own"), of(True, F.col("below")).alias("below"), of(True, spread).alias("s"), of(False, spread).alias("c"))
+    paths = n.groupBy("site", "path").agg(F.first("up").alias("up"), F.min("wide").alias("wide"), of(True, F.col("n")).alias("pages"), of(True, F.col("own")).alias("own"), of(True, F.col("below")).alias("below"), of(True, spread).alias("s"), of(False, spread).alias("c"))
     entropy = lambda x: F.log("pages") - F.col(x) / F.col("pages")
     few = F.col("pages") < max(2, min_pages)  # a path of few pages says nothing: no layout, all its content its own
     known = staged(
@@ -364,23 +413,49 @@ def style_tree(shown: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return known.where(~few).join(composite, ["site", "path"]).select("site", "path", "pages", "presentation", "content", (F.col("w") / F.col("below")).alias("composite"), "own", "wide")
 
 
-def verdicts(tree: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(site, path, verdict) of the paths that are of high or low importance or repeat
-    one content; html and body are no branches."""
-    bit = lambda condition, value: F.when(condition, F.lit(value)).otherwise(F.lit(0))
-    branch = ~F.col("wide")
-    found = (
-        bit(branch & (F.col("composite") >= high), IS_HIGH)
-        .bitwiseOR(bit(branch & (F.col("composite") < low), IS_LOW))
-        .bitwiseOR(bit((F.col("own") > 0) & (F.col("content") < REPEATED), IS_REPEATED))
-    )
-    return tree.select("site", "path", found.alias("verdict")).where("verdict <> 0")
+_OF_PATH = ("score", "repeated", "wide")
 
 
-def extract_main_text(pages: DataFrame, low: float = LOW, high: float = HIGH, min_pages: int = MIN_PAGES, marks: bool = True) -> DataFrame:
+def importances(shown: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(site, path, score, repeated, wide): what the pages of a host and those of all
+    hosts say of each path, weighted; site is null for all hosts together. The score of a
+    wide path is that of its own text alone."""
+    pages = F.col("pages") - 1
+    toward = lambda own, others: (pages * own + prior * others) / (pages + prior)
+    score = F.when(F.col("wide"), G * F.col("content")).otherwise(F.col("composite"))
+    repeated = (F.col("content") < REPEATED) & (F.col("own") > 0)
+    everywhere = style_tree(shown.withColumn("site", F.lit(0).cast("long"))).withColumn("score", toward(score, F.lit(NEUTRAL))).withColumn("content", toward(F.col("content"), F.lit(1.0)))
+    everywhere = staged(everywhere.select(F.lit(None).cast("long").alias("site"), "path", "score", "content", repeated.alias("repeated"), "wide"), "everywhere")
+    others = everywhere.select("path", F.col("score").alias("all_score"), F.col("content").alias("all_content"))
+    of_host = style_tree(shown).join(others, "path").withColumn("score", toward(score, F.col("all_score"))).withColumn("content", toward(F.col("content"), F.col("all_content")))
+    columns = ("site", "path", "score", "repeated", "wide")
+    return of_host.withColumn("repeated", repeated).select(*columns).unionByName(everywhere.select(*columns))
+
+
+def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the importances of each page's own paths, joined by path: a row
+    carries what its page needs, however many paths its host has."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["site"], batch["digest"], pa.array([parse_page(x).hashes()[1:] for x in batch["html"].to_pylist()], pa.list_(pa.int64()))], ["site", "digest", "paths"])
+        release()
+
+    rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
+    paths = rows.select("site", "digest", "html").mapInArrow(run, "site long, digest string, paths array<long>").groupBy("site", "digest").agg(F.first("paths").alias("paths"))
+    each = paths.select("site", "digest", F.explode("paths").alias("path"))
+    value = F.struct(*_OF_PATH)
+    own = found.where("site is not null").select("site", "path", value.alias("own"))
+    everywhere = found.where("site is null").select("path", value.alias("everywhere"))
+    known = each.join(own, ["site", "path"], "left").join(everywhere, "path", "left").select("site", "digest", "path", F.coalesce("own", "everywhere").alias("v")).where("v is not null")
+    of_page = staged(known.groupBy("site", "digest").agg(F.collect_list(F.struct("path", *(F.col(f"v.{x}").alias(x) for x in _OF_PATH))).alias("known")), "of_page")
+    return rows.join(of_page, ["site", "digest"], "left")
+
+
+def extract_main_text(pages: DataFrame, prior: float = PRIOR, marks: bool = True) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_removed (blocks that the marks
-    would have kept and the tree removed), n_judged (blocks on which the tree had a
-    verdict), n_blocks.
+    would have kept and the tree removed), n_judged (blocks of which the tree knows an
+    importance), n_by_tree (blocks that the tree removed, whatever their marks), n_blocks.
 
     White space inside a block becomes one space; blocks are joined by one newline in
     page order. Null or empty html gives an empty text; a null or odd url belongs to
@@ -388,34 +463,37 @@ def extract_main_text(pages: DataFrame, low: float = LOW, high: float = HIGH, mi
     order to break. Pages are parsed whole, however long. Extra columns are ignored; an
     empty table gives no rows.
     """
-    found = staged(verdicts(style_tree(staged(shown_nodes(pages), "shown"), min_pages), low, high), "verdicts")
+    found = staged(importances(staged(shown_nodes(pages), "shown"), prior), "importances")
     rows = small_batches(pages).select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), site_of(pages["url"].cast("string")).alias("site"), pages["html"].cast("string").alias("html"))
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:
-        table: dict[int, dict[int, int]] = {}
+        table: dict[int | None, dict[int, Importance]] = {}
         for r in found.collect():
-            table.setdefault(r["site"], {})[r["path"]] = r["verdict"]
+            table.setdefault(r["site"], {})[r["path"]] = (r["score"], r["repeated"], r["wide"])
         sent = pages.sparkSession.sparkContext.broadcast(table)
-        rows = rows.withColumn("verdicts", F.lit(None).cast("map<long,int>"))
-    else:  # a row for each host: a hot host's pages can be split
-        per_site = staged(found.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("path", "verdict"))).alias("verdicts")), "per_site")
-        rows, sent = rows.join(per_site, "site", "left").select(*rows.columns, "verdicts"), None
+        rows = rows.withColumn("known", F.lit(None).cast("array<struct<path:long,score:double,repeated:boolean,wide:boolean>>"))
+    else:
+        rows, sent = _joined(rows, found), None
 
     def run(batches):
+        merged: dict[int, dict[int, Importance]] = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            columns = (batch[c].to_pylist() for c in ("site", "html", "verdicts"))
+            out: list[list] = [[], [], [], [], [], []]
+            columns = (batch[c].to_pylist() for c in ("site", "html", "known"))
             for site, html, own in zip(*columns, strict=True):
                 page = parse_page(html)
-                kept, removed, judged = decide(page, sent.value.get(site, {}) if sent else dict(own or ()), page.hashes(), marks)
+                if sent and site not in merged:
+                    merged[site] = sent.value.get(None, {}) | sent.value.get(site, {})
+                of_site = merged[site] if sent else {x["path"]: (x["score"], x["repeated"], x["wide"]) for x in own or ()}
+                kept, *counts = decide(page, of_site, page.hashes(), marks)
                 text = "\n".join(b.text for b, k in zip(page.blocks, kept, strict=True) if k)
-                for column, value in zip(out, (text, len(text), removed, judged, len(kept)), strict=True):
+                for column, value in zip(out, (text, len(text), *counts, len(kept)), strict=True):
                     column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["page_id", "url", "text", "n_chars", "n_removed", "n_judged", "n_blocks"])
+            kinds = (pa.string(), pa.int64(), *[pa.int32()] * 4)
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["page_id", "url", "text", "n_chars", "n_removed", "n_judged", "n_by_tree", "n_blocks"])
         release()
 
-    return rows.select("page_id", "url", "site", "html", "verdicts").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_removed int, n_judged int, n_blocks int")
+    return rows.select("page_id", "url", "site", "html", "known").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_removed int, n_judged int, n_by_tree int, n_blocks int")
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:

@@ -113,3 +113,85 @@ def test_marks_give_way_where_they_wrap_the_text(spark):
     found = texts(spark, pages)
     assert [found[k] for k in (1, 2, 3, 4, 5)] == ["Real text", "All in a form", "Policy text", "Main one", ""]
     assert found[6] == ("long text " * 200_000).strip() and found[7] == "deep"
+
+
+def test_scrambled_names_and_no_article(spark):
+    """The pages of sf0.01 with every tag of their structure a div and random class names:
+    the tree alone finds the article's text."""
+    import re
+
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    rename = lambda html: re.sub(r'<div class="ad">', "<div class='q7'>", re.sub(r"</(nav|footer|article)>", "</div>", re.sub(r"<(nav|footer|article)(?=[\s>])", lambda m: {"nav": "<div class='k2'", "footer": "<div class='z9'", "article": "<div class='w4'"}[m[1]], html)))
+    want = texts(spark, pages)
+    found = texts(spark, [(i, u, rename(h)) for i, u, h in pages])
+    assert sum(found[i] == want[i] for i in want) >= 0.98 * len(want)
+
+
+def test_small_hosts_use_the_tree_of_all_hosts(spark):
+    """One page a host: no host says anything alone."""
+    pages, want = site(60, seed=4)
+    pages = [(k, f"https://h{k}.example/", html) for k, _, html in pages]
+    found = texts(spark, pages, marks=False)
+    assert sum(found[k] == want[k] for k in range(60)) >= 57
+
+
+def brute_kept(page, known, hashes):
+    """The blocks that the tree alone keeps, from their paths' names."""
+    of_name = {name: known.get(h) for name, h in zip(page.names, hashes, strict=True)}
+
+    def score(name):
+        parts = name.split(">")[1:]
+        chain = [of_name[">" + ">".join(parts[: k + 1])] for k in range(len(parts))]
+        branches = [x[0] for x in chain if x and not x[2]]
+        if not branches:
+            return chain[-1][0] if chain and chain[-1] else None
+        poor = [x for x in branches[1:] if x < html_extract.RELATIVE * html_extract.G]
+        return min([branches[0], *poor])
+
+    scores = [score(page.names[b.path]) for b in page.blocks]
+    top = max((x for x in scores if x is not None), default=0)
+    low = [x is not None and x < html_extract.RELATIVE * top for x in scores]
+    repeated = [bool(of_name[page.names[b.path]] and of_name[page.names[b.path]][1]) for b in page.blocks]
+    keep = [not x and not y for x, y in zip(low, repeated, strict=True)]
+    return keep if any(keep) else [True] * len(keep)
+
+
+def test_decision_equals_brute_force():
+    rng = random.Random(11)
+    for _ in range(300):
+        html, depth = "<body>", 0
+        for _ in range(rng.randint(1, 25)):
+            if depth and rng.random() < 0.3:
+                html, depth = html + "</div>", depth - 1
+            elif rng.random() < 0.6:
+                html, depth = html + f"<div class={rng.choice('abcd')}>", depth + 1
+            else:
+                html += f"<p>{rng.choice('xyz')}</p>"
+        page = html_extract.parse_page(html)
+        hashes = page.hashes()
+        known = {h: (rng.random(), rng.random() < 0.1, rng.random() < 0.1) for h in hashes if rng.random() < 0.8}
+        assert html_extract.decide(page, known, hashes, marks=False)[0] == brute_kept(page, known, hashes)
+
+
+def test_tree_decides_the_test_tables(spark):
+    """What goes, goes by the tree; with the marks it is the same text as the tree's alone."""
+    r = html_extract.extract_main_text(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).selectExpr("sum(n_by_tree) as tree", "sum(n_judged) as judged", "sum(n_blocks) as blocks").first()
+    assert r["tree"] > 0.3 * r["blocks"] and r["judged"] > 0.99 * r["blocks"]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<article><p>one</p><svg><path d="M0 0"><p>two</p></article>', "one\ntwo"),
+        ('<p>x <object data="a.pdf"> y</p><p>z</p>', "x y\nz"),
+        ("<p>if x <math><mi>a</mi></math> then</p>", "if x a then"),
+        ("<p>a <svg><text>drawn</text></svg> b</p>", "a b"),
+        ("<p>a <canvas> b</p><p>c <canvas>fallback</canvas> d</p>", "a b\nc d"),
+        ("<p>a</p><noscript><p>on with it</p></noscript><template><p>no</p></template><p>b</p>", "a\nb"),
+        ("<p>a <select><option>1<p>b</p>", "a\nb"),
+        ("<p>a</p><template><p>b</p>", "a\nb"),
+        ("<p>a <svg/> b</p>", "a b"),
+    ],
+)
+def test_elements_without_an_end_lose_no_text(html, want):
+    assert "\n".join(b.text for b in html_extract.parse_page(html).blocks) == want
