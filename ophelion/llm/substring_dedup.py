@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import chunk_words, chunked, rolling, signed, staged, texts_of, windows, with_key
+from ._base import NULL_ID, chunk_words, chunked, rolling, signed, staged, texts_of, windows, with_key
 
 TARGET = 50
 
@@ -68,18 +68,19 @@ def _per_document(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 def _base_windows(docs: DataFrame, length: int, base: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            keys = batch["key"].to_pylist()
-            found, owners = [], []
+            found, owners, sizes = [], [], []
             for i, hashes in _per_document(batch):
                 best = _anchors(hashes, length, base)
                 if len(best):
                     best = best[np.concatenate([[True], best[1:] != best[:-1]])]
                     found.append(best)
-                    owners.append(np.full(len(best), keys[i], np.int64))
+                    owners.append(i)
+                    sizes.append(len(best))
             if found:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(owners))], ["window", "key"])
+                row = pa.array(np.repeat(owners, sizes))
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), batch["key"].take(row), batch["part"].take(row)], ["window", "key", "part"])
 
-    return docs.select("key", "text").mapInArrow(run, "window long, key long")
+    return docs.select("key", "part", "text").mapInArrow(run, "window long, key long, part long")
 
 
 def _repeated(records: DataFrame, on: list[str]) -> DataFrame:
@@ -97,7 +98,7 @@ def _target_windows(docs: DataFrame, marked: DataFrame, length: int, base: int)
 
     def run(batches):
         for batch in batches:
-            keys, marks = batch["key"].to_pylist(), batch["marks"]
+            marks = batch["marks"]
             out: list[list[np.ndarray]] = [[], [], []]
             for i, hashes in _per_document(batch):
                 best = _anchors(hashes, length, base)
@@ -106,30 +107,46 @@ def _target_windows(docs: DataFrame, marked: DataFrame, length: int, base: int)
                 if len(at):
                     out[0].append(rolling(hashes, at, at + length, 0))
                     out[1].append(rolling(hashes, at, at + length, 1))
-                    out[2].append(np.full(len(at), keys[i], np.int64))
+                    out[2].append(np.full(len(at), i, np.int64))
             if out[0]:
-                hi, lo, key = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([signed(hi), signed(lo), pa.array(key)], ["hi", "lo", "key"])
+                hi, lo, row = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([signed(hi), signed(lo), batch["key"].take(pa.array(row)), batch["part"].take(pa.array(row))], ["hi", "lo", "key", "part"])
 
     # the same columns as in dedup_substrings, so that one shuffle of the texts serves both
-    joined = docs.join(marked, "key", "left").where("marks is not null")
-    return joined.select("doc_id", "key", "text", "marks").mapInArrow(run, "hi long, lo long, key long")
+    joined = docs.join(marked, ["key", "part"], "left").where("marks is not null")
+    return joined.select("doc_id", "key", "part", "text", "marks").mapInArrow(run, "hi long, lo long, key long, part long")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, part, text): rows without an id have one key, by which none is
+    smaller than another, and a part each text, by which their windows are gathered."""
+    return with_key(docs).withColumn("part", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long"))
 
 
 def candidates_and_owners(docs: DataFrame, length: int = TARGET) -> tuple[DataFrame, DataFrame]:
-    """(key, marks) with the surviving base windows of each document, and (key, own)
-    with the candidate target windows whose smallest document it is. A candidate
-    window that a document holds but doesn't own also starts in a smaller one.
-    ``docs`` is (doc_id, key, text)."""
+    """(key, part, marks) with the surviving base windows of each document, and (key, part,
+    own) with the candidate target windows whose smallest document it is. A candidate
+    window that a document holds but doesn't own also starts in a smaller one; rows
+    without an id all own what no other row holds. ``docs`` is of ``_rows``."""
     base = max(1, (length + 1) // 2)
     records = _base_windows(docs, length, base)
     # written first: a join of two plain shuffles is one that can be split where a window is hot
     repeated = staged(_repeated(records, ["window"]).select("window"), "repeated")
     survivors = records.join(repeated, "window")
-    marked = staged(survivors.groupBy("key").agg(F.collect_set("window").alias("marks")), "base")
+    marked = staged(survivors.groupBy("key", "part").agg(F.collect_set("window").alias("marks")), "base")
     # one row a window comes back, to its owner: a window of many documents is no hot key
-    firsts = _target_windows(docs, marked, length, base).groupBy("hi", "lo").agg(F.min("key").alias("key"))
-    return marked, firsts.groupBy("key").agg(F.collect_set("hi").alias("own"))
+    targets = _target_windows(docs, marked, length, base)
+    firsts = targets.groupBy("hi", "lo").agg(F.min("key").alias("key"), F.min("part").alias("part"), F.max("part").alias("last"))
+    owned = firsts.select("hi", "key", F.when(F.col("key") == NULL_ID, F.col("part")).otherwise(F.lit(0)).alias("part"), "last")
+    if not marked.where(F.col("key") == NULL_ID).isEmpty():
+        # windows that rows without an id alone hold, in several texts, come back to each
+        # (a real document of that largest id has part 0 and is one of them)
+        firsts = staged(firsts, "firsts")
+        several = (F.col("key") == NULL_ID) & (F.col("part") < F.col("last"))
+        of_null = _target_windows(docs.where(F.col("key") == NULL_ID), marked, length, base).select("hi", "lo", "part").distinct()
+        shared = of_null.join(firsts.where(several).select("hi", "lo"), ["hi", "lo"]).select("hi", F.lit(NULL_ID).alias("key"), "part")
+        owned = firsts.where(~several).select("hi", "key", F.when(F.col("key") == NULL_ID, F.col("part")).otherwise(F.lit(0)).alias("part")).unionByName(shared)
+    return marked, owned.groupBy("key", "part").agg(F.collect_set("hi").alias("own"))
 
 
 def covered_words(hashes: np.ndarray, marks: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
@@ -157,7 +174,7 @@ def dedup_substrings(docs: DataFrame, length: int = TARGET) -> DataFrame:
     Texts under ``length`` words and empty tables pass unchanged; other columns
     are ignored.
     """
-    rows = with_key(docs)
+    rows = _rows(docs)
     marked, owned = candidates_and_owners(rows, length)
     values = lambda column, i: column[i].values.to_numpy(zero_copy_only=False).view(np.uint64) if column[i].is_valid else np.zeros(0, np.uint64)
 
@@ -179,7 +196,7 @@ def dedup_substrings(docs: DataFrame, length: int = TARGET) -> DataFrame:
                     kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(marked, "key", "left").join(owned, "key", "left").select("doc_id", "text", "marks", "own")
+    joined = rows.join(marked, ["key", "part"], "left").join(owned, ["key", "part"], "left").select("doc_id", "text", "marks", "own")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 

@@ -92,6 +92,18 @@ def test_substring_dedup(docs, rows, null_id, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_dedup_of_many_rows_without_an_id(spark):
+    """None of them is smaller than another; all are larger than any id."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(70)) for x in "abc")
+    rows = [(5, one), (9, "x " + two), (7, two)]
+    rows += [(None, f"lead{i} {one} tail{i}") for i in range(12)] + [(None, f"{two} {three} n{i % 4}") for i in range(12)] + [(None, three), (None, three), (None, None), (None, "short")]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    top = 2**62
+    want = [(None if d == top else d, *rest) for d, *rest in covered([(top if d is None else d, t) for d, t in rows])]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert sum(r[2] for r in want) >= 12 * 70 * 2
+
+
 def test_repeat_lengths(spark, empty):
     text = " ".join(f"w{i}" for i in range(130))
     short = " ".join(f"w{i}" for i in range(60))
