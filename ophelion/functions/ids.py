@@ -166,10 +166,16 @@ def _tokens_all(names: pd.Series) -> pd.Series:
     return names.map(tokens_of)
 
 
+#: Other words of a name whose initials are combined: there are 2**words of such forms,
+#: so a text in a name field would otherwise never end. Longer names keep all other forms.
+INITIALS = 14
+
+
 def variations_of(name: str, spaced: bool = False) -> set[str]:
     """Plausible forms of a name, all starting with its first word: the whole, the
     first with one or two others, with initials of any others, with middle initials
-    and the last word, and the initials alone; ``spaced`` adds forms with spaces."""
+    and the last word, and the initials alone; ``spaced`` adds forms with spaces. Of names
+    of more other words than INITIALS, "any others" are among the first of them."""
     tokens = tokens_of(name)
     if not tokens:
         return set()
@@ -177,11 +183,11 @@ def variations_of(name: str, spaced: bool = False) -> set[str]:
     some = lambda items, low, high: (c for r in range(low, high + 1) for c in combinations(items, r))
     out = {first, "".join(tokens)}
     out |= {first + "".join(c) for c in some(rest, 1, 2)}
-    out |= {first + "".join(t[0] for t in c) for c in some(rest, 1, len(rest))}
+    out |= {first + "".join(t[0] for t in c) for c in some(rest[:INITIALS], 1, INITIALS)}
     if rest:
         out.add("".join(t[0] for t in tokens))
     if len(tokens) >= 3:
-        out |= {first + "".join(t[0] for t in c) + tokens[-1] for c in some(tokens[1:-1], 1, len(tokens) - 2)}
+        out |= {first + "".join(t[0] for t in c) + tokens[-1] for c in some(rest[:-1][:INITIALS], 1, INITIALS)}
     if spaced:
         out.add(" ".join(tokens))
         out |= {" ".join((first, *c)) for c in some(rest, 1, 2)}

@@ -1000,6 +1000,25 @@ def annotated_rows(t):
     return clean.keep_annotated(messy(t), "raw").select("c_custkey")
 
 
+@query("SELECT client_id, source, nation_id, segment, round(balance, 6) AS balance FROM clients")
+def identity_dropped(t):
+    """Personal columns go by exact name: 'nation' and 'na' take no nation_id along."""
+    kept = clean.drop_identity(t.clients, ["name", "email", "city", "nation", "na", "master_id", "updated_at"])
+    return kept.withColumns({"balance": F.round("balance", 6)})
+
+
+@query("SELECT stamp_id, source, raw FROM stamps")
+def selected_columns(t):
+    """Of the wanted columns those that exist, in the order wanted."""
+    return clean.select_available(t.stamps, ["stamp_id", "absent", "source", "raw", "Raw2"])
+
+
+@query("SELECT client_id, coalesce(segment, 'unknown') AS segment, coalesce(city, 'unknown') AS city, count(*) AS n FROM clients WHERE client_id IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
+def filled_dims(t):
+    """Rows of a client by segment and city; a null key goes, a null dimension is unknown."""
+    return signal.fill_dims(t.clients, ["client_id", "source"], ["segment", "city"]).groupBy("client_id", "segment", "city").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT CASE WHEN c LIKE 'QS%' THEN 'sociodemographic' WHEN c LIKE 'TR%' THEN 'attention' WHEN c LIKE 'Q%' THEN 'scale' WHEN c LIKE 'F%' THEN 'feedback' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT CASE l_linenumber WHEN 1 THEN 'QS1' WHEN 2 THEN 'TR1' WHEN 3 THEN 'F1' WHEN 4 THEN 'Z' ELSE 'Q' || l_linenumber END AS c FROM lineitem) GROUP BY 1")
 def caption_groups(t):
     n = F.col("l_linenumber")

@@ -27,6 +27,11 @@ def test_names(spark):
     assert ids.variations_of("Ana Bela Costa") == {"ana", "anabelacosta", "anabela", "anacosta", "anab", "anac", "anabc", "abc", "anabcosta"}
     assert ids.variations_of("Ana Bela Costa", True) - ids.variations_of("Ana Bela Costa") == {"ana bela costa", "ana bela", "ana costa"}
     assert ids.variations_of(" ") == set()
+    long = [f"{a}{b}" for a in "bcdefghi" for b in "xyz"]
+    found = ids.variations_of(" ".join(["ana", *long]))
+    assert {"ana" + "".join(long), "ana" + long[-1], "ana" + long[0] + long[-1], "a" + "".join(w[0] for w in long), "ana" + long[0][0] + long[-1]} <= found
+    full = [f"{chr(98 + k)}q" for k in range(ids.INITIALS)]  # every subset of initials as far as INITIALS goes
+    assert len({x for x in ids.variations_of(" ".join(["ana", *full])) if x.startswith("ana") and "q" not in x}) == 2**ids.INITIALS
 
 
 @given(st.text(max_size=30))
