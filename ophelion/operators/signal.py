@@ -1,6 +1,7 @@
 """Time series: window checks in the JVM, spectral features in numpy per series.
 
-A series is the rows of one key; it is one recording and fits a worker. Keys are
+A series is the rows of one key; it is one recording. ``spectral_features`` here takes a
+series as one group, so it has to fit a worker; ``recordings`` cuts longer ones. Keys are
 spread by the shuffle.
 """
 
@@ -112,23 +113,33 @@ def fft_features(x: np.ndarray, rate: float) -> list[float]:
     return [float((size**2).sum()), float(size.mean()), float(size.std()), top]
 
 
+def densities(parts: np.ndarray, rate: float) -> np.ndarray:
+    """Power density of each row, a segment under a Hann window and without its mean."""
+    n = parts.shape[1]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    power = np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * window)) ** 2 / (rate * (window**2).sum())
+    power[:, 1 : None if n % 2 else -1] *= 2
+    return power
+
+
 def welch(x: np.ndarray, rate: float, longest: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Power density by Welch's method: Hann windows of up to 256 samples, half
     overlapping, each without its mean."""
     n = min(longest, len(x))
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
     parts = np.lib.stride_tricks.sliding_window_view(x, n)[:: n - n // 2]
-    power = np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * window)) ** 2 / (rate * (window**2).sum())
-    power[:, 1 : None if n % 2 else -1] *= 2
-    return np.fft.rfftfreq(n, 1 / rate), power.mean(axis=0)
+    return np.fft.rfftfreq(n, 1 / rate), densities(parts, rate).mean(axis=0)
+
+
+def density_features(f: np.ndarray, p: np.ndarray) -> list[float]:
+    """Peak, energy and centroid of densities ``p`` at frequencies ``f``."""
+    total = p.sum()
+    return [float(f[p.argmax()]), float(np.trapezoid(p, f)), float((f * p).sum() / total) if total > 0 else math.nan]
 
 
 def welch_features(x: np.ndarray, rate: float) -> list[float]:
     if not math.isfinite(rate) or len(x) < 8:
         return [math.nan] * 3
-    f, p = welch(x, rate)
-    total = p.sum()
-    return [float(f[p.argmax()]), float(np.trapezoid(p, f)), float((f * p).sum() / total) if total > 0 else math.nan]
+    return density_features(*welch(x, rate))
 
 
 def dwt(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +159,11 @@ def wavelet_features(x: np.ndarray, most: int = LEVELS) -> list[float]:
     for _ in range(max(1, min(most, reach))):
         rest, detail = dwt(rest)
         details.append(detail)
-    energy = np.array([(b**2).sum() for b in (rest, *reversed(details))])
+    return band_features(np.array([(b**2).sum() for b in (rest, *reversed(details))]), most)
+
+
+def band_features(energy: np.ndarray, most: int = LEVELS) -> list[float]:
+    """What ``wavelet_features`` tells of the energies of the bands."""
     total = energy.sum()
     shown = energy[:most]
     share = shown / total if total > 0 else np.full(len(shown), math.nan)

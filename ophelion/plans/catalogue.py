@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, ids, similarity, text, values
-from ..operators import changes, classify, clean, cluster, cube, dedupe, density, joins, linkage, ranking, reports, scores, signal
+from ..operators import changes, classify, clean, cluster, cube, dedupe, density, joins, linkage, ranking, recordings, reports, scores, signal
 from ..sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -729,7 +729,7 @@ def signal_sizes(t):
 
 @query()
 def spectral_features(t):
-    return signal.spectral_features(series(t), ["user_id"])
+    return recordings.spectral_features(series(t), ["user_id"])
 
 
 # ------------------------------------------------------------------- linkage
