@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .clean import available, is_numeric
+from .quantiles import join_groups
 
 #: Metrics by direction, looked up as parts of a column's name.
 BETTER_HIGHER = ("flesch_reading_ease", "gulpease_index", "bertscore", "comet", "score", "accuracy", "precision", "recall", "f1")
@@ -99,6 +101,21 @@ def every_kth(df: DataFrame, keys: Sequence[str], order: Sequence, step: int) ->
     return df.withColumn("_n", n).where((F.col("_n") - 1) % step == 0).drop("_n")
 
 
+def places(df: DataFrame, keys: Sequence[str], order: Sequence[str], to: str = "place") -> DataFrame:
+    """``df`` with the place of each row in its group, from 1, as ``row_number`` gives it,
+    but a group may hold any share of the rows: they are sorted by ranges of keys and
+    order, numbered in each range, and moved on by the counts of the ranges before.
+    ``order`` names columns, ascending, nulls first; rows equal in all of them come in any
+    order. Null keys are one group, an empty table stays empty."""
+    ranges = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    ranges = staged(ranges, "ranges")  # ranges stay as they are, whoever reads them again
+    here = [*keys, "_range"]
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy(*here).agg(F.count(F.lit(1)).alias("_c")).withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    numbered = ranges.withColumn("_n", F.row_number().over(Window.partitionBy(*here).orderBy(*order)))
+    return join_groups(numbered, starts.drop("_c"), here).withColumn(to, F.col("_start") + F.col("_n")).drop("_range", "_start", "_n")
+
+
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
     """A random order that a seed fixes."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_ignoring_case, preview
 from .quantiles import values_at
+from .ranking import places
 
 
 def is_correct(kind: Column, chosen: Column, key: Column) -> Column:
@@ -191,3 +192,35 @@ def assign_steps(items: DataFrame, bounds: Sequence[int]) -> DataFrame:
     for b in bounds:
         step = step + (F.col("sort_order") >= b).cast("int")
     return items.withColumn("step", step)
+
+
+def read_model(questionnaires: DataFrame, items: DataFrame, questions: DataFrame, options: DataFrame, instructions: DataFrame, seed: int = 0) -> DataFrame:
+    """What a respondent is shown: the items of each questionnaire in its order, with a
+    place from 1, a step (1 where none is given) and their content, a question with its
+    options or an instruction; the other one is null.
+
+    questionnaires has questionnaire_id and question_order; items item_key (unique),
+    questionnaire_id, item_type (question, term, instruction), item_id, sort_order, step;
+    questions question_id, options option_id, question_id and sort_order, instructions
+    instruction_id; further columns go into the content. ``ascending`` and ``custom`` go by
+    sort_order, ``descending`` against it, ``random`` by a draw that ``seed`` fixes, for
+    options too, any other order by item_key; ties go by item_key, nulls come first.
+    Items without content, or of another type, aren't shown. An empty table gives no rows."""
+    drawn = lambda c: F.md5(F.concat_ws(":", F.lit(str(seed)), c.cast("string")))
+    kind = F.when(F.col("item_type").isin("question", "term"), "question").when(F.col("item_type") == "instruction", "instruction")
+    there = questions.select(F.lit("question").alias("_kind"), F.col("question_id").alias("item_id")).unionByName(instructions.select(F.lit("instruction").alias("_kind"), F.col("instruction_id").alias("item_id")))
+    by = F.col("question_order")
+    number = F.when(by == "descending", -F.col("sort_order")).when(by.isin("ascending", "custom"), F.col("sort_order")).otherwise(0)
+    order = {"_number": number, "_draw": F.when(by == "random", drawn(F.col("item_key"))).otherwise("")}
+    slim = items.select("questionnaire_id", "item_key", "item_type", "item_id", "sort_order", F.coalesce(F.nullif("step", F.lit(0)), F.lit(1)).alias("step"), kind.alias("_kind"))
+    slim = slim.join(there, ["_kind", "item_id"], "left_semi").join(questionnaires.select("questionnaire_id", "question_order"), "questionnaire_id")
+    placed = places(slim.withColumns(order), ["questionnaire_id"], [*order, "item_key"])
+
+    fixed = F.struct("sort_order", "option_id", *(c for c in options.columns if c not in ("sort_order", "option_id", "question_id")))
+    offered = options.groupBy("question_id").agg(F.array_sort(F.collect_list(fixed)).alias("options"))
+    asked = questions.join(offered, "question_id", "left").select(F.lit("question").alias("_kind"), F.col("question_id").alias("item_id"), F.struct(*questions.columns, "options").alias("question"))
+    told = instructions.select(F.lit("instruction").alias("_kind"), F.col("instruction_id").alias("item_id"), F.struct(*instructions.columns).alias("instruction"))
+    whole = placed.join(asked.unionByName(told, allowMissingColumns=True), ["_kind", "item_id"])
+    mixed = F.transform(F.array_sort(F.transform("question.options", lambda o: F.struct(drawn(o["option_id"]).alias("at"), o.alias("o")))), lambda x: x["o"])
+    question = F.when(by == "random", F.col("question").withField("options", mixed)).otherwise(F.col("question"))
+    return whole.select("questionnaire_id", "place", "item_type", "item_id", "sort_order", "step", F.when(F.col("question").isNotNull(), question).alias("question"), "instruction")

@@ -651,6 +651,40 @@ def item_steps(t):
     return reports.assign_steps(t.lineitem.groupBy(F.col("l_linenumber").alias("sort_order")).agg(F.count(F.lit(1)).alias("n")), [3, 6])
 
 
+@query("""WITH every AS (SELECT o_custkey AS questionnaire_id, CASE o_custkey % 4 WHEN 0 THEN 'ascending' WHEN 1 THEN 'descending' WHEN 2 THEN 'custom' ELSE 'random' END AS question_order, o_orderkey AS item_key, CASE o_orderstatus WHEN 'F' THEN 'question' WHEN 'P' THEN 'term' ELSE 'instruction' END AS item_type,
+  CASE WHEN o_orderstatus IN ('F', 'P') THEN o_orderkey % 97 ELSE o_orderkey % 7 END AS item_id, dayofyear(o_orderdate) AS sort_order, CASE WHEN o_orderpriority > '3' THEN 2 ELSE 1 END AS step FROM orders JOIN customer ON o_custkey = c_custkey),
+shown AS (SELECT every.*, p_partkey, p_brand, p_name, s_name AS instruction FROM every LEFT JOIN part ON item_type <> 'instruction' AND p_partkey = item_id AND p_size > 5 LEFT JOIN supplier ON item_type = 'instruction' AND s_suppkey = item_id AND s_nationkey > 5 WHERE p_partkey IS NOT NULL OR s_suppkey IS NOT NULL),
+choices AS (SELECT p_partkey, k, p_partkey * 10 + k AS option_id, string_split(p_name, ' ')[k] AS word FROM part, range(1, 10) x(k) WHERE k <= len(string_split(p_name, ' '))),
+lists AS (SELECT p_partkey, string_agg(word, '|' ORDER BY k) AS fixed, string_agg(word, '|' ORDER BY md5('7:' || option_id)) AS mixed FROM choices GROUP BY 1)
+SELECT questionnaire_id, row_number() OVER (PARTITION BY questionnaire_id ORDER BY CASE question_order WHEN 'descending' THEN -sort_order WHEN 'random' THEN 0 ELSE sort_order END, CASE question_order WHEN 'random' THEN md5('7:' || item_key) ELSE '' END, item_key) AS place, item_type, item_id, sort_order, step, p_brand AS question, CASE question_order WHEN 'random' THEN mixed ELSE fixed END AS options, instruction FROM shown LEFT JOIN lists USING (p_partkey)""")
+def read_model(t):
+    """A questionnaire for each customer, its orders the items in one of four orders: parts
+    are questions with the words of their names as options, suppliers instructions; small
+    parts and suppliers of some nations are missing."""
+    names = F.element_at(F.array(*map(F.lit, ("ascending", "descending", "custom", "random"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    asked = F.col("o_orderstatus").isin("F", "P")
+    items = t.orders.select(
+        F.col("o_custkey").alias("questionnaire_id"),
+        F.col("o_orderkey").alias("item_key"),
+        F.when(F.col("o_orderstatus") == "F", "question").when(asked, "term").otherwise("instruction").alias("item_type"),
+        F.when(asked, F.col("o_orderkey") % 97).otherwise(F.col("o_orderkey") % 7).alias("item_id"),
+        F.dayofyear("o_orderdate").cast("long").alias("sort_order"),
+        F.when(F.col("o_orderpriority") > "3", 2).otherwise(0).alias("step"),
+    )
+    words = t.part.select(F.col("p_partkey").alias("question_id"), F.posexplode(F.split("p_name", " ")).alias("k", "text"))
+    options = words.select("question_id", "text", (F.col("k") + 1).alias("sort_order"), (F.col("question_id") * 10 + F.col("k") + 1).alias("option_id"))
+    shown = reports.read_model(
+        t.customer.select(F.col("c_custkey").alias("questionnaire_id"), names.alias("question_order")),
+        items,
+        t.part.where("p_size > 5").select(F.col("p_partkey").alias("question_id"), F.col("p_brand").alias("text")),
+        options,
+        t.supplier.where("s_nationkey > 5").select(F.col("s_suppkey").alias("instruction_id"), F.col("s_name").alias("text")),
+        seed=7,
+    )
+    texts = F.array_join("question.options.text", "|")
+    return shown.select("questionnaire_id", "place", "item_type", "item_id", "sort_order", "step", F.col("question.text").alias("question"), texts.alias("options"), F.col("instruction.text").alias("instruction"))
+
+
 RANKED = "blocks AS (SELECT c_nationkey AS block, c_mktsegment AS treatment, round(avg(c_acctbal), 0) AS value FROM customer GROUP BY 1, 2)"
 
 
@@ -732,6 +766,59 @@ def spectral_features(t):
     return recordings.spectral_features(series(t), ["user_id"])
 
 
+def levels_sql(levels: int) -> str:
+    """The bands of the wavelet transform of ``filled`` (recording, i, x, n), level by level."""
+    taps = ", ".join(f"({j}, {low!r}, {high!r})" for j, (low, high) in enumerate(zip(signal.DB4_LOW, signal.DB4_HIGH, strict=True)))
+    out = [f"taps(j, low, high) AS (VALUES {taps}), a0 AS (SELECT recording, i, x, 0.0 AS d, n FROM filled)"]
+    for k in range(1, levels + 1):
+        place = "2 * m + 1 - j"
+        at = f"CASE WHEN {place} < 0 THEN j - 2 * m - 2 WHEN {place} >= n THEN 2 * n - 1 - ({place}) ELSE {place} END"
+        own = f"SELECT recording, n, m, low, high, {at} AS i FROM (SELECT recording, n, unnest(range((n + 7) // 2)) AS m FROM (SELECT DISTINCT recording, n FROM a{k - 1})), taps"
+        out.append(f"a{k} AS (SELECT recording, m AS i, sum(low * x) AS x, sum(high * x) AS d, (max(o.n) + 7) // 2 AS n FROM ({own}) o JOIN a{k - 1} USING (recording, i) GROUP BY recording, m)")
+    bands = [f"SELECT recording, {levels} AS level, 1 AS band, sum(x * x) AS e FROM a{levels} GROUP BY 1", *(f"SELECT recording, {k}, {levels + 2 - k}, sum(d * d) FROM a{k} GROUP BY 1" for k in range(levels, 0, -1))]
+    return ", ".join(out) + ", bands AS (" + " UNION ALL ".join(bands) + ")"
+
+
+@query(f"""WITH s AS (SELECT recording, t, v, row_number() OVER (PARTITION BY recording ORDER BY t, v NULLS FIRST) AS i FROM (SELECT 'all' AS recording, (epoch_us(ts) - 1704067200000000) / 1000.0 AS t, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events)),
+w AS (SELECT *, t - lag(t) OVER (PARTITION BY recording ORDER BY i) AS step, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, last_value(v IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS qi, first_value(v IGNORE NULLS) OVER f AS qv FROM s
+  WINDOW b AS (PARTITION BY recording ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY recording ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT recording, i - 1 AS i, coalesce(v, pv + (qv - pv) * (i - pi) / nullif(qi - pi, 0), pv, qv) AS x, count(*) OVER (PARTITION BY recording) AS n FROM w),
+rates AS (SELECT recording, 1000.0 / median(step) FILTER (WHERE step > 0) AS rate FROM w GROUP BY 1),
+centred AS (SELECT recording, i, n, x - avg(x) OVER (PARTITION BY recording) AS x FROM filled),
+fourier AS (SELECT recording, k, sqrt(sum(x * cos(2 * pi() * (i * k % n) / n)) ** 2 + sum(x * sin(2 * pi() * (i * k % n) / n)) ** 2) AS size FROM (SELECT *, unnest(range(n // 2 + 1)) AS k FROM centred) GROUP BY 1, 2),
+f AS (SELECT recording, sum(size * size) AS energy, avg(size) AS mean, stddev_pop(size) AS sd, arg_max(k, size) AS top FROM fourier GROUP BY 1),
+cut AS (SELECT recording, i // 128 - d AS j, i - 128 * (i // 128 - d) AS p, x FROM filled, (VALUES (0), (1)) y(d) WHERE i >= 128 * d AND 128 * (i // 128 - d) + 256 <= n),
+hann AS (SELECT recording, j, p, (x - avg(x) OVER (PARTITION BY recording, j)) * (0.5 - 0.5 * cos(2 * pi() * p / 256)) AS x FROM cut),
+parts AS (SELECT recording, j, k, sum(x * cos(2 * pi() * (p * k % 256) / 256)) ** 2 + sum(x * sin(2 * pi() * (p * k % 256) / 256)) ** 2 AS power FROM hann, range(129) z(k) GROUP BY 1, 2, 3),
+density AS (SELECT recording, k, avg(power) * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END / 96 AS p FROM parts GROUP BY 1, 2),
+welch AS (SELECT recording, arg_max(k, p) AS peak, (sum(p) - sum(p) FILTER (WHERE k IN (0, 128)) / 2) / 256 AS energy, sum(k * p) / sum(p) / 256 AS centroid FROM density GROUP BY 1),
+{levels_sql(signal.LEVELS)},
+shares AS (SELECT *, e / sum(e) OVER (PARTITION BY recording) AS _of_all, sum(e) OVER (PARTITION BY recording) AS total FROM bands),
+wavelet AS (SELECT recording, max(total) AS total, {", ".join(f"max(e) FILTER (WHERE band = {i}) AS l{i}" for i in range(1, signal.LEVELS + 1))}, -sum(e / total * log2(e / total)) FILTER (WHERE band <= {signal.LEVELS}) AS entropy FROM shares GROUP BY 1)
+SELECT recording, CAST((SELECT max(n) FROM filled WHERE filled.recording = f.recording) AS INTEGER) AS signal_length, round(log10(rate), 6) AS rate, round(log10(f.energy), 6) AS fft_energy, round(log10(f.mean), 6) AS fft_mean, round(log10(f.sd), 6) AS fft_sd, top AS fft_top, peak AS welch_peak, round(log10(welch.energy), 6) AS welch_energy, round(centroid, 6) AS welch_centroid, round(log10(total), 6) AS wavelet_total, {", ".join(f"round(log10(l{i}), 6) AS wavelet_l{i}" for i in range(1, signal.LEVELS + 1))}, round(entropy, 6) AS wavelet_entropy
+FROM f JOIN rates USING (recording) JOIN welch USING (recording) JOIN wavelet USING (recording)""")
+def recording_features(t):
+    """All events as one recording with missing values, cut at 1,024 samples; energies as
+    logarithms, frequencies as places among the frequencies."""
+    samples = series(t).withColumn("recording", F.lit("all")).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    found = recordings.spectral_features(samples, ["recording"], longest=1_024)
+    log = lambda c, name: F.round(F.log10(F.col(c)), 6).alias(name)
+    place = lambda c, n: F.round(F.col(c) * n / F.col("sampling_rate_hz")).cast("long")
+    return found.select(
+        "recording",
+        "signal_length",
+        log("sampling_rate_hz", "rate"),
+        *(log(f"fft_{c}", f"fft_{name}") for c, name in (("energy_total", "energy"), ("magnitude_mean", "mean"), ("magnitude_std", "sd"))),
+        place("fft_dominant_freq_hz", F.col("signal_length")).alias("fft_top"),
+        place("welch_peak_freq_hz", F.lit(recordings.SEGMENT)).alias("welch_peak"),
+        log("welch_total_energy", "welch_energy"),
+        F.round(F.col("welch_spectral_centroid_hz") / F.col("sampling_rate_hz"), 6).alias("welch_centroid"),
+        log("wavelet_total_energy", "wavelet_total"),
+        *(log(f"wavelet_energy_l{i}", f"wavelet_l{i}") for i in range(1, signal.LEVELS + 1)),
+        F.round("wavelet_entropy", 6).alias("wavelet_entropy"),
+    )
+
+
 # ------------------------------------------------------------------- linkage
 
 
