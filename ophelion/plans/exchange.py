@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, values
 from ..operators import clean, ranking
-from ..sources import files, questionnaire, sinks, staging
+from ..sources import device_lines, files, questionnaire, sinks, staging
 from .catalogue import Tables, query
 
 def scratch(t: Tables) -> str:
@@ -42,6 +42,25 @@ def source_device_waveforms(t):
     return files.device_waveforms(found).join(record, ["source_file", "test_id"]).select("record", "test_id", "waveform_type", "waveform_description", "time_ms", "voltage_uV")
 
 
+@query("SELECT k AS test_id, 'Volt Waveform ' || (l_linenumber % 2) AS waveform_type, 'µV of ' || l_suppkey AS waveform_description, CAST(l_orderkey AS DOUBLE) AS time_ms, CASE k WHEN 1 THEN l_quantity ELSE l_discount END AS voltage_uV FROM lineitem, range(1, 3) x(k) WHERE k = 1 OR l_linenumber > 2")
+def source_device_lines(t):
+    """A device file for each supplier, every second one in Latin-1, with two waveforms and
+    missing cells, read by lines."""
+    who, half, head = F.col("l_suppkey").cast("string"), F.col("l_linenumber") % 2, files.METADATA_LINES + 1
+    second = F.when(F.col("l_linenumber") > 2, F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_discount").cast("string"))).otherwise(",")
+    samples = t.lineitem.select("l_suppkey", (half * 2 + head + 1).cast("int").alias("rank"), F.concat_ws(",", F.lit(","), F.col("l_orderkey").cast("string"), F.col("l_quantity").cast("string"), second).alias("value"))
+    fields = [F.concat(F.lit("PatientID,,"), who, F.lit(",,"), who), *(F.lit(f"field{k},about,{k},,{k}") for k in range(2, head)), F.lit("skipped")]
+    titles = [F.concat(F.lit(f"Volt Waveform {w},µV of "), who) for w in (0, 1)]
+    ranked = [*enumerate(fields), (head, titles[0]), (head + 2, titles[1])]
+    above = t.lineitem.select("l_suppkey").distinct().select("l_suppkey", F.inline(F.array(*(F.struct(F.lit(k).alias("rank"), line.alias("value")) for k, line in ranked))))
+    latin = F.encode("value", "ISO-8859-1").cast("string")  # its bytes
+    path = scratch(t)
+    whole = samples.unionByName(above).withColumn("value", F.when(F.col("l_suppkey") % 2 == 1, latin).otherwise(F.col("value")))
+    whole.repartition("l_suppkey").sortWithinPartitions("l_suppkey", "rank").select("l_suppkey", "value").write.partitionBy("l_suppkey").text(path)
+    found = device_lines.device_waveforms(t._spark, path, "*.txt")
+    return found.select("test_id", "waveform_type", "waveform_description", "time_ms", "voltage_uV")
+
+
 @query("SELECT s_suppkey AS record, k AS test_id, 'kind' AS about, 'flash ' || s_nationkey AS test_type, count(*) OVER (PARTITION BY s_suppkey) AS tests FROM supplier, range(1, 4) x(k)")
 def source_device_metadata(t):
     """Three tests in the columns of each supplier's file; a test is a filled cell of line 1."""

@@ -80,13 +80,18 @@ def device_tests(rows: list[list[str]]) -> list[tuple[int, int, dict[str, str]]]
 def device_samples(rows: list[list[str]], tests: list[tuple[int, int, dict[str, str]]]) -> Iterator[tuple]:
     """(test, waveform, description, time, value) below each line that names a
     waveform; time stands in the test's column and the value in the next."""
+    return samples_below(rows[METADATA_LINES + 1 :], [(n, k) for n, k, _ in tests])
+
+
+def samples_below(rows: list[list[str]], columns: list[tuple[int, int]]) -> Iterator[tuple]:
+    """``device_samples`` of lines below the metadata; ``columns`` are (test, column)."""
     kind = about = None
-    for row in rows[METADATA_LINES + 1 :]:
+    for row in rows:
         lead = _cell(row, 0)
         if "waveform" in lead.lower():
             kind, about = lead, _cell(row, 1)
         elif kind is not None:
-            for n, k, _ in tests:
+            for n, k in columns:
                 time, value = _number(_cell(row, k)), _number(_cell(row, k + 1))
                 if time is not None and value is not None:
                     yield n, kind, about, time, value
