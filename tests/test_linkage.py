@@ -114,3 +114,16 @@ def test_names_without_people(spark, both):
     out = linkage.link(queries, people.where("false")).collect()
     assert len(out) == 160 and {(r["decision"], r["phase"]) for r in out} == {("NO_MATCH", "phase1_blocking")}
     assert linkage.link(queries.where("false"), people).count() == 0
+
+
+def test_candidate_counts_without_pairs(both):
+    """As many as ``candidates`` lists, of which no pair by year is joined."""
+    queries, people = both
+    want = linkage.candidates(queries, people).groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+    found = linkage.candidate_counts(queries, people)
+    assert rows(found.select("query_id", "candidates")) == rows(want) != []
+
+
+def test_candidates_of_the_tables_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "by_year", lambda *a: pytest.fail("pairs are listed"))
+    assert catalogue.QUERIES["linkage_candidates"](spark, FOLDER).count() > 0
