@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,37 @@ def test_candidate_counts_without_pairs(both):
 def test_candidates_of_the_tables_are_counted(spark, monkeypatch):
     monkeypatch.setattr(linkage, "by_year", lambda *a: pytest.fail("pairs are listed"))
     assert catalogue.QUERIES["linkage_candidates"](spark, FOLDER).count() > 0
+
+
+def test_near_is_all_close_pairs_of_a_year(both):
+    """By blocks of any size, each pair once; short, long and equal names."""
+    queries, people = both
+    pairs = linkage.by_year(queries, people).join(people.drop("source"), "person_id").join(queries, "query_id").where("norm_name <> '' and query_norm <> ''").collect()
+    want = sorted((r["query_id"], r["person_id"]) for r in pairs if max(fuzzy.ratio(r["query_norm"], r["norm_name"]), fuzzy.partial_ratio(r["query_norm"], r["norm_name"])) >= 85)
+    for block in (500, 7):
+        assert sorted((r["query_id"], r["person_id"]) for r in linkage.near(queries, people, block=block).collect()) == want != []
+
+
+def test_a_common_word_makes_no_pairs(spark, monkeypatch):
+    """All have one first and one last word; those that are not close are not scored, but
+    for the few that a list for review shows."""
+    rng = random.Random(9)
+    word = lambda alphabet: "".join(rng.choices(alphabet, k=14))
+    asked = [(i, f"ana {word('bcdefgh')} sil", "01/02/1990", "F") for i in range(60)]
+    people = [(f"p{i:03}", "mapping", f"r{i % 150}", f"ana{word('mnopqrst')}sil", 1990, None, None, "F") for i in range(200)]
+    queries = linkage.query_fields(spark.createDataFrame(asked, "id long, name string, dob string, sex string"), "id", "name", "dob", "sex").cache()
+    people = spark.createDataFrame(people, PEOPLE).cache()
+    want = linkage.decide(queries, linkage.scored_candidates(queries, people))
+    real, pairs = linkage.score_pairs, []
+    monkeypatch.setattr(linkage, "score_pairs", lambda df, *keep: pairs.append(df.count()) or real(df, *keep))
+    assert rows(linkage.link(queries, people)) == rows(want)
+    assert pairs == [60 * 5]
+
+
+def test_ratios_of_many_pairs_at_once():
+    rng = random.Random(2)
+    text = lambda of, k: "".join(rng.choices(of, k=rng.randint(0, k)))
+    a = [text("abcd ", 14) for _ in range(1500)] + [text("aé", 90) for _ in range(60)] + ["x" * 64] * 9
+    b = [text("abcd ", 18) if k % 3 else a[k][::-1] for k in range(1500)] + [text("aé", 70) for _ in range(60)] + ["x" * 30 + "y" * 40] * 9
+    four = [[int(f(x, y)) for f in (fuzzy.ratio, fuzzy.partial_ratio, fuzzy.token_sort_ratio, fuzzy.token_set_ratio)] if x else [0] * 4 for x, y in zip(a, b, strict=True)]
+    assert fuzzy.fuzzy_scores.func(pd.Series(a), pd.Series(b)).to_numpy().tolist() == [[*r, max(r)] for r in four]
