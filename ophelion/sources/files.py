@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,17 @@ def binary_files(spark: SparkSession, path: str | Sequence[str], pattern: str =
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
+def pack(files: DataFrame, path: str) -> None:
+    """Writes many small files, rows (path, content), to few containers: a listing, an open
+    and a commit for each of a million files take hours, those of the containers don't."""
+    files.select("path", F.current_timestamp().alias("modificationTime"), F.length("content").cast("long").alias("length"), "content").write.parquet(path)
+
+
+def packed_files(spark: SparkSession, path: str) -> DataFrame:
+    """What ``binary_files`` gives, of files that were packed."""
+    return spark.read.schema("path string, modificationTime timestamp, length long, content binary").parquet(path)
+
+
 def newest(files: DataFrame, by: str = "modificationTime") -> DataFrame:
     """The newest file, by time or (by = 'path') by name."""
     return files.orderBy(F.desc(by), F.desc("path")).limit(1)
@@ -77,14 +89,10 @@ def device_tests(rows: list[list[str]]) -> list[tuple[int, int, dict[str, str]]]
     return out
 
 
-def device_samples(rows: list[list[str]], tests: list[tuple[int, int, dict[str, str]]]) -> Iterator[tuple]:
-    """(test, waveform, description, time, value) below each line that names a
-    waveform; time stands in the test's column and the value in the next."""
-    return samples_below(rows[METADATA_LINES + 1 :], [(n, k) for n, k, _ in tests])
-
-
-def samples_below(rows: list[list[str]], columns: list[tuple[int, int]]) -> Iterator[tuple]:
-    """``device_samples`` of lines below the metadata; ``columns`` are (test, column)."""
+def samples_below(rows: Iterable[list[str]], columns: list[tuple[int, int]]) -> Iterator[tuple]:
+    """(test, waveform, description, time, value) of lines below the metadata, after each
+    that names a waveform; ``columns`` are (test, column), time stands in the test's column
+    and the value in the next."""
     kind = about = None
     for row in rows:
         lead = _cell(row, 0)
@@ -97,16 +105,27 @@ def samples_below(rows: list[list[str]], columns: list[tuple[int, int]]) -> Iter
                     yield n, kind, about, time, value
 
 
+#: Parsed rows that a task hands on at a time.
+ROWS = 10_000
+
+
 def _parsed(batches: Iterator[pd.DataFrame], emit, columns: list[str]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    """``emit`` reads the lines of a file one by one; rows go on in parts of bounded size,
+    those of small files together."""
+
+    def every(pdf: pd.DataFrame) -> Iterator[tuple]:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            rows = list(csv.reader(io.StringIO(decode(content), newline="")))
-            yield pd.DataFrame(list(emit(stem(path), rows)), columns=columns)
+            yield from emit(stem(path), csv.reader(io.StringIO(decode(content), newline="")))
+
+    for pdf in batches:
+        out = every(pdf)
+        while part := list(islice(out, ROWS)):
+            yield pd.DataFrame(part, columns=columns)
 
 
 def device_metadata(files: DataFrame) -> DataFrame:
     def emit(name, rows):
-        for n, _, fields in device_tests(rows):
+        for n, _, fields in device_tests(list(islice(rows, METADATA_LINES))):
             yield name, n, fields
 
     return files.select("path", "content").mapInPandas(lambda b: _parsed(b, emit, ["source_file", "test_id", "field"]), METADATA)
@@ -116,7 +135,8 @@ def device_waveforms(files: DataFrame) -> DataFrame:
     """Long samples; a pupil's go to pupil_mm, all others to voltage_uV."""
 
     def emit(name, rows):
-        for n, kind, about, time, value in device_samples(rows, device_tests(rows)):
+        tests = [(n, k) for n, k, _ in device_tests(list(islice(rows, METADATA_LINES + 1)))]
+        for n, kind, about, time, value in samples_below(rows, tests):
             pupil = "pupil" in kind.lower()
             yield name, n, kind, about, time, None if pupil else value, value if pupil else None
 
@@ -177,7 +197,7 @@ def exam_records(files: DataFrame) -> DataFrame:
     """source_file, PatientID, PatientBirthdate, TestingDate, field (all cells by name)."""
 
     def emit(name, rows):
-        for fields in exam_rows(rows):
+        for fields in exam_rows(list(rows)):
             roles = column_roles(list(fields))
             yield name, *(fields.get(c, "") if c else "" for c in roles.values()), fields
 

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ophelion.plans import jobs
+from ophelion.plans import catalogue, exchange, jobs
 from ophelion.sources import files, questionnaire, sinks
 
 DEVICE = """PatientID,,12345 Ana Luz,,12345 Ana Luz
@@ -112,3 +112,25 @@ def test_annotation_job(spark):
     got = {r["k"]: (r["match_method"], r["sex"], r["has_erg"], r["sex_differs"]) for r in out.collect()}
     assert got == {1: ("record", "F", True, False), 2: ("name_exact", "F", False, True), 3: ("name_prefix", "F", None, False), 4: ("not_found", None, None, False)}
     assert [r["k"] for r in open_.collect()] == [4]
+
+
+@pytest.mark.parametrize("name", ["source_questionnaire_nested", "source_device_metadata", "source_device_waveforms"])
+def test_no_file_for_each_row(spark, monkeypatch, name):
+    """Documents and small files go to few files, whatever their number."""
+    paths, real = [], exchange.scratch
+    monkeypatch.setattr(exchange, "scratch", lambda t: paths.append(real(t)) or paths[-1])
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "0")
+    assert exchange.Tables(spark, "/root/testdata/sf0.001").supplier.count() > 1
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    (path,) = paths
+    assert spark.read.format("binaryFile").load(path).where("path not like '%/_SUCCESS'").count() <= 4
+
+
+def test_packed_files_come_back(spark, tmp_path):
+    """Names, lengths and bytes of empty and binary files; long files are parsed in parts."""
+    rows = [("a.csv", b""), ("b.csv", bytes(range(256))), ("c.csv", "PatientID,,7\n".encode() + b"\n" * 11 + b"Raw Waveform,volts\n" + b"".join(b",,%d,1\n" % k for k in range(25_000)))]
+    files.pack(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path / "p"))
+    back = files.packed_files(spark, str(tmp_path / "p"))
+    assert sorted((r["path"], bytes(r["content"]), r["length"]) for r in back.collect()) == [(a, b, len(b)) for a, b in rows]
+    long = files.device_waveforms(back.where("path = 'c.csv'")).agg(F.count("*"), F.sum("time_ms"), F.min("waveform_type"))
+    assert tuple(long.head()) == (25_000, 25_000 * 24_999 / 2, "Raw Waveform")
