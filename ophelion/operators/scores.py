@@ -41,21 +41,29 @@ def selected(answers: DataFrame) -> DataFrame:
     return answers.select("submission_id", "question_id", F.posexplode("selected_options").alias("place", "option_id"))
 
 
+def _option_totals(answers: DataFrame, options: DataFrame) -> DataFrame:
+    """(submission_id, question_id, n, all, first) of each answered question: how many
+    answers it has, the points of all selected known options, and those of the first. One
+    aggregation, without a join of the answers with their own totals."""
+    each = answers.select("submission_id", "question_id", F.posexplode_outer("selected_options").alias("place", "option_id"))
+    rated = each.join(option_points(options), ["question_id", "option_id"], "left")
+    once = F.when(F.coalesce("place", F.lit(0)) == 0, 1)
+    return rated.groupBy("submission_id", "question_id").agg(F.count(once).alias("n"), F.sum("points").alias("all"), F.min_by("points", F.when(F.col("points").isNotNull(), F.col("place"))).alias("first"))
+
+
 def score_by_sum(answers: DataFrame, options: DataFrame) -> DataFrame:
     """(submission_id, question_id, points): all selected known options summed."""
-    hit = selected(answers).join(option_points(options), ["question_id", "option_id"])
-    total = hit.groupBy("submission_id", "question_id").agg(F.sum("points").alias("points"))
-    return answers.select("submission_id", "question_id").distinct().join(total, ["submission_id", "question_id"], "left").withColumn("points", F.coalesce("points", F.lit(0.0)))
+    named = F.when(F.col("submission_id").isNotNull(), F.col("all"))
+    return _option_totals(answers, options).select("submission_id", "question_id", F.coalesce(named, F.lit(0.0)).alias("points"))
 
 
 def score_by_type(answers: DataFrame, options: DataFrame, questions: DataFrame) -> DataFrame:
     """As stored on submission: of a single choice the first known option counts, of a
-    multiple choice all; free text scores 0."""
-    hit = selected(answers).join(option_points(options), ["question_id", "option_id"])
-    both = hit.groupBy("submission_id", "question_id").agg(F.sum("points").alias("all"), F.min_by("points", "place").alias("first"))
-    out = answers.join(questions.select("question_id", "question_type"), "question_id").join(both, ["submission_id", "question_id"], "left")
+    multiple choice all; free text scores 0. A row for each answer."""
+    out = _option_totals(answers, options).join(questions.select("question_id", "question_type"), "question_id")
     points = F.when(F.col("question_type") == "single", F.col("first")).when(F.col("question_type") == "multiple", F.col("all"))
-    return out.select("submission_id", "question_id", F.coalesce(points, F.lit(0.0)).alias("score"))
+    named = F.when(F.col("submission_id").isNotNull(), points)
+    return out.select("submission_id", "question_id", F.explode(F.array_repeat(F.coalesce(named, F.lit(0.0)), F.col("n").cast("int"))).alias("score"))
 
 
 def scale_scores(scores: DataFrame, items: Sequence[str], subscales: dict[str, Sequence[str]], item: str = "caption", points: str = "points", key: str = "submission_id") -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ophelion.operators import classify, cluster, quantiles, reports, scores
+from ophelion.plans import catalogue
 
 
 def nearest(x, q):
@@ -120,3 +121,25 @@ def test_nemenyi_leaves_out_blocks_that_lack_a_treatment(spark):
     df = spark.createDataFrame(rows, "b int, t string, v double")
     got = {(r["treatment_a"], r["treatment_b"]): r["mean_rank_gap"] for r in scores.nemenyi(df, "b", "t", "v").collect()}
     assert got == pytest.approx({("x", "y"): 2 / 3, ("x", "z"): 1 / 3, ("y", "z"): 1 / 3})
+
+
+@pytest.mark.parametrize("name", ["likert_scores", "answer_scores", "subscale_scores"])
+def test_answers_are_scored_in_one_pass(spark, name):
+    """The answers are not joined with their own totals."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") > 0 and plan.count("Relation [l_orderkey") == 1
+
+
+def test_scores_of_repeated_and_nameless_answers(spark):
+    """Of repeated answers each has a row with the total of all; unknown options, none and a
+    missing submission score 0."""
+    given = [(1, 1, [10, 11]), (1, 1, [11]), (1, 2, []), (1, 2, [99]), (2, 1, [99, 11, 10]), (2, 2, None), (None, 1, [11]), (3, 7, [10])]
+    answers = spark.createDataFrame(given, "submission_id long, question_id long, selected_options array<long>")
+    options = spark.createDataFrame([(1, 10, 0, 1.0), (1, 11, 1, 2.0), (2, 20, 0, 4.0)], "question_id long, option_id long, sort_order int, weight double")
+    kinds = spark.createDataFrame([(1, "single"), (2, "multiple")], "question_id long, question_type string")
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert key(scores.score_by_sum(answers, options).collect()) == key([(1, 1, 5.0), (1, 2, 0.0), (2, 1, 3.0), (2, 2, 0.0), (None, 1, 0.0), (3, 7, 0.0)])
+    typed = scores.score_by_type(spark.createDataFrame(given[1:], answers.schema), options, kinds).collect()
+    assert key(typed) == key([(1, 1, 2.0), (1, 2, 0.0), (1, 2, 0.0), (2, 1, 2.0), (2, 2, 0.0), (None, 1, 0.0)])
+    both = scores.score_by_type(answers.where("submission_id = 1"), options, kinds.withColumn("question_type", F.lit("multiple"))).collect()
+    assert key(both) == key([(1, 1, 5.0)] * 2 + [(1, 2, 0.0)] * 2)
