@@ -162,3 +162,11 @@ def test_ratios_of_many_pairs_at_once():
     b = [text("abcd ", 18) if k % 3 else a[k][::-1] for k in range(1500)] + [text("aé", 70) for _ in range(60)] + ["x" * 30 + "y" * 40] * 9
     four = [[int(f(x, y)) for f in (fuzzy.ratio, fuzzy.partial_ratio, fuzzy.token_sort_ratio, fuzzy.token_set_ratio)] if x else [0] * 4 for x, y in zip(a, b, strict=True)]
     assert fuzzy.fuzzy_scores.func(pd.Series(a), pd.Series(b)).to_numpy().tolist() == [[*r, max(r)] for r in four]
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
+def test_scores_are_of_a_search(spark):
+    """Every twentieth customer, with all its candidates."""
+    found = {r["query_id"]: r["count"] for r in catalogue.QUERIES["linkage_scores"](spark, FOLDER).groupBy("query_id").count().collect()}
+    every = {r["query_id"]: r["candidates"] for r in catalogue.QUERIES["linkage_candidates"](spark, FOLDER).collect()}
+    assert found == {k: n for k, n in every.items() if k % 20 == 0} != {}
