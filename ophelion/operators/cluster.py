@@ -26,6 +26,16 @@ def nan_euclidean(u: Column, v: Column, min_valid: int = MIN_VALID) -> Column:
 def distance_block(x: np.ndarray, y: np.ndarray, min_valid: int = MIN_VALID) -> np.ndarray:
     """nan_euclidean of all rows of x against all rows of y."""
     a, b = np.isfinite(x), np.isfinite(y)
+    if a.all() and b.all():
+        if x.shape[1] < max(min_valid, 1):
+            return np.full((len(x), len(y)), np.inf)
+        out = x @ y.T
+        out *= -2
+        out += (x**2).sum(axis=1)[:, None]
+        out += (y**2).sum(axis=1)[None, :]
+        np.maximum(out, 0, out=out)
+        out /= x.shape[1]
+        return np.sqrt(out, out=out)
     xs, ys = np.where(a, x, 0.0), np.where(b, y, 0.0)
     af, bf = a.astype(np.float64), b.astype(np.float64)
     n = af @ bf.T

@@ -1,25 +1,27 @@
 """Density clustering and nearest distances of partitions of any size.
 
-Equal vectors are one point with a weight. The points of a partition are dealt to cells,
-each around a pivot; by the triangle inequality a neighbour within eps of a cell's point
-is at most 2 eps nearer to its own pivot than to the cell's, so points within that margin
-are the cell's halo. Missing values break the inequality: a point that has some is in the
-halo of every cell. Cells are cut into blocks of bounded size, and every pair of blocks
-is a task: one pass counts neighbours, the next one joins core points to local clusters.
-Local clusters that share a core point are connected components of a small graph.
-
-Work grows with the pairs of points in neighbouring cells. Where eps is as large as the
-distances between points (vectors of many dimensions), that is all pairs, in blocks.
+Equal vectors are one point with a weight. The points of a partition are dealt to a few
+groups by hash, and every pair of groups is a task, so a point is sent to as many tasks as
+there are groups, however many points there are. A task cuts its groups into pieces around
+pivots; pieces are compared unless the triangle inequality tells that none of their points
+are within eps. Missing values break it: points that have some are pieces that meet all.
+One pass counts neighbours; the next one joins the core points of a group to clusters, the
+last one the clusters of two groups, and only the links of clusters leave a task. Linked
+clusters are connected components of a small graph.
+
+Work grows with the pairs of points in near pieces. Where eps is as large as the
+distances between points (vectors of many dimensions), that is all pairs, in pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.staging import staged
 from .cluster import distance_block
@@ -111,41 +113,151 @@ def _distances(asks: pd.DataFrame, held: pd.DataFrame, min_valid: int) -> np.nda
 TASK = ["part", "cell", "one", "two"]
 
 
-def neighbour_weights(placed: DataFrame, radii: Sequence[float], min_valid: int, block: int = BLOCK) -> DataFrame:
-    """(part, point, weights): for each radius the rows within it of a point, itself included."""
+#: A partition of more than a block of points is dealt to GROUPS groups, to more of them
+#: where a group would hold over HELD blocks; every pair of groups is a task.
+GROUPS, HELD = 8, 32
+
+
+@F.pandas_udf(T.BinaryType())
+def _bytes(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda v: np.asarray(v, np.float64).tobytes())
+
+
+def _matrix(values: pd.Series) -> np.ndarray:
+    """Vectors of ``_bytes``; shorter ones miss the values at their end."""
+    width = max(map(len, values)) // 8
+    blank = np.full(width, np.nan).tobytes()
+    return np.frombuffer(b"".join(v + blank[len(v) :] for v in values), np.float64).reshape(len(values), width)
+
+
+def grouped(found: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(part, id, point, weight, first, v, group, groups): points with a number of their
+    own and the group that they are dealt to."""
+    n = found.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    many = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(GROUPS)), F.ceil(F.col("n") / (HELD * block))).cast("int")
+    sized = found.join(n.select("part", many.alias("groups")), "part")
+    return sized.select("part", F.monotonically_increasing_id().alias("id"), "point", "weight", "first", _bytes("v").alias("v"), _hashed("point", F.col("groups"), 2).alias("group"), "groups")
+
+
+def _crossed(dealt: DataFrame, *columns: str, alike: bool) -> DataFrame:
+    """Every point once for each pair (low, high) of groups that its own is in; ``alike``
+    keeps the pairs of a group with itself."""
+    other = dealt.select("part", "id", "group", "v", *columns, F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"))
+    other = other if alike else other.where("group <> other")
+    return other.withColumns({"low": F.least("group", "other"), "high": F.greatest("group", "other")}).drop("other")
+
+
+def _pieces(x: np.ndarray, at: np.ndarray, block: int, pivots: int) -> list[tuple]:
+    """The points ``at`` as (places, centre, radius) of up to ``block`` near ones; points
+    with missing values have no centre."""
+    whole = np.isfinite(x[at]).all(axis=1)
+    cells = [(at[~whole], False)]
+    full = at[whole]
+    if len(full) > block:
+        k = min(pivots, -(-len(full) // block))
+        home = distance_block(x[full], x[full[:: len(full) // k][:k]], 0).argmin(axis=1)
+        cells += [(full[home == c], True) for c in range(k)]
+    else:
+        cells.append((full, True))
+    out = []
+    for cell, centred in cells:
+        for start in range(0, len(cell), block):
+            part = cell[start : start + block]
+            centre = x[part].mean(axis=0, keepdims=True) if centred else None
+            out.append((part, centre, distance_block(x[part], centre, 0).max() if centred else np.inf))
+    return out
+
+
+def _meeting(x: np.ndarray, one: list[tuple], two: list[tuple] | None, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of pieces that may hold points within ``reach``, by the triangle inequality;
+    without ``two`` the pairs of ``one``, a piece with itself included."""
+    for i, (a, centre, radius) in enumerate(one):
+        for b, other, size in one[i:] if two is None else two:
+            if centre is None or other is None or a is b or distance_block(centre, other, 0)[0, 0] <= radius + size + reach + 1e-6:
+                yield a, b
+
+
+def _pairs_of(pdf: pd.DataFrame, x: np.ndarray, reach: float, block: int, pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    group = pdf["group"].to_numpy()
+    sides = [_pieces(x, np.flatnonzero(group == g), block, pivots) for g in np.unique(group)]
+    return _meeting(x, sides[0], sides[1] if len(sides) == 2 else None, reach)
+
+
+def _between(x: np.ndarray, a: np.ndarray, b: np.ndarray, min_valid: int) -> np.ndarray:
+    d = distance_block(x[a], x[b], min_valid)
+    if a is b:
+        np.fill_diagonal(d, 0.0)  # missing values or not
+    return d
+
+
+def neighbour_weights(dealt: DataFrame, radii: Sequence[float], min_valid: int, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """(id, w0, w1, ...): for each radius the rows within it of a point, itself included."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, held = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if asks.empty or held.empty:
-            return pd.DataFrame({"part": [], "point": [], "radius": [], "weight": []})
-        d, w = _distances(asks, held, min_valid), held["weight"].to_numpy(np.float64)
-        each = [pd.DataFrame({"part": asks["part"].to_numpy(), "point": asks["point"].to_numpy(), "radius": k, "weight": (d <= r) @ w}) for k, r in enumerate(radii)]
-        return _plain(pd.concat(each))
-
-    got = _paired(placed, "weight", block=block).groupBy(*TASK).applyInPandas(run, "part string, point string, radius int, weight double")
-    sums = [F.sum(F.when(F.col("radius") == k, F.col("weight"))).cast("long").alias(f"w{k}") for k in range(len(radii))]
-    return got.groupBy("part", "point").agg(*sums)
-
-
-def _local(near: np.ndarray, core_a: np.ndarray, core_b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Clusters of the core points of a task: (cluster of each asking point, of each held
-    one), -1 for none; ``own`` is the place of an asking point among the held ones, -1
-    if it isn't there. Each row and column of ``near`` is read once."""
-    linked = near & core_a[:, None] & core_b[None, :]
-    mine, theirs, k = np.full(len(core_a), -1), np.full(len(core_b), -1), 0
-    here = np.flatnonzero(own >= 0)
-    linked[here, own[here]] |= core_a[here]
-    for start in np.flatnonzero(core_a):
-        if mine[start] >= 0:
+        x, w, group = _matrix(pdf["v"]), pdf["weight"].to_numpy(np.float64), pdf["group"].to_numpy()
+        sums = np.zeros((len(radii), len(pdf)))
+        if pdf["low"].iloc[0] == pdf["high"].iloc[0] or len(np.unique(group)) == 2:
+            for a, b in _pairs_of(pdf, x, max(radii), block, pivots):
+                d = _between(x, a, b, min_valid)
+                for k, r in enumerate(radii):
+                    near = (d <= r).astype(np.float64)
+                    sums[k, a] += near @ w[b]
+                    if a is not b:
+                        sums[k, b] += w[a] @ near
+        some = sums[-1] > 0
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[some], "w": pd.Series(list(sums.T[some]), dtype=object)})
+
+    got = _crossed(dealt, "weight", alike=True).groupBy("part", "low", "high").applyInPandas(run, "id long, w array<double>")
+    return got.groupBy("id").agg(*[F.sum(F.col("w")[k]).cast("long").alias(f"w{k}") for k in range(len(radii))])
+
+
+def _unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Puts the ends of the links (u, v) under one root, the least of theirs."""
+    while True:
+        u, v = root[u], root[v]
+        apart = u != v
+        if not apart.any():
+            return
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _join(pdf: pd.DataFrame, comp: np.ndarray, radii: Sequence[float], min_valid: int, block: int, pivots: int) -> tuple[list, list]:
+    """For each column of ``comp`` (the clusters of core points, -1 for others): the
+    clusters and those they are joined to, and the pairs (place of another point, cluster
+    that reaches it). Pieces whose core points are all one cluster aren't compared."""
+    x, n = _matrix(pdf["v"]), len(radii)
+    known, of, root, reached = [], [], [], [[np.zeros((2, 0), np.int64)] for _ in radii]
+    for g in range(n):
+        names, inverse = np.unique(comp[:, g], return_inverse=True)
+        known.append(names), of.append(inverse), root.append(np.arange(len(names)))
+    core = comp >= 0
+
+    def settled(g: int, a: np.ndarray, b: np.ndarray) -> bool:
+        if not core[a, g].all() or not core[b, g].all():
+            return False
+        now = root[g][of[g][a]]
+        return (now == now[0]).all() and (root[g][of[g][b]] == now[0]).all()
+
+    for a, b in _pairs_of(pdf, x, max(radii), block, pivots):
+        open_ = [g for g in range(n) if not settled(g, a, b) and (core[a, g].any() or core[b, g].any())]
+        if not open_:
             continue
-        now = np.array([start])
-        while len(now):
-            mine[now] = k
-            reached = np.flatnonzero(linked[now].any(axis=0) & (theirs < 0))
-            theirs[reached] = k
-            now = np.flatnonzero(linked[:, reached].any(axis=1) & (mine < 0))
-        k += 1
-    return mine, theirs
+        d = _between(x, a, b, min_valid)
+        for g in open_:
+            near, ca, cb = d <= radii[g], core[a, g], core[b, g]
+            i, j = np.nonzero(near & ca[:, None] & cb[None, :])
+            _unite(root[g], of[g][a[i]], of[g][b[j]])
+            if not ca.all():
+                i, j = np.nonzero(near & ~ca[:, None] & cb[None, :])
+                reached[g].append(np.stack([a[i], of[g][b[j]]]))
+            if a is not b and not cb.all():
+                i, j = np.nonzero(near & ca[:, None] & ~cb[None, :])
+                reached[g].append(np.stack([b[j], of[g][a[i]]]))
+    joined = [(known[g], known[g][root[g]], of[g]) for g in range(n)]
+    return joined, [np.unique(np.stack([at, joined[g][1][c]]), axis=1) for g in range(n) for at, c in [np.concatenate(reached[g], axis=1)]]
 
 
 def cluster_grid(df: DataFrame, partition: Sequence[str], row_id: str, vector: str, grid: Sequence[tuple[float, int]], min_valid: int = 5, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
@@ -154,53 +266,52 @@ def cluster_grid(df: DataFrame, partition: Sequence[str], row_id: str, vector: s
     a row that several clusters reach gets the one of least number. Row ids are unique in
     their partition. Rows with equal vectors count each, missing values are compared as
     ``nan_euclidean`` does, and an empty table gives no rows."""
-    radii = sorted({float(e) for e, _ in grid})
+    radii, reach = sorted({float(e) for e, _ in grid}), [float(e) for e, _ in grid]
     rows, found = points(df, partition, row_id, vector)
     rows = staged(rows, "rows")
-    placed = staged(cells(found, max(radii), block, pivots), "cells")
+    dealt = staged(grouped(found, block), "dealt")
     cores = [F.col(f"w{radii.index(float(e))}") >= int(m) for e, m in grid]
-    known = staged(neighbour_weights(placed, radii, min_valid, block).select("part", "point", F.array(*cores).alias("core")), "core")
-    flagged = placed.join(known, ["part", "point"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, held = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if asks.empty or held.empty:
-            return pd.DataFrame({c: [] for c in ("g", "part", "point", "node", "core")})
-        d = _distances(asks, held, min_valid)
-        core_a, core_b = np.stack(asks["core"].to_numpy()).astype(bool), np.stack(held["core"].to_numpy()).astype(bool)
-        place = {p: i for i, p in enumerate(held["point"])}
-        own = np.array([place.get(p, -1) for p in asks["point"]])
-        task = "|".join(str(asks[c].iloc[0]) for c in ("cell", "one", "two"))
+    known = neighbour_weights(dealt, radii, min_valid, block, pivots).select("id", F.array(*cores).alias("core"))
+    flagged = dealt.drop("point", "weight").join(known, "id")
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, core = pdf["id"].to_numpy(np.int64), np.stack(pdf["core"].to_numpy()).astype(bool)
+        joined, reached = _join(pdf, np.where(core, ids[:, None], -1), reach, min_valid, block, pivots)
+        comp = np.stack([now[of] for _, now, of in joined], axis=1)
+        at, g, by = (np.concatenate(k) for k in zip(*((at, np.full(len(at), g), by) for g, (at, by) in enumerate(reached)), strict=True))
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(1, len(pdf)))
+        return _plain(pdf[["part", "id", "first", "v", "group", "groups"]].assign(comp=list(comp), at=np.split(g[order], cuts), by=np.split(by[order], cuts)))
+
+    first = dealt.schema["first"].dataType.simpleString()
+    # clusters of each group of points, then of pairs of groups: only links of clusters go on
+    inside = staged(flagged.groupBy("part", "group").applyInPandas(within, f"part string, id long, first {first}, v binary, group int, groups int, comp array<long>, at array<int>, by array<long>"), "inside")
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for g, (eps, _) in enumerate(grid):
-            near = d <= eps
-            a, b = _local(near, core_a[:, g], core_b[:, g], own)
-            i, j = np.nonzero(near & (b >= 0)[None, :] & ~core_a[:, g][:, None])
-            reached = np.unique(np.stack([i, b[j]], axis=1), axis=0) if len(i) else np.zeros((0, 2), int)
-            for points_, nodes, is_core in ((asks["point"].to_numpy()[a >= 0], a[a >= 0], True), (held["point"].to_numpy()[b >= 0], b[b >= 0], True), (asks["point"].to_numpy()[reached[:, 0]], reached[:, 1], False)):
-                out.append(pd.DataFrame({"g": g, "part": asks["part"].iloc[0], "point": points_, "node": [f"{task}|{k}" for k in nodes], "core": is_core}))
-            # a held core point without a core neighbour here is reached from elsewhere
-            lone = near & (core_b[:, g] & (b < 0))[None, :] & ~core_a[:, g][:, None]
-            i, j = np.nonzero(lone)
-            out.append(pd.DataFrame({"g": g, "part": asks["part"].iloc[0], "point": asks["point"].to_numpy()[i], "node": ["=" + p for p in held["point"].to_numpy()[j]], "core": False}))
-        return _plain(pd.concat(out))
-
-    local = staged(_paired(flagged, "core", block=block).groupBy(*TASK).applyInPandas(run, "g int, part string, point string, node string, core boolean"), "local")
-    name = lambda node: F.concat_ws("|", "g", "part", node)
-    # a core point is in local clusters of several tasks: a node of its own links them
-    edges = local.where("core").select(name(F.concat(F.lit("="), F.col("point"))).alias("a"), name(F.col("node")).alias("b")).distinct()
-    roots = staged(components(edges), "roots")
-    cored = local.where("core").select("g", "part", "point").distinct().join(roots.select(F.col("node").alias("own"), "root"), name(F.concat(F.lit("="), F.col("point"))) == F.col("own"))
-    least = cored.join(found.select("part", "point", "first"), ["part", "point"]).groupBy("g", "part", "root").agg(F.min("first").alias("first"))
+        if pdf["group"].nunique() == 2:
+            ids = pdf["id"].to_numpy(np.int64)
+            joined, reached = _join(pdf, np.stack(pdf["comp"].to_numpy()).astype(np.int64), reach, min_valid, block, pivots)
+            for g, ((names, now, _), (at, by)) in enumerate(zip(joined, reached, strict=True)):
+                out += [pd.DataFrame({"g": g, "a": names[names != now], "b": now[names != now], "core": True}), pd.DataFrame({"g": g, "a": ids[at], "b": by, "core": False})]
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("g", "a", "b", "core")})
+
+    links = staged(_crossed(inside, "comp", alike=False).groupBy("part", "low", "high").applyInPandas(across, "g int, a long, b long, core boolean"), "links")
+    node = lambda c: (F.col(c) * len(grid) + F.col("g")).alias(c)
+    roots = staged(components(links.where("core").select(node("a"), node("b"))), "roots")
+    cored = inside.select("part", "id", "first", F.posexplode("comp").alias("g", "comp")).where("comp >= 0").select("part", "id", "first", "g", node("comp"))
+    least = cored.groupBy("g", "part", "comp").agg(F.min("first").alias("first")).join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("root", F.coalesce("root", "comp"))
+    least = staged(least.select("g", "part", "comp", "root", "first"), "clusters")
     number = (F.row_number().over(Window.partitionBy("g", "part").orderBy("first")) - 1).alias("cluster")  # clusters, not rows
-    numbered = staged(least.select("g", "part", "root", number), "numbers")
-    inside = cored.join(numbered.drop("g", "part"), "root").select("g", "part", "point", "cluster")
-    border = local.where("not core").select("g", "part", "point", name(F.col("node")).alias("node")).distinct().join(roots, "node").join(numbered.drop("g", "part"), "root")
-    labels = inside.unionByName(border.groupBy("g", "part", "point").agg(F.min("cluster").alias("cluster")))
-    every = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.lit(float(e)).alias("eps"), F.lit(int(m)).alias("min_samples")) for g, (e, m) in enumerate(grid)))).alias("x")
-    asked = rows.select("*", every).select(*partition, row_id, "part", "point", "x.*")
-    out = asked.join(labels, ["g", "part", "point"], "left")
-    return out.select("eps", "min_samples", *partition, row_id, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+    numbered = least.groupBy("g", "part", "root").agg(F.min("first").alias("first")).select("root", number)
+    numbers = staged(least.join(numbered, "root").select("comp", "cluster"), "numbers")
+    near = inside.select("id", F.inline(F.arrays_zip(F.col("at").alias("g"), F.col("by").alias("comp")))).select("id", "g", node("comp"))
+    border = near.unionByName(links.where("not core").select(F.col("a").alias("id"), "g", F.col("b").alias("comp")).select("id", "g", node("comp")))
+    labels = cored.select("id", "g", "comp").unionByName(border).join(numbers, "comp").groupBy("id").agg(*[F.min(F.when(F.col("g") == g, F.col("cluster"))).alias(f"c{g}") for g in range(len(grid))])
+    named = dealt.select("part", "point", "id").join(labels, "id").drop("id")
+    every = F.explode(F.array(*(F.struct(F.lit(float(e)).alias("eps"), F.lit(int(m)).alias("min_samples"), F.coalesce(f"c{g}", F.lit(-1)).cast("int").alias("cluster")) for g, (e, m) in enumerate(grid)))).alias("x")
+    out = rows.join(named, ["part", "point"], "left").select(*partition, row_id, every)
+    return out.select("x.eps", "x.min_samples", *partition, row_id, "x.cluster")
 
 
 def cluster(df: DataFrame, partition: Sequence[str], row_id: str, vector: str, eps: float, min_samples: int, **how) -> DataFrame:

@@ -105,3 +105,13 @@ def test_components(spark, kind):
     found = graph.components(df).collect()
     assert {r["node"]: r["root"] for r in found} == brute_components(edges) and len(found) == len(brute_components(edges))
     assert graph.components(df.where("false")).count() == 0
+
+
+def test_a_point_goes_to_few_tasks(spark):
+    """Points are sent once for each group of their partition, and groups stay few."""
+    rng = np.random.default_rng(3)
+    _, found = density.points(frame(spark, {"a": rng.normal(0, 1, (400, 6))}), ["label"], "i", "v")
+    dealt = density.grouped(found, 10)
+    assert {r["groups"] for r in dealt.collect()} == {density.GROUPS}
+    assert density._crossed(dealt, alike=True).count() == 400 * density.GROUPS
+    assert {r["groups"] for r in density.grouped(found, 400).collect()} == {1}
