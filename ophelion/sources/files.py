@@ -65,13 +65,6 @@ def _cell(row: list[str], k: int) -> str:
     return row[k].strip() if k < len(row) else ""
 
 
-def _number(text: str) -> float | None:
-    try:
-        return float(text)
-    except ValueError:
-        return None
-
-
 def device_tests(rows: list[list[str]]) -> list[tuple[int, int, dict[str, str]]]:
     """(test number, column, fields): one test for each filled cell of the first line
     from the third column on."""
@@ -95,14 +88,16 @@ def samples_below(rows: Iterable[list[str]], columns: list[tuple[int, int]]) ->
     and the value in the next."""
     kind = about = None
     for row in rows:
-        lead = _cell(row, 0)
-        if "waveform" in lead.lower():
+        lead = row[0].strip() if row else ""
+        if lead and "waveform" in lead.lower():
             kind, about = lead, _cell(row, 1)
         elif kind is not None:
             for n, k in columns:
-                time, value = _number(_cell(row, k)), _number(_cell(row, k + 1))
-                if time is not None and value is not None:
-                    yield n, kind, about, time, value
+                try:
+                    time, value = float(row[k]), float(row[k + 1])
+                except (ValueError, IndexError):
+                    continue
+                yield n, kind, about, time, value
 
 
 #: Parsed rows that a task hands on at a time.

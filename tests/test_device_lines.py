@@ -36,3 +36,21 @@ def test_lines_equal_whole_files(spark, tmp_path, lines):
     assert got == want and len(got) > 1_000
     assert [r["line"] for r in numbered] == list(range(len(numbered)))
     assert [bytes(r["raw"]).decode() for r in numbered] == content("a", 300, "µV").splitlines()
+
+
+@pytest.mark.parametrize("lines", [7, 20_000])
+def test_packed_lines(spark, tmp_path, lines):
+    """Packed files give what whole files give; many are few containers."""
+    for k in range(40):
+        (tmp_path / f"f{k}.csv").write_bytes(content(f"p{k}", k, "µV").encode(("utf-8", "windows-1252")[k % 2]))
+    whole = files.binary_files(spark, str(tmp_path))
+    want = sorted(map(repr, files.device_waveforms(whole).collect()))
+    device_lines.pack_lines(device_lines.numbered_lines(spark, str(tmp_path)).coalesce(2), str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) <= 2
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")  # batches end inside chunks
+    try:
+        got = sorted(map(repr, device_lines.waveforms(device_lines.packed_lines(spark, str(tmp_path / "packed")), lines).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want and len(got) > 500
