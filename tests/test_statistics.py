@@ -143,3 +143,12 @@ def test_scores_of_repeated_and_nameless_answers(spark):
     assert key(typed) == key([(1, 1, 2.0), (1, 2, 0.0), (1, 2, 0.0), (2, 1, 2.0), (2, 2, 0.0), (None, 1, 0.0)])
     both = scores.score_by_type(answers.where("submission_id = 1"), options, kinds.withColumn("question_type", F.lit("multiple"))).collect()
     assert key(both) == key([(1, 1, 5.0)] * 2 + [(1, 2, 0.0)] * 2)
+
+
+def test_feature_importance_computes_text_features_once(spark, monkeypatch):
+    from ophelion.plans import catalogue
+
+    names, keep = [], catalogue.staged
+    monkeypatch.setattr(catalogue, "staged", lambda df, name: names.append(name) or keep(df, name))
+    got = {r["feature"]: r["importance"] for r in catalogue.QUERIES["feature_importance"](spark, "/root/testdata/sf0.001").collect()}
+    assert names == ["features"] and set(got) == {"words", "sentences", "syllables", "letters"}
