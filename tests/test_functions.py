@@ -237,3 +237,12 @@ def test_metrics(spark):
     assert classify.average_precision(df, "t", "s").first()["average_precision"] == pytest.approx(ap)
     split = classify.stratified_split(df.withColumn("k", F.monotonically_increasing_id()), "t", "k")
     assert split.where("is_test").count() == round(0.2 * len(pos)) + round(0.2 * len(neg))
+
+
+def test_name_forms_are_made_in_many_tasks(spark):
+    """A table in one file is dealt out before its forms are made."""
+    from ophelion.plans import catalogue
+
+    for name in ("name_variations", "name_signatures"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan
