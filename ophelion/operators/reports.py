@@ -123,12 +123,10 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
 
 def long_export(submissions: DataFrame, answers: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
     """One row per answer with the texts of its options in the order selected."""
-    chosen = answers.select("submission_id", "question_id", F.posexplode("selected_options").alias("place", "option_id"))
-    texts = chosen.join(options.select("question_id", "option_id", F.col("text").alias("option_text")), ["question_id", "option_id"])
-    listed = texts.groupBy("submission_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("place", "option_text"))).alias("l"))
-    given = answers.select("submission_id", "question_id", "text_response", "score")
-    out = given.join(listed, ["submission_id", "question_id"], "left").join(questions.select("question_id", "caption"), "question_id").join(submissions.select("submission_id", "submitted_at", "total_score"), "submission_id")
-    names = F.transform("l", lambda x: x["option_text"])
+    texts = options.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("option_id", F.col("text").alias("option_text")))).alias("offered"))  # options of one question
+    given = answers.select("submission_id", "question_id", "text_response", "score", "selected_options").join(texts, "question_id", "left")
+    out = given.join(questions.select("question_id", "caption"), "question_id").join(submissions.select("submission_id", "submitted_at", "total_score"), "submission_id")
+    names = F.flatten(F.transform("selected_options", lambda o: F.transform(F.filter("offered", lambda x: x["option_id"] == o), lambda x: x["option_text"])))
     return out.select("submission_id", "submitted_at", "total_score", "question_id", "caption", F.coalesce(F.array_join(names, "; "), F.lit("")).alias("options"), "text_response", "score")
 
 

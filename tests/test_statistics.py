@@ -152,3 +152,17 @@ def test_feature_importance_computes_text_features_once(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "staged", lambda df, name: names.append(name) or keep(df, name))
     got = {r["feature"]: r["importance"] for r in catalogue.QUERIES["feature_importance"](spark, "/root/testdata/sf0.001").collect()}
     assert names == ["features"] and set(got) == {"words", "sentences", "syllables", "letters"}
+
+
+def test_long_export_gathers_no_answers(spark):
+    """Texts in the order selected; answers aren't exploded and gathered again."""
+    from ophelion.operators import reports
+
+    subs = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "submission_id long, submitted_at string, total_score double")
+    qs = spark.createDataFrame([(1, "Q1"), (2, "Q2")], "question_id long, caption string")
+    opts = spark.createDataFrame([(1, 10, "x"), (1, 11, "y"), (1, 12, None)], "question_id long, option_id long, text string")
+    ans = spark.createDataFrame([(1, 1, [11, 10, 12, 99], "t", 1.0), (1, 2, [10], None, None), (2, 1, None, None, 0.0), (2, 2, [], "u", 0.0)], "submission_id long, question_id long, selected_options array<long>, text_response string, score double")
+    found = reports.long_export(subs, ans, qs, opts)
+    assert {(r["submission_id"], r["question_id"]): r["options"] for r in found.collect()} == {(1, 1): "y; x", (1, 2): "", (2, 1): "", (2, 2): ""}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "Aggregate [submission_id" not in plan
