@@ -115,3 +115,16 @@ def test_a_point_goes_to_few_tasks(spark):
     assert {r["groups"] for r in dealt.collect()} == {density.GROUPS}
     assert density._crossed(dealt, alike=True).count() == 400 * density.GROUPS
     assert {r["groups"] for r in density.grouped(found, 400).collect()} == {1}
+
+
+def test_pieces_of_one_cluster_are_not_compared(monkeypatch):
+    """Core points that are one cluster already need no distances."""
+    import pandas as pd
+
+    x = np.random.default_rng(4).normal(0, 0.01, (200, 6))
+    pdf = pd.DataFrame({"v": [v.tobytes() for v in x], "group": 0})
+    compared, keep = [], density._between
+    monkeypatch.setattr(density, "_between", lambda x, a, b, m: compared.append(len(a) * len(b)) or keep(x, a, b, m))
+    (joined,), (reached,) = density._join(pdf, np.arange(200)[:, None], [1.0], 5, 20, 4)
+    assert set(joined[1]) == {0} and reached.shape == (2, 0)
+    assert sum(compared) < 200 * 200 / 4
