@@ -1,16 +1,21 @@
 """Density clustering and nearest distances of partitions of any size.
 
 Equal vectors are one point with a weight. The points of a partition are dealt to a few
-groups by hash, and every pair of groups is a task, so a point is sent to as many tasks as
-there are groups, however many points there are. A task cuts its groups into pieces around
-pivots; pieces are compared unless the triangle inequality tells that none of their points
-are within eps. Missing values break it: points that have some are pieces that meet all.
-One pass counts neighbours; the next one joins the core points of a group to clusters, the
-last one the clusters of two groups, and only the links of clusters leave a task. Linked
-clusters are connected components of a small graph.
-
-Work grows with the pairs of points in near pieces. Where eps is as large as the
-distances between points (vectors of many dimensions), that is all pairs, in pieces.
+groups by hash. A task cuts its groups into pieces around pivots; pieces are compared
+unless the triangle inequality tells that none of their points are within eps. Missing
+values break it: points that have some are pieces that meet all.
+
+Neighbours are counted in each group, for a point only until there are enough. Only points
+that have too few, the open ones, meet other groups. Then the core points of a group are
+joined to clusters, together with a few of the partition, its hubs, which are one cluster
+and go to every group: what they reach is one cluster through all groups. Again only the
+other points are open and meet other groups, and only links of clusters leave a task.
+Linked clusters are connected components of a small graph.
+
+No pair of points is left out unless it can't change a result, so where most points are
+open (noise, or clusters as small as a group's share of them) the work grows with all
+pairs in near pieces. Where points have enough neighbours in their own group and are one
+cluster, it grows as the points.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.staging import staged
+from ..sources.staging import drop, staged
 from .cluster import distance_block
 from .graph import components
 
@@ -114,8 +119,8 @@ TASK = ["part", "cell", "one", "two"]
 
 
 #: A partition of more than a block of points is dealt to GROUPS groups, to more of them
-#: where a group would hold over HELD blocks; every pair of groups is a task.
-GROUPS, HELD = 8, 32
+#: where a group would hold over HELD blocks, and has up to HUBS hubs.
+GROUPS, HELD, HUBS = 8, 32, 256
 
 
 @F.pandas_udf(T.BinaryType())
@@ -147,6 +152,19 @@ def _crossed(dealt: DataFrame, *columns: str, alike: bool) -> DataFrame:
     return other.withColumns({"low": F.least("group", "other"), "high": F.greatest("group", "other")}).drop("other")
 
 
+def _across(marked: DataFrame, *columns: str, block: int = BLOCK) -> DataFrame:
+    """Rows of tasks (part, low, high) that hold every pair of points of different groups
+    of which one is ``open``: the open points of two groups, or a slice of the open ones
+    (as group -1) with the other points of a group."""
+    opened = marked.where("open and groups > 1")
+    slices = opened.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / (HELD * block)).cast("int").alias("slices"))
+    asks = opened.join(slices, "part").withColumn("low", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).where("low <> group")
+    asks = asks.withColumns({"group": F.lit(-1), "high": -1 - _hashed("id", F.col("slices"), 5)})
+    held = marked.where("not open").join(slices, "part").withColumns({"low": F.col("group"), "high": F.explode(F.sequence(-F.col("slices"), F.lit(-1)))})
+    kept = ["part", "id", "group", "v", *columns, "low", "high"]
+    return _crossed(opened, *columns, alike=False).select(kept).unionByName(asks.select(kept)).unionByName(held.select(kept))
+
+
 def _pieces(x: np.ndarray, at: np.ndarray, block: int, pivots: int) -> list[tuple]:
     """The points ``at`` as (places, centre, radius) of up to ``block`` near ones; points
     with missing values have no centre."""
@@ -190,25 +208,41 @@ def _between(x: np.ndarray, a: np.ndarray, b: np.ndarray, min_valid: int) -> np.
     return d
 
 
-def neighbour_weights(dealt: DataFrame, radii: Sequence[float], min_valid: int, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """(id, w0, w1, ...): for each radius the rows within it of a point, itself included."""
+def _facing(a: np.ndarray, b: np.ndarray, open_: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Blocks that hold every pair of two pieces of which one point is open once."""
+    mine, rest = a[open_[a]], a[~open_[a]]
+    blocks = [(mine, mine), (rest, mine)] if a is b else [(mine, b), (rest, b[open_[b]])]
+    return [(p, q) for p, q in blocks if len(p) and len(q)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w, group = _matrix(pdf["v"]), pdf["weight"].to_numpy(np.float64), pdf["group"].to_numpy()
-        sums = np.zeros((len(radii), len(pdf)))
-        if pdf["low"].iloc[0] == pdf["high"].iloc[0] or len(np.unique(group)) == 2:
-            for a, b in _pairs_of(pdf, x, max(radii), block, pivots):
-                d = _between(x, a, b, min_valid)
-                for k, r in enumerate(radii):
-                    near = (d <= r).astype(np.float64)
-                    sums[k, a] += near @ w[b]
-                    if a is not b:
-                        sums[k, b] += w[a] @ near
-        some = sums[-1] > 0
-        return pd.DataFrame({"id": pdf["id"].to_numpy()[some], "w": pd.Series(list(sums.T[some]), dtype=object)})
-
-    got = _crossed(dealt, "weight", alike=True).groupBy("part", "low", "high").applyInPandas(run, "id long, w array<double>")
-    return got.groupBy("id").agg(*[F.sum(F.col("w")[k]).cast("long").alias(f"w{k}") for k in range(len(radii))])
+
+def _counted(pdf: pd.DataFrame, x: np.ndarray, open_: np.ndarray, radii: Sequence[float], needs: Sequence[int], min_valid: int, block: int, pivots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the rows within each radius of each point, itself included; the points that are
+    still open). A point is open until it has the rows that are needed at each radius;
+    what is counted of open points is whole."""
+    w, least, open_ = pdf["weight"].to_numpy(np.float64), np.asarray(needs)[:, None], open_.copy()
+    sums = np.zeros((len(radii), len(pdf)))
+    for a, b in _pairs_of(pdf, x, max(radii), block, pivots):
+        for p, q in _facing(a, b, open_):
+            d = _between(x, p, q, min_valid)
+            for k, r in enumerate(radii):
+                near = (d <= r).astype(np.float64)
+                sums[k, p] += near @ w[q]
+                if p is not q:
+                    sums[k, q] += w[p] @ near
+            for some in (p, q):
+                open_[some] &= (sums[:, some] < least).any(axis=0)
+    return sums, open_
+
+
+def _hubs(x: np.ndarray, settled: np.ndarray, reach: float, min_valid: int) -> np.ndarray:
+    """Up to HUBS of the settled points that are linked with each other."""
+    at = np.flatnonzero(settled)
+    at = at[:: max(1, len(at) // HUBS)][:HUBS]
+    if not len(at):
+        return at
+    root = np.arange(len(at))
+    _unite(root, *np.nonzero(_between(x, at, at, min_valid) <= reach))
+    return at[root == np.bincount(root).argmax()]
 
 
 def _unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -227,35 +261,34 @@ def _unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 def _join(pdf: pd.DataFrame, comp: np.ndarray, radii: Sequence[float], min_valid: int, block: int, pivots: int) -> tuple[list, list]:
     """For each column of ``comp`` (the clusters of core points, -1 for others): the
     clusters and those they are joined to, and the pairs (place of another point, cluster
-    that reaches it). Pieces whose core points are all one cluster aren't compared."""
+    that reaches it). Core points of the cluster that two pieces have most points of
+    aren't compared with each other."""
     x, n = _matrix(pdf["v"]), len(radii)
     known, of, root, reached = [], [], [], [[np.zeros((2, 0), np.int64)] for _ in radii]
     for g in range(n):
         names, inverse = np.unique(comp[:, g], return_inverse=True)
         known.append(names), of.append(inverse), root.append(np.arange(len(names)))
-    core = comp >= 0
-
-    def settled(g: int, a: np.ndarray, b: np.ndarray) -> bool:
-        if not core[a, g].all() or not core[b, g].all():
-            return False
-        now = root[g][of[g][a]]
-        return (now == now[0]).all() and (root[g][of[g][b]] == now[0]).all()
-
+    core, open_ = comp >= 0, np.zeros(len(pdf), bool)
     for a, b in _pairs_of(pdf, x, max(radii), block, pivots):
-        open_ = [g for g in range(n) if not settled(g, a, b) and (core[a, g].any() or core[b, g].any())]
-        if not open_:
-            continue
-        d = _between(x, a, b, min_valid)
-        for g in open_:
-            near, ca, cb = d <= radii[g], core[a, g], core[b, g]
-            i, j = np.nonzero(near & ca[:, None] & cb[None, :])
-            _unite(root[g], of[g][a[i]], of[g][b[j]])
-            if not ca.all():
-                i, j = np.nonzero(near & ~ca[:, None] & cb[None, :])
-                reached[g].append(np.stack([a[i], of[g][b[j]]]))
-            if a is not b and not cb.all():
-                i, j = np.nonzero(near & ca[:, None] & ~cb[None, :])
-                reached[g].append(np.stack([b[j], of[g][a[i]]]))
+        both = a if a is b else np.concatenate([a, b])
+        open_[both] = False
+        for g in range(n):
+            now = np.where(core[both, g], root[g][of[g][both]], -1)
+            if (now >= 0).any():
+                open_[both] |= now != np.bincount(now[now >= 0]).argmax()
+        for p, q in _facing(a, b, open_):
+            some = [g for g in range(n) if core[p, g].any() or core[q, g].any()]
+            d = _between(x, p, q, min_valid) if some else None
+            for g in some:
+                near, cp, cq = d <= radii[g], core[p, g], core[q, g]
+                i, j = np.nonzero(near & cp[:, None] & cq[None, :])
+                _unite(root[g], of[g][p[i]], of[g][q[j]])
+                if not cp.all():
+                    i, j = np.nonzero(near & ~cp[:, None] & cq[None, :])
+                    reached[g].append(np.stack([p[i], of[g][q[j]]]))
+                if p is not q and not cq.all():
+                    i, j = np.nonzero(near & cp[:, None] & ~cq[None, :])
+                    reached[g].append(np.stack([q[j], of[g][p[i]]]))
     joined = [(known[g], known[g][root[g]], of[g]) for g in range(n)]
     return joined, [np.unique(np.stack([at, joined[g][1][c]]), axis=1) for g in range(n) for at, c in [np.concatenate(reached[g], axis=1)]]
 
@@ -267,25 +300,54 @@ def cluster_grid(df: DataFrame, partition: Sequence[str], row_id: str, vector: s
     their partition. Rows with equal vectors count each, missing values are compared as
     ``nan_euclidean`` does, and an empty table gives no rows."""
     radii, reach = sorted({float(e) for e, _ in grid}), [float(e) for e, _ in grid]
+    needs = [max(int(m) for e, m in grid if float(e) == r) for r in radii]
     rows, found = points(df, partition, row_id, vector)
     rows = staged(rows, "rows")
     dealt = staged(grouped(found, block), "dealt")
-    cores = [F.col(f"w{radii.index(float(e))}") >= int(m) for e, m in grid]
-    known = neighbour_weights(dealt, radii, min_valid, block, pivots).select("id", F.array(*cores).alias("core"))
-    flagged = dealt.drop("point", "weight").join(known, "id")
+    first = dealt.schema["first"].dataType.simpleString()
+    kept = f"part string, id long, point string, first {first}, v binary, group int, groups int, "
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, hub = _matrix(pdf["v"]), np.full(len(pdf), -1)
+        sums, open_ = _counted(pdf, x, np.ones(len(pdf), bool), radii, needs, min_valid, block, pivots)
+        if pdf["group"].iloc[0] == 0 and pdf["groups"].iloc[0] > 1:
+            hubs = _hubs(x, ~open_, radii[0], min_valid)
+            hub[hubs] = pdf["id"].to_numpy()[hubs].min(initial=np.iinfo(np.int64).max)
+        return _plain(pdf.assign(w=list(sums.T), open=open_, hub=hub))
+
+    def count_more(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, open_ = pdf["id"].to_numpy(), pdf["open"].to_numpy(bool)
+        if pdf["group"].nunique() < 2:
+            return pd.DataFrame({"id": [], "w": []}, dtype=object)
+        sums, _ = _counted(pdf, _matrix(pdf["v"]), open_, radii, needs, min_valid, block, pivots)
+        return pd.DataFrame({"id": ids[open_], "w": pd.Series(list(sums.T[open_]), dtype=object)})
+
+    counted = staged(dealt.groupBy("part", "group").applyInPandas(count, kept + "weight long, w array<double>, open boolean, hub long"), "counted")
+    drop(dealt)
+    more = _across(counted, "weight", "open", block=block).groupBy("part", "low", "high").applyInPandas(count_more, "id long, w array<double>")
+    total = counted.where("open").select("id", "w").unionByName(more).groupBy("id").agg(*[F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(len(radii))])
+    cores = staged(total.select("id", F.array(*(F.col(f"w{radii.index(float(e))}") >= int(m) for e, m in grid)).alias("core")), "cores")
+    flagged = counted.drop("weight", "w", "open").join(cores, "id", "left").withColumns({"core": F.coalesce("core", F.array(*(F.lit(True) for _ in grid))), "copy": F.lit(False)})
+    copies = flagged.where("hub >= 0").withColumns({"group": F.explode(F.sequence(F.lit(1), F.col("groups") - 1)), "copy": F.lit(True)})
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, core = pdf["id"].to_numpy(np.int64), np.stack(pdf["core"].to_numpy()).astype(bool)
-        joined, reached = _join(pdf, np.where(core, ids[:, None], -1), reach, min_valid, block, pivots)
+        ids, core, hub = pdf["id"].to_numpy(np.int64), np.stack(pdf["core"].to_numpy()).astype(bool), pdf["hub"].to_numpy(np.int64)
+        joined, reached = _join(pdf, np.where(core, np.where(hub < 0, ids, hub)[:, None], -1), reach, min_valid, block, pivots)
         comp = np.stack([now[of] for _, now, of in joined], axis=1)
         at, g, by = (np.concatenate(k) for k in zip(*((at, np.full(len(at), g), by) for g, (at, by) in enumerate(reached)), strict=True))
+        top, open_ = hub.argmax(), np.ones(len(pdf), bool)
+        if hub[top] >= 0:  # the cluster of the hubs has one name in all groups
+            by = np.where(by == comp[top][g], hub[top], by)
+            comp = np.where(comp == comp[top], hub[top], comp)
+            open_ = (comp != hub[top]).any(axis=1)
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(1, len(pdf)))
-        return _plain(pdf[["part", "id", "first", "v", "group", "groups"]].assign(comp=list(comp), at=np.split(g[order], cuts), by=np.split(by[order], cuts)))
+        out = pdf.drop(columns=["core", "hub"]).assign(comp=list(comp), at=np.split(g[order], cuts), by=np.split(by[order], cuts), open=open_)
+        return _plain(out[~out.pop("copy").to_numpy(bool)])
 
-    first = dealt.schema["first"].dataType.simpleString()
-    # clusters of each group of points, then of pairs of groups: only links of clusters go on
-    inside = staged(flagged.groupBy("part", "group").applyInPandas(within, f"part string, id long, first {first}, v binary, group int, groups int, comp array<long>, at array<int>, by array<long>"), "inside")
+    # clusters of each group of points and the hubs, then of pairs of groups
+    inside = staged(flagged.unionByName(copies).groupBy("part", "group").applyInPandas(within, kept + "comp array<long>, at array<int>, by array<long>, open boolean"), "inside")
+    drop(counted)
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -296,7 +358,7 @@ def cluster_grid(df: DataFrame, partition: Sequence[str], row_id: str, vector: s
                 out += [pd.DataFrame({"g": g, "a": names[names != now], "b": now[names != now], "core": True}), pd.DataFrame({"g": g, "a": ids[at], "b": by, "core": False})]
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("g", "a", "b", "core")})
 
-    links = staged(_crossed(inside, "comp", alike=False).groupBy("part", "low", "high").applyInPandas(across, "g int, a long, b long, core boolean"), "links")
+    links = staged(_across(inside, "comp", block=block).groupBy("part", "low", "high").applyInPandas(across, "g int, a long, b long, core boolean"), "links")
     node = lambda c: (F.col(c) * len(grid) + F.col("g")).alias(c)
     roots = staged(components(links.where("core").select(node("a"), node("b"))), "roots")
     cored = inside.select("part", "id", "first", F.posexplode("comp").alias("g", "comp")).where("comp >= 0").select("part", "id", "first", "g", node("comp"))
@@ -308,7 +370,7 @@ def cluster_grid(df: DataFrame, partition: Sequence[str], row_id: str, vector: s
     near = inside.select("id", F.inline(F.arrays_zip(F.col("at").alias("g"), F.col("by").alias("comp")))).select("id", "g", node("comp"))
     border = near.unionByName(links.where("not core").select(F.col("a").alias("id"), "g", F.col("b").alias("comp")).select("id", "g", node("comp")))
     labels = cored.select("id", "g", "comp").unionByName(border).join(numbers, "comp").groupBy("id").agg(*[F.min(F.when(F.col("g") == g, F.col("cluster"))).alias(f"c{g}") for g in range(len(grid))])
-    named = dealt.select("part", "point", "id").join(labels, "id").drop("id")
+    named = inside.select("part", "point", "id").join(labels, "id").drop("id")
     every = F.explode(F.array(*(F.struct(F.lit(float(e)).alias("eps"), F.lit(int(m)).alias("min_samples"), F.coalesce(f"c{g}", F.lit(-1)).cast("int").alias("cluster")) for g, (e, m) in enumerate(grid)))).alias("x")
     out = rows.join(named, ["part", "point"], "left").select(*partition, row_id, every)
     return out.select("x.eps", "x.min_samples", *partition, row_id, "x.cluster")

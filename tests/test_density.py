@@ -128,3 +128,73 @@ def test_pieces_of_one_cluster_are_not_compared(monkeypatch):
     (joined,), (reached,) = density._join(pdf, np.arange(200)[:, None], [1.0], 5, 20, 4)
     assert set(joined[1]) == {0} and reached.shape == (2, 0)
     assert sum(compared) < 200 * 200 / 4
+
+
+def test_enough_neighbours_end_a_count(monkeypatch):
+    """Ten times the points of a cloud take far less than a hundred times the distances,
+    and what is counted of points with too few neighbours is whole."""
+    import pandas as pd
+
+    keep, took = density._between, {}
+    for n in (400, 4000):
+        rng = np.random.default_rng(n)
+        x = np.concatenate([rng.normal(0, 1, (n, 6)), rng.normal(0, 9, (20, 6))])
+        x[3, 2] = np.nan
+        pdf = pd.DataFrame({"v": [v.tobytes() for v in x], "group": 0, "weight": rng.integers(1, 3, len(x))})
+        took[n] = 0
+
+        def between(x, a, b, m, n=n):
+            took[n] += len(a) * len(b)
+            return keep(x, a, b, m)
+
+        monkeypatch.setattr(density, "_between", between)
+        sums, open_ = density._counted(pdf, x, np.ones(len(x), bool), [1.5, 2.0], [6, 4], 5, 100, 256)
+        d = cluster.distance_block(x, x)
+        np.fill_diagonal(d, 0.0)
+        want = np.stack([(d <= r) @ pdf["weight"].to_numpy() for r in (1.5, 2.0)])
+        assert (open_ == ((want[0] < 6) | (want[1] < 4))).all() and 0 < open_.sum() < 100
+        assert (sums[:, open_] == want[:, open_]).all()
+        assert took[400] < 420 * 420
+    assert took[4000] < 20 * took[400] and took[4000] < 4020 * 4020 / 30
+
+
+def test_settled_points_are_not_sent_to_each_other(spark):
+    """Only open points meet other groups; every pair of groups with an open end meets once."""
+    _, found = density.points(frame(spark, {"a": np.random.default_rng(5).normal(0, 1, (400, 6)), "b": np.ones((3, 6))}), ["label"], "i", "v")
+    dealt = density.grouped(found, 10).withColumn("open", density.F.col("first") < 7).localCheckpoint()
+    rows = {r["id"]: (r["group"], r["open"], r["part"]) for r in dealt.collect()}
+    sent = density._across(dealt, "open", block=10).collect()
+    assert len(sent) < 400 + 7 * 3 * density.GROUPS
+    tasks, met = {}, []
+    for r in sent:
+        tasks.setdefault((r["part"], r["low"], r["high"]), []).append((r["group"], r["id"]))
+    for members in tasks.values():
+        met += [frozenset((i, j)) for g, i in members for h, j in members if g < h]
+    want = [frozenset((i, j)) for i in rows for j in rows if i < j and rows[i][2] == rows[j][2] and rows[i][0] != rows[j][0] and (rows[i][1] or rows[j][1])]
+    assert len(met) == len(set(met)) and set(met) == set(want)
+
+
+def test_hubs_join_the_clusters_of_all_groups(spark):
+    """Clouds of one cluster, of several with thin bridges, with copies, far points and
+    points at the edge, each in several groups."""
+    clouds = {}
+    for k in range(10):
+        rng = np.random.default_rng(k)
+        parts = [rng.normal(0, 0.3, (150, 6)), rng.normal(0, 0.3, (20 + 12 * k, 6)) + 2, rng.uniform(-2, 4, (30, 6))]
+        if k % 2:
+            parts.append(np.linspace(0, 2, 25)[:, None] + rng.normal(0, 0.1, (25, 6)))
+        if k % 3 == 0:
+            parts.append(np.repeat(rng.normal(1, 1, (4, 6)), 9, axis=0))
+        x = np.concatenate(parts)
+        clouds[f"c{k}"] = x[rng.permutation(len(x))]
+    grid = [(0.3, 4), (0.36, 9), (0.42, 4)]
+    found = density.cluster_grid(frame(spark, clouds), ["label"], "i", "v", grid, block=40).collect()
+    got = {(r["eps"], r["min_samples"], r["label"], r["i"]): r["cluster"] for r in found}
+    assert len(got) == len(found) == len(grid) * sum(map(len, clouds.values()))
+    for eps, least in grid:
+        for label, x in clouds.items():
+            assert [got[eps, least, label, i] for i in range(len(x))] == cluster.dbscan(x, eps, least).tolist(), (eps, least, label)
+    x = clouds["c1"]
+    hubs = density._hubs(x, np.ones(len(x), bool), 0.3, 5)
+    assert 100 < len(hubs) <= density.HUBS
+    assert len(density._hubs(x, np.zeros(len(x), bool), 0.3, 5)) == 0
