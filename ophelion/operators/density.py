@@ -135,12 +135,14 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(v + blank[len(v) :] for v in values), np.float64).reshape(len(values), width)
 
 
-def grouped(found: DataFrame, block: int = BLOCK) -> DataFrame:
+def grouped(found: DataFrame, block: int = BLOCK, keys: DataFrame | None = None) -> DataFrame:
     """(part, id, point, weight, first, v, group, groups): points with a number of their
-    own and the group that they are dealt to."""
-    n = found.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    own and the group that they are dealt to. ``keys``, the points' (part, point), spares
+    a pass over ``found``."""
+    n = (found if keys is None else keys).groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     many = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(GROUPS)), F.ceil(F.col("n") / (HELD * block))).cast("int")
-    sized = found.join(n.select("part", many.alias("groups")), "part")
+    # a row for a block of points at most, so points don't move to meet it
+    sized = found.join(F.broadcast(n.select("part", many.alias("groups"))), "part", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
     return sized.select("part", F.monotonically_increasing_id().alias("id"), "point", "weight", "first", _bytes("v").alias("v"), _hashed("point", F.col("groups"), 2).alias("group"), "groups")
 
 
@@ -157,7 +159,7 @@ def _across(marked: DataFrame, *columns: str, block: int = BLOCK) -> DataFrame:
     of which one is ``open``: the open points of two groups, or a slice of the open ones
     (as group -1) with the other points of a group."""
     opened = marked.where("open and groups > 1")
-    slices = opened.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / (HELD * block)).cast("int").alias("slices"))
+    slices = F.broadcast(opened.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / (HELD * block)).cast("int").alias("slices")))
     asks = opened.join(slices, "part").withColumn("low", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).where("low <> group")
     asks = asks.withColumns({"group": F.lit(-1), "high": -1 - _hashed("id", F.col("slices"), 5)})
     held = marked.where("not open").join(slices, "part").withColumns({"low": F.col("group"), "high": F.explode(F.sequence(-F.col("slices"), F.lit(-1)))})
@@ -303,7 +305,7 @@ def cluster_grid(df: DataFrame, partition: Sequence[str], row_id: str, vector: s
     needs = [max(int(m) for e, m in grid if float(e) == r) for r in radii]
     rows, found = points(df, partition, row_id, vector)
     rows = staged(rows, "rows")
-    dealt = staged(grouped(found, block), "dealt")
+    dealt = staged(grouped(found, block, rows.select("part", "point").distinct()), "dealt")
     first = dealt.schema["first"].dataType.simpleString()
     kept = f"part string, id long, point string, first {first}, v binary, group int, groups int, "
 
