@@ -246,3 +246,31 @@ def test_name_forms_are_made_in_many_tasks(spark):
     for name in ("name_variations", "name_signatures"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in plan
+
+
+def test_all_words_of_a_long_name_have_forms(spark):
+    """Every choice of initials of more words than INITIALS, each once, in any pieces."""
+    words = [f"{'bcd'[k * k % 3]}{'xyz'[k % 3]}" for k in range(ids.INITIALS + 3)]
+    choices = [""]
+    for w in words[:-1]:
+        choices += [c + w[0] for c in choices]
+    want = {"ana" + c + x for c in choices for x in ("", words[-1][0])} | {"ana" + c + words[-1] for c in choices}
+    some = [(), *((w,) for w in words), *((a, b) for k, a in enumerate(words) for b in words[k + 1 :])]
+    want |= {"ana" + "".join(c) for c in [*some, words]} | {"a" + "".join(w[0] for w in words)}
+    spaced = want | {" ".join(("ana", *c)) for c in [*some, words]}
+    name = " ".join(("Ana", *words))
+    assert ids.variations_of(name) == want and ids.variations_of(name, True) == spaced
+    for bits in (1, 5):
+        found = [f for p in range(2**bits) for f in ids.forms_of(name, True, p, bits)]
+        assert len(found) == len(set(found)) and set(found) == spaced
+    df = spark.createDataFrame([(1, name), (2, None), (3, "Ana Bela"), (4, " ")], "k long, name string")
+    found = [tuple(r) for r in ids.name_forms(df, "k", F.col("name"), spaced=True).collect()]
+    assert sorted(found) == sorted([*((1, f) for f in spaced), *((3, f) for f in ids.variations_of("Ana Bela", True))])
+
+
+def test_forms_start_with_the_heads_of_a_name(spark):
+    names = ["Ana Bela Costa", "Rui", "Zé e Ana", "", None, " ".join(f"{a}{b}" for a in "bcdefghi" for b in "xyz")]
+    df = spark.createDataFrame([(n,) for n in names], "name string").select("name", ids.name_heads(F.col("name")).alias("heads"))
+    for r in df.collect():
+        forms = ids.variations_of(r["name"] or "", True)
+        assert set(r["heads"]) <= forms and all(f.startswith(tuple(r["heads"])) for f in forms)
