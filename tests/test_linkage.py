@@ -170,3 +170,20 @@ def test_scores_are_of_a_search(spark):
     found = {r["query_id"]: r["count"] for r in catalogue.QUERIES["linkage_scores"](spark, FOLDER).groupBy("query_id").count().collect()}
     every = {r["query_id"]: r["candidates"] for r in catalogue.QUERIES["linkage_candidates"](spark, FOLDER).collect()}
     assert found == {k: n for k, n in every.items() if k % 20 == 0} != {}
+
+
+def test_scores_of_alike_people_are_made_once(spark, both, monkeypatch):
+    """The same rows as of single pairs, with blocks and groups of any size; a pair of
+    forms is scored once, and people without a source are a source of their own."""
+    queries, people = both
+    single = linkage.candidates(queries, people).join(queries, "query_id")
+    want = linkage.score_pairs(single, "query_id", "person_id", "source", F.coalesce("record", F.lit("")).alias("record"))
+    found = linkage.scored_candidates(queries, people)
+    assert found.columns == want.columns and rows(found) == rows(want) != []
+    assert rows(linkage.scored_candidates(queries, people, alike=3, group=7)) == rows(want)
+    real, pairs = linkage.score_pairs, []
+    monkeypatch.setattr(linkage, "score_pairs", lambda df, *keep: pairs.append(df.count()) or real(df, *keep))
+    asked = [(i, "Ana Luz", "01/02/1990", "F") for i in range(40)]
+    alike = spark.createDataFrame([(f"p{i}", None if i % 2 else "a", f"r{i}", "analuz", 1990, None, None, "F") for i in range(50)], PEOPLE)
+    same = linkage.query_fields(spark.createDataFrame(asked, "id long, name string, dob string, sex string"), "id", "name", "dob", "sex")
+    assert linkage.scored_candidates(same, alike).where("score = 80").count() == 40 * 50 and pairs == [2]
