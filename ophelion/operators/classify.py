@@ -200,27 +200,45 @@ def most_frequent_winner(results: DataFrame) -> DataFrame:
     return n.orderBy(F.desc("wins"), "winner").limit(1)
 
 
+def places(df: DataFrame, key: str, seed: int, ranges: int, by: Sequence[str] = ()) -> DataFrame:
+    """Adds _place, from 0: a row's place in a hashed order of all rows, or of all that are
+    alike in ``by``. Rows are put in order inside so many ranges of the hash."""
+    h = F.pmod(F.xxhash64(key, *by, F.lit(seed)), F.lit(1 << 40))
+    ranged = df.withColumn("_h", h).withColumn("_r", F.shiftright(F.col("_h") * ranges, 40))
+    counts = ranged.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*by).orderBy("_r")) - F.col("_c")  # ranges, not rows
+    inside = F.row_number().over(Window.partitionBy(*by, "_r").orderBy("_h", key)) - 1
+    placed = ranged.withColumn("_n", inside).join(counts.select(*by, "_r", before.alias("_before")), [*by, "_r"])
+    return placed.withColumn("_place", F.col("_before") + F.col("_n")).drop("_h", "_r", "_n", "_before")
+
+
 def dealt(df: DataFrame, column: str, key: str, seed: int, group_rows: int = 100_000) -> DataFrame:
-    """The rows with the column's values dealt to other rows: two hashed orders are
-    paired within hashed groups of about ``group_rows`` rows."""
-    groups = df.count() // group_rows + 1
-    grouped = df.withColumn("_g", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(groups)))
-    n = lambda s: F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64(F.col(key), F.lit(s)), key))
-    left = grouped.withColumn("_n", n(seed + 1)).drop(column)
-    right = grouped.withColumn("_n", n(seed + 2)).select("_g", "_n", column)
-    return left.join(right, ["_g", "_n"]).drop("_g", "_n")
-
-
-def permutation_importance(model, df: DataFrame, columns: Sequence[str], label: str, key: str, seed: int = 42, repeats: int = 1) -> DataFrame:
-    """(feature, importance): the mean fall in balanced accuracy when a column's values
-    are dealt to other rows, over ``repeats`` deals."""
-    score = lambda rows: binary_metrics(model.transform(rows), label, "prediction").first()["balanced_accuracy"]
-    base = score(df)
-    rows = []
-    for i, c in enumerate(columns):
-        falls = [base - score(dealt(df, c, key, seed + 2 * (i * repeats + r))) for r in range(repeats)]
-        rows.append((c, float(sum(falls) / repeats)))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
+    """The rows with the column's values dealt over all rows: two hashed orders are paired
+    by place, put in order in ranges of about ``group_rows`` rows."""
+    ranges = df.count() // group_rows + 1
+    right = places(df, key, seed + 2, ranges).select("_place", column)
+    return places(df, key, seed + 1, ranges).drop(column).join(right, "_place").drop("_place")
+
+
+def deals(df: DataFrame, columns: Sequence[str], key: str, repeats: int, seed: int, group_rows: int = 100_000) -> DataFrame:
+    """(_feature, _repeat, columns of df): for each of the columns, ``repeats`` times, all
+    rows with its values dealt over all rows, in one job."""
+    ranges = df.count() // group_rows + 1
+    orders = F.explode(F.array(*[F.struct(F.lit(c).alias("_feature"), F.lit(r).alias("_repeat")) for c in columns for r in range(repeats)]))
+    sent = df.select(key, F.struct(*columns).alias("_given"), orders.alias("_o")).select(key, "_given", "_o.*")
+    given = places(sent, key, seed + 1, ranges, ("_feature", "_repeat")).select("_feature", "_repeat", "_given", "_place")
+    new = lambda c: F.when(F.col("_feature") == c, F.col("_given")[c]).otherwise(F.col(c)).alias(c)
+    return places(df, key, seed, ranges).join(given, "_place").select("_feature", "_repeat", *[new(c) if c in columns else c for c in df.columns])
+
+
+def permutation_importance(model, df: DataFrame, columns: Sequence[str], label: str, key: str, seed: int = 42, repeats: int = 10, metric: str = "accuracy") -> DataFrame:
+    """(feature, importance, importance_std), the greatest first: the mean fall of a rate of
+    ``binary_metrics`` when a column's values are dealt over all rows, and its population
+    sd, over ``repeats`` deals. ``df`` are rows that the model was not fitted on."""
+    base = binary_metrics(model.transform(df), label, "prediction").first()[metric]
+    scored = binary_metrics(model.transform(deals(df, columns, key, repeats, seed)), label, "prediction", ["_feature", "_repeat"])
+    fall = F.lit(base) - F.col(metric)
+    return scored.groupBy(F.col("_feature").alias("feature")).agg(F.avg(fall).alias("importance"), F.stddev_pop(fall).alias("importance_std")).orderBy(F.desc("importance"), "feature")
 
 
 def mdi_importance(spark, model, names: Sequence[str], columns: Sequence[str]) -> DataFrame:

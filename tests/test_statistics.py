@@ -154,6 +154,44 @@ def test_feature_importance_computes_text_features_once(spark, monkeypatch):
     assert names == ["features"] and set(got) == {"words", "sentences", "syllables", "letters"}
 
 
+def test_values_are_dealt_over_all_rows(spark):
+    """Each deal is a permutation of all rows, whatever the ranges, and deals differ."""
+    df = spark.createDataFrame([(i, float(i), None if i % 9 == 0 else i, i % 2) for i in range(400)], "k long, a double, b long, y int")
+    got = classify.deals(df, ["a", "b"], "k", 3, 1, group_rows=40).toPandas()
+    assert len(got) == 400 * 6 and list(got.columns) == ["_feature", "_repeat", "k", "a", "b", "y"]
+    seen = set()
+    for (feature, _), part in got.groupby(["_feature", "_repeat"]):
+        part = part.sort_values("k")
+        assert part["k"].tolist() == list(range(400)) and part["y"].tolist() == [i % 2 for i in range(400)]
+        assert sorted(part["a"]) == [float(i) for i in range(400)] and part["b"].isna().sum() == 45
+        moved, kept = (part["a"], part["b"]) if feature == "a" else (part["b"], part["a"])
+        assert [x for x in kept if x == x] == [i for i in range(400) if feature == "b" or i % 9]
+        seen.add(tuple(moved.fillna(-1)))
+        assert abs(np.corrcoef(np.arange(400), moved.fillna(200))[0, 1]) < 0.25
+    assert len(seen) == 6
+    one = classify.dealt(df, "a", "k", 5, group_rows=40).toPandas().sort_values("k")["a"].tolist()
+    assert sorted(one) == [float(i) for i in range(400)] and abs(np.corrcoef(np.arange(400), one)[0, 1]) < 0.25
+
+
+def test_permutation_importance_is_of_ten_deals(spark):
+    """A model that repeats one column: the mean and sd of the falls in accuracy, for labels
+    of unequal classes; the column without use falls by nothing."""
+
+    class Repeats:
+        def transform(self, rows):
+            seen.append(rows)
+            return rows.withColumn("prediction", F.col("a"))
+
+    seen = []
+    df = spark.createDataFrame([(i, float(i % 4 == 0), float(i % 3), float(i % 4 == 0)) for i in range(600)], "k long, a double, b double, y double")
+    got = classify.permutation_importance(Repeats(), df, ["b", "a"], "y", "k").collect()
+    assert [r["feature"] for r in got] == ["a", "b"] and tuple(got[1])[1:] == (0.0, 0.0)
+    wrong = seen[1].where("_feature = 'a'").groupBy("_repeat").agg(F.avg((F.col("a") != F.col("y")).cast("double")).alias("w")).toPandas()["w"]
+    assert len(wrong) == 10
+    assert (got[0]["importance"], got[0]["importance_std"]) == pytest.approx((wrong.mean(), wrong.std(ddof=0)))
+    assert got[0]["importance"] == pytest.approx(2 * 0.25 * 0.75, abs=0.05)
+
+
 def test_long_export_gathers_no_answers(spark):
     """Texts in the order selected; answers aren't exploded and gathered again."""
     from ophelion.operators import reports
